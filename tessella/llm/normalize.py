@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values: blanks drawn as a space, and characters that are not drawn at all
-BLANKS = "               　"
+BLANKS = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufeff"
 # --- fixed values: letters drawn like a Latin one, Latin first
 LATIN_C, CYRILLIC = "aceopxyijsdhqwABEKMHOPCTXYIJSëïËÏ", "асеорхуіјѕԁһԛԝАВЕКМНОРСТХҮІЈЅёїЁЇ"
@@ -35,8 +35,8 @@ GRE_TO_LAT, LAT_TO_GRE = str.maketrans(GREEK, LATIN_G), str.maketrans(LATIN_G, G
 
 #: Coarse classes for the JVM: whatever may be unstable lies in them. Few ranges, as Java tries them one by one.
 COARSE = (
-    "^\\s|\\s$|[ ­ĲĳŉǄ-ǌǱ-ǳ̀-ͯ҃-҇԰-῿"
-    " -‒ -  -⁯ΩKÅ⺀-⿿　〪-゙〯-゜㄰-㆏豈-￿]"
+    "^\\s|\\s$|[\u00a0\u00ad\u0132\u0133\u0149\u01c4-\u01cc\u01f1-\u01f3\u0300-\u036f\u0483-\u0487\u0530-\u1fff"
+    "\u2000-\u2012\u2028-\u202f\u205f-\u206f\u2126\u212a\u212b\u2e80-\u2fff\u3000\u302a-\u302f\u3099-\u309c\u3130-\u318f\uf900-\uffff]"
     "|[\\x{10000}-\\x{10FFFF}]"
 )
 CYR_UNIQUE = "[" + "".join(chr(c) for c in range(0x410, 0x460) if chr(c) not in CYRILLIC) + "]"

@@ -38,3 +38,87 @@ def p1_canonical(spark: SparkSession, d: str) -> DataFrame:
     from tessella.llm.normalize import canonical_texts
 
     return canonical_texts(_texts(spark, d)).select("field", F.col("id").alias("row_id"), F.col("canon").alias("canonical_text")).distinct()
+
+
+@query
+def p7_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Median, p90, p95 and p99 latency by model and provider, per day (exact) and over all days (from daily summaries)."""
+    from tessella.llm.percentiles import measured, percentiles
+
+    rows = measured(table(spark, d, "request_stats"), "latency_ms", ["model", "provider"], "ts", ["req_id", "attempt", "ts", "model", "provider", "latency_ms"])
+    out = percentiles(rows, ["model", "provider"])
+    return out.select("scope", "model", "provider", F.date_format("day", "yyyy-MM-dd").alias("day"), F.col("q").alias("quantile"), F.col("n").alias("n_requests"), F.col("value").alias("latency_ms"), "error_bound")
+
+
+@query
+def p7_daily_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The mergeable daily result behind the totals."""
+    from tessella.llm.percentiles import daily_summary, measured
+
+    rows = measured(table(spark, d, "request_stats"), "latency_ms", ["model", "provider"], "ts", ["req_id", "attempt", "ts", "model", "provider", "latency_ms"])
+    return daily_summary(rows, ["model", "provider"]).select("model", "provider", F.date_format("day", "yyyy-MM-dd").alias("day"), F.col("bucket").alias("bucket_ms"), F.col("n").alias("n_requests"))
+
+
+_P7_ROWS = """
+r AS (SELECT DISTINCT req_id, attempt, ts, nullif(trim(model), '') AS model, nullif(trim(provider), '') AS provider, latency_ms AS v,
+             strftime(ts, '%Y-%m-%d') AS day
+      FROM request_stats WHERE latency_ms > 0),
+b AS (SELECT *, (v >> greatest(length(bin(v)) - 8, 0)) << greatest(length(bin(v)) - 8, 0) AS bucket FROM r)"""
+ORACLE["p7_percentiles"] = f"""WITH {_P7_ROWS},
+q AS (SELECT unnest([0.5::DOUBLE, 0.9::DOUBLE, 0.95::DOUBLE, 0.99::DOUBLE]) AS quantile),
+dn AS (SELECT *, row_number() OVER (PARTITION BY model, provider, day ORDER BY v) AS rn, count(*) OVER (PARTITION BY model, provider, day) AS n FROM b),
+tn AS (SELECT *, row_number() OVER (PARTITION BY model, provider ORDER BY bucket) AS rn, count(*) OVER (PARTITION BY model, provider) AS n FROM b)
+SELECT 'day' AS scope, model, provider, day, quantile, n AS n_requests, v::DOUBLE AS latency_ms, 0.0::DOUBLE AS error_bound
+FROM dn, q WHERE rn = ceil(round(quantile * n, 6))
+UNION ALL
+SELECT 'total', model, provider, NULL, quantile, n, bucket + ((1::BIGINT << greatest(length(bin(bucket)) - 8, 0)) - 1) / 2.0::DOUBLE, 1.0::DOUBLE / 256
+FROM tn, q WHERE rn = ceil(round(quantile * n, 6))"""
+ORACLE["p7_daily_summary"] = f"""WITH {_P7_ROWS}
+SELECT model, provider, day, bucket AS bucket_ms, count(*) AS n_requests FROM b GROUP BY ALL"""
+
+
+def _kinds(spark: SparkSession, d: str) -> dict[str, int]:
+    return {r.container_kind: r.capacity_tokens for r in table(spark, d, "containers").collect()}
+
+
+@query
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    """All documents into containers, once for each capacity."""
+    from tessella.llm.packing import assign
+    from tessella.llm.tokens import with_tokens
+
+    return assign(with_tokens(table(spark, d, "documents").select("doc_id", "text")), _kinds(spark, d))
+
+
+@query
+def p8_tiers(spark: SparkSession, d: str) -> DataFrame:
+    """Each document once, in a container of its tier or in a gap of a longer one."""
+    from tessella.llm.packing import assign
+    from tessella.llm.tokens import with_tokens
+
+    return assign(with_tokens(table(spark, d, "documents").select("doc_id", "text")), _kinds(spark, d), routed=True)
+
+
+@query
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers of each kind are."""
+    cap = table(spark, d, "containers")
+    used = p8_pack(spark, d).groupBy("container_kind").agg(F.countDistinct("container_id").alias("n_containers"), F.sum("tokens").alias("tokens"), F.countDistinct("doc_id").alias("n_docs"))
+    return used.join(cap, "container_kind").select("container_kind", "n_containers", "n_docs", "tokens", (F.col("tokens") / F.col("n_containers") / F.col("capacity_tokens")).alias("fill"))
+
+
+@query
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of each mix, with their repeats, in Pfair order."""
+    from tessella.llm.mixing import mix
+    from tessella.llm.tokens import with_tokens
+
+    return mix(with_tokens(table(spark, d, "documents").select("doc_id", "source", "text")), table(spark, d, "mix_targets"))
+
+
+@query
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached shares of each mix."""
+    from tessella.llm.mixing import reached
+
+    return reached(p9_mix(spark, d), table(spark, d, "mix_targets"))
