@@ -122,3 +122,20 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     from tessella.llm.mixing import reached
 
     return reached(p9_mix(spark, d), table(spark, d, "mix_targets"))
+
+
+def _languages(spark: SparkSession, d: str) -> DataFrame:
+    from tessella.llm.langid import languages
+
+    return languages(table(spark, d, "sentences"), table(spark, d, "books"), table(spark, d, "documents"))
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _languages(spark, d).where("wrong").select("record_kind", "record_id", "line_no", "lang").distinct()
+
+
+@query
+def p6_languages(spark: SparkSession, d: str) -> DataFrame:
+    """A language with a confidence for every book, document and foreign line."""
+    return _languages(spark, d)
