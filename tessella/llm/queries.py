@@ -139,3 +139,26 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_languages(spark: SparkSession, d: str) -> DataFrame:
     """A language with a confidence for every book, document and foreign line."""
     return _languages(spark, d)
+
+
+def _imported(spark: SparkSession, d: str) -> DataFrame:
+    """Sources, titles and authors as field, row_id, value."""
+    s = table(spark, d, "sentences").select(F.lit("src").alias("field"), F.col("sentence_id").alias("row_id"), F.col("src").alias("value"))
+    books = table(spark, d, "books")
+    parts = [books.select(F.lit(c).alias("field"), F.col("book_id").alias("row_id"), F.col(c).alias("value")) for c in ("title", "author")]
+    return s.unionByName(parts[0]).unionByName(parts[1])
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from tessella.llm.mojibake import damaged_values
+
+    return damaged_values(_imported(spark, d)).select("field", "row_id").distinct()
+
+
+@query
+def p4_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The damaged values and what could be restored."""
+    from tessella.llm.mojibake import damaged_values
+
+    return damaged_values(_imported(spark, d)).distinct()
