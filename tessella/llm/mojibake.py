@@ -222,13 +222,14 @@ def _widen(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _candidates(run: str):
     wide = any("\u2e80" <= c <= "\u9fff" or "\uff61" <= c <= "\uff9f" for c in run)
+    plain = run.replace("\xa0", " ")  # a no-break space is no letter of another encoding
     for read in READ_AS:
         if (read in WIDE) > wide:
             continue
         fixed, n = _undo_utf8(run, read)
         if n:
             yield fixed, n
-        raw = _encode(run, read)
+        raw = _encode(plain, read)
         if raw is None:
             continue
         for real in REALLY[1:]:
@@ -267,18 +268,21 @@ def examine(text: str, model: PairModel, runs: list[tuple[int, int]] | None = No
             if run.isascii():
                 continue
             old = float(score[s : e + 1].sum())
+            plain = run.replace("\xa0", " ")
+            old_plain = float(model.text_scores(out[:s] + plain + out[e:])[s : e + 1].sum()) if plain != run else old
             odd = len(_ODD.findall(run))
             best, gain = None, 0.0
             for fixed, sequences in _candidates(run):
-                if fixed == run or any(unicodedata.category(c) in ("Cc", "Co", "Cn") for c in fixed):
+                if fixed in (run, plain) or any(unicodedata.category(c) in ("Cc", "Co", "Cn") for c in fixed):
                     continue
                 now = len(_ODD.findall(fixed))
                 if now > odd or now and not sequences or not sequences and sum(map(str.isalpha, fixed)) < 0.7 * min(len(fixed), sum(map(str.isalpha, run))):
                     continue
                 new = model.text_scores(out[:s] + fixed + out[e:])[s : s + len(fixed) + 1]
                 # one score a character, so that a shorter text gains nothing by being short
-                g = float((new - LIMIT).sum()) - (old - LIMIT * (e - s + 1)) + 3 * sequences
-                sure = g >= (GAIN / 2 if sequences else GAIN) and new.mean() - old / (e - s + 1) >= GAIN_EACH
+                was = old if sequences else old_plain
+                g = float((new - LIMIT).sum()) - (was - LIMIT * (e - s + 1)) + 3 * sequences
+                sure = g >= (GAIN / 2 if sequences else GAIN) and new.mean() - was / (e - s + 1) >= GAIN_EACH
                 if g > gain and (sure or odd >= 2 and not now and _one_script(fixed)):
                     best, gain = fixed, g
             if best is not None:

@@ -162,3 +162,32 @@ def p4_restored(spark: SparkSession, d: str) -> DataFrame:
     from tessella.llm.mojibake import damaged_values
 
     return damaged_values(_imported(spark, d)).distinct()
+
+
+def _defects(spark: SparkSession, d: str, **more) -> DataFrame:
+    from tessella.llm.answers import defects
+
+    return defects(table(spark, d, "translations"), table(spark, d, "sentences"), table(spark, d, "books"), **more)
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _defects(spark, d).where("defect = 'truncated'").select("translation_id")
+
+
+@query
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The rate of cut answers by model, provider and target, beside what finish_reason tells."""
+    answers = table(spark, d, "translations").dropDuplicates(["translation_id"]).select("translation_id", "req_id", "model", "target")
+    said = table(spark, d, "request_stats").groupBy("req_id").agg(F.max_by(F.struct("provider", "finish_reason"), F.struct("attempt", "logged_at")).alias("r"))
+    cut = _defects(spark, d).where("defect = 'truncated'").select("translation_id", F.lit(1).alias("cut"))
+    all_ = answers.join(cut, "translation_id", "left").join(said, "req_id", "left")
+    told = F.lower("r.finish_reason").isin("length", "max_tokens")
+    label = lambda c: F.nullif(F.trim(c), F.lit(""))
+    out = all_.groupBy(label(F.col("model")).alias("model"), label(F.col("r.provider")).alias("provider"), "target").agg(F.count("*").alias("n_answers"), F.count("cut").alias("n_cut"), F.count_if(told).alias("n_told"), F.count_if(told & F.col("cut").isNotNull()).alias("n_cut_and_told"))
+    return out.withColumn("cut_rate", F.col("n_cut") / F.col("n_answers"))
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _defects(spark, d).select("translation_id", "defect")
