@@ -191,3 +191,18 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return _defects(spark, d).select("translation_id", "defect")
+
+
+@query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    from tessella.llm.pii import personal
+
+    return personal(table(spark, d, "documents")).select("doc_id", "pii_type", "s", "e").distinct()
+
+
+@query
+def p10_masked(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with typed placeholders."""
+    from tessella.llm.pii import masked
+
+    return masked(table(spark, d, "documents"))
