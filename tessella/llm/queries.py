@@ -206,3 +206,20 @@ def p10_masked(spark: SparkSession, d: str) -> DataFrame:
     from tessella.llm.pii import masked
 
     return masked(table(spark, d, "documents"))
+
+
+def _units(spark: SparkSession, d: str) -> DataFrame:
+    from tessella.llm.sentences import fit, sentence_units
+
+    return sentence_units(table(spark, d, "paragraphs"), fit(table(spark, d, "sentences")))
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _units(spark, d).select("para_id", "s", "e").distinct()
+
+
+@query
+def p5_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """The units in the shape of Sentence: src with the offsets of its words."""
+    return _units(spark, d)
