@@ -1,4 +1,465 @@
-"""All queries of the engine's own operators, and equivalent SQL."""
+"""All queries of the engine's own operators over the test tables, and equivalent SQL for DuckDB."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tessella.functions import text as T
+from tessella.operators import align as A
+from tessella.operators import corpus as C
+from tessella.operators import coverage as V
+from tessella.session import latest, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            # DuckDB's own lambda syntax
+            duck = re.sub(r"\((\w+), (\w+)\) -> ", r"lambda \1, \2: ", sql)
+            ORACLE[f.__name__] = re.sub(r"\b(\w+) -> ", r"lambda \1: ", duck)
+        return f
+
+    return add
+
+
+def _s(spark, d):
+    return latest(table(spark, d, "sentences"), "sentence_id")
+
+
+def _t(spark, d):
+    return latest(table(spark, d, "translations"), "translation_id")
+
+
+# --- the same pieces in SQL
+W = r"\p{L}[\p{L}\p{M}]*(?:[''’-]\p{L}[\p{L}\p{M}]*)*"
+
+
+class _Sql(str):
+    """SQL with places @0, @1 for other SQL."""
+
+    def format(self, *parts: str) -> str:
+        out = str(self)
+        for i, p in enumerate(parts):
+            out = out.replace(f"@{i}", p)
+        return out
+
+
+CLEAN = _Sql(r"trim(regexp_replace(@0, '[\s\p{Z}\x{85}\x{0b}]+', ' ', 'g'))")
+UNGLUE = _Sql(CLEAN.format(r"""regexp_replace(@0, '([.!?…]{1,3}["»”’'')\]]?)(\p{Lu})', '\1 \2', 'g')"""))
+SENTS = _Sql(r"""string_split(regexp_replace(@0, '([.!?…]["»”’'')\]]*) (["“«‘'']?\p{Lu})', '\1' || chr(1) || '\2', 'g'), chr(1))""")
+S = "s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sentence_id ORDER BY loaded_at DESC NULLS LAST) AS rn_ FROM sentences) WHERE rn_ = 1)"
+TR = "t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY translation_id ORDER BY loaded_at DESC NULLS LAST) AS rn_ FROM translations) WHERE rn_ = 1)"
+LINES = "li AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS para_idx FROM documents), " "p AS (SELECT doc_id, lang, para_idx, " + CLEAN.format("l") + " AS text FROM li WHERE " + CLEAN.format("l") + " <> '')"
+RULE = "r AS (SELECT doc_id, lang, para_idx, unnest(" + SENTS.format(UNGLUE.format("text")) + ") AS src, generate_subscripts(" + SENTS.format(UNGLUE.format("text")) + ", 1) - 1 AS sent_idx FROM p)"
+OFFS = _Sql(
+    "list_transform(range(1, len(regexp_extract_all(@0, '@1')) + 1), i -> {'s': list_sum(list_transform(regexp_split_to_array(@0, '@1')[1:i], g -> length(g)))::BIGINT + coalesce(list_sum(list_transform(regexp_extract_all(@0, '@1')[1:i-1], g -> length(g))), 0)::BIGINT, "
+    "'e': list_sum(list_transform(regexp_split_to_array(@0, '@1')[1:i], g -> length(g)))::BIGINT + list_sum(list_transform(regexp_extract_all(@0, '@1')[1:i], g -> length(g)))::BIGINT})"
+)
+ARTIFACT = r"(?i)<(bos|eos|pad|unk|s|/s|im_start|im_end)>|<\|[a-z_]+\|>|\x{FFFD}"
+NORM = _Sql(r"lower(regexp_replace(@0, '^[\s\p{P}\p{S}]+|[\s\p{P}\p{S}]+$', '', 'g'))")
+FOLD = _Sql(r"regexp_replace(lower(@0), '[^\p{L}]', '', 'g')")
+
+
+@query(f"""WITH {LINES}, {RULE}
+SELECT lang, count(*) AS n_sentences, sum(len(regexp_extract_all(src, '{W}')))::BIGINT AS n_words, sum(length(src))::BIGINT AS n_chars, count(DISTINCT doc_id) AS n_docs
+FROM r WHERE src <> '' GROUP BY lang""")
+def corpus_estimate_by_lang(spark, d):
+    """Flagship: sentences, words and characters of the documents by language label."""
+    sents = C.sentences_of(C.paragraphs_of(table(spark, d, "documents").select("doc_id", "lang", "text"), "doc_id"))
+    return sents.groupBy("lang").agg(F.count("*").alias("n_sentences"), F.sum(F.size(T.words("src")).cast("long")).alias("n_words"), F.sum(F.length("src").cast("long")).alias("n_chars"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+@query(f"""WITH {LINES}, {RULE} SELECT doc_id, para_idx, sent_idx, src FROM r WHERE src <> ''""")
+def sentence_rows(spark, d):
+    return C.sentences_of(C.paragraphs_of(table(spark, d, "documents").select("doc_id", "text"), "doc_id")).select("doc_id", "para_idx", "sent_idx", "src")
+
+
+@query(f"""SELECT para_id, {CLEAN.format('text')} AS cleaned, {UNGLUE.format('text')} AS unglued FROM paragraphs""")
+def clean_text(spark, d):
+    return table(spark, d, "paragraphs").select("para_id", T.clean("text").alias("cleaned"), T.unglue("text").alias("unglued"))
+
+
+@query(f"""WITH {S}, o AS (SELECT sentence_id, src, {OFFS.format('src', W)} AS w FROM s WHERE src IS NOT NULL)
+SELECT sentence_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, x -> x.s * 31 + x.e)), 0)::BIGINT AS checksum, array_to_string(list_transform(w, x -> substring(src, x.s + 1, x.e - x.s)), '|') AS words FROM o""")
+def word_offsets(spark, d):
+    s = _s(spark, d).where("src is not null").select("sentence_id", "src", T.offsets("src").alias("w"))
+    total = F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + x["s"] * 31 + x["e"])
+    return s.select("sentence_id", F.size("w").alias("n_words"), total.alias("checksum"), F.array_join(T.word_strings("src", "w"), "|").alias("words"))
+
+
+@query(f"""WITH {TR} SELECT translation_id, len(regexp_extract_all(text, '[\\p{{L}}\\p{{Nd}}]+')) AS n_runs FROM t WHERE text IS NOT NULL""")
+def letter_digit_runs(spark, d):
+    return _t(spark, d).where("text is not null").select("translation_id", F.size(T.runs("text")).alias("n_runs"))
+
+
+@query(f"""WITH {S}, w AS (SELECT DISTINCT unnest(regexp_extract_all(src, '{W}')) AS word FROM s), f AS (SELECT word, {FOLD.format('word')} AS folded, {NORM.format('word')} AS normed FROM w)
+SELECT word, folded, normed, array_to_string(list_filter([CASE WHEN length(folded) >= 4 AND folded LIKE '%s' THEN left(folded, length(folded) - 1) END, CASE WHEN length(folded) >= 5 AND folded LIKE '%es' THEN left(folded, length(folded) - 2) END], x -> x IS NOT NULL), ',') AS stems FROM f""")
+def fold_and_stem(spark, d):
+    w = _s(spark, d).select(F.explode(T.words("src")).alias("word")).distinct()
+    f = w.select("word", T.fold_letters("word").alias("folded"), T.norm_word("word").alias("normed"))
+    return f.select("*", F.array_join(T.stem_variants("folded"), ",").alias("stems"))
+
+
+@query(f"""WITH {S}, a AS (SELECT DISTINCT {FOLD.format("list_extract(regexp_extract_all(src, '" + W + "'), 1)")} AS a, {FOLD.format("list_extract(regexp_extract_all(src, '" + W + "'), -1)")} AS b FROM s WHERE len(regexp_extract_all(src, '{W}')) > 0),
+l AS (SELECT a, b, least(length(a), length(b)) AS m FROM a), k AS (SELECT *, greatest(3, m - CASE WHEN m < 6 THEN m - 3 ELSE 3 END) AS k FROM l)
+SELECT a, b, ((a = b AND a <> '') OR (m >= 4 AND left(a, k) = left(b, k))) AS plausible FROM k""")
+def prefix_plausible_pairs(spark, d):
+    w = T.words("src")
+    a = _s(spark, d).where(F.size(w) > 0).select(T.fold_letters(F.element_at(w, 1)).alias("a"), T.fold_letters(F.element_at(w, -1)).alias("b")).distinct()
+    return a.select("a", "b", T.prefix_plausible("a", "b").alias("plausible"))
+
+
+@query(f"""WITH {S} SELECT sentence_id, array_to_string(list_transform(regexp_extract_all(src, '{W}'), (w, i) -> (i - 1)::VARCHAR || ':' || w), ' ') AS numbered FROM s WHERE src IS NOT NULL""")
+def numbered_words(spark, d):
+    return _s(spark, d).where("src is not null").select("sentence_id", T.numbered(T.words("src")).alias("numbered"))
+
+
+@query(f"""WITH {S}, {TR} SELECT t.translation_id, CASE WHEN regexp_extract(src, '^(\\d{{1,3}}[.)] )', 1) <> '' AND coalesce(text, '') <> '' AND NOT starts_with(text, regexp_extract(src, '^(\\d{{1,3}})[.)] ', 1)) THEN regexp_extract(src, '^(\\d{{1,3}}[.)] )', 1) || text ELSE text END AS text
+FROM t JOIN s USING (sentence_id) WHERE regexp_matches(src, '^\\d{{1,3}}[.)] ')""")
+def list_mark_restored(spark, d):
+    both = _t(spark, d).join(_s(spark, d).where(F.col("src").rlike(r"^\d{1,3}[.)] ")).select("sentence_id", "src"), "sentence_id")
+    return both.select("translation_id", T.restore_list_mark("src", "text").alias("text"))
+
+
+@query("""WITH p AS (SELECT book_id, string_split_regex(lower(trim(language)), '[-_]')[1] AS p FROM books)
+SELECT book_id, CASE WHEN p IS NULL THEN '' WHEN regexp_matches(p, '^[a-z]{2,3}$') THEN coalesce(map {%s}[p], p) ELSE '' END AS tag FROM p""" % ", ".join(f"'{k}': '{v}'" for k, v in T.ISO3.items()))
+def language_tags(spark, d):
+    return table(spark, d, "books").select("book_id", F.coalesce(T.language_tag("language"), F.lit("")).alias("tag"))
+
+
+@query(f"""WITH {S} SELECT sentence_id FROM s WHERE regexp_matches(src, '{ARTIFACT}')""")
+def artifacts(spark, d):
+    return _s(spark, d).where(T.is_artifact("src")).select("sentence_id")
+
+
+@query(f"""WITH {S} SELECT kind, coalesce(regexp_matches(src, '(?i)https?://|www\\.|(^|[^a-z0-9])doi[: ]') OR (length(src) - length(replace(src, ',', '')) >= 3 AND regexp_matches(src, '(^|[^0-9A-Za-z_])(1[5-9]|20)[0-9]{{2}}([^0-9A-Za-z_]|$)')), false) AS citation, count(*) AS n FROM s GROUP BY ALL""")
+def citations(spark, d):
+    return _s(spark, d).groupBy("kind", T.is_citation("src").alias("citation")).agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT book_id, translate(lower(title), '{T.ACCENTED}', '{T.PLAIN}') AS folded FROM books WHERE title IS NOT NULL AND regexp_full_match(title, '[\\x00-\\x{{17f}}]*')""")
+def folded_titles(spark, d):
+    return table(spark, d, "books").where(F.col("title").rlike("^[\\x00-\\x{17f}]*$")).select("book_id", T.fold_latin("title").alias("folded"))
+
+
+@query(f"""WITH {S} SELECT sentence_id, sha256(concat_ws('|', 'v8', 'orbit-large', 'en', 'de', src)) AS final_key, sha256(concat_ws('|', 'v5', 'tr', 'orbit-large', 'en', 'de', src)) AS raw_key FROM s WHERE src IS NOT NULL""")
+def store_keys(spark, d):
+    return _s(spark, d).where("src is not null").select("sentence_id", T.key("v8", "orbit-large", "en", "de", F.col("src")).alias("final_key"), T.key("v5", "tr", "orbit-large", "en", "de", F.col("src")).alias("raw_key"))
+
+
+def _store(spark, d, target):
+    """The keyed results of a target: one text a source, the last stored."""
+    both = _t(spark, d).where(F.col("target") == target).join(_s(spark, d).select("sentence_id", "src"), "sentence_id").where("src is not null")
+    return both.groupBy(T.key(F.col("src")).alias("key")).agg(F.max_by("text", F.struct("stored_at", "translation_id")).alias("text"))
+
+
+_STORE = "st AS (SELECT key, text FROM (SELECT sha256(src) AS key, text, row_number() OVER (PARTITION BY sha256(src) ORDER BY stored_at DESC NULLS LAST, translation_id DESC) AS k FROM t JOIN s USING (sentence_id) WHERE target = 'ru' AND src IS NOT NULL) WHERE k = 1)"
+
+
+@query(f"""WITH {S}, {TR}, {_STORE} SELECT DISTINCT sha256(src) AS key, src FROM s WHERE src IS NOT NULL AND sha256(src) NOT IN (SELECT key FROM st WHERE trim(coalesce(text, '')) <> '' AND NOT regexp_matches(text, '{ARTIFACT}'))""")
+def pending_work(spark, d):
+    wanted = _s(spark, d).where("src is not null").select(T.key(F.col("src")).alias("key"), "src")
+    return C.pending(wanted, _store(spark, d, "ru"))
+
+
+@query(f"""WITH {S}, {TR}, {_STORE}, ra AS (SELECT key, text FROM (SELECT sha256(src) AS key, text, row_number() OVER (PARTITION BY sha256(src) ORDER BY stored_at DESC NULLS LAST, translation_id DESC) AS k FROM t JOIN s USING (sentence_id) WHERE target = 'de' AND src IS NOT NULL) WHERE k = 1),
+w AS (SELECT DISTINCT sha256(src) AS key, src FROM s WHERE src IS NOT NULL),
+f AS (SELECT w.key, src, CASE WHEN NOT regexp_matches(coalesce(st.text, ''), '{ARTIFACT}') AND trim(st.text) <> '' THEN st.text END AS f, CASE WHEN NOT regexp_matches(coalesce(ra.text, ''), '{ARTIFACT}') AND trim(ra.text) <> '' THEN ra.text END AS r FROM w LEFT JOIN st ON w.key = st.key LEFT JOIN ra ON w.key = ra.key)
+SELECT CASE WHEN f IS NOT NULL THEN 'final' WHEN r IS NOT NULL THEN 'raw' ELSE 'none' END AS level, count(*) AS n, sum(length(coalesce(f, CASE WHEN regexp_extract(src, '^(\\d{{1,3}}[.)] )', 1) <> '' AND r IS NOT NULL AND NOT starts_with(r, regexp_extract(src, '^(\\d{{1,3}})[.)] ', 1)) THEN regexp_extract(src, '^(\\d{{1,3}}[.)] )', 1) || r ELSE r END, '')))::BIGINT AS n_chars FROM f GROUP BY 1""")
+def filled_levels(spark, d):
+    wanted = _s(spark, d).where("src is not null").select(T.key(F.col("src")).alias("key"), "src").distinct()
+    out = C.filled(wanted, _store(spark, d, "ru"), _store(spark, d, "de"))
+    return out.groupBy("level").agg(F.count("*").alias("n"), F.sum(F.length("text").cast("long")).alias("n_chars"))
+
+
+_AB = f"""WITH {S}, {TR}, m AS (SELECT sentence_id, min(translation_id) AS a, max(translation_id) AS b FROM t GROUP BY 1 HAVING count(*) > 1)"""
+
+
+def _measured(spark, d):
+    words = _s(spark, d).select("sentence_id", "src", "words", "book_id", "ch_idx", "para_idx", "sent_idx")
+    return V.measure(_t(spark, d).select("translation_id", "sentence_id", "target", "model", "text", "align", "q").join(words, "sentence_id"))
+
+
+_M = f"""{S}, {TR}, b AS (SELECT t.translation_id, t.sentence_id, t.target, t.model, coalesce(t.text, '') AS text, coalesce(t.align, []) AS al, coalesce(s.words, []) AS words, {OFFS.format("coalesce(t.text, '')", W)} AS tw FROM t JOIN s USING (sentence_id)),
+m AS (SELECT *, len(tw) AS n_tgt, len(list_filter(tw, w -> len(list_filter(al, c -> c.t0 < w.e AND w.s < c.t1 AND len(c.w) > 0)) > 0)) AS n_tgt_covered, len(words) AS n_src, len(list_distinct(list_filter(flatten(list_transform(al, c -> c.w)), i -> i >= 0 AND i < len(words)))) AS n_src_tapped, len(al) AS n_chunks FROM b)"""
+
+
+@query(f"""WITH {_M} SELECT translation_id, n_tgt, n_tgt_covered, n_src, n_src_tapped, n_chunks FROM m""")
+def coverage_overlap(spark, d):
+    return _measured(spark, d).select("translation_id", "n_tgt", "n_tgt_covered", "n_src", "n_src_tapped", "n_chunks")
+
+
+@query(f"""WITH {_M}, c AS (SELECT model, CASE WHEN n_tgt > 0 THEN n_tgt_covered / n_tgt ELSE -1.0 END AS cov, CASE WHEN n_src > 0 THEN n_src_tapped / n_src ELSE -1.0 END AS tap FROM m)
+SELECT model, count(*) AS n, round(avg(CASE WHEN cov >= 0 THEN cov END), 6) AS mean_cov, round(list_sort(list(cov) FILTER (WHERE cov >= 0))[(count(*) FILTER (WHERE cov >= 0)) // 2 + 1], 6) AS median_cov, count(*) FILTER (WHERE cov >= 0 AND cov < 0.7) AS n_low_cov, count(*) FILTER (WHERE tap >= 0 AND tap < 0.8) AS n_low_tap FROM c GROUP BY model""")
+def coverage_summary(spark, d):
+    c = _measured(spark, d).select("model", V.ratio("n_tgt_covered", "n_tgt").alias("cov"), V.ratio("n_src_tapped", "n_src").alias("tap"))
+    ok = F.when(F.col("cov") >= 0, F.col("cov"))
+    flat = c.groupBy("model").agg(F.count("*").alias("n"), F.round(F.avg(ok), 6).alias("mean_cov"), F.count_if((F.col("cov") >= 0) & (F.col("cov") < 0.7)).alias("n_low_cov"), F.count_if((F.col("tap") >= 0) & (F.col("tap") < 0.8)).alias("n_low_tap"))
+    med = V.ranked_median(c.where("cov >= 0"), ["model"], "cov").select(F.col("model").alias("m2"), F.round("median", 6).alias("median_cov"))
+    return flat.join(med, F.col("model").eqNullSafe(F.col("m2")), "left").drop("m2")
+
+
+@query(f"""WITH {_M}, c AS (SELECT least(greatest(floor((n_tgt_covered / n_tgt) * 10), 0), 9)::INT AS decile, count(*) AS n FROM m WHERE n_tgt > 0 GROUP BY 1)
+SELECT i::INT AS decile, coalesce(n, 0)::BIGINT AS n FROM range(10) x(i) LEFT JOIN c ON c.decile = i""")
+def coverage_deciles(spark, d):
+    c = _measured(spark, d).where("n_tgt > 0").groupBy(V.decile(F.col("n_tgt_covered") / F.col("n_tgt")).alias("decile")).agg(F.count("*").alias("n"))
+    return spark.range(10).select(F.col("id").cast("int").alias("decile")).join(F.broadcast(c), "decile", "left").fillna(0, ["n"])
+
+
+_STOPMAP = "map {" + ", ".join(f"'{k}': [" + ", ".join("'" + w.replace("'", "''") + "'" for w in v) + "]" for k, v in V.STOP.items()) + "}"
+
+
+@query(f"""WITH {_M}, k AS (SELECT *, list_filter(tw, w -> NOT list_contains(coalesce({_STOPMAP}[target], []), lower(substring(text, w.s + 1, w.e - w.s)))) AS cw0 FROM m), c AS (SELECT *, CASE WHEN len(cw0) > 0 THEN cw0 ELSE tw END AS cw FROM k)
+SELECT target, sum(len(cw))::BIGINT AS n_content, sum(len(list_filter(cw, w -> len(list_filter(al, c -> c.t0 < w.e AND w.s < c.t1 AND len(c.w) > 0)) > 0)))::BIGINT AS n_content_covered FROM c GROUP BY target""")
+def content_coverage(spark, d):
+    return _measured(spark, d).groupBy("target").agg(F.sum(F.col("n_content").cast("long")).alias("n_content"), F.sum(F.col("n_content_covered").cast("long")).alias("n_content_covered"))
+
+
+_DIFF = f"""{_M}, p AS (SELECT sentence_id, min(translation_id) AS a, max(translation_id) AS b FROM t WHERE trim(coalesce(text, '')) <> '' GROUP BY 1 HAVING count(*) > 1),
+x AS (SELECT p.sentence_id, ma.text AS ta, mb.text AS tb, CASE WHEN ma.n_tgt > 0 THEN ma.n_tgt_covered / ma.n_tgt ELSE -1.0 END AS ca, CASE WHEN mb.n_tgt > 0 THEN mb.n_tgt_covered / mb.n_tgt ELSE -1.0 END AS cb, ma.n_chunks AS na, mb.n_chunks AS nb FROM p JOIN m ma ON ma.translation_id = p.a JOIN m mb ON mb.translation_id = p.b)"""
+
+
+def _pairs(spark, d):
+    m = _measured(spark, d).select("translation_id", "sentence_id", "text", V.ratio("n_tgt_covered", "n_tgt").alias("c"), "n_chunks")
+    both = m.where("trim(coalesce(text, '')) <> ''").groupBy("sentence_id").agg(F.count("*").alias("k"), F.min_by(F.struct("text", "c", "n_chunks"), "translation_id").alias("a"), F.max_by(F.struct("text", "c", "n_chunks"), "translation_id").alias("b"))
+    return both.where("k > 1").select("sentence_id", F.col("a.text").alias("ta"), F.col("b.text").alias("tb"), F.col("a.c").alias("ca"), F.col("b.c").alias("cb"), F.col("a.n_chunks").alias("na"), F.col("b.n_chunks").alias("nb"))
+
+
+@query(f"""WITH {_DIFF} SELECT count(*) AS n_pairs, count(*) FILTER (WHERE ta <> tb) AS n_changed, round(avg(ca), 6) AS mean_a, round(avg(cb), 6) AS mean_b, round(avg(cb - ca), 6) AS mean_delta, round(sum(na) / count(*), 6) AS chunks_a, round(sum(nb) / count(*), 6) AS chunks_b, count(*) FILTER (WHERE cb - ca <= -0.1) AS n_regressed, count(*) FILTER (WHERE cb - ca >= 0.1) AS n_improved FROM x""")
+def diff_report(spark, d):
+    delta = F.col("cb") - F.col("ca")
+    return _pairs(spark, d).agg(F.count("*").alias("n_pairs"), F.count_if(F.col("ta") != F.col("tb")).alias("n_changed"), F.round(F.avg("ca"), 6).alias("mean_a"), F.round(F.avg("cb"), 6).alias("mean_b"), F.round(F.avg(delta), 6).alias("mean_delta"), F.round(F.sum("na") / F.count("*"), 6).alias("chunks_a"), F.round(F.sum("nb") / F.count("*"), 6).alias("chunks_b"), F.count_if(delta <= -0.1).alias("n_regressed"), F.count_if(delta >= 0.1).alias("n_improved"))
+
+
+@query(f"""WITH {_DIFF} SELECT sentence_id, round(cb - ca, 6) AS delta FROM x WHERE cb < ca ORDER BY cb - ca, sentence_id LIMIT 20""")
+def worst_regressions(spark, d):
+    return _pairs(spark, d).where("cb < ca").orderBy(F.col("cb") - F.col("ca"), "sentence_id").limit(20).select("sentence_id", F.round(F.col("cb") - F.col("ca"), 6).alias("delta"))
+
+
+@query(f"""WITH {S}, o AS (SELECT sentence_id, book_id % 2 AS side, src, row_number() OVER (PARTITION BY book_id % 2, src ORDER BY book_id, ch_idx, para_idx, sent_idx, sentence_id) - 1 AS k FROM s WHERE src IS NOT NULL)
+SELECT a.sentence_id AS id_a, b.sentence_id AS id_b FROM o a JOIN o b ON a.src = b.src AND a.k = b.k WHERE a.side = 0 AND b.side = 1""")
+def occurrence_match(spark, d):
+    o = C.occurrences(_s(spark, d).where("src is not null").withColumn("side", F.col("book_id") % 2), "src", ["book_id", "ch_idx", "para_idx", "sent_idx", "sentence_id"], ["side"]).select("side", "src", "occurrence", "sentence_id")
+    m = C.matched(o.where("side = 0"), o.where("side = 1"), ["src", "occurrence"])
+    return m.select(F.col("sentence_id").alias("id_a"), F.col("sentence_id_b").alias("id_b"))
+
+
+@query(f"""WITH {S}, e AS (SELECT src FROM s WHERE book_id % 2 = 0 AND src IS NOT NULL), o AS (SELECT src FROM s WHERE book_id % 2 = 1 AND src IS NOT NULL)
+SELECT (SELECT count(*) FROM (SELECT * FROM e EXCEPT ALL SELECT * FROM o)) AS only_a, (SELECT count(*) FROM (SELECT * FROM o EXCEPT ALL SELECT * FROM e)) AS only_b, (SELECT count(*) FROM (SELECT * FROM e INTERSECT ALL SELECT * FROM o)) AS common""")
+def version_sets(spark, d):
+    s = _s(spark, d).where("src is not null")
+    n = s.groupBy("src").agg(F.count_if(F.col("book_id") % 2 == 0).alias("a"), F.count_if(F.col("book_id") % 2 == 1).alias("b"))
+    return n.agg(F.sum(F.greatest(F.col("a") - F.col("b"), F.lit(0))).alias("only_a"), F.sum(F.greatest(F.col("b") - F.col("a"), F.lit(0))).alias("only_b"), F.sum(F.least("a", "b")).alias("common"))
+
+
+@query(f"""WITH {TR}, c AS (SELECT translation_id, unnest(align) AS c FROM t), p AS (SELECT translation_id, c.t0 AS t, unnest(c.w) AS s FROM c)
+SELECT translation_id, t, array_to_string(list_sort(list(DISTINCT s)), ',') AS w FROM p WHERE s >= 0 AND t >= 0 GROUP BY 1, 2""")
+def chunks_group(spark, d):
+    p = _t(spark, d).select("translation_id", F.explode("align").alias("c")).select("translation_id", F.col("c.t0").alias("t"), F.explode("c.w").alias("s"))
+    return A.chunks(p, ["translation_id"]).select("translation_id", "t", F.array_join("w", ",").alias("w"))
+
+
+def _vectors(spark, d):
+    """Word vectors of made-up sentence pairs: labels 2g and 2g+1 stand for a sentence and its translation."""
+    v = table(spark, d, "embeddings").where("label < 6").withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).where("n < 24")
+    left = v.where("label % 2 = 0").select((F.col("label") / 2).cast("int").alias("pair"), F.col("n").alias("i"), F.col("embedding").alias("vec"))
+    right = v.where("label % 2 = 1").select(((F.col("label") - 1) / 2).cast("int").alias("pair"), F.col("n").alias("j"), F.col("embedding").alias("vec"))
+    return A.similarities(left, right, "pair")
+
+
+_SIM = """v AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS n, embedding FROM embeddings WHERE label < 6),
+sim AS (SELECT a.label // 2 AS pair, a.n AS i, b.n AS j, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM v a JOIN v b ON a.label + 1 = b.label WHERE a.label % 2 = 0 AND a.n < 24 AND b.n < 24),
+mb AS (SELECT pair, i, j, sim FROM (SELECT *, row_number() OVER (PARTITION BY pair, i ORDER BY sim DESC, j) AS a, row_number() OVER (PARTITION BY pair, j ORDER BY sim DESC, i) AS b FROM sim) WHERE a = 1 AND b = 1)"""
+
+
+@query(f"""WITH {_SIM} SELECT pair::INT AS pair, i::INT AS i, j::INT AS j, round(sim, 6) AS sim FROM mb""")
+def mutual_argmax(spark, d):
+    return A.mutual_best(_vectors(spark, d), "pair").select("pair", "i", "j", F.round("sim", 6).alias("sim"))
+
+
+@query(f"""WITH {_SIM}, fr AS (SELECT * FROM sim WHERE (pair, i) NOT IN (SELECT pair, i FROM mb) AND (pair, j) NOT IN (SELECT pair, j FROM mb) AND sim > 0),
+m2 AS (SELECT pair, i, j, sim FROM (SELECT *, row_number() OVER (PARTITION BY pair, i ORDER BY sim DESC, j) AS a, row_number() OVER (PARTITION BY pair, j ORDER BY sim DESC, i) AS b FROM fr) WHERE a = 1 AND b = 1)
+SELECT pair::INT AS pair, i::INT AS i, j::INT AS j, round(sim, 6) AS sim FROM (SELECT * FROM mb UNION ALL SELECT * FROM m2)""")
+def iterated_argmax(spark, d):
+    return A.iterated_best(_vectors(spark, d), "pair").select("pair", "i", "j", F.round("sim", 6).alias("sim"))
+
+
+@query(f"""WITH {_SIM}, be AS (SELECT pair, i, j, sim FROM (SELECT *, row_number() OVER (PARTITION BY pair, i ORDER BY sim DESC, j) AS a FROM sim WHERE (pair, i) NOT IN (SELECT pair, i FROM mb)) WHERE a = 1 AND sim >= 0.1)
+SELECT DISTINCT be.pair::INT AS pair, be.i::INT AS i, be.j::INT AS j FROM be JOIN mb ON be.pair = mb.pair AND be.j = mb.j AND abs(be.i - mb.i) BETWEEN 1 AND 3""")
+def glued_words(spark, d):
+    s = _vectors(spark, d)
+    return A.glue(s, A.mutual_best(s, "pair"), "pair", least=0.1).select("pair", "i", "j")
+
+
+_EN_DE = f"""{S}, {TR}, e AS (SELECT t.translation_id, src, text, words, align FROM t JOIN s USING (sentence_id) WHERE target = 'de' AND src IS NOT NULL AND text IS NOT NULL AND regexp_matches(src, '(^| )(the|The|in|at|a) ')),
+pw AS (SELECT translation_id, sw AS s, tw AS t FROM (SELECT translation_id, unnest(list_distinct(list_transform(regexp_extract_all(src, '{W}'), x -> {FOLD.format('x')}))) AS sw, list_distinct(list_transform(regexp_extract_all(text, '{W}'), x -> {FOLD.format('x')})) AS tws FROM e), unnest(tws) u(tw)),
+lx AS (SELECT s, t, n, rank FROM (SELECT s, t, count(*) AS n, row_number() OVER (PARTITION BY s ORDER BY count(*) DESC, t DESC) AS rank FROM pw GROUP BY s, t HAVING count(*) >= 3) WHERE rank <= 12)"""
+
+
+def _en_de(spark, d):
+    both = _t(spark, d).where("target = 'de' and text is not null").join(_s(spark, d).where(F.col("src").rlike("(^| )(the|The|in|at|a) ")).select("sentence_id", "src", "words"), "sentence_id")
+    fold = lambda c: F.array_distinct(F.transform(T.words(c), T.fold_letters))
+    return both, both.select("translation_id", F.explode(fold("src")).alias("s"), fold("text").alias("ts")).select("translation_id", "s", F.explode("ts").alias("t"))
+
+
+@query(f"""WITH {_EN_DE} SELECT s, t, n, rank::INT AS rank FROM lx""")
+def lexicon_build(spark, d):
+    return C.lexicon(_en_de(spark, d)[1])
+
+
+_LINKS = f"""{_EN_DE}, ch AS (SELECT translation_id, src, text, words, unnest(align) AS c FROM e), ln AS (SELECT DISTINCT translation_id, {FOLD.format('substring(src, words[i + 1].s + 1, words[i + 1].e - words[i + 1].s)')} AS s, {FOLD.format('substring(text, c.t0 + 1, c.t1 - c.t0)')} AS t FROM (SELECT *, unnest(c.w) AS i FROM ch) WHERE i >= 0 AND i < len(words)),
+l1 AS (SELECT * FROM ln WHERE s <> '' AND t <> ''),
+fm AS (SELECT translation_id, s, t, unnest(list_distinct(list_filter([s, CASE WHEN length(s) >= 4 AND s LIKE '%s' THEN left(s, length(s) - 1) END, CASE WHEN length(s) >= 5 AND s LIKE '%es' THEN left(s, length(s) - 2) END], x -> x IS NOT NULL))) AS form FROM l1),
+hi AS (SELECT fm.translation_id, fm.s, fm.t, bool_or(lx.t IS NOT NULL) AS covered, bool_or(coalesce((lx.t = fm.t AND fm.t <> '') OR (least(length(lx.t), length(fm.t)) >= 4 AND left(lx.t, greatest(3, least(length(lx.t), length(fm.t)) - CASE WHEN least(length(lx.t), length(fm.t)) < 6 THEN least(length(lx.t), length(fm.t)) - 3 ELSE 3 END)) = left(fm.t, greatest(3, least(length(lx.t), length(fm.t)) - CASE WHEN least(length(lx.t), length(fm.t)) < 6 THEN least(length(lx.t), length(fm.t)) - 3 ELSE 3 END))), false)) AS supported FROM fm LEFT JOIN lx ON lx.s = fm.form GROUP BY 1, 2, 3),
+su AS (SELECT translation_id, count(*) FILTER (WHERE covered) AS n_covered, count(*) FILTER (WHERE covered AND supported) AS n_supported FROM hi GROUP BY 1)"""
+
+
+def _links(both, align):
+    c = both.select("translation_id", "src", "text", "words", F.explode(align).alias("c")).select("*", F.explode("c.w").alias("i")).where((F.col("i") >= 0) & (F.col("i") < F.size("words")))
+    w = F.try_element_at("words", F.col("i") + 1)
+    return c.select("translation_id", T.fold_letters(F.substring("src", w["s"] + 1, w["e"] - w["s"])).alias("s"), T.fold_letters(F.substring("text", F.col("c.t0") + 1, F.col("c.t1") - F.col("c.t0"))).alias("t")).where("s <> '' and t <> ''")
+
+
+@query(f"""WITH {_LINKS} SELECT translation_id, n_covered, n_supported, n_covered >= 4 AND n_supported <= 0.34 * n_covered AS flagged FROM su""")
+def lexicon_support(spark, d):
+    both, pairs = _en_de(spark, d)
+    return C.support(_links(both, F.col("align")), C.lexicon(pairs), ["translation_id"])
+
+
+@query()
+def drift_sweep(spark, d):
+    """Recall on alignments drifted by one word, wholly or in their second half, and false alarms, by threshold."""
+    both, pairs = _en_de(spark, d)
+    both = both.where((F.size("align") >= 4) & (F.size("words") >= 5))
+    lex = C.lexicon(pairs)
+    kinds = {"clean": F.size("align"), "full": F.lit(0), "half": (F.size("align") / 2).cast("int")}
+    parts = [C.support(_links(both, A.shifted(F.col("align"), F.size("words"), at)), lex, ["translation_id"]).withColumn("kind", F.lit(k)) for k, at in kinds.items()]
+    all_ = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    all_ = all_.withColumn("rate_most", F.explode(F.array(*[F.lit(x) for x in (0.2, 0.34, 0.5, 0.6, 0.75)])))
+    return all_.groupBy("kind", "rate_most").agg(F.count("*").alias("n"), F.count_if((F.col("n_covered") >= 4) & (F.col("n_supported") <= F.col("rate_most") * F.col("n_covered"))).alias("n_flagged"))
+
+
+@query(f"""WITH {S}, {TR}, x AS (SELECT sentence_id, arg_min(text, translation_id) AS tr FROM t WHERE target = 'ru' GROUP BY 1), y AS (SELECT s.sentence_id, book_id, ch_idx, para_idx, sent_idx, coalesce(src, '') AS src, coalesce(tr, '') AS tr FROM s LEFT JOIN x USING (sentence_id))
+SELECT sentence_id, len(c) AS n_context, array_to_string(list_transform(c, x -> x.src || '=' || x.tr), '|') AS context FROM (SELECT sentence_id, list_filter(list({{'src': src, 'tr': tr}}) OVER (PARTITION BY book_id, ch_idx ORDER BY para_idx, sent_idx, sentence_id ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), x -> x.tr <> '') AS c FROM y) WHERE len(c) > 0""")
+def previous_sentences(spark, d):
+    x = _t(spark, d).where("target = 'ru' and text is not null").groupBy("sentence_id").agg(F.min_by("text", "translation_id").alias("tr"))
+    y = _s(spark, d).join(x, "sentence_id", "left").withColumn("src", F.coalesce("src", F.lit("")))
+    out = C.previous_context(y, ["book_id", "ch_idx"], ["para_idx", "sent_idx", "sentence_id"], 2, "src", "tr")
+    return out.where(F.size("context") > 0).select("sentence_id", F.size("context").alias("n_context"), F.array_join(F.transform("context", lambda x: F.concat(x["src"], F.lit("="), x["tr"])), "|").alias("context"))
+
+
+@query("""SELECT para_id, sum(CASE WHEN role = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY book_id, ch_idx ORDER BY para_idx, para_id RANGE UNBOUNDED PRECEDING)::BIGINT AS section FROM paragraphs""")
+def sections(spark, d):
+    return C.carried(table(spark, d, "paragraphs"), ["book_id", "ch_idx"], ["para_idx", "para_id"], F.col("role") == "heading").select("para_id", "section")
+
+
+@query("""WITH m AS (SELECT *, role = 'sceneBreak' AS b, max(CASE WHEN role <> 'sceneBreak' THEN 1 END) OVER (PARTITION BY book_id, ch_idx ORDER BY para_idx, para_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, max(CASE WHEN role <> 'sceneBreak' THEN 1 END) OVER (PARTITION BY book_id, ch_idx ORDER BY para_idx, para_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n, lag(role = 'sceneBreak') OVER (PARTITION BY book_id, ch_idx ORDER BY para_idx, para_id) AS l FROM paragraphs)
+SELECT para_id FROM m WHERE NOT b OR (p IS NOT NULL AND n IS NOT NULL AND NOT coalesce(l, false))""")
+def scene_breaks(spark, d):
+    return C.without_loose_breaks(table(spark, d, "paragraphs"), ["book_id", "ch_idx"], ["para_idx", "para_id"], F.col("role") == "sceneBreak").select("para_id")
+
+
+@query("""WITH sp AS (SELECT para_id, unnest(spans) AS x FROM paragraphs), se AS (SELECT para_id, (i - 1)::INT AS sent_idx, ((i - 1) * 60)::INT AS b, least(i * 60, length(text))::INT AS f FROM paragraphs, unnest(range(1, 200)) u(i) WHERE (i - 1) * 60 < length(text))
+SELECT para_id, sent_idx, greatest(x.s, b) - b AS s, least(x.e, f) - b AS e, x.k AS k FROM sp JOIN se USING (para_id) WHERE x.s < f AND b < x.e""")
+def span_clip(spark, d):
+    p = table(spark, d, "paragraphs").where("length(text) > 0")
+    sents = p.select("para_id", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 60).cast("int"))).alias("sent_idx"), F.length("text").alias("n")).select("para_id", "sent_idx", (F.col("sent_idx") * 60).alias("b"), F.least((F.col("sent_idx") + 1) * 60, F.col("n")).alias("f"))
+    return C.clipped_spans(p.select("para_id", F.explode("spans").alias("x")).select("para_id", "x.*"), sents, "para_id")
+
+
+@query("""WITH mk AS (SELECT para_id, m.pos AS pos, m.id AS id FROM (SELECT para_id, unnest(marks) AS m FROM paragraphs)), se AS (SELECT para_id, (i - 1)::INT AS sent_idx, ((i - 1) * 60)::INT AS b, least(i * 60, length(text))::INT AS f FROM paragraphs, unnest(range(1, 200)) u(i) WHERE (i - 1) * 60 < length(text)),
+r AS (SELECT *, row_number() OVER (PARTITION BY para_id, pos, id ORDER BY CASE WHEN f >= pos THEN 0 ELSE 1 END, CASE WHEN f >= pos THEN f ELSE -f END) AS k FROM mk JOIN se USING (para_id))
+SELECT para_id, id, sent_idx, greatest(least(pos, f) - b, 0) AS p FROM r WHERE k = 1""")
+def mark_asof(spark, d):
+    p = table(spark, d, "paragraphs").where("length(text) > 0")
+    sents = p.select("para_id", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 60).cast("int"))).alias("sent_idx"), F.length("text").alias("n")).select("para_id", "sent_idx", (F.col("sent_idx") * 60).alias("b"), F.least((F.col("sent_idx") + 1) * 60, F.col("n")).alias("f"))
+    return C.marks_to_sentences(p.select("para_id", F.explode("marks").alias("x")).select("para_id", "x.pos", "x.id"), sents, "para_id")
+
+
+@query(f"""WITH {S}, o AS (SELECT sentence_id, row_number() OVER (ORDER BY book_id, ch_idx, para_idx, sent_idx, sentence_id) - 1 AS pos, count(*) OVER () AS n FROM s)
+SELECT sentence_id FROM o WHERE pos % greatest(1, n // 200) = 0 AND pos < greatest(1, n // 200) * 200""")
+def stride_sample(spark, d):
+    return C.stride_sample(_s(spark, d), ["book_id", "ch_idx", "para_idx", "sent_idx", "sentence_id"], 200).select("sentence_id")
+
+
+@query(f"""WITH {S}, {TR}, u AS (SELECT DISTINCT src FROM t JOIN s USING (sentence_id) WHERE q >= 0.7 AND src IS NOT NULL), n AS (SELECT ceil(count(*) / 20.0)::INT AS n FROM u)
+SELECT src FROM (SELECT src, row_number() OVER (ORDER BY sha256(src), src) AS k FROM u) WHERE k <= (SELECT n FROM n)""")
+def judge_sample(spark, d):
+    u = _t(spark, d).where("q >= 0.7").join(_s(spark, d).where("src is not null").select("sentence_id", "src"), "sentence_id").select("src").distinct()
+    return C.clean_sample(u, "src")
+
+
+@query(f"""WITH {TR} SELECT target, count(*) AS n, count(*) FILTER (WHERE q < 0.7 OR q IS NULL) AS n_rejected, count(*) FILTER (WHERE q < 0.7 OR q IS NULL OR trim(coalesce(text, '')) = '') AS n_judged FROM t GROUP BY 1""")
+def hybrid_gate(spark, d):
+    low = F.coalesce(F.col("q") < 0.7, F.lit(True))
+    return _t(spark, d).groupBy("target").agg(F.count("*").alias("n"), F.count_if(low).alias("n_rejected"), F.count_if(low | (F.trim(F.coalesce("text", F.lit(""))) == "")).alias("n_judged"))
+
+
+_VOTES = """v AS (SELECT sentence_id AS id, sha256('a' || sentence_id::VARCHAR)[1:1] AS a, sha256('b' || sentence_id::VARCHAR)[1:1] AS b FROM (SELECT DISTINCT sentence_id FROM sentences)),
+w AS (SELECT id, CASE WHEN a < '6' THEN 'A' WHEN a < 'c' THEN 'B' ELSE 'tie' END AS v1, CASE WHEN b < '6' THEN 'A' WHEN b < 'c' THEN 'B' ELSE 'tie' END AS v2 FROM v)"""
+
+
+@query(f"""WITH {_VOTES} SELECT count(*) AS n, count(*) FILTER (WHERE v1 = 'tie' OR v2 = 'tie') AS n_ties, count(*) FILTER (WHERE v1 <> 'tie' AND v2 <> 'tie' AND v1 <> v2) AS n_inconsistent, count(*) FILTER (WHERE v1 = v2 AND v1 = 'A') AS wins_a, count(*) FILTER (WHERE v1 = v2 AND v1 = 'B') AS wins_b FROM w""")
+def pairwise_outcome(spark, d):
+    """Two orders of made-up votes, reconciled."""
+    side = lambda p: F.substring(F.sha2(F.concat(F.lit(p), F.col("sentence_id").cast("string")), 256), 1, 1)
+    vote = lambda c: F.when(c < "6", "A").when(c < "c", "B").otherwise("tie")
+    w = table(spark, d, "sentences").select("sentence_id").distinct().select(vote(side("a")).alias("v1"), vote(side("b")).alias("v2"))
+    tie = (F.col("v1") == "tie") | (F.col("v2") == "tie")
+    same = (F.col("v1") == F.col("v2")) & ~tie
+    return w.agg(F.count("*").alias("n"), F.count_if(tie).alias("n_ties"), F.count_if(~tie & (F.col("v1") != F.col("v2"))).alias("n_inconsistent"), F.count_if(same & (F.col("v1") == "A")).alias("wins_a"), F.count_if(same & (F.col("v1") == "B")).alias("wins_b"))
+
+
+@query("""SELECT event_id, json_extract_string(regexp_extract('<think>x</think> ok ```json ' || props || ' ``` end', '(?s)(\\{.*\\})', 1), '$.k')::BIGINT AS k FROM events""")
+def reply_parse(spark, d):
+    reply = F.concat(F.lit("<think>x</think> ok ```json "), F.col("props"), F.lit(" ``` end"))
+    return table(spark, d, "events").select("event_id", F.get_json_object(T.strip_reply(reply), "$.k").cast("long").alias("k"))
+
+
+@query(f"""WITH {_M}, r AS (SELECT coalesce(target, '') AS target, trim(text) = '' AS empty, len(list_filter(al, c -> c.t0 < 0 OR c.t0 > c.t1 OR c.t1 > length(text) OR len(list_filter(c.w, i -> i < 0 OR i >= len(words))) > 0)) AS bad, n_tgt, n_tgt_covered, n_src, n_src_tapped, n_chunks FROM m)
+SELECT target, count(*) AS n_answers, count(*) FILTER (WHERE empty) AS n_empty, sum(bad)::BIGINT AS n_offset_errors, sum(CASE WHEN n_chunks > 0 THEN n_tgt ELSE 0 END)::BIGINT AS n_tgt_words, sum(CASE WHEN n_chunks > 0 THEN n_tgt_covered ELSE 0 END)::BIGINT AS n_tgt_aligned, sum(CASE WHEN n_chunks > 0 THEN n_src ELSE 0 END)::BIGINT AS n_src_words, sum(CASE WHEN n_chunks > 0 THEN n_src_tapped ELSE 0 END)::BIGINT AS n_src_covered, count(*) FILTER (WHERE n_chunks = 0 AND NOT empty) AS n_unaligned FROM r GROUP BY target""")
+def validation_report(spark, d):
+    m = _measured(spark, d).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("align", F.coalesce("align", F.array().cast("array<struct<t0:int,t1:int,w:array<int>>>")))
+    n = F.size("words")
+    bad = F.size(F.filter("align", lambda c: (c["t0"] < 0) | (c["t0"] > c["t1"]) | (c["t1"] > F.length("text")) | F.exists(c["w"], lambda i: (i < 0) | (i >= n))))
+    on, empty = F.col("n_chunks") > 0, F.trim("text") == ""
+    total = lambda c: F.sum(F.when(on, F.col(c)).otherwise(0).cast("long"))
+    return m.groupBy(F.coalesce("target", F.lit("")).alias("target")).agg(F.count("*").alias("n_answers"), F.count_if(empty).alias("n_empty"), F.sum(bad.cast("long")).alias("n_offset_errors"), total("n_tgt").alias("n_tgt_words"), total("n_tgt_covered").alias("n_tgt_aligned"), total("n_src").alias("n_src_words"), total("n_src_tapped").alias("n_src_covered"), F.count_if(~on & ~empty).alias("n_unaligned"))
+
+
+@query(f"""WITH {S} SELECT b.book_id, count(s.sentence_id) AS n_sentences, coalesce(sum(len(regexp_extract_all(src, '{W}'))), 0)::BIGINT AS n_words, coalesce(sum(length(src)), 0)::BIGINT AS n_chars, count(DISTINCT ch_idx) AS n_chapters, count(s.sentence_id) FILTER (WHERE kind = 'note') AS n_notes FROM books b LEFT JOIN s ON s.book_id = b.book_id GROUP BY 1""")
+def book_estimates(spark, d):
+    s = _s(spark, d).groupBy("book_id").agg(F.count("*").alias("n_sentences"), F.sum(F.coalesce(F.size(T.words("src")), F.lit(0)).cast("long")).alias("n_words"), F.sum(F.length("src").cast("long")).alias("n_chars"), F.countDistinct("ch_idx").alias("n_chapters"), F.count_if(F.col("kind") == "note").alias("n_notes"))
+    cols = ["n_sentences", "n_words", "n_chars", "n_chapters", "n_notes"]
+    return table(spark, d, "books").select("book_id").join(s, "book_id", "left").fillna(0, cols).select("book_id", *cols)
+
+
+@query("""SELECT nullif(trim(model), '') AS model, nullif(trim(phase), '') AS phase, count(*) AS n, count(*) FILTER (WHERE status = 200) AS n_ok, coalesce(sum(prompt_tokens), 0)::BIGINT AS n_prompt, coalesce(sum(completion_tokens), 0)::BIGINT AS n_completion, max(attempt) AS most_attempts
+FROM (SELECT DISTINCT req_id, ts, model, phase, attempt, latency_ms, status, prompt_tokens, completion_tokens FROM request_stats) GROUP BY 1, 2""")
+def request_totals(spark, d):
+    r = table(spark, d, "request_stats").select("req_id", "ts", "model", "phase", "attempt", "latency_ms", "status", "prompt_tokens", "completion_tokens").distinct()
+    blank = lambda c: F.nullif(F.trim(c), F.lit("")).alias(c)
+    return r.groupBy(blank("model"), blank("phase")).agg(F.count("*").alias("n"), F.count_if(F.col("status") == 200).alias("n_ok"), F.coalesce(F.sum("prompt_tokens"), F.lit(0)).alias("n_prompt"), F.coalesce(F.sum("completion_tokens"), F.lit(0)).alias("n_completion"), F.max("attempt").alias("most_attempts"))
+
+
+@query("""SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+def throughput_windows(spark, d):
+    e = table(spark, d, "events").groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return e.select("event_type", F.date_format("w.start", "yyyy-MM-dd HH").alias("hour"), "n", "total")
+
+
+@query()
+def throttled_progress(spark, d):
+    from tessella.streaming.progress import throttle
+
+    e = table(spark, d, "events").select(F.col("event_type").alias("phase"), F.col("user_id").cast("string").alias("target"), "ts", F.floor("value").cast("long").alias("done"), F.lit(100).cast("long").alias("total"), F.lit(False).alias("final"))
+    return throttle(e)
