@@ -276,8 +276,8 @@ def _vectors(spark, d):
     return A.similarities(left, right, "pair")
 
 
-_SIM = """v AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS n, embedding FROM embeddings WHERE label < 6),
-sim AS (SELECT a.label // 2 AS pair, a.n AS i, b.n AS j, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM v a JOIN v b ON a.label + 1 = b.label WHERE a.label % 2 = 0 AND a.n < 24 AND b.n < 24),
+_SIM = """v AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n, embedding FROM embeddings WHERE label < 6),
+sim AS (SELECT a.label // 2 AS pair, a.n - 1 AS i, b.n - 1 AS j, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM v a JOIN v b ON a.label + 1 = b.label WHERE a.label % 2 = 0 AND a.n <= 24 AND b.n <= 24),
 mb AS (SELECT pair, i, j, sim FROM (SELECT *, row_number() OVER (PARTITION BY pair, i ORDER BY sim DESC, j) AS a, row_number() OVER (PARTITION BY pair, j ORDER BY sim DESC, i) AS b FROM sim) WHERE a = 1 AND b = 1)"""
 
 
@@ -463,3 +463,36 @@ def throttled_progress(spark, d):
 
     e = table(spark, d, "events").select(F.col("event_type").alias("phase"), F.col("user_id").cast("string").alias("target"), "ts", F.floor("value").cast("long").alias("done"), F.lit(100).cast("long").alias("total"), F.lit(False).alias("final"))
     return throttle(e)
+
+
+@query("""SELECT para_id, CASE role WHEN 'heading' THEN 'heading' WHEN 'subtitle' THEN 'subtitle' ELSE 'body' END AS role, """ + CLEAN.format("text") + """ AS text FROM paragraphs WHERE """ + CLEAN.format("text") + """ <> ''""")
+def html_blocks(spark, d):
+    """The paragraphs as made-up pages, parsed again."""
+    from tessella.sources.html import close_raw_elements, page_blocks
+
+    p = table(spark, d, "paragraphs").where("text is not null")
+    esc = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    tag = F.when(F.col("role") == "heading", "h2").otherwise("p")
+    page = F.concat(F.lit("<html><head><title/></head><body><nav>skip</nav><"), tag, F.when(F.col("role") == "subtitle", ' class="subtitle"').otherwise(""), F.lit(">"), esc, F.lit("</"), tag, F.lit("><script>x</script></body></html>"))
+    return page_blocks(p.select("para_id", close_raw_elements(page).alias("html")), "para_id").where("text <> ''").select("para_id", "role", "text")
+
+
+@query(f"""WITH {S} SELECT count(*) AS n_stored, count(*) FILTER (WHERE text = '[xx] ' || src) AS n_tagged FROM (SELECT DISTINCT src, '[xx] ' || src AS text FROM s WHERE trim(src) <> '' AND NOT regexp_matches(src, '{ARTIFACT}'))""")
+def retry_rounds(spark, d):
+    """All distinct sources through a stand-in provider, from an empty store."""
+    from tessella.operators.passes import run_rounds, tagging_provider
+
+    wanted = _s(spark, d).where((F.trim("src") != "") & ~T.is_artifact("src")).select(T.key(F.col("src")).alias("key"), "src").dropDuplicates(["key"])
+    store = run_rounds(wanted, spark.createDataFrame([], "key string, text string"), tagging_provider("xx"))
+    return store.join(wanted, "key").agg(F.count("*").alias("n_stored"), F.count_if(F.col("text") == F.concat(F.lit("[xx] "), F.col("src"))).alias("n_tagged"))
+
+
+@query(f"""WITH {S}, h AS (SELECT DISTINCT src AS expr FROM s WHERE regexp_full_match(src, 'The [a-z]+')), pr AS (SELECT DISTINCT list_extract(string_split(text, ' in the '), 1) AS expr FROM paragraphs WHERE role = 'heading' AND text LIKE 'The % in the %')
+SELECT expr, count(s.sentence_id) AS n_found, CASE WHEN count(s.sentence_id) = 0 THEN 'src-not-found' ELSE 'matched' END AS verdict FROM pr LEFT JOIN s ON contains(lower(s.src), lower(expr || ' in')) GROUP BY expr""")
+def probe_verdicts(spark, d):
+    """Expressions of headings looked for in the sentences; the few probes are the broadcast side, behind its size check."""
+    p = table(spark, d, "paragraphs").where("role = 'heading' and text like 'The % in the %'").select(F.element_at(F.split("text", " in the "), 1).alias("expr")).distinct()
+    s = _s(spark, d).select("sentence_id", F.lower("src").alias("low"), F.explode(F.array_distinct(T.words(F.lower("src")))).alias("w"))
+    first = p.select("expr", F.lower(F.concat("expr", F.lit(" in"))).alias("low_expr")).withColumn("w", F.element_at(T.words("low_expr"), 2))
+    hit = first.join(s, "w").where(F.contains("low", "low_expr")).groupBy("expr").agg(F.countDistinct("sentence_id").alias("n_found"))
+    return p.join(hit, "expr", "left").fillna(0, ["n_found"]).select("expr", "n_found", F.when(F.col("n_found") == 0, "src-not-found").otherwise("matched").alias("verdict"))
