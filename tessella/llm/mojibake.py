@@ -228,7 +228,7 @@ def _candidates(run: str):
             continue
         fixed, n = _undo_utf8(run, read)
         if n:
-            yield fixed, n
+            yield fixed, n, read
         raw = _encode(plain, read)
         if raw is None:
             continue
@@ -236,7 +236,7 @@ def _candidates(run: str):
             if real == read or (real in WIDE and len(run) < 4):
                 continue
             try:
-                yield raw.decode(real), 0
+                yield raw.decode(real), 0, None
             except UnicodeDecodeError:
                 pass
 
@@ -271,8 +271,8 @@ def examine(text: str, model: PairModel, runs: list[tuple[int, int]] | None = No
             plain = run.replace("\xa0", " ")
             old_plain = float(model.text_scores(out[:s] + plain + out[e:])[s : e + 1].sum()) if plain != run else old
             odd = len(_ODD.findall(run))
-            best, gain = None, 0.0
-            for fixed, sequences in _candidates(run):
+            best, gain, how = None, 0.0, None
+            for fixed, sequences, read in _candidates(run):
                 if fixed in (run, plain) or any(unicodedata.category(c) in ("Cc", "Co", "Cn") for c in fixed):
                     continue
                 now = len(_ODD.findall(fixed))
@@ -284,9 +284,13 @@ def examine(text: str, model: PairModel, runs: list[tuple[int, int]] | None = No
                 g = float((new - LIMIT).sum()) - (was - LIMIT * (e - s + 1)) + 3 * sequences
                 sure = g >= (GAIN / 2 if sequences else GAIN) and new.mean() - was / (e - s + 1) >= GAIN_EACH
                 if g > gain and (sure or odd >= 2 and not now and _one_script(fixed)):
-                    best, gain = fixed, g
+                    best, gain, how = fixed, g, read
             if best is not None:
                 out, damaged, done = out[:s] + best + out[e:], True, True
+                if how and how not in WIDE:  # the rest of the value was read the same way
+                    rest, n = _undo_utf8(out, how)
+                    if n and float((model.text_scores(rest) - LIMIT).sum()) + 3 * n >= float((model.text_scores(out) - LIMIT).sum()):
+                        out = rest
                 break
         if not done:
             break

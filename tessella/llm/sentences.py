@@ -256,6 +256,7 @@ def train(model: Model, pairs: list[tuple[str, str]]) -> Model:
             y.append(float(len(a) <= at <= len(a) + len(joint)))
     x, y = np.array(x), np.array(y)
     w = np.zeros(x.shape[1] if len(x) else 26)
+    w[0] = 1.0  # without training data every candidate is a boundary
     for _ in range(30 if len(x) else 0):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w)) * 0.5
