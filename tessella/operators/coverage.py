@@ -61,11 +61,11 @@ def upper_median(c) -> Column:
     return F.try_element_at(xs, (F.floor(F.size(xs) / 2) + 1).cast("int"))
 
 
-def ranked_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
+def ranked_median(df: DataFrame, by: list[str], value: str, weight: str | None = None) -> DataFrame:
     """Upper medians without collecting a group: values are counted, and running counts find the element n/2."""
     from pyspark.sql.window import Window
 
-    n = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    n = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg((F.sum(weight) if weight else F.count("*")).alias("_n"))
     w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     n = n.withColumn("_to", F.sum("_n").over(w)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
     return n.where(F.col("_to") > F.floor(F.col("_all") / 2)).groupBy(*by).agg(F.min(value).alias("median"))

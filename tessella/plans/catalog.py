@@ -202,9 +202,12 @@ def coverage_overlap(spark, d):
 SELECT model, count(*) AS n, round(avg(CASE WHEN cov >= 0 THEN cov END), 6) AS mean_cov, round(list_sort(list(cov) FILTER (WHERE cov >= 0))[(count(*) FILTER (WHERE cov >= 0)) // 2 + 1], 6) AS median_cov, count(*) FILTER (WHERE cov >= 0 AND cov < 0.7) AS n_low_cov, count(*) FILTER (WHERE tap >= 0 AND tap < 0.8) AS n_low_tap FROM c GROUP BY model""")
 def coverage_summary(spark, d):
     c = _measured(spark, d).select("model", V.ratio("n_tgt_covered", "n_tgt").alias("cov"), V.ratio("n_src_tapped", "n_src").alias("tap"))
-    ok = F.when(F.col("cov") >= 0, F.col("cov"))
-    flat = c.groupBy("model").agg(F.count("*").alias("n"), F.round(F.avg(ok), 6).alias("mean_cov"), F.count_if((F.col("cov") >= 0) & (F.col("cov") < 0.7)).alias("n_low_cov"), F.count_if((F.col("tap") >= 0) & (F.col("tap") < 0.8)).alias("n_low_tap"))
-    med = V.ranked_median(c.where("cov >= 0"), ["model"], "cov").select(F.col("model").alias("m2"), F.round("median", 6).alias("median_cov"))
+    c = c.groupBy("model", "cov", "tap").agg(F.count("*").alias("k"))  # measured once: both uses below share this exchange
+    some = lambda cond: F.sum(F.when(cond, F.col("k")).otherwise(0))
+    ok = F.col("cov") >= 0
+    mean = F.sum(F.when(ok, F.col("cov") * F.col("k"))) / F.sum(F.when(ok, F.col("k")))
+    flat = c.groupBy("model").agg(F.sum("k").alias("n"), F.round(mean, 6).alias("mean_cov"), some(ok & (F.col("cov") < 0.7)).alias("n_low_cov"), some((F.col("tap") >= 0) & (F.col("tap") < 0.8)).alias("n_low_tap"))
+    med = V.ranked_median(c.where("cov >= 0"), ["model"], "cov", "k").select(F.col("model").alias("m2"), F.round("median", 6).alias("median_cov"))
     return flat.join(med, F.col("model").eqNullSafe(F.col("m2")), "left").drop("m2")
 
 
