@@ -110,9 +110,15 @@ def _undo_utf8(text: str, encoding: str) -> tuple[str, int]:
     return "".join(out), n
 
 
+#: Beginnings of misread UTF-8, which stay when a byte was lost.
+_TYPICAL = re.compile("â€|Ã[\x80-¿ƒ‚„†‡‰Š‹Œ‘-™š›œ]|Â[\x80-¿]|[ÐÑ×][\x80-¿‘-™€]|ΓÇ|‚Ä|Ã¢|вЂ")
+
+
 def strictly_restored(text: str) -> bool:
-    """Whether a whole-text inverse of a UTF-8 misreading works: the values left out of the counts."""
-    for e in ("cp1252", "cp1251", "cp437", "cp850", "mac_roman", "gbk", "shift_jis"):
+    """Whether a whole-text inverse of a UTF-8 misreading works, or its typical beginnings are there: the values left out of the counts."""
+    if _TYPICAL.search(text):
+        return True
+    for e in ("cp1252", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "gbk", "shift_jis"):
         if (e in WIDE) != bool(re.search("[一-鿿ｦ-ﾟ]", text)):
             continue
         out, n = _undo_utf8(text, e)
@@ -227,8 +233,11 @@ def _candidates(run: str):
         if (read in WIDE) > wide:
             continue
         fixed, n = _undo_utf8(run, read)
-        if n:
+        for _ in range(3):  # text may have been misread several times over
+            if not n:
+                break
             yield fixed, n, read
+            fixed, n = _undo_utf8(fixed, read)
         raw = _encode(plain, read)
         if raw is None:
             continue
@@ -282,7 +291,7 @@ def examine(text: str, model: PairModel, runs: list[tuple[int, int]] | None = No
                 # one score a character, so that a shorter text gains nothing by being short
                 was = old if sequences else old_plain
                 g = float((new - LIMIT).sum()) - (was - LIMIT * (e - s + 1)) + 3 * sequences
-                sure = g >= (GAIN / 2 if sequences else GAIN) and new.mean() - was / (e - s + 1) >= GAIN_EACH
+                sure = g >= (GAIN / 2 if sequences or odd > now else GAIN) and new.mean() - was / (e - s + 1) >= GAIN_EACH
                 if g > gain and (sure or odd >= 2 and not now and _one_script(fixed)):
                     best, gain, how = fixed, g, read
             if best is not None:
