@@ -499,3 +499,58 @@ def probe_verdicts(spark, d):
     first = p.select("expr", F.lower(F.concat("expr", F.lit(" in"))).alias("low_expr")).withColumn("w", F.element_at(T.words("low_expr"), 2))
     hit = first.join(s, "w").where(F.contains("low", "low_expr")).groupBy("expr").agg(F.countDistinct("sentence_id").alias("n_found"))
     return p.join(hit, "expr", "left").fillna(0, ["n_found"]).select("expr", "n_found", F.when(F.col("n_found") == 0, "src-not-found").otherwise("matched").alias("verdict"))
+
+
+@query(f"""WITH {S} SELECT sentence_id, ((row_number() OVER (PARTITION BY book_id ORDER BY ch_idx, para_idx, sent_idx, sentence_id) - 1) // 16)::BIGINT AS batch FROM s""")
+def batch_ids(spark, d):
+    """Consecutive batches of 16 within a book."""
+    at = F.row_number().over(Window.partitionBy("book_id").orderBy("ch_idx", "para_idx", "sent_idx", "sentence_id")) - 1
+    return _s(spark, d).select("sentence_id", F.floor(at / 16).alias("batch"))
+
+
+@query("""SELECT book_id, array_to_string(list_sort(list(DISTINCT target)), ',') AS targets FROM translations WHERE target IS NOT NULL GROUP BY 1""")
+def targets_union(spark, d):
+    return table(spark, d, "translations").where("target is not null").groupBy("book_id").agg(F.array_join(F.array_sort(F.collect_set("target")), ",").alias("targets"))
+
+
+@query(f"""WITH {S} SELECT src, arg_min(sentence_id, struct_pack(a := book_id, b := ch_idx, c := para_idx, d := sent_idx, e := sentence_id)) AS first_id, arg_max(sentence_id, struct_pack(a := book_id, b := ch_idx, c := para_idx, d := sent_idx, e := sentence_id)) AS last_id, count(*) AS n FROM s WHERE src IS NOT NULL GROUP BY src HAVING count(*) > 1""")
+def first_and_last(spark, d):
+    """The first and the last occurrence of texts that recur."""
+    order = F.struct("book_id", "ch_idx", "para_idx", "sent_idx", "sentence_id")
+    g = _s(spark, d).where("src is not null").groupBy("src").agg(F.min_by("sentence_id", order).alias("first_id"), F.max_by("sentence_id", order).alias("last_id"), F.count("*").alias("n"))
+    return g.where("n > 1")
+
+
+@query("""SELECT coalesce(nullif(left(trim(err), 60), ''), 'unspecified') AS reason, count(*) AS n FROM request_stats WHERE status <> 200 GROUP BY 1 ORDER BY n DESC, reason LIMIT 10""")
+def failure_reasons(spark, d):
+    """The ten most frequent reasons of failed requests."""
+    reason = F.coalesce(F.nullif(F.substring(F.trim("err"), 1, 60), F.lit("")), F.lit("unspecified"))
+    return table(spark, d, "request_stats").where("status <> 200").groupBy(reason.alias("reason")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason").limit(10)
+
+
+@query(f"""WITH {_M}, k AS (SELECT coalesce(s.kind, '') AS kind, m.* FROM m JOIN s ON m.sentence_id = s.sentence_id)
+SELECT coalesce(kind, 'all') AS kind, count(*) AS n, count(*) FILTER (WHERE n_src > 0 AND n_src_tapped = n_src) AS n_full, count(*) FILTER (WHERE n_src_tapped > 0 AND n_src_tapped < n_src) AS n_partial, count(*) FILTER (WHERE n_src_tapped = 0) AS n_none FROM k GROUP BY ROLLUP (kind)""")
+def coverage_by_kind(spark, d):
+    """Fully, partly and not covered answers by kind of sentence, and over all."""
+    m = _measured(spark, d).join(_s(spark, d).select("sentence_id", F.coalesce("kind", F.lit("")).alias("kind")), "sentence_id")
+    t, n = F.col("n_src_tapped"), F.col("n_src")
+    out = m.rollup("kind").agg(F.count("*").alias("n"), F.count_if((n > 0) & (t == n)).alias("n_full"), F.count_if((t > 0) & (t < n)).alias("n_partial"), F.count_if(t == 0).alias("n_none"))
+    return out.withColumn("kind", F.coalesce("kind", F.lit("all")))
+
+
+@query("""WITH h AS (SELECT book_id, ch_idx, min(para_idx) AS p0 FROM paragraphs GROUP BY 1, 2), x AS (SELECT h.book_id, h.ch_idx, b.title, p.text FROM h JOIN books b USING (book_id) LEFT JOIN paragraphs p ON p.book_id = h.book_id AND p.ch_idx = h.ch_idx AND p.para_idx = h.p0 AND p.role = 'heading')
+SELECT book_id, ch_idx, count(*) FILTER (WHERE trim(coalesce(title, '')) <> '' AND lower(coalesce(text, '')) <> lower(title)) > 0 AS inserted FROM x GROUP BY 1, 2""")
+def title_headings(spark, d):
+    """Chapters before which the title is put as a heading: it is not blank and does not lead already."""
+    p = table(spark, d, "paragraphs")
+    lead = p.groupBy("book_id", "ch_idx").agg(F.min("para_idx").alias("p0"))
+    heads = p.where("role = 'heading'").select("book_id", "ch_idx", F.col("para_idx").alias("p0"), "text")
+    x = lead.join(table(spark, d, "books").select("book_id", "title"), "book_id").join(heads, ["book_id", "ch_idx", "p0"], "left")
+    new = (F.trim(F.coalesce("title", F.lit(""))) != "") & (F.lower(F.coalesce("text", F.lit(""))) != F.lower("title"))
+    return x.groupBy("book_id", "ch_idx").agg(F.max(F.coalesce(new, F.lit(False))).alias("inserted"))
+
+
+@query(f"""WITH {S}, w AS (SELECT kind, lower(unnest(regexp_extract_all(src, '{W}'))) AS w FROM s) SELECT kind, count(*) AS n_words, count(*) FILTER (WHERE list_contains({_STOPMAP}['en'], w)) AS n_stop FROM w GROUP BY kind""")
+def stop_words(spark, d):
+    w = _s(spark, d).select("kind", F.explode(T.words("src")).alias("w")).select("kind", F.lower("w").alias("w"))
+    return w.groupBy("kind").agg(F.count("*").alias("n_words"), F.count_if(F.col("w").isin(V.STOP["en"])).alias("n_stop"))
