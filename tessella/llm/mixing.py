@@ -7,7 +7,7 @@ that no source lies in one task, cut the source's sequence into blocks of ``BLOC
 is released in slot floor(i/w) and due in slot ceil((i+1)/w); the earliest deadline runs first. As weights are ratios, the
 schedule repeats after a hyperperiod of at most ``PERIOD`` slots, which is computed once and joined: any prefix of the mix
 deviates from every target by less than one block, give or take the document that crosses a block's end. The last
-copy takes the documents that end within what is needed and the one document that fills the gap best.
+copy takes the documents that end within what is needed, and one is added or exchanged to come closest to it.
 
 Defined results: texts without tokens are not used; sources outside a mix are not used; a source of a mix without documents
 makes the exact mix impossible: it gets nothing, is reported with 0, and the others share as their targets stand to each
@@ -73,12 +73,22 @@ def mix(tokens: DataFrame, targets: DataFrame, total: float | None = None, block
     # whole copies; of one more the documents that end within what is still needed, and the one that fills the gap best
     used = used.withColumn("copies", F.floor(F.round(F.col("need") / F.col("whole"), 9)).cast("int")).withColumn("part", F.col("need") - F.col("copies") * F.col("whole"))
     ends = F.col("at") + F.col("tokens")
-    gaps = used.groupBy("mix_name", "source", "copies").agg((F.first("part") - F.coalesce(F.max(F.when(ends <= F.col("part"), ends)), F.lit(0))).alias("gap"), F.coalesce(F.max(F.when(ends <= F.col("part"), ends)), F.lit(0)).alias("end"))
+    whole_in = ends <= F.col("part")
+    gaps = used.groupBy("mix_name", "source", "copies").agg(
+        (F.first("part") - F.coalesce(F.max(F.when(whole_in, ends)), F.lit(0))).alias("gap"), F.coalesce(F.max(F.when(whole_in, ends)), F.lit(0)).alias("end"),
+        (F.min(F.when(~whole_in, ends)) - F.first("part")).alias("over"), F.min_by(F.when(~whole_in, F.col("doc_id")), F.when(~whole_in, ends)).alias("crossing"),
+    )
     used = used.join(F.broadcast(gaps), ["mix_name", "source", "copies"])
-    off = F.abs(F.col("gap") - F.col("tokens"))
-    fill = used.where((ends > F.col("part")) & (off < F.col("gap"))).groupBy("mix_name", "source").agg(F.min_by("doc_id", F.struct(off, "h", "doc_id")).alias("filler"))
-    used = used.join(F.broadcast(fill), ["mix_name", "source"], "left")
-    extra = (ends <= F.col("part")) | F.coalesce(F.col("doc_id") == F.col("filler"), F.lit(False))
+    # either one more document fills the gap, or the one that crosses comes in and one of the overshoot's size goes out
+    off, out_by = F.abs(F.col("gap") - F.col("tokens")), F.abs(F.col("over") - F.col("tokens"))
+    more, less = F.when(~whole_in, off), F.when(whole_in, out_by)
+    fix = used.groupBy("mix_name", "source").agg(F.min(more).alias("m"), F.min(less).alias("l"), F.first("gap").alias("g"), F.min_by("doc_id", F.when(~whole_in, F.struct(off, "h", "doc_id"))).alias("filler"), F.min_by("doc_id", F.when(whole_in, F.struct(out_by, "h", "doc_id"))).alias("goes"))
+    big = F.lit(1e18)
+    m, l, g = F.coalesce(F.col("m"), big), F.coalesce(F.col("l"), big), F.col("g")
+    fix = fix.select("mix_name", "source", F.when((m <= l) & (m < g), F.col("filler")).alias("filler"), F.when((l < m) & (l < g), F.col("goes")).alias("goes"))
+    used = used.join(F.broadcast(fix), ["mix_name", "source"], "left")
+    is_ = lambda c: F.coalesce(F.col("doc_id") == F.col(c), F.lit(False))
+    extra = (whole_in & ~is_("goes")) | is_("filler") | (F.col("goes").isNotNull() & is_("crossing"))
     n = F.col("copies") + extra.cast("int")
     used = used.withColumn("repeat_no", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))))
     at = F.when((F.col("repeat_no") == F.col("copies")) & (ends > F.col("part")), F.col("end")).otherwise(F.col("at"))
