@@ -322,7 +322,7 @@ def _examiner(model, keep: list[str]):
             rows, fixed, recovered = [], [], []
             for i in range(len(values)):
                 t = values[i]
-                if t and (peak[i] >= SEGMENT or "?" in t or not t.isascii() and ("\ufffd" in t or _CONTROL.search(t))):
+                if t and (peak[i] >= SEGMENT or "?" in t and _LOST.search(t) or not t.isascii() and ("\ufffd" in t or _CONTROL.search(t))):
                     damaged, out = examine(t, m)
                     if damaged:
                         rows.append(i), fixed.append(out), recovered.append(not (_LOST.search(out) or _CONTROL.search(out)))
