@@ -66,7 +66,10 @@ ID_CUE = re.compile(
     re.I,
 )
 NOT_ID = re.compile(r"(?:ISBN|ISSN|doi|catalogue n|catalogue|catálogo|catalog|shelf mark|shelf|cote|signatur|bestellnummer|шифр|каталож\w*|整理番号|索书号|version|chapter|chapitre|kapitel|глава|pages?|seiten|страниц\w*|строка|line|zeile|№ заказа|\border|\binvoice|\bno\.|n°|n\.º)[^.!?\n]{0,14}$", re.I)
-ID_VALUE = re.compile(r"(?<![A-Za-zА-Яа-я0-9@.-])(?=[A-ZХ]{0,4} ?[0-9A-ZХ]*[0-9ХX])[0-9A-ZХ]{1,20}(?:[ \-‐–](?=[0-9A-ZХ]*[\d]|[A-Z](?![\w’]))[0-9A-ZХ]{1,9})*(?![A-Za-zА-Яа-я0-9@])")
+ID_VALUE = re.compile(r"(?<![A-Za-zА-Яа-я0-9@.-])(?=[A-ZХ]{0,4} ?[0-9A-ZХ]*[0-9ХX])[0-9A-ZХ]{1,34}(?:[ \-‐–](?=[0-9A-ZХ]*[\d]|[A-Z](?![\w’]))[0-9A-ZХ]{1,9})*(?![A-Za-zА-Яа-я0-9@])")
+
+#: Account numbers, which may have groups of letters alone.
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d\d(?:(?: [0-9A-Z]{4}){2,7}(?: [0-9A-Z]{1,3})?|[0-9A-Z]{11,30})(?![A-Za-z0-9])")
 
 _D = "0-9०-९０-９๐-๙"
 PHONE = re.compile(rf"(?<![A-Za-zА-Яа-я{_D}@./,\-+])(?=[+＋({_D}])(?:\+|＋)?[{_D}]{{0,4}}[ \-]?(?:\([{_D}~ ]{{1,6}}\)[ \-]?)?[{_D}]{{1,11}}(?:[ .\-－‐–/][{_D}]{{1,8}}){{0,6}}(?![A-Za-zА-Яа-я{_D}@])")
@@ -139,6 +142,118 @@ def mod11(digits: str) -> bool:
     return len(digits) > 4 and sum(int(c) * w for c, w in zip(reversed(digits), range(1, len(digits) + 1))) % 11 == 0
 
 
+def _weighed(digits: str, weights: tuple[int, ...]) -> int:
+    return sum(int(c) * w for c, w in zip(digits, weights))
+
+
+def iban(v: str) -> bool:
+    return int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+
+
+def french(v: str) -> bool:
+    return mod97(v.replace("2A", "19").replace("2B", "18"))
+
+
+def chinese(v: str) -> bool:
+    return "10X98765432"[_weighed(v, (7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2)) % 11] == v[17].replace("Х", "X")
+
+
+def spanish(v: str) -> bool:
+    return "TRWAGMYFPDXBNJZSQVHLCKE"[int(v[:-1].translate(str.maketrans("XYZ", "012"))) % 23] == v[-1]
+
+
+def snils(v: str) -> bool:
+    return _weighed(v, (9, 8, 7, 6, 5, 4, 3, 2, 1)) % 101 % 100 == int(v[9:])
+
+
+def inn(v: str) -> bool:
+    a, b = (7, 2, 4, 10, 3, 5, 9, 4, 6, 8), (3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8)
+    return _weighed(v, a) % 11 % 10 == int(v[10]) and _weighed(v, b) % 11 % 10 == int(v[11])
+
+
+def lithuanian(v: str) -> bool:
+    rest = _weighed(v, (1, 2, 3, 4, 5, 6, 7, 8, 9, 1)) % 11
+    rest = _weighed(v, (3, 4, 5, 6, 7, 8, 9, 1, 2, 3)) % 11 % 10 if rest == 10 else rest
+    return rest == int(v[10])
+
+
+def german_tax(v: str) -> bool:
+    """ISO 7064 mod 11, 10; of the first ten digits one stands two or three times."""
+    product = 10
+    for c in v[:10]:
+        product = ((int(c) + product) % 10 or 10) * 2 % 11
+    return (11 - product) % 10 == int(v[10]) and len(set(v[:10])) in (8, 9)
+
+
+def german_card(v: str) -> bool:
+    return sum(int(c, 36) * (7, 3, 1)[i % 3] for i, c in enumerate(v[:9])) % 10 == int(v[9])
+
+
+def portuguese_card(v: str) -> bool:
+    values = [int(c, 36) * (1 + i % 2) for i, c in enumerate(reversed(v))]
+    return sum(x - 9 * (i % 2 and x > 9) for i, x in enumerate(values)) % 10 == 0
+
+
+def portuguese(v: str) -> bool:
+    return (11 - _weighed(v, (9, 8, 7, 6, 5, 4, 3, 2)) % 11) % 11 % 10 == int(v[8])
+
+
+def thai(v: str) -> bool:
+    return (11 - _weighed(v, tuple(range(13, 1, -1))) % 11) % 10 == int(v[12])
+
+
+def japanese(v: str) -> bool:
+    rest = _weighed(v, (6, 5, 4, 3, 2, 7, 6, 5, 4, 3, 2)) % 11
+    return (11 - rest if rest > 1 else 0) == int(v[11])
+
+
+_TURN = "1576283094"
+
+
+def verhoeff(v: str) -> bool:
+    """The check of Aadhaar numbers: multiplication in the dihedral group of order 10."""
+    total = 0
+    for i, c in enumerate(reversed(v)):
+        x = int(c)
+        for _ in range(i % 8):
+            x = int(_TURN[x])
+        a, b = divmod(total, 5), divmod(x, 5)
+        total = 5 * (a[0] ^ b[0]) + (a[1] + (-b[1] if a[0] else b[1])) % 5
+    return total == 0
+
+
+# --- fixed values: forms of numbers with a checksum: the form, its check over the digits and letters, and what else the
+# text around must hold where the form alone is shared by other numbers
+FORMS = [
+    (IBAN, iban, None),
+    (re.compile(r"[3-6]\d{3}(?P<b>[ -])\d{4}(?P=b)\d{4}(?P=b)\d{4}|3[47]\d\d \d{6} \d{5}|[3-6]\d{14,15}"), luhn, None),
+    (re.compile(r"\d ?\d\d ?\d\d ?\d[\dAB] ?\d{3} ?\d{3} ?\d\d"), french, None),
+    (re.compile(r"\d{17}[\dXХ]"), chinese, None),
+    (re.compile(r"\d{8}[ -]?[A-Z]|[XYZ][ -]?\d{7}[ -]?[A-Z]"), spanish, None),
+    (re.compile(r"\d{3}-\d{3}-\d{3}[ -]\d\d"), snils, None),
+    (re.compile(r"\d{12}"), inn, re.compile("[А-яЁё]")),
+    (re.compile(r"[1-6]\d\d(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\d{4}"), lithuanian, None),
+    (re.compile(r"[1-9]\d \d{3} \d{3} \d{3}|[1-9]\d{10}"), german_tax, None),
+    (re.compile(r"[CFGHJKLMNPRTVWXYZ][0-9CFGHJKLMNPRTVWXYZ]{8}\d"), german_card, None),
+    (re.compile(r"\d{8} ?\d ?[0-9A-Z]{2}\d"), portuguese_card, re.compile("[ãõçáéêó]")),
+    (re.compile(r"[1-35689]\d\d ?\d{3} ?\d{3}"), portuguese, re.compile("[ãõç]")),
+    (re.compile(r"\d-\d{4}-\d{5}-\d\d-\d|\d \d{4} \d{5} \d\d \d|[1-8]\d{12}"), thai, re.compile("[฀-๿]")),
+    (re.compile(r"\d{4}(?P<b>[ -]?)\d{4}(?P=b)\d{4}"), japanese, re.compile("[ぁ-んァ-ヶ]")),
+    (re.compile(r"[2-9]\d{3}(?P<b>[ -]?)\d{4}(?P=b)\d{4}"), verhoeff, re.compile("[ऀ-ॿ]")),
+    (re.compile(r"\d{9}|\d{8}-\d"), luhn, re.compile("[א-ת]")),
+    (re.compile(r"[1-9]\d\d \d{3} \d{4}"), mod11, re.compile("[A-Za-z]")),
+]
+#: What a number has of itself, and what a checksum, a cue, the place in a record and a word for telephones add.
+BASE, VALID, FAILS, CUED, FIELD, PHONED = 0.3, 0.3, -0.1, 0.65, 0.63, -0.3
+
+
+def checksum(value: str, around: str = "") -> bool | None:
+    """Whether the checksum of the value's form holds, in any of the forms it may have; None: it has none with a checksum."""
+    bare = re.sub(r"[^0-9A-ZХ]", "", value)
+    asked = [check(bare) for form, check, near in FORMS if form.fullmatch(value) and (near is None or near.search(around))]
+    return any(asked) if asked else None
+
+
 def _number(text: str) -> str:
     return "".join(str(int(c)) if c.isdigit() else c for c in text)
 
@@ -271,7 +386,7 @@ class Finder:
 
     def _numbers(self, text: str, taken: list[tuple[int, int]], people: list[tuple[int, int]]):
         ends = {e for _, e in people}
-        for m in ID_VALUE.finditer(text):
+        for m in (*ID_VALUE.finditer(text), *IBAN.finditer(text)):
             s, e = m.span()
             v = m[0]
             bare = re.sub(r"[^0-9A-ZХ]", "", v)
@@ -279,18 +394,17 @@ class Finder:
             if weight < 6 or len(bare) < 6 or any(a < e and s < b for a, b in taken):
                 continue
             left = text[max(0, s - 44) : s]
-            score = 0.0
+            valid = checksum(v, text[max(0, s - 44) : e + 44])
+            score = BASE + (0.0 if valid is None else VALID if valid else FAILS)
             if ID_CUE.search(left):
-                score = 0.95
+                score += CUED
             elif (q := re.compile(r"(?:\s?\|\s?|[，、]\s?)$").search(left)) and s - len(q[0]) in ends:
-                score = 0.93  # the field behind the name of a record
-            elif NOT_ID.search(left):
+                score += FIELD  # the field behind the name of a record
+            elif NOT_ID.search(left) or left.endswith(("+", "＋")):
                 continue
-            only = re.sub(r"\D", "", v)
-            if 0 < score < 0.9 and only and (luhn(only) or mod97(only) or mod11(only)):
-                score += 0.1
-            if score:
-                yield score, "id_number", s, e
+            elif PHONE_CUE.search(left):
+                score += PHONED
+            yield min(score, 0.99), "id_number", s, e
         for m in PHONE.finditer(text):
             s, e = m.span()
             s += len(m[0]) - len(m[0].lstrip(" -"))

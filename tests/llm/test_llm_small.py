@@ -272,3 +272,21 @@ def test_queries_are_named():
 
     assert {f"p{n}_found" for n in (1, 2, 3, 4, 5, 6, 10)} <= set(QUERIES) and set(ORACLE) <= set(QUERIES)
     assert statistics.median([1, 2, 3]) == 2
+
+
+def test_checksums_carry_and_lower():
+    f = pii.Finder(frozenset("the for of it and he wrote down".split()))
+    got = lambda t: [(k, t[s:e]) for k, s, e in f.find(t)]
+    sound = ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "4111 1111 1111 1111", "2 55 08 14 168 025 38", "11010519491231002X", "12345678Z", "X1234567L", "112-233-445 95", "33309240064", "36 574 261 809", "T220001293", "943 476 5919"]
+    for v in sound:  # no cue before it
+        assert pii.checksum(v, "he") and got(f"He wrote {v} down.") == [("id_number", v)], v
+        at = max(i for i, c in enumerate(v) if c.isdigit())
+        wrong = v[:at] + str((int(v[at]) + 1) % 10) + v[at + 1 :]
+        assert pii.checksum(wrong, "he") is False and got(f"He wrote {wrong} down.") == [], wrong
+    near = {"Он записал 500100732259 там.": "500100732259", "Anotou a relação 501964843 ali.": "501964843", "Anotou à mão 00000000 0 ZZ4 então.": "00000000 0 ZZ4", "เขา 1-2345-45678-78-1 จด": "1-2345-45678-78-1", "メモに 1234 5678 9018 とある。": "1234 5678 9018", "उसने 2341 2341 2346 लिखा": "2341 2341 2346", "הוא 039337423 רשם": "039337423"}
+    for t, v in near.items():
+        assert got(t) == [("id_number", v)], t
+    # a cue outweighs a failing checksum, at a lower score; a sound one raises it
+    scores = [next(x[0] for x in f._numbers(t, [], []) if x[1] == "id_number") for t in ("DNI: 12345678Z.", "DNI: QQ 27 95 70 C.", "DNI: 12345678A.")]
+    assert scores == sorted(scores, reverse=True) and len(set(scores)) == 3 and scores[2] >= pii.ACCEPT
+    assert got("He wrote 12 345 678 of it.") == [] and got("Catalogue no. 4111 1111 1111 1111 is new.") == []
