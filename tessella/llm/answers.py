@@ -44,6 +44,8 @@ MEASURES = ("code_points", "utf8_bytes", "utf16_units", "entities", "json_escape
 WIDE = (1, 3, 4)
 #: A limit holds at least this many answers of exactly its length, this many times more than the lengths around have.
 PILE, STEEP = 12, 4.0
+#: No storage is narrower than so many units: piles at less are short answers that many sources share.
+NARROWEST = 16
 #: Log odds of a cut that are asked of an answer whose ending is open, and of one that ends well.
 CUT = (0.2, 2.5)
 #: What more is asked where a short source has no closing mark itself, as headings have none.
@@ -256,7 +258,7 @@ def _gather(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.string()), pa.array(c, pa.int64()), pa.array(list(lengths.values()), pa.int64())], ["kind", "model", "k", "n"])
 
 
-def counts(answers: DataFrame) -> tuple[np.ndarray, dict[tuple[str | None, int], tuple[int, int]]]:
+def counts(answers: DataFrame) -> tuple[np.ndarray, dict[tuple[str | None, int], tuple[int, ...]]]:
     """Over all answers: gram counts in a fixed number of buckets, and the storage limits by (model, measure)."""
     got = answers.select("model", "target", "text").mapInArrow(_gather, "kind int, model string, k long, n long").groupBy("kind", "model", "k").agg(F.sum("n").alias("n"))
     got = got.where((F.col("kind") >= 2) | (F.col("n") >= 3))  # of grams seen once or twice only their ends tell anything
@@ -272,21 +274,29 @@ def counts(answers: DataFrame) -> tuple[np.ndarray, dict[tuple[str | None, int],
     return grams, limits(lengths)
 
 
-def limits(lengths: dict[tuple, dict[int, int]]) -> dict[tuple[str | None, int], tuple[int, int]]:
-    """Storage limits: (model, measure) to (limit, answers there). A pile at one length that the lengths around it don't
-    share; longer answers may exist, stored elsewhere. Limits in bytes fall short by up to three where a character would
-    have been split."""
+def limits(lengths: dict[tuple, dict[int, int]]) -> dict[tuple[str | None, int], tuple[int, ...]]:
+    """Storage limits: (model, measure) to all its limits, that of the most answers first. A pile at one length that the
+    lengths around it don't share; longer answers may exist, stored elsewhere. Limits in bytes fall short by up to three where
+    a character would have been split. Every length from ``NARROWEST`` on is tested; of piles that share lengths the largest
+    counts, and each other one that its last length makes up by itself."""
     out = {}
     for (model, m), hist in lengths.items():
         wide = 4 if m in WIDE else 1
-        best = None
-        for top in sorted(hist, key=lambda x: (-hist[x], x))[:40]:
+        piles = []
+        for top in hist:
             pile = sum(hist.get(top - i, 0) for i in range(wide))
+            if top < NARROWEST or pile < PILE:
+                continue
             around = [hist.get(top + i, 0) for i in (*range(-wide - 15, -wide), *range(1 + wide, 16 + wide))]
-            if pile >= PILE and pile > STEEP * (sum(around) / len(around) * wide + 1) and (best is None or pile > best[1]):
-                best = (top, pile)
-        if best:
-            out[model, m] = best
+            usual = sum(around) / len(around)
+            if pile > STEEP * (usual * wide + 1):
+                piles.append((-pile, top, hist[top] >= PILE and hist[top] > STEEP * (usual + 1)))
+        kept: list[int] = []
+        for _, top, own in sorted(piles):
+            if own or all(abs(top - x) >= wide for x in kept):
+                kept.append(top)
+        if kept:
+            out[model, m] = tuple(kept)
     return out
 
 
@@ -515,8 +525,7 @@ def _judge(model, keep: list[str]):
             cut += HEADING * np.array([len(x) <= 36 and not (_CLOSE.search(x[-12:]) or "฀" <= x.rstrip()[-1:] <= "๿") for x in sources])
             for i, mo in enumerate(models):
                 for k in range(len(MEASURES)):
-                    at = m.found.get((mo, k))
-                    if at and at[0] - (3 if k in WIDE else 0) <= t.lengths[k, i] <= at[0]:
+                    if any(at - (3 if k in WIDE else 0) <= t.lengths[k, i] <= at for at in m.found.get((mo, k), ())):
                         p[i] += 2.5
                         break
             row, _, _, h = t.words()

@@ -62,6 +62,19 @@ def test_hidden_limit():
     assert answers.limits({("m", 0): {k: 30 for k in range(20, 150)}}) == {}
 
 
+def test_all_limits_of_a_model():
+    hist = {n: 200 for n in range(40, 100)} | {n: 3 for n in range(100, 700)} | {3: 500}
+    hist[300], hist[301], hist[500] = 46, 5, 72  # none among the 40 most frequent lengths
+    got = answers.limits({("m", 0): hist, (None, 1): hist})
+    assert got["m", 0] == (500, 300)
+    assert {500, 300} <= set(got[None, 1])
+    near = {n: 5 for n in range(100, 300)} | {200: 72, 201: 3, 202: 46}
+    assert set(answers.limits({("m", 1): near})["m", 1]) == {200, 202}  # both, though they share lengths
+    rng = random.Random(0)
+    one = {n: rng.randrange(20, 40) for n in range(1, 120)}
+    assert answers.limits({("m", k): one | {2: 900} for k in range(6)}) == {}  # too short to be a limit
+
+
 def test_folded_hashes():
     t = answers.Texts(["Wer ging?", "ＷＥＲ​ ging!", "Wer gin?", ""])
     h = t.letters()
