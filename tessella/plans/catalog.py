@@ -303,6 +303,33 @@ def glued_words(spark, d):
     return A.glue(s, A.mutual_best(s, "pair"), "pair", least=0.1).select("pair", "i", "j")
 
 
+def _all_vectors(spark, d):
+    """All vectors, as words of made-up sentence pairs: 48 at consecutive places, the even ones the sentence, the odd ones its
+    translation. The last pair takes the rest too, so that none is without the other side."""
+    v = C.numbered(table(spark, d, "embeddings").select("vec_id", "embedding"), ["vec_id"])
+    last = max(v.count() // 48 - 1, 0)
+    v = v.withColumn("pair", F.least(F.floor(F.col("pos") / 48), F.lit(last)))
+    v = v.select("pair", (F.col("pos") % 2).alias("side"), F.floor((F.col("pos") - F.col("pair") * 48) / 2).cast("int").alias("n"), F.col("embedding").alias("vec"))
+    return A.similarities(v.where("side = 0").select("pair", F.col("n").alias("i"), "vec"), v.where("side = 1").select("pair", F.col("n").alias("j"), "vec"), "pair")
+
+
+@query()
+def mutual_argmax_whole(spark, d):
+    """mutual_argmax over the whole table; that one is bound to its SQL's 144 vectors."""
+    return A.mutual_best(_all_vectors(spark, d), "pair").select("pair", "i", "j", F.round("sim", 6).alias("sim"))
+
+
+@query()
+def iterated_argmax_whole(spark, d):
+    return A.iterated_best(_all_vectors(spark, d), "pair").select("pair", "i", "j", F.round("sim", 6).alias("sim"))
+
+
+@query()
+def glued_words_whole(spark, d):
+    s = _all_vectors(spark, d)
+    return A.glue(s, A.mutual_best(s, "pair"), "pair", least=0.1).select("pair", "i", "j")
+
+
 _EN_DE = f"""{S}, {TR}, e AS (SELECT t.translation_id, src, text, words, align FROM t JOIN s USING (sentence_id) WHERE target = 'de' AND src IS NOT NULL AND text IS NOT NULL AND regexp_matches(src, '(^| )(the|The|in|at|a) ')),
 pw AS (SELECT translation_id, sw AS s, tw AS t FROM (SELECT translation_id, unnest(list_distinct(list_transform(regexp_extract_all(src, '{W}'), x -> {FOLD.format('x')}))) AS sw, list_distinct(list_transform(regexp_extract_all(text, '{W}'), x -> {FOLD.format('x')})) AS tws FROM e), unnest(tws) u(tw)),
 lx AS (SELECT s, t, n, rank FROM (SELECT s, t, count(*) AS n, row_number() OVER (PARTITION BY s ORDER BY count(*) DESC, t DESC) AS rank FROM pw GROUP BY s, t HAVING count(*) >= 3) WHERE rank <= 12)"""

@@ -109,3 +109,32 @@ def test_quote_split():
     seg = lambda t: [p for p in __import__("re").split(r"(?<=[.!?]) (?=[A-Z])", t) if p]
     assert P.split_quoted("“Stop. Go!” He ran.", seg) == ["“Stop.", "Go!”", "He ran."]
     assert P.split_quoted("“Stop!” he said.", seg) == ["“Stop!” he said."]
+
+
+def test_whole_table_of_vectors(spark, tmp_path):
+    import numpy as np
+
+    from tessella.plans.catalog import QUERIES
+
+    vecs = np.random.default_rng(1).normal(size=(145, 8)).astype(np.float32)
+    rows = [(i, [float(x) for x in v], i % 10) for i, v in enumerate(vecs)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    first, both, glued, seen = set(), set(), set(), 0
+    for g in range(3):
+        part = vecs[g * 48 : 145 if g == 2 else g * 48 + 48].astype(float)
+        a, b = part[::2], part[1::2]
+        seen += len(a) + len(b)
+        sim = a @ b.T / np.linalg.norm(a, axis=1)[:, None] / np.linalg.norm(b, axis=1)
+        best = lambda rows, cols: {(i, j) for i in rows for j in cols if sim[i, j] == max(sim[i, list(cols)]) == max(sim[list(rows), j])}  # noqa: B023, E731
+        one = best(range(len(a)), range(len(b)))
+        free = lambda k, n: [x for x in range(n) if x not in {p[k] for p in one}]  # noqa: B023, E731
+        left, right = free(0, len(a)), free(1, len(b))
+        two = {(i, j) for i, j in best(left, right) if sim[i, j] > 0} if left and right else set()
+        stick = {(i, int(sim[i].argmax())) for i in left if sim[i].max() >= 0.1 and any(j == sim[i].argmax() and 1 <= abs(i - k) <= 3 for k, j in one)}
+        first |= {(g, *x) for x in one}
+        both |= {(g, *x) for x in one | two}
+        glued |= {(g, *x) for x in stick}
+    assert seen == 145 and glued
+    for name, want in (("mutual_argmax_whole", first), ("iterated_argmax_whole", both), ("glued_words_whole", glued)):
+        got = [(r.pair, r.i, r.j) for r in QUERIES[name](spark, str(tmp_path)).collect()]
+        assert set(got) == want and len(got) == len(want), name
