@@ -88,6 +88,35 @@ def support(links: DataFrame, lex: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("flagged", (F.col("n_covered") >= 4) & (F.col("n_supported") <= 0.34 * F.col("n_covered")))
 
 
+def chunk_words(answers: DataFrame, align: Column, keys: list[str]) -> DataFrame:
+    """answers: keys, src, text, words. One row a word that a chunk is asked about: keys, chunk, own, s, t (both folded). Own are
+    the chunk's words; the others are the words before its first and behind its last one. Fragments and own words of fewer than
+    three letters tell nothing."""
+    c = answers.select(*keys, "src", "text", "words", F.posexplode(align).alias("chunk", "c")).where((F.size("c.w") > 0) & (F.col("c.t0") >= 0) & (F.col("c.t1") <= F.length("text")) & (F.col("c.t0") < F.col("c.t1")))
+    c = c.withColumn("t", T.fold_letters(F.substring("text", F.col("c.t0") + 1, F.col("c.t1") - F.col("c.t0")))).where(F.length("t") >= 3)
+    near = F.array(F.element_at("c.w", 1) - 1, F.element_at("c.w", -1) + 1)
+    asked = F.concat(F.transform("c.w", lambda i: F.struct(i.alias("i"), F.lit(True).alias("own"))), F.transform(near, lambda i: F.struct(i.alias("i"), F.lit(False).alias("own"))))
+    w = c.select(*keys, "chunk", "t", "src", "words", F.explode(asked).alias("x")).where((F.col("x.i") >= 0) & (F.col("x.i") < F.size("words"))).withColumn("w", F.try_element_at("words", F.col("x.i") + 1))
+    w = w.where((F.col("w.s") >= 0) & (F.col("w.e") <= F.length("src")) & (F.col("w.s") < F.col("w.e"))).withColumn("s", T.fold_letters(F.substring("src", F.col("w.s") + 1, F.col("w.e") - F.col("w.s"))))
+    return w.select(*keys, "chunk", "x.own", "s", "t").where(F.when(F.col("own"), F.length("s") >= 3).otherwise(F.col("s") != ""))
+
+
+def checked(words: DataFrame, lex: DataFrame, keys: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """words: of chunk_words; by: columns of both that tell the lexicon. Counts by chunk: covered, supported, and shift hits,
+    which fit the word before or behind and not their own; ``reason`` is low-support, else shift-pattern, else null."""
+    known = lex.groupBy(*by, F.col("s").alias("form")).agg(F.collect_set("t").alias("ts"))  # at most `top` targets a word
+    forms = words.distinct().withColumn("form", F.explode(F.array_union(F.array("s"), T.stem_variants("s"))))
+    hit = forms.join(known, [*by, "form"], "left")
+    fits = F.coalesce(F.exists("ts", lambda x: T.prefix_plausible(x, F.col("t"))), F.lit(False))
+    per = hit.groupBy(*keys, "chunk").agg(F.max(F.col("own") & F.col("ts").isNotNull()).alias("covered"), F.max(F.col("own") & fits).alias("supported"), F.max(~F.col("own") & fits).alias("near"))
+    out = per.groupBy(*keys).agg(F.count_if("covered").alias("n_covered"), F.count_if(F.col("covered") & F.col("supported")).alias("n_supported"), F.count_if(F.col("covered") & ~F.col("supported") & F.col("near")).alias("n_shift_hits"))
+    return out.withColumn("reason", F.when(low_support(0.34), "low-support").when(F.col("n_shift_hits") >= 2, "shift-pattern"))
+
+
+def low_support(most: float | Column) -> Column:
+    return (F.col("n_covered") >= 4) & (F.col("n_supported") <= most * F.col("n_covered"))
+
+
 def clipped_spans(spans: DataFrame, sents: DataFrame, key: str) -> DataFrame:
     """spans: key, s, e, k. sents: key, sent_idx, b, f (its range). Spans cut to each sentence they meet, in its offsets."""
     both = spans.join(sents, key).where((F.col("s") < F.col("f")) & (F.col("b") < F.col("e")))

@@ -365,17 +365,25 @@ def lexicon_support(spark, d):
     return C.support(_links(both, F.col("align")), C.lexicon(pairs), ["translation_id"])
 
 
+@query()
+def lexicon_checked(spark, d):
+    """Support and shift hits by answer, with the reason of the flag; lexicon_support has the support alone, by distinct links."""
+    both, pairs = _en_de(spark, d)
+    return C.checked(C.chunk_words(both, F.col("align"), ["translation_id"]), C.lexicon(pairs), ["translation_id"])
+
+
 @query()
 def drift_sweep(spark, d):
-    """Recall on alignments drifted by one word, wholly or in their second half, and false alarms, by threshold."""
+    """Flags of alignments drifted by one word, wholly or in their second half, and false alarms, by rate and least shift hits."""
     both, pairs = _en_de(spark, d)
     both = both.where((F.size("align") >= 4) & (F.size("words") >= 5))
-    lex = C.lexicon(pairs)
-    kinds = {"clean": F.size("align"), "full": F.lit(0), "half": (F.size("align") / 2).cast("int")}
-    parts = [C.support(_links(both, A.shifted(F.col("align"), F.size("words"), at)), lex, ["translation_id"]).withColumn("kind", F.lit(k)) for k, at in kinds.items()]
-    all_ = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    all_ = all_.withColumn("rate_most", F.explode(F.array(*[F.lit(x) for x in (0.2, 0.34, 0.5, 0.6, 0.75)])))
-    return all_.groupBy("kind", "rate_most").agg(F.count("*").alias("n"), F.count_if((F.col("n_covered") >= 4) & (F.col("n_supported") <= F.col("rate_most") * F.col("n_covered"))).alias("n_flagged"))
+    n = F.size("align")
+    drifts = F.array(*[F.struct(F.lit(k).alias("kind"), A.shifted(F.col("align"), F.size("words"), at).alias("align")) for k, at in {"clean": n, "full": F.lit(0), "half": n - F.floor(n / 2).cast("int")}.items()])
+    copies = both.select("translation_id", "src", "text", "words", F.explode(drifts).alias("x")).select("translation_id", "src", "text", "words", "x.kind", F.col("x.align").alias("align"))
+    keys = ["translation_id", "kind"]
+    all_ = C.checked(C.chunk_words(copies, F.col("align"), keys), C.lexicon(pairs), keys)
+    all_ = all_.withColumn("rate_most", F.explode(F.array(*[F.lit(x) for x in (0.25, 0.3, 0.34, 0.4, 0.45)]))).withColumn("least_shifts", F.explode(F.array(F.lit(2), F.lit(3))))
+    return all_.groupBy("kind", "rate_most", "least_shifts").agg(F.count("*").alias("n"), F.count_if(C.low_support(F.col("rate_most")) | (F.col("n_shift_hits") >= F.col("least_shifts"))).alias("n_flagged"))
 
 
 @query(f"""WITH {S}, {TR}, x AS (SELECT sentence_id, arg_min(text, translation_id) AS tr FROM t WHERE target = 'ru' GROUP BY 1), y AS (SELECT s.sentence_id, book_id, ch_idx, para_idx, sent_idx, coalesce(src, '') AS src, coalesce(tr, '') AS tr FROM s LEFT JOIN x USING (sentence_id))

@@ -138,3 +138,23 @@ def test_whole_table_of_vectors(spark, tmp_path):
     for name, want in (("mutual_argmax_whole", first), ("iterated_argmax_whole", both), ("glued_words_whole", glued)):
         got = [(r.pair, r.i, r.j) for r in QUERIES[name](spark, str(tmp_path)).collect()]
         assert set(got) == want and len(got) == len(want), name
+
+
+def test_shift_hits(spark):
+    words = ["red", "house", "green", "garden", "river"]
+    to = ["rot", "haus", "gruen", "garten", "fluss"]
+    src, text = " ".join(words), " ".join(to)
+    place = lambda ws: [(sum(len(x) + 1 for x in ws[:i]), sum(len(x) + 1 for x in ws[:i]) + len(w)) for i, w in enumerate(ws)]
+    t = place(to)
+    whole = [(*t[i], [i]) for i in range(5)]
+    late = [(*t[i], [i] if i < 3 else [i + 1 if i == 3 else 3]) for i in range(5)]  # the last two changed places
+    two = [(*t[1], [0]), (*t[2], [1])]  # two links, one word early each
+    bad = [(*t[(i + 2) % 5], [i]) for i in range(5)]
+    rows = [("clean", src, text, place(words), whole), ("late", src, text, place(words), late), ("two", src, text, place(words), two), ("far", src, text, place(words), bad), ("none", src, text, place(words), [(0, 99, [0]), (0, 3, [9]), (0, 3, [])])]
+    df = spark.createDataFrame(rows, "id string, src string, text string, words array<struct<s:int,e:int>>, align array<struct<t0:int,t1:int,w:array<int>>>")
+    lex = spark.createDataFrame([(a, b, 5, 1) for a, b in zip(words, to)], "s string, t string, n int, rank int")
+    got = {r.id: (r.n_covered, r.n_supported, r.n_shift_hits, r.reason) for r in C.checked(C.chunk_words(df, F.col("align"), ["id"]), lex, ["id"]).collect()}
+    assert got["clean"] == (5, 5, 0, None)
+    assert got["late"] == (5, 3, 2, "shift-pattern") and got["two"] == (2, 0, 2, "shift-pattern")
+    assert got["far"][:2] == (5, 0) and got["far"][3] == "low-support"
+    assert "none" not in got or got["none"][0] == 0
