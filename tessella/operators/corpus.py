@@ -70,10 +70,11 @@ def without_loose_breaks(df: DataFrame, by: list[str], order: list[str], is_brea
     return marked.where("_keep").drop("_keep")
 
 
-def lexicon(pairs: DataFrame, least: int = 3, top: int = 12) -> DataFrame:
-    """pairs: s, t (folded words that stand in a sentence and its translation). The most frequent targets of each word."""
-    n = pairs.groupBy("s", "t").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    w = Window.partitionBy("s").orderBy(F.desc("n"), F.desc("t"))
+def lexicon(pairs: DataFrame, least: int = 3, top: int = 12, by: tuple[str, ...] = ()) -> DataFrame:
+    """pairs: s, t (folded words that stand in a sentence and its translation). The most frequent targets of each word; a
+    lexicon for each of the columns ``by``."""
+    n = pairs.groupBy(*by, "s", "t").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    w = Window.partitionBy(*by, "s").orderBy(F.desc("n"), F.desc("t"))
     return n.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 

@@ -365,25 +365,88 @@ def lexicon_support(spark, d):
     return C.support(_links(both, F.col("align")), C.lexicon(pairs), ["translation_id"])
 
 
+_PAIR = ("source_lang", "target")
+
+
+def _all_answers(spark, d):
+    """All answers with a text and a source, by the label of the book's language (empty: none) and the target; and all pairs of
+    words that stand in a sentence and its translation."""
+    books = table(spark, d, "books").select("book_id", F.coalesce(T.language_tag("language"), F.lit("")).alias("source_lang")).dropDuplicates(["book_id"])
+    s = _s(spark, d).where("src is not null").select("sentence_id", "book_id", "src", "words").join(books, "book_id", "left").drop("book_id")
+    both = _t(spark, d).where("text is not null").select("translation_id", "sentence_id", F.coalesce("target", F.lit("")).alias("target"), "text", "align").join(s, "sentence_id").fillna("", ["source_lang"])
+    fold = lambda c: F.array_distinct(F.transform(T.words(c), T.fold_letters))
+    return both, both.select(*_PAIR, F.explode(fold("src")).alias("s"), fold("text").alias("ts")).select(*_PAIR, "s", F.explode("ts").alias("t"))
+
+
+@query()
+def lexicon_build_whole(spark, d):
+    """A lexicon for each source language and target; lexicon_build is bound to its SQL, English to German."""
+    return C.lexicon(_all_answers(spark, d)[1], by=_PAIR)
+
+
 @query()
 def lexicon_checked(spark, d):
-    """Support and shift hits by answer, with the reason of the flag; lexicon_support has the support alone, by distinct links."""
-    both, pairs = _en_de(spark, d)
-    return C.checked(C.chunk_words(both, F.col("align"), ["translation_id"]), C.lexicon(pairs), ["translation_id"])
+    """Support and shift hits by answer, with the reason of the flag; lexicon_support has the support alone, by distinct links,
+    and is bound to its SQL, English to German."""
+    both, pairs = _all_answers(spark, d)
+    keys = ["translation_id", *_PAIR]
+    return C.checked(C.chunk_words(both, F.col("align"), keys), C.lexicon(pairs, by=_PAIR), keys, _PAIR)
 
 
 @query()
 def drift_sweep(spark, d):
     """Flags of alignments drifted by one word, wholly or in their second half, and false alarms, by rate and least shift hits."""
-    both, pairs = _en_de(spark, d)
+    both, pairs = _all_answers(spark, d)
     both = both.where((F.size("align") >= 4) & (F.size("words") >= 5))
     n = F.size("align")
     drifts = F.array(*[F.struct(F.lit(k).alias("kind"), A.shifted(F.col("align"), F.size("words"), at).alias("align")) for k, at in {"clean": n, "full": F.lit(0), "half": n - F.floor(n / 2).cast("int")}.items()])
-    copies = both.select("translation_id", "src", "text", "words", F.explode(drifts).alias("x")).select("translation_id", "src", "text", "words", "x.kind", F.col("x.align").alias("align"))
-    keys = ["translation_id", "kind"]
-    all_ = C.checked(C.chunk_words(copies, F.col("align"), keys), C.lexicon(pairs), keys)
+    keys = ["translation_id", "kind", *_PAIR]
+    copies = both.select("translation_id", *_PAIR, "src", "text", "words", F.explode(drifts).alias("x")).select("translation_id", *_PAIR, "src", "text", "words", "x.kind", F.col("x.align").alias("align"))
+    all_ = C.checked(C.chunk_words(copies, F.col("align"), keys), C.lexicon(pairs, by=_PAIR), keys, _PAIR)
     all_ = all_.withColumn("rate_most", F.explode(F.array(*[F.lit(x) for x in (0.25, 0.3, 0.34, 0.4, 0.45)]))).withColumn("least_shifts", F.explode(F.array(F.lit(2), F.lit(3))))
-    return all_.groupBy("kind", "rate_most", "least_shifts").agg(F.count("*").alias("n"), F.count_if(C.low_support(F.col("rate_most")) | (F.col("n_shift_hits") >= F.col("least_shifts"))).alias("n_flagged"))
+    return all_.groupBy(*_PAIR, "kind", "rate_most", "least_shifts").agg(F.count("*").alias("n"), F.count_if(C.low_support(F.col("rate_most")) | (F.col("n_shift_hits") >= F.col("least_shifts"))).alias("n_flagged"))
+
+
+def _stores(spark, d):
+    """The keyed results of all targets: one text a source and target, the last stored."""
+    both = _t(spark, d).where("target is not null").join(_s(spark, d).where("src is not null").select("sentence_id", "src"), "sentence_id")
+    return both.groupBy("target", T.key(F.col("src")).alias("hash")).agg(F.max_by("text", F.struct("stored_at", "translation_id")).alias("text")).select("target", "hash", F.concat_ws("|", "target", "hash").alias("key"), "text")
+
+
+def _wanted(spark, d, stores):
+    """Every source in every target that there is."""
+    w = _s(spark, d).where("src is not null").select(T.key(F.col("src")).alias("hash"), "src").dropDuplicates(["hash"])
+    return w.crossJoin(F.broadcast(stores.select("target").distinct())).select("target", "hash", F.concat_ws("|", "target", "hash").alias("key"), "src")
+
+
+@query()
+def pending_work_whole(spark, d):
+    """What is wanted and not stored, for every target; pending_work is bound to its SQL, one target."""
+    stores = _stores(spark, d)
+    return C.pending(_wanted(spark, d, stores), stores).select("target", F.col("hash").alias("key"), "src")
+
+
+@query()
+def filled_levels_whole(spark, d):
+    """Each target as the final text and each other one as the raw text; filled_levels is bound to its SQL, one pair of them."""
+    stores = _stores(spark, d)
+    wanted = _wanted(spark, d, stores)
+    others = wanted.select("target").distinct().crossJoin(stores.select(F.col("target").alias("raw_target")).distinct()).where("target <> raw_target")
+    wanted = wanted.join(F.broadcast(others), "target").withColumn("key", F.concat_ws("|", "target", "raw_target", "hash"))
+    spread = lambda one: stores.withColumnRenamed("target", one).join(F.broadcast(others), one).select(F.concat_ws("|", "target", "raw_target", "hash").alias("key"), "text")
+    out = C.filled(wanted, spread("target"), spread("raw_target"))
+    return out.groupBy("target", "raw_target", "level").agg(F.count("*").alias("n"), F.sum(F.length("text").cast("long")).alias("n_chars"))
+
+
+@query()
+def previous_sentences_whole(spark, d):
+    """The two sentences before with their translations, for every target; previous_sentences is bound to its SQL, one target."""
+    t = _t(spark, d).where("target is not null")
+    x = t.where("text is not null").groupBy("sentence_id", "target").agg(F.min_by("text", "translation_id").alias("tr"))
+    s = _s(spark, d).withColumn("src", F.coalesce("src", F.lit(""))).select("sentence_id", "book_id", "ch_idx", "para_idx", "sent_idx", "src")
+    y = s.crossJoin(F.broadcast(t.select("target").distinct())).join(x, ["sentence_id", "target"], "left")
+    out = C.previous_context(y, ["target", "book_id", "ch_idx"], ["para_idx", "sent_idx", "sentence_id"], 2, "src", "tr")
+    return out.where(F.size("context") > 0).select("sentence_id", "target", F.size("context").alias("n_context"), F.array_join(F.transform("context", lambda x: F.concat(x["src"], F.lit("="), x["tr"])), "|").alias("context"))
 
 
 @query(f"""WITH {S}, {TR}, x AS (SELECT sentence_id, arg_min(text, translation_id) AS tr FROM t WHERE target = 'ru' GROUP BY 1), y AS (SELECT s.sentence_id, book_id, ch_idx, para_idx, sent_idx, coalesce(src, '') AS src, coalesce(tr, '') AS tr FROM s LEFT JOIN x USING (sentence_id))

@@ -158,3 +158,28 @@ def test_shift_hits(spark):
     assert got["late"] == (5, 3, 2, "shift-pattern") and got["two"] == (2, 0, 2, "shift-pattern")
     assert got["far"][:2] == (5, 0) and got["far"][3] == "low-support"
     assert "none" not in got or got["none"][0] == 0
+
+
+def test_every_target(spark, tmp_path):
+    from tessella.plans.catalog import QUERIES
+
+    at = __import__("datetime").datetime(2025, 1, 1)
+    pos = lambda t: [(m.start(), m.end()) for m in __import__("re").finditer(r"\w+", t)]
+    src = {1: ("gato verde", "es"), 2: ("green house", "en"), 3: ("green house", None)}
+    words = "array<struct<s:int,e:int>>"
+    align = "array<struct<t0:int,t1:int,w:array<int>>>"
+    spark.createDataFrame([(b, x) for b, (_, x) in src.items()], "book_id long, language string").write.parquet(f"{tmp_path}/books.parquet")
+    sents = [(b * 10 + i, b, 0, 0, i, t, pos(t), at) for b, (t, _) in src.items() for i in range(3)]
+    spark.createDataFrame(sents, f"sentence_id long, book_id long, ch_idx int, para_idx int, sent_idx int, src string, words {words}, loaded_at timestamp").write.parquet(f"{tmp_path}/sentences.parquet")
+    to = {"uk": "кіт зелений", "lt": "katė žalia"}
+    tr = [(k * 100 + i[0], i[0], g, t, [(*pos(t)[0], [0])], at, at) for k, (g, t) in enumerate(to.items()) for i in sents if g == "uk" or i[1] != 3]
+    spark.createDataFrame(tr, f"translation_id long, sentence_id long, target string, text string, align {align}, stored_at timestamp, loaded_at timestamp").write.parquet(f"{tmp_path}/translations.parquet")
+    q = lambda n: QUERIES[n](spark, str(tmp_path)).collect()
+    lex = {(r.source_lang, r.target, r.s) for r in q("lexicon_build_whole")}
+    assert {x[:2] for x in lex} == {("es", "uk"), ("es", "lt"), ("en", "uk"), ("en", "lt"), ("", "uk")} and ("es", "uk", "green") not in lex
+    assert len(q("lexicon_checked")) == len(tr)
+    assert q("pending_work_whole") == []
+    levels = {(r.target, r.raw_target): (r.level, r.n) for r in q("filled_levels_whole")}
+    assert levels == {("uk", "lt"): ("final", 2), ("lt", "uk"): ("final", 2)}
+    ctx = {(r.sentence_id, r.target): r.n_context for r in q("previous_sentences_whole")}
+    assert ctx == {(b * 10 + i, g): i for b in src for g in to for i in (1, 2) if g == "uk" or b != 3}
