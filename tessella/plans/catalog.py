@@ -151,6 +151,12 @@ def folded_titles(spark, d):
     return table(spark, d, "books").where(F.col("title").rlike("^[\\x00-\\x{17f}]*$")).select("book_id", T.fold_latin("title").alias("folded"))
 
 
+@query()
+def folded_titles_whole(spark, d):
+    """All titles, in any script; folded_titles is bound to its SQL, characters up to U+017F."""
+    return table(spark, d, "books").where("title is not null").select("book_id", T.fold_latin("title").alias("folded"))
+
+
 @query(f"""WITH {S} SELECT sentence_id, sha256(concat_ws('|', 'v8', 'orbit-large', 'en', 'de', src)) AS final_key, sha256(concat_ws('|', 'v5', 'tr', 'orbit-large', 'en', 'de', src)) AS raw_key FROM s WHERE src IS NOT NULL""")
 def store_keys(spark, d):
     return _s(spark, d).where("src is not null").select("sentence_id", T.key("v8", "orbit-large", "en", "de", F.col("src")).alias("final_key"), T.key("v5", "tr", "orbit-large", "en", "de", F.col("src")).alias("raw_key"))

@@ -183,3 +183,11 @@ def test_every_target(spark, tmp_path):
     assert levels == {("uk", "lt"): ("final", 2), ("lt", "uk"): ("final", 2)}
     ctx = {(r.sentence_id, r.target): r.n_context for r in q("previous_sentences_whole")}
     assert ctx == {(b * 10 + i, g): i for b in src for g in to for i in (1, 2) if g == "uk" or b != 3}
+
+
+def test_titles_of_any_script(spark, tmp_path):
+    from tessella.plans.catalog import QUERIES
+
+    titles = {1: ("Élan’s End", "elan’s end"), 2: ("Тёмный Лес", "тёмный лес"), 3: ("雪国", "雪国"), 4: ("बड़ा घर", "बड़ा घर"), 5: ("ביתו", "ביתו"), 6: ("บ้าน — Ü", "บ้าน — u"), 7: ("", ""), 8: (None, None)}
+    spark.createDataFrame([(k, t) for k, (t, _) in titles.items()], "book_id long, title string").write.parquet(f"{tmp_path}/books.parquet")
+    assert {r.book_id: r.folded for r in QUERIES["folded_titles_whole"](spark, str(tmp_path)).collect()} == {k: v for k, (_, v) in titles.items() if v is not None}
