@@ -106,7 +106,7 @@ def checked(words: DataFrame, lex: DataFrame, keys: list[str], by: tuple[str, ..
     """words: of chunk_words; by: columns of both that tell the lexicon. Counts by chunk: covered, supported, and shift hits,
     which fit the word before or behind and not their own; ``reason`` is low-support, else shift-pattern, else null."""
     known = lex.groupBy(*by, F.col("s").alias("form")).agg(F.collect_set("t").alias("ts"))  # at most `top` targets a word
-    forms = words.distinct().withColumn("form", F.explode(F.array_union(F.array("s"), T.stem_variants("s"))))
+    forms = words.withColumn("form", F.explode(F.array_union(F.array("s"), T.stem_variants("s"))))
     hit = forms.join(known, [*by, "form"], "left")
     fits = F.coalesce(F.exists("ts", lambda x: T.prefix_plausible(x, F.col("t"))), F.lit(False))
     per = hit.groupBy(*keys, "chunk").agg(F.max(F.col("own") & F.col("ts").isNotNull()).alias("covered"), F.max(F.col("own") & fits).alias("supported"), F.max(~F.col("own") & fits).alias("near"))

@@ -447,12 +447,14 @@ def filled_levels_whole(spark, d):
 @query()
 def previous_sentences_whole(spark, d):
     """The two sentences before with their translations, for every target; previous_sentences is bound to its SQL, one target."""
-    t = _t(spark, d).where("target is not null")
-    x = t.where("text is not null").groupBy("sentence_id", "target").agg(F.min_by("text", "translation_id").alias("tr"))
-    s = _s(spark, d).withColumn("src", F.coalesce("src", F.lit(""))).select("sentence_id", "book_id", "ch_idx", "para_idx", "sent_idx", "src")
-    y = s.crossJoin(F.broadcast(t.select("target").distinct())).join(x, ["sentence_id", "target"], "left")
-    out = C.previous_context(y, ["target", "book_id", "ch_idx"], ["para_idx", "sent_idx", "sentence_id"], 2, "src", "tr")
-    return out.where(F.size("context") > 0).select("sentence_id", "target", F.size("context").alias("n_context"), F.array_join(F.transform("context", lambda x: F.concat(x["src"], F.lit("="), x["tr"])), "|").alias("context"))
+    x = _t(spark, d).where("target is not null and text is not null").groupBy("sentence_id", "target").agg(F.min_by("text", "translation_id").alias("tr"))
+    x = x.groupBy("sentence_id").agg(F.map_from_entries(F.collect_list(F.struct("target", "tr"))).alias("trs"))  # a sentence stays one row
+    y = _s(spark, d).select("sentence_id", "book_id", "ch_idx", "para_idx", "sent_idx", F.coalesce("src", F.lit("")).alias("src")).join(x, "sentence_id", "left")
+    before = Window.partitionBy("book_id", "ch_idx").orderBy("para_idx", "sent_idx", "sentence_id").rowsBetween(-2, -1)
+    y = y.select("sentence_id", F.filter(F.collect_list(F.struct("src", "trs")).over(before), lambda c: c["trs"].isNotNull()).alias("c"))
+    y = y.select("sentence_id", "c", F.explode(F.array_distinct(F.flatten(F.transform("c", lambda c: F.map_keys(c["trs"]))))).alias("target"))
+    out = y.select("sentence_id", "target", F.filter("c", lambda c: F.coalesce(F.try_element_at(c["trs"], F.col("target")), F.lit("")) != "").alias("c"))
+    return out.where(F.size("c") > 0).select("sentence_id", "target", F.size("c").alias("n_context"), F.array_join(F.transform("c", lambda c: F.concat(c["src"], F.lit("="), F.try_element_at(c["trs"], F.col("target")))), "|").alias("context"))
 
 
 @query(f"""WITH {S}, {TR}, x AS (SELECT sentence_id, arg_min(text, translation_id) AS tr FROM t WHERE target = 'ru' GROUP BY 1), y AS (SELECT s.sentence_id, book_id, ch_idx, para_idx, sent_idx, coalesce(src, '') AS src, coalesce(tr, '') AS tr FROM s LEFT JOIN x USING (sentence_id))
