@@ -1,11 +1,12 @@
 """Problem 10: personal information in free text.
 
 Regular expressions propose spans, validators (Luhn, mod 97, mod 11) and the words around adjust their scores, and spans
-above ``ACCEPT`` are kept, the better one where two overlap. Names have no form of their own: they are proposed behind and
-before wordings that introduce a person, inside subscriber records and before a person's mail or street address, in 13
-languages. Where a name is followed by the next sentence without a mark, it ends at the first word that the documents
-use in small letters too; that vocabulary is counted over all documents (words of a relative frequency of ``RARE`` or
-more, so its size is bounded). A name found once is found everywhere in its document.
+above ``ACCEPT`` are kept, the better one where two overlap. Names have no form of their own: words that tell of a person
+(introductions, closings, roles, titles, verbs of writing, sending and living, in 13 languages) and neighbouring mail and
+postal addresses propose the capitalised words beside them, and add to their score as the name's form does; words for
+things and places take from it. Where a name is followed by the next sentence without a mark, it ends at the first word
+that the documents write small too; those words are counted over all documents and travel as a filter of fixed size. A
+name found once is found everywhere in its document.
 
 Defined results: null and empty texts hold nothing; offsets are half-open code points of the text as it is; ISBNs, shelf and
 catalogue numbers, DOIs, coordinates, prices, versions and year ranges are no cases.
@@ -15,13 +16,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ACCEPT = 0.5
-RARE = 2e-6
 TYPES = ("email", "phone", "id_number", "address", "name")
 
 _UP = "A-ZÀ-ÖØ-Þ" + "".join(chr(c) for c in range(0x100, 0x180) if chr(c).isupper())
@@ -56,7 +57,13 @@ ADDRESS = [
     re.compile(rf"(?:[{_HAN}]{{2}}省)?[{_HAN}]{{2}}市[{_HAN}]{{1,6}}?[街路巷道]\d+号(?:\d+栋)?(?:\d+单元)?(?:\d+室)?"),
     re.compile("\\d+(?:/\\d+)? (?:ถนน|ซอย|ตรอก)[฀-๿]+(?: [฀-๿]+){0,3} \\d{5}"),
 ]
-_MAY_BE_ADDRESS = re.compile(r"\d")
+# --- fixed values: a word or mark that each of these forms holds
+_HOLDS = [
+    _EN.replace("(?:", r"\b(?:", 1), r"\d Old ", r"P\. ?O\. ?Box", r"(?:str\.|straße|strasse|gasse|weg|platz|allee|ufer|damm|ring|markt) \d|(?:Am|An de[rn]|Im|In der|Zu[mr]|Auf de[mr]|Unter den) ", r"rue|avenue|av\.|boulevard|bd|chemin|allée|place|quai|impasse|route|cours|sentier",
+    r"Calle|C/|Avda\.|Avenida|Plaza|Pza\.|Paseo|Camino|Ronda", r"Rua|Travessa|Avenida|Av\.|Largo|Praça|Estrada|Beco|Alameda", r"(?:ул|пр|пер|пл|ш|наб|вул|пров|просп|бул)\.", r"(?:ул|пр|пер|пл|ш|наб|вул|пров|просп|бул)\.", r" (?:g|al|pr|pl|skg)\. \d", r"רחוב|שדרות|סמטת|דרך|כיכר",
+    "मार्ग|सड़क|रोड|मकान|फ़्लैट", "[市区郡]", "号", "ถนน|ซอย|ตรอก",
+]
+ADDRESS = [(re.compile(w), p) for w, p in zip(_HOLDS, ADDRESS, strict=True)]
 
 # --- fixed values: words before identity numbers, and words before numbers that are none
 ID_CUE = re.compile(
@@ -80,31 +87,61 @@ PHONE_CUE = re.compile(
     re.I,
 )
 
-# --- fixed values: wordings before a name, which may be followed by anything
-BEFORE = re.compile(
-    r"(?:[Cc]ontact:|[Kk]ontakt:|[Cc]ontacto:|[Cc]ontato:|[Кк]онтакт:|[Mm]y name is|I am called|I spoke (?:with|to)|[Pp]roofread by|[Tt]ranslated (?:from [\w’' -]{1,40}? )?by|[Ee]dited by|[Ww]ritten by|[Pp]roofs went to|[Aa]sk for|(?:was|were) issued to|belongs to|[Rr]eader['’]s card of|[Nn]ew (?:subscriber|reader):|[Ss]ubscriber:|(?:Best wishes|Kind regards|Best regards|Yours sincerely|Sincerely|Yours),|[Dd]ear (?:editors,?|Mr\.?|Mrs\.?|Ms\.?)?|In the (?:second|third|first|fourth) printing|[Ss]igned|"
-    r"[Ii]ch hei(?:ß|ss)e|[Mm]ein Name ist|[Ff]ahnen gingen (?:letzte Woche )?an|gehört|ausgestellt (?:auf|für)|[Nn]euer? (?:Leser|Leserin|Abonnent|Abonnentin):|(?:Mit freundlichen Grüßen|Freundliche Grüße|Viele Grüße|Hochachtungsvoll),|Korrektur las|Übersetzt von|[Ff]ragen Sie nach|"
-    r"[Jj]e m[’']appelle|[Ee]preuves sont parties chez|[Éé]preuves sont parties chez|appartient à|[Nn]ouvel(?:le)? (?:abonnée?|lecteur|lectrice) ?:|(?:Cordialement|Bien à vous|Salutations),|Relu par|Traduit par|"
-    r"[Mm]e llamo|[Mm]i nombre es|salieron para|es de(?= [A-ZÀ-Þ])|[Nn]uev[oa] (?:suscriptor|suscriptora|lector|lectora):|(?:Saludos|Atentamente|Un saludo),|Corregido por|Traducido por|"
-    r"[Cc]hamo-me|[Mm]eu nome é|seguiram para|pertence a|[Nn]ov[oa] (?:leitor|leitora|assinante):|(?:Cumprimentos|Atenciosamente|Com os melhores cumprimentos|Saudações),|Revisto por|Traduzido por|"
-    r"[Мм]еня зовут|[Кк]орректуру получила?|[Вв]ычитку делала?|[Пп]еревела?|выдан(?:а|о)?:|[Сс] уважением,|[Нн]овы[йе] (?:подписчик|читатель):|[Чч]итатель(?:ница)?(?= [А-ЯЁ])|[Сс]просите|принадлежит|"
-    r"[Мм]ене звати|[Кк]оректуру отрима(?:в|ла)|[Зз] повагою,|[Нн]овий (?:читач|передплатник):|[Чч]итач(?:ка)?(?= [А-ЯЄІЇҐ])|видано:|належить|"
-    r"[Mm]ano vardas|[Kk]orektūrą gavo|[Pp]agarbiai,|[Nn]auj(?:as|a) (?:skaitytojas|skaitytoja|prenumeratorius):|išduot(?:as|a)|priklauso)\s",
-)
-# --- fixed values: wordings after a name
-AFTER = re.compile(
-    r"\s(?:lives at|signed for (?:them|it)|corrected the|asked for the|wohnt in|bittet um|habite|demande la|vive en|pide la|mora n[ao]|pede a|vive n[ao]|живёт по адресу|проживает|просит|мешкає|живе за адресою|просить|gyvena|prašo)(?!\w)|\s[<(](?=[A-Za-z0-9._%+-]+ ?[@＠(\[])|,\s(?=(?:P\. ?O\. ?Box|Flat \d|\d+[a-z]? [A-Z]))"
-)
-# --- fixed values: names in scripts without capitals: the wording before, the name, and what ends it
+# --- fixed values: words that tell of a person, by what they do. INTRO, CLOSE, ROLE and TITLE stand right before a name; WORK
+# and DONE before it, within its clause, WORK with a preposition; ACTS right behind it
+INTRO = (
+    "my name is|his name is|her name is|name is|i am called|name:|ich heiße|ich heisse|mein name ist|je m'appelle|je m’appelle|mon nom est|me llamo|mi nombre es|chamo-me|me chamo|meu nome é|"
+    "меня зовут|его зовут|её зовут|мене звати|його звати|її звати|mano vardas"
+).split("|")
+CLOSE = (
+    "best wishes|kind regards|best regards|warm regards|regards|yours sincerely|sincerely|yours faithfully|yours truly|yours|with thanks|many thanks|freundlichen grüßen|freundliche grüße|viele grüße|beste grüße|herzliche grüße|hochachtungsvoll|"
+    "cordialement|bien à vous|salutations|amicalement|respectueusement|saludos|atentamente|un saludo|cordialmente|cumprimentos|atenciosamente|saudações|um abraço|с уважением|искренне ваш|искренне ваша|с благодарностью|з повагою|щиро ваш|щиро ваша|з подякою|pagarbiai|su pagarba|nuoširdžiai"
+).split("|")
+ROLE = (
+    "reader|subscriber|contact|author|editor|editors|translator|proofreader|reviewer|borrower|customer|recipient|sender|leser|leserin|abonnent|abonnentin|kontakt|autor|autorin|übersetzer|übersetzerin|empfänger|absender|"
+    "lecteur|lectrice|abonné|abonnée|auteur|traducteur|traductrice|relecteur|relectrice|lector|lectora|suscriptor|suscriptora|contacto|autora|traductor|traductora|leitor|leitora|assinante|contato|tradutor|tradutora|"
+    "читатель|читательница|подписчик|подписчица|контакт|автор|переводчик|редактор|корректор|читач|читачка|передплатник|передплатниця|перекладач|коректор|skaitytojas|skaitytoja|prenumeratorius|kontaktas|autorius|vertėjas|vertėja"
+).split("|")
+TITLE = "mr|mrs|ms|miss|dr|prof|herr|frau|monsieur|madame|mme|señor|señora|senhor|senhora|господин|госпожа|г-н|г-жа|пан|пані|ponas|ponia|dear|signed".split("|")
+WORK = (
+    "proofread|translated|edited|written|corrected|reviewed|revised|illustrated|typeset|checked|issued|lent|belongs|belonging|sent|went|forwarded|handed|delivered|addressed|mailed|posted|given|gave|spoke|talked|met|interview|letter|reply|ask|write|card|"
+    "korrektur|übersetzt|lektoriert|geschrieben|verfasst|ausgestellt|gehören|gingen|ging|geschickt|gesandt|übergeben|gesprochen|sprach|brief|"
+    "relu|traduit|corrigé|écrit|édité|appartient|délivrée|délivré|parties|partis|envoyées|envoyés|envoyé|remises|remis|transmis|parlé|demandez|lettre|"
+    "corregido|traducido|escrito|editado|revisado|pertenece|expedido|expedida|salieron|salió|enviadas|enviado|entregadas|entregado|hablé|pregunte|es|carta|"
+    "revisto|traduzido|pertence|emitido|seguiram|seguiu|entregue|entregues|falei|enviados"
+).split("|")
+DONE = (
+    "gehört|fragen|получил|получила|делал|делала|перевёл|перевел|перевела|редактировал|редактировала|проверил|проверила|написал|написала|выдан|выдана|выдано|принадлежит|отправлен|отправлена|отправлены|передан|переданы|спросите|говорил|говорила|письмо|"
+    "отримав|отримала|робив|робила|переклав|переклала|редагував|редагувала|перевірив|перевірила|написав|видано|видана|належить|надіслано|передано|спитайте|запитайте|лист|"
+    "gavo|taisė|išvertė|vertė|redagavo|tikrino|parašė|išduotas|išduota|priklauso|išsiųsta|perduota").split("|")
+ACTS = (
+    "lives|signed|corrected|asked|asks|wrote|writes|translated|proofread|edited|requested|ordered|wohnt|bittet|schrieb|schreibt|unterschrieb|fragte|fragt|übersetzte|korrigierte|bestellte|habite|demande|souhaite|"
+    "vive|pide|pidió|escribió|firmó|tradujo|corrigió|solicita|mora|pede|pediu|escreveu|assinou|traduziu|corrigiu|живёт|живет|проживает|просит|просила|просил|подписал|подписала|спрашивает|заказал|заказала|"
+    "мешкає|живе|просить|просив|підписав|підписала|замовив|замовила|gyvena|prašo|parašė|pasirašė|išvertė|užsakė"
+).split("|")
+#: What each kind of word, a neighbouring mail or postal address, and the name's own shape add; what a place or thing takes away.
+CUE = {"intro": 0.7, "close": 0.6, "role": 0.5, "title": 0.45, "work": 0.5, "done": 0.5, "acts": 0.35}
+BESIDE, HOME, TWO, INITIAL, INNER, THING = 0.55, 0.3, 0.15, 0.1, 0.15, -0.5
+_CLAUSE = r"(?:[^.!?;:,\n|()“”«»„\"]{0,44}?[\s\u00a0](?:by|to|with|for|from|of|an|von|für|auf|bei|mit|nach|par|à|chez|de|pour|avec|por|a|para|con|com|ao|с|со|к|на|для|от|з|із|від|su|nuo)"
+_CAPITAL = r"(?=[A-ZÀ-ÞЀ-Я\u0100-\u017fҐ])"
+_GAPS = {
+    "intro": re.compile(r"[:,]?[\s\u00a0]{1,2}"), "close": re.compile(r",\s{1,3}|\n{1,2}"), "role": re.compile(r"(?: ?:)?[\s\u00a0]{1,2}"), "title": re.compile(r"\.?[\s\u00a0]"),
+    "work": re.compile(_CLAUSE + r"|:)[\s\u00a0]" + _CAPITAL), "done": re.compile(_CLAUSE + r"|:|)[\s\u00a0]" + _CAPITAL),
+}
+# --- fixed values: words before a name that make it a thing, and the last words of names of places
+_THING = re.compile(r"(?:\b(?:the|ship|vessel|schooner|boat|book|novel|inn|street|port|island|town|village|das|die|der|schiff|roman|buch|le|la|les|navire|el|los|las|barco|libro|navio|livro|судно|шхуна|книга|роман|город|laivas|knyga)\s|[“„«‘]\s?)$", re.I)
+# --- fixed values: names in scripts without capitals: roles, closings and verbs of giving around them
 _DEV, _THAI = "ऀ-ॣॱ-ॿ", "ก-๎"
+_GIVEN = "[送渡届預贈]"
 CASELESS = [
-    re.compile(r"(?:קורא חדש:|קוראת חדשה:|בברכה,|נשלחו אל|שמי|בתודה,) ?([א-ת][א-ת'׳\"-]*(?:\.)? [א-ת][א-ת'׳-]+(?:-[א-ת]+)?)"),
-    re.compile(r"קורא חדש: ([א-ת][א-ת'׳\". -]*?)(?= ?\|)"),
-    re.compile(rf"(?:नए पाठक:|नई पाठक:|सादर,|मेरा नाम|प्रूफ़) ?([{_DEV}]+(?:\.)? [{_DEV}]+)"),
-    re.compile(rf"नए पाठक: ([{_DEV}. ]+?)(?= ?\|)"),
-    re.compile(rf"(?:新读者|新订户|新讀者|联系人)：([{_HAN}·]{{2,6}}?)(?=[，,|<（(])|(?<!新)读者：([{_HAN}·]{{2,4}}?(?=[，。,|<（(《“「]|我的|请|有问题|校样|新读者|读者：|索书|如果|$|\n)|[{_HAN}·]{{4}})|(?:我叫|我的名字是|已寄给|此致敬礼，|校对：|译者：)([{_HAN}·]{{2,4}})(?=[，。！,.]|$|\n)"),
-    re.compile(rf"(?:新しい読者|新規購読者)：([{_HAN}ぁ-んァ-ヶー]+(?: [{_HAN}ぁ-んァ-ヶー]+)?)(?=[、,|])|校正刷りは([{_HAN}ァ-ヶー]+[ぁ-ん]{{0,2}}(?: [{_HAN}ァ-ヶー]+)?)に送|私は([{_HAN}]+(?: [{_HAN}]+)?)と申し|(?:敬具|敬具、|かしこ、?) ?([{_HAN}]+ ?[{_HAN}]+)"),
-    re.compile(rf"(?:ผู้อ่านใหม่:|ด้วยความเคารพ|ฉันชื่อ|ชื่อของฉันคือ|ปรูฟส่งถึง|ส่งปรูฟให้|ส่งถึง|ขอแสดงความนับถือ) ?([{_THAI}]+\.? [{_THAI}]+)"),
+    re.compile(r"(?:(?:קורא|קוראת|מנוי|מנויה|מחבר|מחברת|עורך|עורכת|מתרגם|מתרגמת|איש קשר)(?: חדש| חדשה)?:|בברכה,|בכבוד רב,|בתודה,|שמי|קוראים לי|(?:נשלחו|נשלח|נמסר|נמסרו|הועבר|שייך|שייכת) (?:אל|ל)) ?([א-ת][א-ת'׳\"-]*(?:\.)? [א-ת][א-ת'׳-]+(?:-[א-ת]+)?)"),
+    re.compile(r"(?:קורא|קוראת|מנוי|מנויה)(?: חדש| חדשה)?: ([א-ת][א-ת'׳\". -]*?)(?= ?\|)"),
+    re.compile(rf"(?:(?:पाठक|ग्राहक|लेखक|संपादक|अनुवादक|संपर्क):|सादर,|धन्यवाद,|(?:मेरा|उसका|उनका) नाम|प्रूफ़|श्रीमती|श्री) ?([{_DEV}]+(?:\.)? [{_DEV}]+)(?!:)"),
+    re.compile(rf"([{_DEV}]{{3,}}(?:\.)? [{_DEV}]{{3,}}) को (?:भेजे|भेजा|भेजी|दिए|दिया|दी|सौंपे|सौंपा)"),
+    re.compile(rf"(?:पाठक|ग्राहक): ([{_DEV}. ]+?)(?= ?\|)"),
+    re.compile(rf"(?:新读者|新订户|新讀者|联系人|姓名|收件人)：([{_HAN}·]{{2,6}}?)(?=[，,|<（(])|(?<!新)(?:读者|作者|译者|编辑|校对|收件人|联系人)：([{_HAN}·]{{2,4}}?(?=[，。,|<（(《“「]|我的|请|有问题|校样|新读者|读者：|索书|如果|$|\n)|[{_HAN}·]{{4}})|(?:我叫|我的名字是|我名叫|此致敬礼，|[寄送交发][给至])([{_HAN}·]{{2,4}})(?=[，。！,.了]|$|\n)"),
+    re.compile(rf"(?:読者|購読者|著者|訳者|校正者|編集者|担当|連絡先|宛先)：([{_HAN}ぁ-んァ-ヶー]+(?: [{_HAN}ぁ-んァ-ヶー]+)?)(?=[、,|。]|$|\n)|は([{_HAN}ァ-ヶー]+[ぁ-ん]{{0,2}}(?: [{_HAN}ァ-ヶー]+)?)(?:に|へ|さんに|様に){_GIVEN}|私は([{_HAN}]+(?: [{_HAN}]+)?)と(?:申し|いい|言い)|(?:敬具|敬具、|かしこ、?) ?([{_HAN}]+ ?[{_HAN}]+)"),
+    re.compile(rf"(?:ผู้อ่านใหม่:|ผู้อ่าน:|สมาชิก:|ผู้เขียน:|ผู้แปล:|ด้วยความเคารพ|ขอแสดงความนับถือ|ฉันชื่อ|ผมชื่อ|ชื่อของฉันคือ|(?:ส่ง|มอบ|ฝาก)[{_THAI}]{{0,8}}?(?:ถึง|ให้|แก่)) ?([{_THAI}]+\.? [{_THAI}]+)"),
 ]
 _CASELESS_HINT = re.compile("[א-תऀ-ॿ฀-๿一-鿿]")
 
@@ -121,8 +158,9 @@ NO_NAME |= set(
     "knygą asmens rašykite klausimai mano naujas korektūrą pagarbiai écrivez envoyez mon questions nouvel cordialement "
     "envíe mi escríbame dudas nuevo saludos escreva envie novo cumprimentos meu "
     "пишите звоните номер посылка печатный каталожный шифр глава вычитку корректуру читательский новый роман шхуна "
-    "пишіть примірник мій коректуру новий запитання".split()
+    "пишіть примірник мій коректуру новий запитання who wer qui quién quem кто хто kas mit".split()
 )
+NO_NAME |= {w.split(" ")[0].strip(":") for w in INTRO + CLOSE}
 
 
 def luhn(digits: str) -> bool:
@@ -247,9 +285,30 @@ FORMS = [
 BASE, VALID, FAILS, CUED, FIELD, PHONED = 0.3, 0.3, -0.1, 0.65, 0.63, -0.3
 
 
+_NOT_BARE = re.compile(r"[^0-9A-ZХ]")
+_FIELD = re.compile(r"(?:\s?\|\s?|[，、]\s?)$")
+_RECORD = re.compile(r"\|\s?$")
+_YEARS = re.compile(r"1\d{3}[-–]1\d{3}")
+_FORM = re.compile(r"\(\d{3}\) ?\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|001 \d{3} \d{3} \d{4}|0\d{3,4} \d{3} \d{3,4}|020 \d{4} \d{4}|8 ?\(\d{3}\) ?[\d-]{7,9}")
+#: Where a number may lie: digits with what joins them, and the letters before them.
+_SPOT = re.compile(r"\d")
+
+
+def _windows(text: str) -> list[tuple[int, int]]:
+    """The neighbourhoods of digits, joined where they meet, ending where no number goes on."""
+    out: list[list[int]] = []
+    for m in _SPOT.finditer(text):
+        s, e = max(0, m.start() - 48), min(len(text), m.end() + 48)
+        if out and s <= out[-1][1]:
+            out[-1][1] = e
+        else:
+            out.append([s, e])
+    return [(s, e) for s, e in out]
+
+
 def checksum(value: str, around: str = "") -> bool | None:
     """Whether the checksum of the value's form holds, in any of the forms it may have; None: it has none with a checksum."""
-    bare = re.sub(r"[^0-9A-ZХ]", "", value)
+    bare = _NOT_BARE.sub("", value)
     asked = [check(bare) for form, check, near in FORMS if form.fullmatch(value) and (near is None or near.search(around))]
     return any(asked) if asked else None
 
@@ -259,16 +318,47 @@ def _number(text: str) -> str:
 
 
 _PARTICLE = re.compile(r" (?:van|von|de|da|di|du|del|la|le|zu|af|ter|der|den) ")
+_GAP, _COMMA = re.compile(r"[ \u00a0]"), re.compile(r", ")
+_INSIDE = re.compile(rf" ?(?:{_CAP})")
+_BACK = re.compile(rf"(?:^|(?<=[\s(«“„\"|,;:—–-]))((?:O’|Mc|Mac)?{_CAP}|[A-ZÀ-ÖØ-ÞА-ЯЁЄІЇҐ]\.)$")
+_OF = re.compile(r"(?:van der|van|von|de la|de|da|di|du) $")
+_AFTER_OF = re.compile(rf"(?:{_CAP}|[A-Z]\.) (?:van der|van|von|de la|de|da|di|du) $")
+_SIGNED = re.compile(r"[—–-] ([^—–|\n]{2,60}), $")
+_DIGITS = re.compile(r"\d")
+#: A capital inside a sentence, which tells something where not all nouns have one.
+_WITHIN = re.compile(r"[^\W\d_A-ZÀ-Þ] $")
+_GERMAN = re.compile(r"\b(?:der|die|das|dem|den|des|und|ein|eine|einen|im|am|vom|zum)\b", re.I)
+
+
+@lru_cache(1)
+def _cues():
+    """All words that tell of a person, found in one pass over a text."""
+    import ahocorasick
+
+    out: dict[str, list[str]] = {}
+    for kind, words in (("intro", INTRO), ("close", CLOSE), ("role", ROLE), ("title", TITLE), ("work", WORK), ("done", DONE), ("acts", ACTS)):
+        for w in words:
+            out.setdefault(w, []).append(kind)
+    a = ahocorasick.Automaton()
+    for w, kinds in out.items():
+        a.add_word(w, (len(w), tuple(kinds)))
+    a.make_automaton()
+    return a
+
+
+def _small(text: str) -> str:
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower()[:1] for c in text)
 
 
 class Finder:
-    def __init__(self, common: frozenset[str]):
+    def __init__(self, common):
         self.common = common
 
     def _plain(self, word: str) -> bool:
         """Whether a capitalised word is an ordinary one."""
         w = word.strip("’'.-").lower()
-        return w in self.common or w in NO_NAME
+        return w in NO_NAME or w in self.common
 
     def name_after(self, text: str, at: int) -> int | None:
         """End of the name that begins at ``at``."""
@@ -277,24 +367,21 @@ class Finder:
             return None
         end, n, comma, whole, places = m.end(), 1, False, int(not m[0].endswith(".")), [m.end()]
         while n < 5:
-            gap = re.compile(r"[  ]").match(text, end) or (not comma and n == whole == 1 and re.compile(r", ").match(text, end)) or (text[end - 1] == "." and re.compile("").match(text, end))
-            if not gap:
+            gap = _GAP.match(text, end) or (not comma and n == whole == 1 and _COMMA.match(text, end))
+            at_next = gap.end() if gap else end
+            if not gap and text[end - 1] != ".":
                 break
-            m = _TOKEN.match(text, gap.end())
-            if not m or text.startswith("P.O", gap.end()) or BEFORE.match(text, gap.end()):
+            m = _TOKEN.match(text, at_next)
+            if not m or text.startswith("P.O", at_next):
                 break
             last = m[0].split(" ")[-1]
             initial = last.endswith(".")
             if not initial and self._plain(last):
                 break
-            if gap[0] == ", ":
-                if re.compile(r"[\w’-]* \w").match(text, m.end()) and not re.compile(rf" (?:{_CAP}|\||lives|wohnt|signed|corrected|asked|живёт)").match(text, m.end()) and text[m.end() : m.end() + 1] == " ":
-                    pass
+            if gap and gap[0] == ", ":
                 comma = True
-            if initial and not (n == 1 or comma or text[end - 1] == "."):
-                # an initial inside a name, but not the first letter of what follows
-                if not re.compile(rf" ?(?:{_CAP})").match(text, m.end()):
-                    break
+            if initial and not (n == 1 or comma or text[end - 1] == ".") and not _INSIDE.match(text, m.end()):
+                break  # the first letter of what follows
             end, n, whole = m.end(), n + 1, whole + int(not initial)
             places.append(end)
             if whole >= 4:
@@ -305,30 +392,70 @@ class Finder:
     def name_before(self, text: str, end: int) -> int | None:
         """Start of the name that ends at ``end``."""
         tokens, at = [], end
-        back = re.compile(rf"(?:^|(?<=[\s(«“„\"|,;:—–-]))({_CAP}|[A-ZА-ЯЁЄІЇҐ]\.)$")
         while len(tokens) < 4:
-            m = back.search(text[max(0, at - 40) : at])
+            m = _BACK.search(text[max(0, at - 40) : at])
             if not m or self._plain(m[1]) and not m[1].endswith("."):
                 break
             tokens.append(m[1])
             start = at - len(m[1])
             if start and text[start - 1] == " ":
-                p = re.compile(r"(?:van der|van|von|de la|de|da|di|du) $").search(text[max(0, start - 9) : start])
-                if p and re.compile(rf"(?:{_CAP}|[A-Z]\.) {re.escape(p[0])}$").search(text[max(0, start - 45) : start]):
+                p = _OF.search(text[max(0, start - 9) : start])
+                if p and _AFTER_OF.search(text[max(0, start - 45) : start]):
                     start -= len(p[0])
             at0, at = start, start - 1
-            if start == 0 or text[at] not in "  ":
-                if start > 1 and text[start - 1] == " " and text[start - 2] == ",":
-                    pass
+            if start == 0 or text[at] not in " \u00a0":
                 return at0 if any(not t.endswith(".") for t in tokens) else None
             if at and text[at - 1] == "," and len(tokens) <= 2:
-                m = back.search(text[max(0, at - 41) : at - 1])
+                m = _BACK.search(text[max(0, at - 41) : at - 1])
                 if m and not self._plain(m[1]):
                     return at - 1 - len(m[1])
         if len(tokens) == 4 and not any(t.endswith(".") for t in tokens):
             return end - len(tokens[0]) - 1 - len(tokens[1])  # the last two of four full names
         return at + 1 if tokens and any(not t.endswith(".") for t in tokens) else None
 
+    def _people(self, text: str, mails: list[tuple[int, int]], places: list[tuple[int, int]]) -> list[tuple[float, int, int]]:
+        """Spans of names with their scores: what the words around and the name's own form add up to."""
+        scores: dict[tuple[int, int], dict[str, float]] = {}
+        taken = mails + places
+
+        def add(s: int | None, e: int | None, kind: str, weight: float) -> None:
+            if s is not None and e is not None and s < e and not any(a < e and s < b for a, b in taken):
+                scores.setdefault((s, e), {})[kind] = weight
+
+        low = _small(text)
+        for last, (n, kinds) in _cues().iter(low):
+            a, b = last - n + 1, last + 1
+            if a and (low[a - 1].isalnum() or low[a - 1] == "-") or b < len(low) and (low[b].isalnum() or low[b] == "-"):
+                continue
+            for kind in kinds:
+                if kind == "acts":
+                    if a > 1 and text[a - 1] in " \u00a0":
+                        home = HOME * any(b <= x <= b + 24 for x, _ in places)
+                        add(self.name_before(text, a - 1), a - 1, kind, CUE[kind] + home)
+                elif m := _GAPS[kind].match(text, b):
+                    weight = CUE[kind] + (0.1 if kind == "role" and ":" in m[0] else 0.0)
+                    add(m.end(), self.name_after(text, m.end()), kind, weight)
+        for s, _ in mails:
+            if s > 2 and text[s - 2 : s] in (" (", " <"):
+                add(self.name_before(text, s - 2), s - 2, "beside", BESIDE)
+        for s, _ in places:
+            if s > 2 and text[s - 2 : s] == ", ":
+                add(self.name_before(text, s - 2), s - 2, "beside", BESIDE)
+                m = _SIGNED.search(text[max(0, s - 70) : s])  # a signature: dash, name, address
+                if m:
+                    add(max(0, s - 70) + m.start(1), self.name_after(text, max(0, s - 70) + m.start(1)), "beside", BESIDE)
+        out = []
+        for (s, e), got in scores.items():
+            name = text[s:e]
+            words = name.replace("\u00a0", " ").split(" ")
+            score = sum(got.values()) + TWO * (len(words) > 1) + INITIAL * ("." in name)
+            if _WITHIN.search(text[max(0, s - 2) : s]) and not _GERMAN.search(text[max(0, s - 48) : s]):
+                score += INNER
+            if words[-1].lower().strip(".,") in TOWN_WORDS or _THING.search(text[max(0, s - 14) : s]):
+                score += THING
+            out.append((score, s, e))
+        return out
+
     def _trim(self, text: str, s: int, e: int) -> int:
         """An address ends before a capitalised ordinary word, the beginning of the next sentence."""
         tail = text[s:e].rfind(", ")
@@ -339,42 +466,30 @@ class Finder:
 
     def find(self, text: str) -> list[tuple[str, int, int]]:
         got: list[tuple[float, str, int, int]] = []
-        digits = any(c.isdigit() for c in text)
+        digits = _DIGITS.search(text) is not None
         if "@" in text or "＠" in text or "at)" in text or "at]" in text or "AT)" in text:
             got += [(1.0, "email", m.start(), m.end()) for m in EMAIL.finditer(text)]
         mails = [(s, e) for _, _, s, e in got]
-        inside = lambda s, e, spans: any(a < e and s < b for a, b in spans)
         places: list[tuple[int, int]] = []
         if digits:
-            for p in ADDRESS:
+            for word, p in ADDRESS:
+                if not word.search(text):
+                    continue
                 for m in p.finditer(text):
                     e = self._trim(text, m.start(), m.end())
                     places.append((m.start(), e))
                     got.append((0.9 + len(text[m.start() : e]) / 1e4, "address", m.start(), e))
-        people: list[tuple[int, int]] = []
-        for m in BEFORE.finditer(text):
-            if (e := self.name_after(text, m.end())) and not inside(m.end(), e, mails + places):
-                people.append((m.end(), e))
-                if m[0].startswith(("The proofs", "proofs")):
-                    pass
-        for m in AFTER.finditer(text):
-            if (s := self.name_before(text, m.start())) is not None and not inside(s, m.start(), mails + places):
-                people.append((s, m.start()))
-        if digits:
-            for s, _ in places:  # a signature: dash, name, address
-                m = re.compile(r"[—–-] ([^—–|\n]{2,60}), $").search(text[max(0, s - 70) : s])
-                if m and (e := self.name_after(text, max(0, s - 70) + m.start(1))):
-                    people.append((max(0, s - 70) + m.start(1), e))
+        people = [(s, e) for score, s, e in self._people(text, mails, places) if score >= ACCEPT]
         if _CASELESS_HINT.search(text):
-            for p in CASELESS:
-                for m in p.finditer(text):
-                    g = m.lastindex
-                    if g:
-                        people.append(m.span(g))
+            people += [m.span(m.lastindex) for p in CASELESS for m in p.finditer(text) if m.lastindex]
         got += [(0.8 + (e - s) / 1e4, "name", s, e) for s, e in people]
-        for s, e in {text[s:e] for s, e in people if e - s > 6 and " " in text[s:e]} and people:
-            for m in re.finditer(rf"(?<!\w){re.escape(text[s:e])}(?!\w)", text):
-                got.append((0.7, "name", m.start(), m.end()))
+        for name in {text[s:e] for s, e in people if e - s > 6 and " " in text[s:e]}:
+            at = text.find(name)
+            while at >= 0:
+                e = at + len(name)
+                if not (at and text[at - 1].isalnum() or e < len(text) and text[e].isalnum()):
+                    got.append((0.7, "name", at, e))
+                at = text.find(name, e)
         if digits:
             got += self._numbers(text, mails + places, people)
         got.sort(key=lambda x: (-x[0], x[2] - x[3], x[2]))
@@ -386,10 +501,11 @@ class Finder:
 
     def _numbers(self, text: str, taken: list[tuple[int, int]], people: list[tuple[int, int]]):
         ends = {e for _, e in people}
-        for m in (*ID_VALUE.finditer(text), *IBAN.finditer(text)):
+        spots = _windows(text)
+        for m in (m for a, b in spots for p in (ID_VALUE, IBAN) for m in p.finditer(text, a, b)):
             s, e = m.span()
             v = m[0]
-            bare = re.sub(r"[^0-9A-ZХ]", "", v)
+            bare = _NOT_BARE.sub("", v)
             weight = sum(c.isdigit() or c in "XХ" for c in bare)
             if weight < 6 or len(bare) < 6 or any(a < e and s < b for a, b in taken):
                 continue
@@ -398,14 +514,14 @@ class Finder:
             score = BASE + (0.0 if valid is None else VALID if valid else FAILS)
             if ID_CUE.search(left):
                 score += CUED
-            elif (q := re.compile(r"(?:\s?\|\s?|[，、]\s?)$").search(left)) and s - len(q[0]) in ends:
+            elif (q := _FIELD.search(left)) and s - len(q[0]) in ends:
                 score += FIELD  # the field behind the name of a record
             elif NOT_ID.search(left) or left.endswith(("+", "＋")):
                 continue
             elif PHONE_CUE.search(left):
                 score += PHONED
             yield min(score, 0.99), "id_number", s, e
-        for m in PHONE.finditer(text):
+        for m in (m for a, b in spots for m in PHONE.finditer(text, a, b)):
             s, e = m.span()
             s += len(m[0]) - len(m[0].lstrip(" -"))
             v = _number(text[s:e])
@@ -414,11 +530,11 @@ class Finder:
                 continue
             left = text[max(0, s - 44) : s]
             shape = (
-                0.75 if v[0] in "+＋" else 0.6 if re.fullmatch(r"\(\d{3}\) ?\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|001 \d{3} \d{3} \d{4}|0\d{3,4} \d{3} \d{3,4}|020 \d{4} \d{4}|8 ?\(\d{3}\) ?[\d-]{7,9}", v) else 0.3 if v[0] in "08(" else 0.1
+                0.75 if v[0] in "+＋" else 0.6 if _FORM.fullmatch(v) else 0.3 if v[0] in "08(" else 0.1
             )
-            cue = PHONE_CUE.search(left) is not None or re.search(r"\|\s?$", left) is not None and not any(left.rstrip(" |").endswith(text[a:b][-8:]) for a, b in people if b <= s)
+            cue = PHONE_CUE.search(left) is not None or _RECORD.search(left) is not None and not any(left.rstrip(" |").endswith(text[a:b][-8:]) for a, b in people if b <= s)
             cue = cue or any(e0 <= s <= e0 + 3 and text[e0:s] in (", ", " ,") for e0 in ends)
-            if NOT_ID.search(left) or re.fullmatch(r"1\d{3}[-–]1\d{3}", v):
+            if NOT_ID.search(left) or _YEARS.fullmatch(v):
                 continue
             score = shape + (0.5 if cue else 0.0)
             if ID_CUE.search(left):
@@ -426,27 +542,88 @@ class Finder:
             yield min(score, 0.92), "phone", s, e
 
 
-_SMALL = re.compile(rf"(?<![\w’'-])[{_LOW}а-яёєіїґ][^\W\d_A-ZÀ-ÞА-Я]+")
+_ANY_WORD = re.compile(r"(?<![\w’'-])[^\W\d_]{2,}")
+#: A word is an ordinary one if it was written small so often, and in this share of its uses.
+TIMES, SHARE = 2, 0.1
+#: Bits of the filter that stands for the ordinary words, and how many bits a word sets.
+BITS, MARKS = 1 << 25, 2
 
 
-def _small_words(batches):
+def _word_uses(batches):
+    """(word in small letters, times written small, times written at all)."""
     seen: Counter[str] = Counter()
     for b in batches:
         for t in b.column(0).to_pylist():
             if t:
-                seen.update(_SMALL.findall(EMAIL.sub(" ", t) if "@" in t or "＠" in t or "at)" in t or "at]" in t else t))
+                seen.update(_ANY_WORD.findall(EMAIL.sub(" ", t) if "@" in t or "＠" in t or "at)" in t or "at]" in t else t))
+        if len(seen) > 1_000_000:  # a huge partition sends what it has
+            yield _uses(seen)
+            seen = Counter()
     if seen:
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["w", "n"])
+        yield _uses(seen)
+
+
+def _uses(seen: Counter) -> pa.RecordBatch:
+    small: Counter[str] = Counter()
+    all_: Counter[str] = Counter()
+    for w, n in seen.items():
+        low = w.lower()
+        if low == w.upper():
+            continue  # a script without capitals
+        all_[low] += n
+        if w == low:
+            small[low] += n
+    return pa.RecordBatch.from_arrays([pa.array(list(all_), pa.string()), pa.array([small[w] for w in all_], pa.int64()), pa.array(list(all_.values()), pa.int64())], ["w", "small", "n"])
+
+
+def _marks(word: str) -> list[int]:
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(word)
+    return [h & (BITS - 1), (h >> 32) & (BITS - 1)]
+
+
+class Words:
+    """The ordinary words, as a Bloom filter of fixed size."""
+
+    def __init__(self, bits: bytes):
+        self.bits, self.known = bits, {}
+
+    def __reduce__(self):
+        return Words, (self.bits,)
+
+    def __contains__(self, word: str) -> bool:
+        got = self.known.get(word)
+        if got is None:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            got = self.known[word] = all(self.bits[k >> 3] >> (k & 7) & 1 for k in _marks(word))
+        return got
+
+
+def _bit_rows(batches):
+    for b in batches:
+        bits: dict[int, int] = {}
+        for w in b.column(0).to_pylist():
+            for k in _marks(w):
+                bits[k >> 5] = bits.get(k >> 5, 0) | 1 << (k & 31)
+        yield pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int32()), pa.array(list(bits.values()), pa.int64())], ["at", "bits"])
+
 
+def common_words(documents: DataFrame) -> Words:
+    """Words that the documents write in small letters, counted over all of them; one scan. What comes to the driver and is
+    broadcast is a filter of ``BITS`` bits, whatever the number of words."""
+    import numpy as np
 
-def common_words(documents: DataFrame, rare: float = RARE) -> frozenset[str]:
-    """Words that the documents use in small letters with a relative frequency of at least ``rare``: at most 1/rare."""
-    n = documents.select("text").mapInArrow(_small_words, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    total = n.agg(F.sum("n")).first()[0] or 0
-    return frozenset(r.w for r in n.where(F.col("n") >= max(2.0, rare * total)).collect())
+    n = documents.select("text").mapInArrow(_word_uses, "w string, small long, n long").groupBy("w").agg(F.sum("small").alias("small"), F.sum("n").alias("n"))
+    rows = n.where((F.col("small") >= TIMES) & (F.col("small") >= SHARE * F.col("n"))).select("w").mapInArrow(_bit_rows, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    out = np.zeros(BITS // 32, np.uint32)
+    for b in rows.toArrow().to_batches():
+        out[b.column(0).to_numpy()] = b.column(1).to_numpy().astype(np.uint32)
+    return Words(out.tobytes())
 
 
-def personal(documents: DataFrame, common: frozenset[str] | None = None) -> DataFrame:
+def personal(documents: DataFrame, common: Words | frozenset[str] | None = None) -> DataFrame:
     """documents: doc_id, text. One row an item: doc_id, pii_type, s, e, value."""
     common = common if common is not None else common_words(documents)
     ship = documents.sparkSession.sparkContext.broadcast(common)
@@ -461,7 +638,7 @@ def personal(documents: DataFrame, common: frozenset[str] | None = None) -> Data
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, pii_type string, s long, e long, value string")
 
 
-def masked(documents: DataFrame, common: frozenset[str] | None = None) -> DataFrame:
+def masked(documents: DataFrame, common: Words | frozenset[str] | None = None) -> DataFrame:
     """doc_id and the text with a typed placeholder in place of each item."""
     common = common if common is not None else common_words(documents)
     ship = documents.sparkSession.sparkContext.broadcast(common)
