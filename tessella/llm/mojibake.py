@@ -1,17 +1,22 @@
 """Problem 4: text decoded with the wrong character encoding.
 
 Score. Over all values, adjacent character pairs are counted; a pair's score is its squared mutual information
-log(n12^2 / (n1 n2)), which is high for pairs that stand together and low for chance neighbours. Values that a strict
-inverse of a UTF-8 misreading restores are left out of the counts, as they would make their own damage look usual.
+log(n12^2 / (n1 n2)), which is high for pairs that stand together and low for chance neighbours, whatever the size of the
+corpus. Values that a strict inverse of a UTF-8 misreading restores, and ones with marks of lost bytes, are left out of the
+counts, as they would make their own damage look usual.
 Isolate. Maximum-scoring segments of (LIMIT - score) are the improbable runs of a value; values without such a run are
 sound and are settled in bulk.
 Test. Only inside those runs, widened to whole words, inverse mappings are tried: encode as what the text was read as,
-decode as what it was. A mapping is accepted if it raises the score of the run enough; it is repeated for text that was
-misread twice. What an encoder replaced (U+FFFD, question marks inside words) is damage that cannot be undone.
+decode as what it was. All candidates of a run are scored in one array; one is accepted if it raises the score of the run
+enough. Once a mapping holds, weaker runs of the same value are tried with it too. Rounds go on as long as a mapping is
+accepted, so text misread several times and any number of runs come out. What an encoder replaced (U+FFFD, question marks
+in place of letters or quotes) is damage that cannot be undone; it counts where it lies inside an improbable run.
 
 Bounds: pairs are counted in 2**22 hash buckets, characters by code point, so the model has a fixed size.
 Defined results: null and empty values are sound; a value that only partly can be restored is returned with that part
-restored and ``recovered`` false; rare but correct characters alone are never damage.
+restored and ``recovered`` false; rare but correct characters alone are never damage, nor are repeated or mixed marks at the
+end of a sentence (``?!``, ``??``, ``…?``); typographic marks, blanks and invisible characters alone are never mapped to
+letters; look-alike letters of another script stay as they are.
 """
 
 from __future__ import annotations
@@ -32,14 +37,30 @@ BUCKETS = 1 << 22
 LIMIT, SEGMENT = -9.0, 1.5
 #: The score a restored run must gain in all, and per character.
 GAIN, GAIN_EACH = 9.0, 0.9
+#: So many signs inside words that no text holds make an improbable run damaged even if no mapping explains it.
+STRANGE = 3
 
 #: What text was read as, and what it was. The Windows and DOS readings keep undefined bytes as control characters.
 READ_AS = ("cp1252", "cp1251", "cp437", "cp850", "mac_roman", "koi8_r", "cp866", "gbk", "shift_jis", "latin_1", "cp1250", "cp1255", "cp874", "big5")
-REALLY = ("utf_8", "cp1252", "cp1251", "koi8_r", "cp866", "gbk", "shift_jis", "euc_jp", "big5", "cp1255", "cp874", "cp1257", "cp850", "cp437", "mac_roman", "mac_cyrillic", "iso8859_5", "cp862", "cp775")
+REALLY = ("utf_8", "cp1252", "cp1251", "koi8_r", "koi8_u", "cp866", "gbk", "shift_jis", "euc_jp", "big5", "cp1255", "cp874", "cp1257", "cp850", "cp437", "mac_roman", "mac_cyrillic", "iso8859_5", "cp862", "cp775")
 WIDE = {"gbk", "shift_jis", "big5", "euc_jp"}
 
 _CONTROL = re.compile("[\x80-\x9f]")
-_LOST = re.compile("\ufffd|(?<=[^\\W\\d_])\\?(?=[^\\W\\d_])|(?:^|(?<=[\\s(\\[«“„\"']))\\?+(?=[^\\W\\d_])|(?<=[,.;:!…])\\?|\\?\\?(?!!)")
+#: Question marks that stand for lost bytes: inside and before words, behind commas, in rows that no word leads; and, where a
+#: quotation is opened and not closed, behind the mark that ends it.
+_LOST = re.compile("\ufffd|(?<=[^\\W\\d_])\\?(?=[^\\W\\d_])|(?:^|(?<=[\\s(\\[«“„\"'—–]))\\?+(?=[^\\W\\d_])|(?<=[,;:])\\?|(?<=[(\\[])\\?(?=\\d)|(?:^|(?<=[\\s(\\[]))\\?{2,}|(?<![^\\W\\d_?!…])\\?{3,}")
+_CLOSING = re.compile("(?<=[.!?…])\\?")
+
+
+def lost_marks(text: str) -> list[tuple[int, int]]:
+    """Where bytes were lost."""
+    if "?" not in text and "\ufffd" not in text:
+        return []
+    out = [m.span() for m in _LOST.finditer(text)]
+    if text.count("“") > text.count("”") and "„" not in text or text.count("«") > text.count("»") or text.startswith("?"):
+        out += [m.span() for m in _CLOSING.finditer(text)]
+    return out
+
 
 
 @lru_cache(64)
@@ -55,8 +76,8 @@ def _bytes_of(encoding: str) -> dict[int, bytes]:
     return out
 
 
-def _encode(text: str, encoding: str, lower: bool = False) -> bytes | None:
-    """The bytes the text was read from; None where it cannot have been read so. lower: the text lost its capitals since."""
+def _encode(text: str, encoding: str) -> bytes | None:
+    """The bytes the text was read from; None where it cannot have been read so."""
     if encoding in WIDE:
         try:
             return text.encode(encoding)
@@ -70,6 +91,22 @@ def _encode(text: str, encoding: str, lower: bool = False) -> bytes | None:
 
 
 _LEADS = {"cp1252": "ãâåäðñ×àáéêëìíîï", "cp437": "γ├┬"}
+_FOREIGN = re.compile("[\u0700-\u08ff\u1000-\u1dbf\u3400-\u4dbf\ua000-\uabff]")
+_SEQUENCE = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
+
+
+@lru_cache(64)
+def _as_bytes(encoding: str, lower: bool) -> dict[int, str]:
+    """Each character as the byte it was read from; what the encoding doesn't hold becomes a character that is no byte. lower:
+    the text lost its capitals since."""
+    table = _bytes_of(encoding)
+    out = {c: "\uf8ff" for c in range(0x80, 0x100)} | {c: b.decode("latin_1") for c, b in table.items()}
+    if lower:
+        for c in [*map(ord, _LEADS.get(encoding, "")), *(table if encoding == "cp437" else ())]:
+            up = chr(c).upper()
+            if len(up) == 1 and ord(up) in table:
+                out[c] = table[ord(up)].decode("latin_1")
+    return out
 
 
 def _undo_utf8(text: str, encoding: str) -> tuple[str, int]:
@@ -84,30 +121,20 @@ def _undo_utf8(text: str, encoding: str) -> tuple[str, int]:
         bad = out.count("\ufffd")
         good = sum(ord(c) > 127 for c in out) - bad
         return (out, good) if good >= 2 and bad <= max(2, good // 3) else (text, 0)
-    table = _bytes_of(encoding)
-    low = _LEADS.get(encoding, "")
-    raw = [table.get(ord(c)) for c in text]
-    out, i, n = [], 0, 0
-    while i < len(text):
-        for lead in (raw[i], table.get(ord(text[i].upper())) if text[i] in low and len(text[i].upper()) == 1 else None):
-            size = 0 if lead is None else 2 if 0xC2 <= lead[0] <= 0xDF else 3 if 0xE0 <= lead[0] <= 0xEF else 4 if 0xF0 <= lead[0] <= 0xF4 else 0
-            rest = raw[i + 1 : i + size]
-            if size and len(rest) == size - 1:
-                if encoding == "cp437" and any(r is None or not 0x80 <= r[0] <= 0xBF for r in rest):
-                    rest = [table.get(ord(c.upper())) if len(c.upper()) == 1 else None for c in text[i + 1 : i + size]]
-                if all(r is not None and 0x80 <= r[0] <= 0xBF for r in rest):
-                    try:
-                        c = (lead + b"".join(rest)).decode("utf-8")
-                    except UnicodeDecodeError:
-                        continue
-                    if unicodedata.category(c) not in ("Cn", "Co", "Cc"):
-                        out.append(c)
-                        i, n = i + size, n + 1
-                        break
-        else:
-            out.append(text[i])
-            i += 1
-    return "".join(out), n
+    for lower in (False, True) if encoding in _LEADS else (False,):
+        out, last, n = [], 0, 0
+        for m in _SEQUENCE.finditer(text.translate(_as_bytes(encoding, lower))):
+            try:
+                c = m[0].encode("latin_1").decode("utf-8")
+            except UnicodeDecodeError:
+                continue
+            # a control character may be a byte misread before; scripts that none of the languages has are chance
+            if "\x80" <= c <= "\x9f" or unicodedata.category(c) not in ("Cn", "Co", "Cc") and not _FOREIGN.match(c):
+                out += [text[last : m.start()], c]
+                last, n = m.end(), n + 1
+        if n:
+            return "".join(out) + text[last:], n
+    return text, 0
 
 
 #: Beginnings of misread UTF-8, which stay when a byte was lost.
@@ -152,7 +179,7 @@ def _count(batches):
 
     for b in batches:
         texts = [t for t in b.column(b.schema.get_field_index("value")).to_pylist() if t]
-        texts = [t for t in texts if _SAFE.match(t) or not ("\ufffd" in t or _CONTROL.search(t) or strictly_restored(t))]
+        texts = [t for t in texts if not ("?" in t and lost_marks(t)) and (_SAFE.match(t) or not ("\ufffd" in t or _CONTROL.search(t) or strictly_restored(t)))]
         if not texts:
             continue
         cps, _ = code_points(texts)
@@ -171,7 +198,12 @@ class PairModel:
     """Squared mutual information of character pairs."""
 
     def __init__(self, ones: np.ndarray, pairs: np.ndarray):
-        self.ones, self.pairs = np.log(ones + 1.0).astype(np.float32), np.log(pairs + 0.1).astype(np.float32)
+        self.tried: dict = {}  # words recur
+        self.seen = ones > 0
+        ones = ones + 1.0
+        most = ones.max()
+        ones[0x80:0xA0], ones[0xFFFD], ones[0xE000:0xF900] = most, most, most  # what no text holds: any pair with it is improbable
+        self.ones, self.pairs = np.log(ones).astype(np.float32), np.log(pairs + 0.1).astype(np.float32)
 
     def score(self, cps: np.ndarray) -> np.ndarray:
         a, b = cps[:-1], cps[1:]
@@ -226,26 +258,80 @@ def _widen(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e, _ in out]
 
 
-def _candidates(run: str):
+#: Marks, blanks and invisible characters that texts of any language hold by themselves.
+_MARKS = frozenset("…–—‘’‚“”„«»‹›·•°№½¼¾×±§©®™¡¿ªº\xa0\xad\u200b\u200c\u200d\u200e\u200f\ufeff")
+
+
+@lru_cache(512)
+def _turned(read: str, real: str) -> dict[int, str]:
+    """Character to character for text of one single-byte encoding that was read as another; what cannot be becomes a null."""
+    out = {}
+    for c, b in _bytes_of(read).items():
+        if c >= 0x80:
+            try:
+                out[c] = b.decode(real)
+            except UnicodeDecodeError:
+                out[c] = "\0"
+    return out
+
+
+@lru_cache(64)
+def _sequence_bytes(read: str) -> tuple[frozenset, frozenset]:
+    """The characters that may be the first byte of a UTF-8 sequence read so, and the ones that may be a later one."""
+    t = _as_bytes(read, False).items(), _as_bytes(read, True).items()
+    at = lambda lo, hi: frozenset(chr(c) for x in t for c, b in x if lo <= b <= hi)
+    return at("\xc2", "\xf4"), at("\x80", "\xbf")
+
+
+@lru_cache(65536)
+def _script(c: str) -> str:
+    """The script of a letter, empty for what is none."""
+    return unicodedata.name(c, "?").split(" ")[0] if c.isalpha() else ""
+
+
+_UNSEEN = {ord(c): None for c in "\xad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"}
+_READABLE = {e: frozenset(map(chr, _bytes_of(e))) for e in READ_AS if e not in WIDE}
+
+
+def _candidates(run: str, sequences_only: bool):
+    """(text, sequences, reading, real encoding) of every inverse mapping that may apply to the run; sequences_only: no others than
+    those of UTF-8."""
     wide = any("\u2e80" <= c <= "\u9fff" or "\uff61" <= c <= "\uff9f" for c in run)
     plain = run.replace("\xa0", " ")  # a no-break space is no letter of another encoding
+    special = {c for c in plain if c > "\x7f"}
+    letters = sum(map(str.isalpha, special))
+    alone = special <= _MARKS and len(special) <= 2 and not _ODD.search(run.translate(_UNSEEN))
     for read in READ_AS:
         if (read in WIDE) > wide:
             continue
-        fixed, n = _undo_utf8(run, read)
-        for _ in range(3):  # text may have been misread several times over
-            if not n:
-                break
-            yield fixed, n, read
-            fixed, n = _undo_utf8(fixed, read)
-        raw = _encode(plain, read)
+        if read in WIDE or not special.isdisjoint(_sequence_bytes(read)[0]) and not special.isdisjoint(_sequence_bytes(read)[1]):
+            fixed, n = _undo_utf8(run, read)
+            while n:  # text may have been misread several times over
+                yield fixed, n, read, "utf_8"
+                fixed, n = _undo_utf8(fixed, read)
+        if sequences_only or alone:
+            continue
+        if read in WIDE:
+            raw = _encode(plain, read)
+        elif special and special <= _READABLE[read]:
+            for real in REALLY[1:]:
+                if real in WIDE or real == read:
+                    continue
+                turned = _turned(read, real)
+                to = [turned[ord(c)] for c in special]
+                # letters come out of one script, and letters or usual marks out of letters
+                if "\0" not in to and len({x for c in to if (x := _script(c))}) <= 1 and sum(c.isalpha() or c in _MARKS for c in to) * 2 >= letters:
+                    yield plain.translate(turned), 0, read, real
+            raw = _encode(plain, read) if len(run) >= 4 and len(special) >= 2 else None
+        else:
+            continue
         if raw is None:
             continue
         for real in REALLY[1:]:
-            if real == read or (real in WIDE and len(run) < 4):
+            if real == read or read not in WIDE and real not in WIDE or real in WIDE and len(run) < 4:
                 continue
             try:
-                yield raw.decode(real), 0, None
+                yield raw.decode(real), 0, read, real
             except UnicodeDecodeError:
                 pass
 
@@ -262,55 +348,91 @@ def _one_script(text: str) -> bool:
     return len(kinds - {"HIRAGANA", "KATAKANA", "CJK"}) + bool(kinds & {"HIRAGANA", "KATAKANA", "CJK"}) == 1
 
 
-def examine(text: str, model: PairModel, runs: list[tuple[int, int]] | None = None) -> tuple[bool, str]:
+_NO_TEXT = re.compile("[\0-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ue000-\uf8ff]")
+
+
+def _shadow(text: str) -> str:
+    """For scoring, look-alike letters count as the ones they look like: they are another matter."""
+    return _scripts(text) if _MIXED.search(text) and _HAS_LATIN.search(text) else text
+
+
+def _best(out: str, shadow: str, s: int, e: int, score: np.ndarray, model: PairModel, known: frozenset | None = None):
+    """The inverse mapping that raises the run out[s:e] most: (text, mapping), or None. known: only these mappings, which have
+    proved themselves in the same value and need not gain as much."""
+    run = out[s:e]
+    before, behind = out[s - 1 : s] or "\n", out[e : e + 1] or "\n"
+    plain = run.replace("\xa0", " ")
+    odd, alphas = len(_ODD.findall(run)), sum(map(str.isalpha, run))
+    kept = []
+    alike = known is None and shadow[s:e] != run and _one_script(shadow[s:e])  # look-alike letters alone make it odd
+    for fixed, sequences, read, real in _candidates(run, alike):
+        if known is not None and (read, real) not in known or fixed in (run, plain) or _NO_TEXT.search(fixed):
+            continue
+        now = len(_ODD.findall(fixed))
+        if now > odd or now and not sequences or not sequences and sum(map(str.isalpha, fixed)) < 0.7 * min(len(fixed), alphas):
+            continue
+        kept.append((fixed, sequences, now, (read, real)))
+    if not kept:
+        return None
+    # all candidates in one array, each with its neighbours and a line feed between
+    cps, at = code_points([before + f + behind for f in [plain, *(k[0] for k in kept)]])
+    all_ = np.clip(model.score(cps), -16, 0)
+    strange = ~model.seen[np.minimum(cps, 0x10FFFF)]
+    strange[: at[1] + 1] = False  # of the candidates, not of the run itself
+    all_[strange[1:] | strange[:-1]] = -16  # nothing is restored to characters that no value holds
+    of = lambda i: all_[at[i] + 1 : at[i + 1] - 1]
+    old, old_plain, width = float(score[s : e + 1].sum()), float(of(0).sum()), e - s + 1
+    best, gain = None, 0.0
+    for i, (fixed, sequences, now, how) in enumerate(kept, 1):
+        new = of(i)
+        # one score a character, so that a shorter text gains nothing by being short
+        was = old if sequences else old_plain
+        g = float((new - LIMIT).sum()) - (was - LIMIT * width) + 3 * sequences
+        sure = g >= (GAIN / 2 if sequences or odd > now else GAIN) and new.mean() - was / width >= GAIN_EACH
+        if g > gain and (sure or known is not None or odd >= 2 and not now and _one_script(fixed)):
+            best, gain = (fixed, how), g
+    return best
+
+
+def examine(text: str, model: PairModel) -> tuple[bool, str]:
     """Whether the value is damaged, and the value as far as it can be restored."""
     damaged, out = False, text
-    if _MIXED.search(out) and _HAS_LATIN.search(out):
-        out = _scripts(out)  # look-alike letters are another matter
-    for _ in range(8):
-        score = model.text_scores(out)
-        whole = _widen(out, segments(score))
-        spans = ([(whole[0][0], whole[-1][1])] if len(whole) > 1 else []) + whole
-        done = False
-        for s, e in spans:
-            run = out[s:e]
-            if run.isascii():
-                continue
-            old = float(score[s : e + 1].sum())
-            plain = run.replace("\xa0", " ")
-            old_plain = float(model.text_scores(out[:s] + plain + out[e:])[s : e + 1].sum()) if plain != run else old
-            odd = len(_ODD.findall(run))
-            best, gain, how = None, 0.0, None
-            for fixed, sequences, read in _candidates(run):
-                if fixed in (run, plain) or any(unicodedata.category(c) in ("Cc", "Co", "Cn") for c in fixed):
-                    continue
-                now = len(_ODD.findall(fixed))
-                if now > odd or now and not sequences or not sequences and sum(map(str.isalpha, fixed)) < 0.7 * min(len(fixed), sum(map(str.isalpha, run))):
+    known: frozenset = frozenset()
+    first = None
+    while True:
+        shadow = _shadow(out)
+        score = model.text_scores(shadow)
+        found = segments(score)
+        first = found if first is None else first
+        strong = _widen(out, found)
+        spans = [(strong[0][0], strong[-1][1])] if len(strong) > 1 else []
+        changed = False
+        # what holds elsewhere in the value is tried before all else; then the runs as one, then each by itself
+        for part, only in ([(strong, known)] if known else []) + [(spans, None), (strong, None)] + ([(_widen(out, segments(score, least=0.01)), known)] if known else []):
+            for s, e in reversed(part):
+                if out[s:e].isascii():
                     continue
-                new = model.text_scores(out[:s] + fixed + out[e:])[s : s + len(fixed) + 1]
-                # one score a character, so that a shorter text gains nothing by being short
-                was = old if sequences else old_plain
-                g = float((new - LIMIT).sum()) - (was - LIMIT * (e - s + 1)) + 3 * sequences
-                sure = g >= (GAIN / 2 if sequences or odd > now else GAIN) and new.mean() - was / (e - s + 1) >= GAIN_EACH
-                if g > gain and (sure or odd >= 2 and not now and _one_script(fixed)):
-                    best, gain, how = fixed, g, read
-            if best is not None:
-                out, damaged, done = out[:s] + best + out[e:], True, True
-                if how and how not in WIDE:  # the rest of the value was read the same way
-                    rest, n = _undo_utf8(out, how)
-                    if n and float((model.text_scores(rest) - LIMIT).sum()) + 3 * n >= float((model.text_scores(out) - LIMIT).sum()):
-                        out = rest
+                key = (out[s - 1 : s], out[s:e], out[e : e + 1], shadow[max(0, s - 1) : e + 1], only)  # all that the result depends on
+                if key not in model.tried:
+                    if len(model.tried) > 50_000:
+                        model.tried.clear()
+                    model.tried[key] = _best(out, shadow, s, e, score, model, only)
+                if b := model.tried[key]:
+                    out, known, changed = out[:s] + b[0] + out[e:], known | {b[1]}, True
+            if changed:
                 break
-        if not done:
+        damaged |= changed
+        if not changed:
             break
-    if _CONTROL.search(text) or _LOST.search(text):
-        damaged = True
+    marks = lost_marks(text) + [m.span() for m in _CONTROL.finditer(text)]
+    if not damaged:
+        damaged = any(a <= e and s <= b for a, b in first for s, e in marks) or any(len(_ODD.findall(text[s:e].translate(_UNSEEN))) >= STRANGE for s, e in _widen(text, first))
     return damaged, out if damaged else text
 
 
 def _examiner(model, keep: list[str]):
     def run(batches):
-        m = model.value
+        m, seen = model.value, {}
         for b in batches:
             values = [t or "" for t in b.column(b.schema.get_field_index("value")).to_pylist()]
             cps, at = code_points(values)
@@ -322,10 +444,14 @@ def _examiner(model, keep: list[str]):
             rows, fixed, recovered = [], [], []
             for i in range(len(values)):
                 t = values[i]
-                if t and (peak[i] >= SEGMENT or "?" in t and _LOST.search(t) or not t.isascii() and ("\ufffd" in t or _CONTROL.search(t))):
-                    damaged, out = examine(t, m)
+                if t and peak[i] >= SEGMENT:
+                    if t not in seen:  # the same texts recur
+                        if len(seen) > 20_000:
+                            seen.clear()
+                        seen[t] = examine(t, m)
+                    damaged, out = seen[t]
                     if damaged:
-                        rows.append(i), fixed.append(out), recovered.append(not (_LOST.search(out) or _CONTROL.search(out)))
+                        rows.append(i), fixed.append(out), recovered.append(not (lost_marks(out) or _CONTROL.search(out)))
             kept = b.take(pa.array(rows, pa.int32()))
             yield pa.RecordBatch.from_arrays([*(kept.column(kept.schema.get_field_index(c)) for c in keep), kept.column(kept.schema.get_field_index("value")), pa.array(fixed, pa.string()), pa.array(recovered, pa.bool_())], [*keep, "value", "restored", "recovered"])
 
