@@ -1,11 +1,13 @@
 """Problem 7: exact and mergeable percentiles by distributed multi-select.
 
 Select. Values are pre-aggregated to (group, value, n) on the map side. Every (group, quantile) is a search with a rank
-and an open range of values. In each round the partitions propose the weighted median of what they hold inside the range;
-the weighted median of the proposals is the pivot; one aggregation counts three ways, below, at and above the pivot; ranges
-that cannot hold the wanted rank are discarded and the values outside all ranges dropped. When a group's range holds at
-most ``SMALL`` distinct values, it is read off directly, which bounds what one task sorts. Nothing is sampled, and no group
-is brought into one task. The result is the nearest-rank percentile, the element of rank ceil(q * N).
+and an open range of values; searches of one group share their range until their ranks part. In each round the partitions
+propose the weighted median of what they hold inside each range; the weighted median of the proposals is the pivot; one
+aggregation counts three ways, below, at and above the pivot; ranges that cannot hold the wanted rank are discarded, and
+the values outside all ranges are dropped. Rounds go on, for all groups alike, until every element is found: the ranges of a
+group are disjoint, so a round handles each value at most once, and what is left falls by a fixed share. Nothing is sampled
+or sorted whole, and no group is brought into one task. The result is the nearest-rank percentile, the element of rank
+ceil(q * N).
 
 Merge. A day's mergeable result is a table (group, day, bucket, n) whose buckets keep the value's ``BITS`` leading bits, so
 its length is bounded by BITS and the type's range whatever the number of rows. The percentile over all days is selected
@@ -17,8 +19,6 @@ group, shown as null; repeated lines count once; an empty table gives no row.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,84 +27,64 @@ from pyspark.sql import functions as F
 from tessella.session import cut
 
 QUANTILES = (0.5, 0.9, 0.95, 0.99)
-#: Distinct values of one group and range that a single task may sort.
-SMALL = 2048
 #: Leading bits that a bucket keeps.
 BITS = 8
 
 
+#: Rows that a partition sorts at once for its proposals; a larger one makes several.
+ROWS = 2_000_000
+
+
 def _proposals(batches):
-    """Per partition and (group, quantile): the weighted median of the values inside the range."""
-    seen: dict[tuple, list] = {}
+    """Per partition and range: the weighted median of the values inside, with the weight it stands for."""
+    held, rows = [], 0
     for b in batches:
-        d = b.to_pydict()
-        for g, q, v, n in zip(d["g"], d["q"], d["v"], d["n"]):
-            seen.setdefault((g, q), []).append((v, n))
-        if sum(map(len, seen.values())) > 2_000_000:  # a bounded share of a huge partition proposes by itself
-            yield from _emit(seen)
-            seen = {}
-    yield from _emit(seen)
-
-
-def _emit(seen):
-    rows = []
-    for (g, q), vn in seen.items():
-        vn.sort()
-        acc, half = 0, sum(n for _, n in vn) / 2
-        for v, n in vn:
-            acc += n
-            if acc >= half:
-                rows.append((g, q, v, sum(n for _, n in vn)))
-                break
+        held.append(b)
+        rows += b.num_rows
+        if rows > ROWS:
+            yield _medians(held)
+            held, rows = [], 0
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.float64(), pa.int64(), pa.int64()))], ["g", "q", "v", "n"])
+        yield _medians(held)
+
+
+def _medians(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    g, lo, v, n = (np.concatenate([b.column(b.schema.get_field_index(c)).to_numpy() for b in held]) for c in ("g", "lo", "v", "n"))
+    order = np.lexsort((v, lo, g))
+    g, lo, v, n = g[order], lo[order], v[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (lo[1:] != lo[:-1])]))
+    total = np.add.reduceat(n, first)
+    upto = np.cumsum(n)
+    at = np.searchsorted(upto, upto[first] - n[first] + (total + 1) // 2)
+    return pa.RecordBatch.from_arrays([pa.array(g[first]), pa.array(lo[first]), pa.array(v[at]), pa.array(total)], ["g", "lo", "v", "n"])
 
 
-def select(values: DataFrame, keys: list[str], quantiles=QUANTILES, small: int = SMALL) -> DataFrame:
+def select(values: DataFrame, keys: list[str], quantiles=QUANTILES) -> DataFrame:
     """values: keys, v bigint, n bigint. One row a group and quantile: keys, q, n (all counts), v (the element of rank ceil(q*n))."""
-    spark = values.sparkSession
     values = cut(values.groupBy(*keys, "v").agg(F.sum("n").alias("n")).withColumn("g", F.xxhash64(*keys)))
-    groups = values.groupBy("g", *keys).agg(F.sum("n").alias("total"), F.count("*").alias("left"))
     qs = F.explode(F.array(*[F.lit(float(q)) for q in quantiles])).alias("q")
     lo, hi = F.lit(-(2**62)).cast("long"), F.lit(2**62).cast("long")
     # rank: how many elements up to the wanted one lie inside the range
-    state = groups.select("g", *keys, "total", "left", qs).select("*", F.ceil(F.round(F.col("q") * F.col("total"), 6)).cast("long").alias("rank"), lo.alias("lo"), hi.alias("hi"), F.lit(None).cast("long").alias("v"))
-    state = cut(state)
-    cand = values.select("g", "v", "n")
-    for _ in range(64):
-        open_ = state.where(F.col("v").isNull() & (F.col("left") > small)).select("g", "q", "lo", "hi")
-        if open_.isEmpty():
-            break
-        inside = cand.join(open_, "g").where((F.col("v") > F.col("lo")) & (F.col("v") < F.col("hi")))
-        props = inside.select("g", "q", "v", "n").mapInArrow(_proposals, "g long, q double, v long, n long")
-        pivots = props.groupBy("g", "q").agg(F.percentile("v", F.lit(0.5), F.col("n")).cast("long").alias("p"))
-        side = lambda c, w: F.sum(F.when(c, w).otherwise(0))
-        v, p = F.col("v"), F.col("p")
-        counts = inside.join(pivots, ["g", "q"]).groupBy("g", "q", "p").agg(
-            side(v < p, F.col("n")).alias("n_lt"), side(v == p, F.col("n")).alias("n_eq"), side(v < p, F.lit(1)).alias("d_lt"), side(v > p, F.lit(1)).alias("d_gt")
-        )
-        s = state.join(counts, ["g", "q"], "left")
-        hit, below, r = F.col("p").isNotNull(), F.col("rank") <= F.col("n_lt"), F.col("rank")
-        found = hit & ~below & (r <= F.col("n_lt") + F.col("n_eq"))
-        above = hit & (r > F.col("n_lt") + F.col("n_eq"))
+    state = values.groupBy("g", *keys).agg(F.sum("n").alias("total")).select("g", *keys, "total", qs)
+    state = cut(state.select("*", F.ceil(F.round(F.col("q") * F.col("total"), 6)).cast("long").alias("rank"), lo.alias("lo"), hi.alias("hi"), F.lit(None).cast("long").alias("v")))
+    cand = values.select("g", "v", "n", lo.alias("lo"))
+    v, p, r, n = (F.col(c) for c in ("v", "p", "rank", "n"))
+    while not state.where(v.isNull()).isEmpty():
+        props = cand.select("g", "lo", "v", "n").mapInArrow(_proposals, "g long, lo long, v long, n long")
+        pivots = props.groupBy("g", "lo").agg(F.percentile("v", F.lit(0.5), F.col("n")).cast("long").alias("p"))
+        below = F.sum(F.when(v < p, n).otherwise(0)).alias("n_lt")
+        counts = cand.join(pivots, ["g", "lo"]).groupBy("g", "lo", "p").agg(below, F.sum(F.when(v == p, n).otherwise(0)).alias("n_eq"))
+        s = state.join(counts, ["g", "lo"], "left")
+        open_ = v.isNull() & p.isNotNull()
+        under, above = open_ & (r <= F.col("n_lt")), open_ & (r > F.col("n_lt") + F.col("n_eq"))
         state = cut(s.select(
-            "g", *keys, "total",
-            F.when(hit & below, F.col("d_lt")).when(above, F.col("d_gt")).otherwise(F.col("left")).alias("left"), "q",
-            F.when(above, r - F.col("n_lt") - F.col("n_eq")).otherwise(r).alias("rank"),
-            F.when(above, F.col("p")).otherwise(F.col("lo")).alias("lo"), F.when(hit & below, F.col("p")).otherwise(F.col("hi")).alias("hi"),
-            F.when(found, F.col("p")).otherwise(F.col("v")).alias("v"),
-        ))
-    rest = state.where(F.col("v").isNull()).drop("v")
-    # at most `small` distinct values a group and quantile are left: running counts inside the group read the rank off
-    inside = cand.join(rest.select("g", "q", "lo", "hi", "rank"), "g").where((F.col("v") > F.col("lo")) & (F.col("v") < F.col("hi")))
-    per = inside.groupBy("g", "q", "rank").agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("xs"))
-    walk = F.aggregate(
-        "xs", F.struct(F.lit(0).cast("long").alias("acc"), F.lit(None).cast("long").alias("v")),
-        lambda a, x: F.struct((a["acc"] + x["n"]).alias("acc"), F.when(a["v"].isNull() & (a["acc"] + x["n"] >= F.col("rank")), x["v"]).otherwise(a["v"]).alias("v")),
-    )
-    picked = per.select("g", "q", walk["v"].alias("v"))
-    done = state.where(F.col("v").isNotNull()).select(*keys, "q", F.col("total").alias("n"), "v")
-    return done.unionByName(rest.join(picked, ["g", "q"]).select(*keys, "q", F.col("total").alias("n"), "v"))
+            "g", *keys, "total", "q", F.when(above, r - F.col("n_lt") - F.col("n_eq")).otherwise(r).alias("rank"),
+            F.when(above, p).otherwise(F.col("lo")).alias("lo"), F.when(under, p).otherwise(F.col("hi")).alias("hi"), F.when(open_ & ~under & ~above, p).otherwise(v).alias("v"),
+        ))
+        # ranges of one group are the same or disjoint, so that a value stays at most once
+        ranges = state.where(v.isNull()).select(F.col("g").alias("g_"), F.col("lo").alias("lo_"), F.col("hi").alias("hi_")).distinct()
+        cand = cut(cand.join(ranges, (F.col("g") == F.col("g_")) & (v > F.col("lo_")) & (v < F.col("hi_"))).select("g", "v", "n", F.col("lo_").alias("lo")))
+    return state.select(*keys, "q", F.col("total").alias("n"), "v")
 
 
 def bucket(v, bits: int = BITS):
@@ -134,8 +114,9 @@ def daily_summary(rows: DataFrame, groups: list[str]) -> DataFrame:
 def percentiles(rows: DataFrame, groups: list[str]) -> DataFrame:
     """rows: groups, day, v. Daily percentiles, exact, and total ones made from the daily summaries alone."""
     rows = cut(rows.groupBy(*groups, "day", "v").agg(F.count("*").alias("n")))
+    daily = rows.select(F.lit("day").alias("scope"), *groups, "day", "v", "n")
     summary = rows.groupBy(*groups, "day", bucket(F.col("v")).alias("v")).agg(F.sum("n").alias("n"))
-    day = select(rows, [*groups, "day"]).select(F.lit("day").alias("scope"), *groups, "day", "q", "n", F.col("v").cast("double").alias("value"), F.lit(0.0).alias("error_bound"))
-    whole = select(summary.groupBy(*groups, "v").agg(F.sum("n").alias("n")), groups)
-    whole = whole.select(F.lit("total").alias("scope"), *groups, F.lit(None).cast("date").alias("day"), "q", "n", bucket_middle(F.col("v")).alias("value"), F.lit(2.0**-BITS).alias("error_bound"))
-    return reduce(DataFrame.unionByName, [day, whole])
+    total = summary.groupBy(*groups, "v").agg(F.sum("n").alias("n")).select(F.lit("total").alias("scope"), *groups, F.lit(None).cast("date").alias("day"), "v", "n")
+    out = select(daily.unionByName(total), ["scope", *groups, "day"])  # all searches go through the same rounds
+    whole = F.col("scope") == "total"
+    return out.select("scope", *groups, "day", "q", "n", F.when(whole, bucket_middle(F.col("v"))).otherwise(F.col("v").cast("double")).alias("value"), F.when(whole, F.lit(2.0**-BITS)).otherwise(F.lit(0.0)).alias("error_bound"))
