@@ -68,7 +68,7 @@ def mix(tokens: DataFrame, targets: DataFrame, total: float | None = None, block
     before = Window.partitionBy("source").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("source", "r", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"), F.sum("s").over(Window.partitionBy("source")).alias("whole"))
     inside = Window.partitionBy("source", "r").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = docs.join(sums, ["source", "r"]).withColumn("at", F.col("base") + F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
+    placed = cut(docs.join(sums, ["source", "r"]).withColumn("at", F.col("base") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))))  # used four times below
     used = placed.join(F.broadcast(wanted), "source")
     # whole copies; of one more the documents that end within what is still needed, and the one that fills the gap best
     used = used.withColumn("copies", F.floor(F.round(F.col("need") / F.col("whole"), 9)).cast("int")).withColumn("part", F.col("need") - F.col("copies") * F.col("whole"))
