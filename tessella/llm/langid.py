@@ -2,15 +2,16 @@
 
 Model. The pieces of a fixed public vocabulary have a probability in each language. The probability of a unit of text is
 the sum over all its segmentations into pieces, by the forward algorithm, for all languages at once. Units are words (with
-the vocabulary's word mark) and, in scripts without blanks, single characters (Han, Thai) or runs of one kana script; no
-piece crosses a unit, so a line's score is the sum over its units and every distinct unit is scored once a worker.
+the vocabulary's word mark), scored whole however long, and in scripts without blanks (Han, kana, Thai) the blocks of a run
+between the places that no piece of several characters crosses: there the sum over all segmentations is a product, so the
+blocks' scores add up to the run's. A line's score is the sum over its units, and every distinct unit is scored once a worker.
 Training. Piece probabilities are fitted by expectation maximisation on a sample of at most ``SAMPLE`` sentences whose
 book carries a language label; as labels may be false, the sampled books are relabelled by the first fit and fitted again.
 
 Confidence is the posterior of the language, its log likelihoods divided by the root of the number of units, as units of a
 line are not independent.
 
-Defined results: a text without letters has no language (null); null labels and texts are handled as missing; a tie of line
+Defined results: a document without letters has no language and confidence (null) and is not wrong; null labels and texts are handled as missing; a tie of line
 counts goes to the language likelier over all lines; a book without scored sentences gets no row.
 """
 
@@ -31,33 +32,71 @@ TAGS = {
     "lt": "lt lit", "he": "he heb iw", "hi": "hi hin", "th": "th tha",
 }
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+MULTILINGUAL = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 SAMPLE = 20_000
 #: A line counts as of another language than its document's when that is likelier by this many nats.
 MARGIN = 4.0
 ROUNDS = 2
 UNKNOWN, SMOOTH = 1e-7, 0.02
+#: Longer units are learnt from in parts of so many characters.
+TRAINED = 48
+#: Characters after which the forward probabilities of a unit are rescaled.
+RESCALE = 24
+
+_NO_BLANKS = "ぁ-ヿ一-鿿㐀-䶿฀-๿"
+_UNITS = re.compile(f"[{_NO_BLANKS}]+|[ऀ-ॣॱ-ॿ]+|[^\\W\\d_{_NO_BLANKS}ऀ-ॿ]+")
+_BARE = re.compile(f"[{_NO_BLANKS}]")
+_ADDRESS = re.compile(r"\S*(?:@|://|www\.)\S*")
 
-_UNITS = re.compile("[一-鿿㐀-䶿฀-๿]|[ぁ-ゟ]+|[ァ-ヿ]+|[ऀ-ॣॱ-ॿ]+|[^\\W\\d_一-鿿㐀-䶿฀-๿ぁ-ヿऀ-ॿ]+")
-_BARE = re.compile("[ぁ-ヿ一-鿿㐀-䶿฀-๿]")
 
+class Splitter:
+    """Texts to units, by a vocabulary."""
 
-_ADDRESS = re.compile(r"\S*(?:@|://|www\.)\S*")
+    def __init__(self, index: dict[str, int]):
+        import ahocorasick
+
+        self.found = ahocorasick.Automaton()
+        for p in index:
+            if len(p) > 1 and _BARE.match(p):
+                self.found.add_word(p, len(p))
+        if len(self.found):
+            self.found.make_automaton()
+
+    def blocks(self, run: str) -> list[str]:
+        """A run of a script without blanks, cut wherever no piece crosses."""
+        joined = bytearray(len(run))  # 1: a piece goes on from the character before
+        if len(self.found):
+            for last, n in self.found.iter(run):
+                joined[last - n + 2 : last + 1] = b"\1" * (n - 1)
+        cuts = [i for i, x in enumerate(joined) if not x]
+        return [run[a:b] for a, b in zip(cuts, [*cuts[1:], len(run)])]
 
+    def units(self, text: str) -> list[str]:
+        """The units of a text; mail and web addresses are of no language."""
+        if "@" in text or "://" in text or "www." in text:
+            text = _ADDRESS.sub(" ", text)
+        found = _UNITS.findall(text.lower())
+        if not _BARE.search(text):
+            return found
+        return [u for x in found for u in (self.blocks(x) if _BARE.match(x) else (x,))]
 
-def units(text: str) -> list[str]:
-    """The units of a text; mail and web addresses are of no language."""
-    if "@" in text or "://" in text or "www." in text:
-        text = _ADDRESS.sub(" ", text)
-    return _UNITS.findall(text.lower())
 
+def pieces(path: str = VOCABULARY, more: str = MULTILINGUAL) -> dict[str, int]:
+    """The vocabulary's pieces, lower case ones only, as texts are; and of a second one those of scripts without blanks, of which
+    the first has hardly any longer than a character."""
+    import base64
 
-def pieces(path: str = VOCABULARY) -> dict[str, int]:
-    """The vocabulary's pieces, lower case ones only, as texts are."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     kept = [p for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i)) and (p := sp.id_to_piece(i)) == p.lower()]
-    return {p: i for i, p in enumerate(kept)}
+    whole = re.compile(f"[{_NO_BLANKS}]+")
+    with open(more, "rb") as f:
+        for line in f:
+            token = base64.b64decode(line.split()[0]).decode("utf-8", "replace").strip()
+            if whole.fullmatch(token):
+                kept.append(token)
+    return {p: i for i, p in enumerate(dict.fromkeys(kept))}
 
 
 class Model:
@@ -67,6 +106,7 @@ class Model:
 
     def __init__(self, index: dict[str, int], p: np.ndarray):
         self.index, self.p, self.longest = index, p, max(map(len, index))
+        self.split = Splitter(index)
         self.rows: dict[str, int] = {}
         self.table = np.zeros((1024, p.shape[1]))
 
@@ -75,7 +115,7 @@ class Model:
 
     def edges(self, unit: str):
         """Text with its word mark, and the pieces (from, to, row) of its lattice; row -1 for an unknown character."""
-        s = unit[:64] if _BARE.match(unit) else "▁" + unit[:64]
+        s = unit if _BARE.match(unit) else "▁" + unit
         out = []
         for j in range(1, len(s) + 1):
             found = [(i, j, r) for i in range(max(0, j - self.longest), j) if (r := self.index.get(s[i:j])) is not None]
@@ -86,10 +126,16 @@ class Model:
         """log P(unit) in each language, all segmentations summed."""
         s, edges = self.edges(unit)
         a = np.zeros((len(s) + 1, self.p.shape[1]))
-        a[0] = 1
+        a[0], scale, due = 1, 0.0, RESCALE
         for i, j, r in edges:
+            if j > due:  # a long unit's probabilities are brought back into range, those that later edges still need
+                due += RESCALE
+                near = a[max(0, j - self.longest) : j]
+                top = np.maximum(near.max(0), 1e-300)
+                near /= top
+                scale = scale + np.log(top)
             a[j] += a[i] * (self.p[r] if r >= 0 else UNKNOWN)
-        return np.log(np.maximum(a[-1], 1e-300))
+        return np.log(np.maximum(a[-1], 1e-300)) + scale
 
     def ids(self, found: list[str]) -> list[int]:
         rows = self.rows
@@ -110,14 +156,14 @@ class Model:
         return (self.table[ids] * np.array(list(counts.values()))[:, None]).sum(0)
 
     def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Log likelihoods, texts x languages, and the number of units; a long unit counts by its first 64 characters' rate."""
+        """Log likelihoods, texts x languages, and the number of units."""
         if len(self.rows) > self.KEEP:
             self.rows, self.table = {}, np.zeros((1024, self.p.shape[1]))
         ids: list[int] = []
         ends = np.zeros(len(texts) + 1, np.int64)
         for k, t in enumerate(texts):
             if t:
-                ids += self.ids(units(t))
+                ids += self.ids(self.split.units(t))
             ends[k + 1] = len(ids)
         out = np.zeros((len(texts), self.p.shape[1]))
         n = np.diff(ends)
@@ -150,10 +196,11 @@ def _em(index, by_unit: dict[str, np.ndarray], rounds: int) -> Model:
 def train(rows: list[tuple[object, str | None, str | None]], path: str = VOCABULARY) -> Model:
     """rows: (group, label or None, text). Fits, relabels the groups, fits again."""
     index = pieces(path)
+    split = Splitter(index)
     groups: dict[object, Counter] = defaultdict(Counter)
     labels = {}
     for g, label, text in rows:
-        groups[g].update(units(text or ""))
+        groups[g].update(part for u in split.units(text or "") for part in (u[i : i + TRAINED] for i in range(0, len(u), TRAINED)))
         labels[g] = label if label in LANGS else None
     model = None
     for _ in range(2):
@@ -181,7 +228,7 @@ def fit(sentences: DataFrame, books: DataFrame, sample: int = SAMPLE, path: str
     """Fits on at most ``sample`` sentences of labelled books, spread over all sentences by a hash of their id."""
     step = max(1, -(-sentences.count() // sample))
     some = sentences.where(F.pmod(F.xxhash64("sentence_id"), F.lit(step)) == 0).select("book_id", "src")
-    rows = some.join(books.select("book_id", tag_language(F.col("language")).alias("label")), "book_id").limit(2 * sample).collect()
+    rows = some.join(books.select("book_id", tag_language(F.col("language")).alias("label")), "book_id").orderBy(F.xxhash64("book_id", "src")).limit(2 * sample).collect()
     return train([(r.book_id, r.label, r.src) for r in rows], path)
 
 
@@ -226,6 +273,7 @@ def document_languages(df: DataFrame, model: Model, margin: float = MARGIN) -> D
                 own = [i for i in range(at, at + len(ls)) if n[i]]
                 at += len(ls)
                 if not own:
+                    ids.append(doc), nos.append(0), langs.append(None), confs.append(None), labels.append(label)
                     continue
                 votes = np.bincount(best[own], minlength=len(LANGS))
                 total = ll[own].sum(0)
@@ -255,5 +303,5 @@ def languages(sentences: DataFrame, books: DataFrame, documents: DataFrame, mode
     d = document_languages(documents.select("doc_id", F.col("lang").alias("label"), "text"), model)
     d = d.select(F.when(F.col("line_no") == 0, "document").otherwise("segment").alias("record_kind"), "record_id", "line_no", "label", "lang", "confidence")
     all_ = b.unionByName(d)
-    wrong = (F.col("record_kind") == "segment") | ~F.coalesce(tag_language(F.col("label")) == F.col("lang"), F.lit(False))
+    wrong = F.col("lang").isNotNull() & ((F.col("record_kind") == "segment") | ~F.coalesce(tag_language(F.col("label")) == F.col("lang"), F.lit(False)))
     return all_.withColumn("wrong", wrong)
