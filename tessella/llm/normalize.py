@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.session import cut
+
 # --- fixed values: blanks drawn as a space, and characters that are not drawn at all
 BLANKS = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufeff"
@@ -147,7 +149,16 @@ def lookalike_pairs(df: DataFrame) -> DataFrame:
 
     stable = hashed(df.where(is_stable(F.col("text"))), "text")
     other = df.where(~is_stable(F.col("text")))
-    other = hashed(other.mapInArrow(_with_canon, other.withColumn("canon", F.lit("")).schema), "canon")
+    other = cut(hashed(other.mapInArrow(_with_canon, other.withColumn("canon", F.lit("")).schema), "canon"))  # hashes, used twice
     right = other.select(*keys, F.col("id").alias("id2"), F.col("raw").alias("raw2"))
     met = stable.unionByName(other).join(right, keys).where((F.col("raw") != F.col("raw2")) & (F.col("id") != F.col("id2")))
     return met.select("field", F.least("id", "id2").alias("id_a"), F.greatest("id", "id2").alias("id_b")).distinct()
+
+
+def lookalike_classes(df: DataFrame) -> DataFrame:
+    """df: field, id, g1, g2, text. One row a class of texts that look alike in a (field, g1, g2) and are not all the same: its
+    first id, the number of texts and of different forms. Linear in the rows, where the pairs are quadratic in a class."""
+    texts = canonical_texts(df.where(F.col("text").rlike("\\p{L}"))).select("field", "g1", "g2", "id", F.xxhash64("canon").alias("key"), F.xxhash64("text").alias("raw"))
+    forms = texts.groupBy("field", "g1", "g2", "key", "raw").agg(F.min("id").alias("first_id"), F.countDistinct("id").alias("n"))
+    out = forms.groupBy("field", "g1", "g2", "key").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("n_texts"), F.count("*").alias("n_forms"))
+    return out.where("n_forms > 1").select("field", "class_id", "n_texts", "n_forms")

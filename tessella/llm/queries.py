@@ -40,6 +40,14 @@ def p1_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canonical_texts(_texts(spark, d)).select("field", F.col("id").alias("row_id"), F.col("canon").alias("canonical_text")).distinct()
 
 
+@query
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The classes behind the pairs: first id, texts and forms of each."""
+    from tessella.llm.normalize import lookalike_classes
+
+    return lookalike_classes(_texts(spark, d))
+
+
 @query
 def p7_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Median, p90, p95 and p99 latency by model and provider, per day (exact) and over all days (from daily summaries)."""
