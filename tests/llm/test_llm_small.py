@@ -135,6 +135,28 @@ def test_lost_and_rare(pair_model, spark):
     assert mojibake.damaged_values(df.where("false")).count() == 0
 
 
+SOUND = ["Really!?", "What??", "Was it he…?", "Wirklich …?", "Wer war es …", "No way?!", "Quoi ?", "¿Qué?!", "Правда…?", "Що??", "本当…？", "真的!?", "באמת??", "सच…?", "จริง??", "Tikrai…?", "A sério!?"]
+
+
+@pytest.mark.parametrize("marks", ["…?", "!?", "??", "?…", "?!", " …?", "…"])
+def test_marks_at_the_end_are_sound(pair_model, marks):
+    words = ["Really", "Wirklich", "Vraiment", "De verdad", "A sério", "Правда", "Справді", "Tikrai", "本当", "真的", "באמת", "सच", "จริง"]
+    for t in [w + marks for w in words] + [f"“{w}{marks}” — {w}." for w in words] + SOUND:
+        assert mojibake.examine(t, pair_model) == (False, t), t
+
+
+def test_any_number_of_runs_and_misreadings(pair_model):
+    wrong = lambda x: x.encode("utf-8").decode("latin-1").translate({b: bytes([b]).decode("cp1252", "replace") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)})
+    text = " und dann ".join(["Der Bäcker öffnete die Tür"] * 12) + "."
+    broken = "".join(wrong(c) if c == "ä" or c == "ü" else c for c in text)
+    assert mojibake.examine(broken, pair_model) == (True, text)
+    twice = wrong(wrong("Der Bäcker öffnete die schwere Tür."))
+    assert mojibake.examine(twice, pair_model) == (True, "Der Bäcker öffnete die schwere Tür.")
+    assert mojibake.examine("Der Bäcker (º 12, ® 1874) öffnete.", pair_model)[0] is False
+    assert mojibake.examine("Der Bä\xadcker öff\u200bnete.", pair_model)[0] is False
+    assert mojibake.examine("Пекарь cкaзaл: сaдoвник oткpыл двepь.", pair_model)[1] == "Пекарь cкaзaл: сaдoвник oткpыл двepь."
+
+
 # --- 5
 def test_sentence_rules():
     seen = {k: sentences.Counter() for k in range(4)}
@@ -172,18 +194,46 @@ def test_languages():
     assert np.allclose(np.exp(m.forward(u)), brute[len(s)])
 
 
+@pytest.mark.skipif(not TOK, reason="no vocabularies")
+def test_blocks_and_long_units():
+    index = {p: i for i, p in enumerate(["▁", "a", "b", "ab", "画", "家", "在", "画家", "家在", "岛", "数据"])}
+    rng = np.random.default_rng(0)
+    m = langid.Model(index, rng.random((len(index), len(langid.LANGS))) / 5)
+    whole, parts = m.forward("画家在岛数据"), m.split.blocks("画家在岛数据")
+    assert parts == ["画家在", "岛", "数据"]
+    assert np.allclose(m.forward("画家在") + m.forward("岛") + m.forward("数据"), whole)
+    # one segmentation more or less moves the sum: every one counts
+    p = m.p[[index[x] for x in ("画", "家", "在", "画家", "家在")]]
+    assert np.allclose(np.exp(m.forward("画家在")), p[0] * p[1] * p[2] + p[3] * p[2] + p[0] * p[4])
+    n = 3000  # a unit far beyond the range of floating point, against the recurrence in logarithms
+    prev, cur = None, np.log(m.p[index["▁"]])
+    for k in range(n):
+        c = "ab"[k % 2]
+        one = cur + np.log(m.p[index[c]])
+        new = one if c == "a" or prev is None else np.logaddexp(one, prev + np.log(m.p[index["ab"]]))
+        prev, cur = cur, new
+    assert np.allclose(m.forward("ab" * (n // 2)), cur)
+
+
+@pytest.mark.skipif(not TOK, reason="no vocabularies")
+def test_documents_without_letters_have_a_row(spark):
+    m = langid.train([("a", "en", "The baker hid the key."), ("b", "de", "Der Bäcker versteckte den Schlüssel.")] * 5)
+    df = spark.createDataFrame([(1, "en", "12 ... !"), (2, None, None), (3, "de", "Der Bäcker\nThe baker hid the key in the garden\n"), (4, "xx", "")], "doc_id long, label string, text string")
+    got = {(r.record_id, r.line_no): r.lang for r in langid.document_languages(df, m).collect()}
+    assert got[1, 0] is None and got[2, 0] is None and got[4, 0] is None and got[3, 0] in ("de", "en")
+
+
 def test_tags(spark):
     df = spark.createDataFrame([(x,) for x in ["pt_BR", "deu", "EN", "English", "xx", " ", "-", None, "zh-Hans"]], "t string")
     assert [r.x for r in df.select(langid.tag_language(F.col("t")).alias("x")).collect()] == ["pt", "de", "en", None, None, None, None, None, "zh"]
 
 
 # --- 7
-@pytest.mark.parametrize("small", [3, 2048])
-def test_multiselect_is_exact(spark, small):
+def test_multiselect_is_exact(spark):
     rng = random.Random(5)
     rows = [(g, rng.choice([rng.randrange(1, 50), rng.randrange(1, 10**6)])) for g in ["hot"] * 700 + ["b"] * 41 + [None] * 9]
     df = spark.createDataFrame(rows, "grp string, v long").groupBy("grp", "v").agg(F.count("*").alias("n"))
-    got = {(r.grp, r.q): (r.v, r.n) for r in percentiles.select(df, ["grp"], small=small).collect()}
+    got = {(r.grp, r.q): (r.v, r.n) for r in percentiles.select(df, ["grp"]).collect()}
     for g in ("hot", "b", None):
         xs = sorted(v for k, v in rows if k == g)
         for q in percentiles.QUANTILES:
@@ -230,11 +280,28 @@ def test_packing(spark):
         packing.assign(df, {"a": 0})
 
 
-def test_step_groups_are_level():
-    costs = np.random.default_rng(0).exponential(1, 64)
-    g = packing.step_groups(costs, 8)
-    sums = np.bincount(g, costs)
-    assert np.bincount(g).max() == 8 and sums.max() / sums.mean() < 1.4
+def test_step_groups_are_level_over_all_shards(spark):
+    rng = random.Random(8)
+    df = spark.createDataFrame([(i, rng.choice([3, 40, 300, 511, 900, 2000])) for i in range(4000)], "doc_id long, tokens long")
+    rows = packing.assign(df, {"short": 512, "long": 2048}, shard=300).where("container_kind = 'long'").collect()
+    cost: dict[int, int] = {}
+    boxes: dict[int, set] = {}
+    for r in rows:
+        cost[r.step_group] = cost.get(r.step_group, 0) + r.tokens**2
+        boxes.setdefault(r.step_group, set()).add(r.container_id)
+    full = [g for g in boxes if len(boxes[g]) == packing.STEP]
+    assert len(full) >= len(boxes) - packing.STEP and max(map(len, boxes.values())) <= packing.STEP
+    assert max(cost[g] for g in full) / (sum(cost[g] for g in full) / len(full)) < 1.2
+
+
+@pytest.mark.parametrize("capacity", [7, 512, 8192])
+def test_tiers_of_one_capacity(capacity):
+    rng = np.random.default_rng(3)
+    sizes = np.concatenate([rng.integers(0, capacity + 1, 400), rng.integers(0, max(2, capacity // 9), 3000), [capacity] * 5])
+    boxes = packing.pack(sizes, packing.windows(capacity))
+    assert sorted(i for b in boxes for i in b) == list(range(len(sizes))) and all(sizes[b].sum() <= capacity for b in boxes)
+    assert sizes.sum() / (len(boxes) * capacity) > 0.985
+    assert packing.windows(512) == [32, 64, 128, 256, 512] and packing.windows(1) == [1]
 
 
 # --- 9
