@@ -7,6 +7,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def local_session(cores: str = "*", memory: str = "8g", shuffle: int = 8) -> SparkSession:
@@ -52,8 +53,11 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def latest(df: DataFrame, key: str, stamp: str = "loaded_at") -> DataFrame:
-    """One row a key, the one loaded last; redelivered rows go."""
-    cols = [c for c in df.columns if c != key]
-    picked = df.groupBy(key).agg(F.max_by(F.struct(*cols), F.coalesce(F.col(stamp), F.lit("1970-01-01").cast("timestamp"))).alias("_r"))
-    return picked.select(key, "_r.*").select(*df.columns)
+def latest(df: DataFrame, key: str, stamp: str = "loaded_at", within: list[str] | None = None) -> DataFrame:
+    """One row a key, the one loaded last; redelivered rows go. Rows travel once, by the key, and stay so for a later join on it.
+    within: columns that rows of one key share and by which they are together already. Without the stamp any one of equal keys
+    stays, the least by its hash."""
+    order = [F.col(stamp).desc_nulls_last()] if stamp in df.columns else []
+    plain = [c for c, kind in df.dtypes if not kind.startswith("map")]
+    w = Window.partitionBy(*(within or []), key).orderBy(*order, F.xxhash64(*plain))
+    return df.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
