@@ -1,22 +1,25 @@
 """Problems 2 and 3: defective answers of translation models.
 
-One pass over the answers gathers, for all of them: the lengths under several encodings (code points, UTF-8 bytes, UTF-16
-units, entity escaping, JSON escaping, converted line ends) by model, in which a hidden storage limit shows as a pile of
-answers exactly as long, with next to none above; and an end-of-text n-gram model, how often the last characters of an
-answer stand at an end against anywhere. A second pass scores every answer beside its source:
+Limits. The lengths of all answers under several encodings (code points, UTF-8 bytes, UTF-16 units, entity escaping, JSON
+escaping, converted line ends) are counted by model, and by model and target, without leaving the JVM. A hidden storage limit
+shows as a pile of answers exactly as long that the lengths around do not share; windows over the counts find the piles, and
+only those come to the driver. How far a pile stands above its neighbours is the prior odds that an answer of that length is
+cut. Endings. An end-of-text n-gram model over all answers tells how often the last characters of an answer stand at an end
+against anywhere. A second pass scores every answer beside its source:
 
 * empty: no letter or digit is left, or a stand-in for nothing, while the source has something to say
 * refusal: a wording of declining to translate, while the source has none
 * copy: the source's letters and digits again, but for a little around them; sources of names, numerals or codes may stay
 * wrong_language: by the language posteriors of a character n-gram naive Bayes of answer and source, neither the target's
   language nor the source's
-* truncated: a logistic model of the end-of-text likelihood, of the length against the one its source's words foretell
-  (a regression for each target) and of a missing closing mark, trained on answers cut by ourselves; an answer as long as
-  its model's storage limit is held to be cut unless its ending speaks against it
+* truncated: the likelihood ratio of an ending, from a logistic model of the end-of-text likelihood, of the length against the
+  one its source's words foretell (a regression for each target) and of a missing closing mark, trained on answers cut by
+  ourselves. At a storage limit it is weighed with the pile's odds; elsewhere, where only a broken transfer cuts, more is
+  asked of it. ``cut_by`` tells which ("limit" or "ending"), ``limit_measure`` and ``limit_length`` the limit.
 
 Classifiers are fitted on at most ``SAMPLE`` answers, spread over all by a hash; all counts cover all answers.
-Defined results: answers without a source in the sentences are not judged; answers of unknown targets are only judged as
-empty, refusal or copy; repeated rows count once; null models share one group of lengths.
+Defined results: answers without a source in the sentences are judged as empty or refusal only; answers of unknown targets as
+empty, refusal or copy; of repeated rows the one loaded last counts; null models share one group of lengths.
 """
 
 from __future__ import annotations
@@ -29,9 +32,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessella.llm.langid import LANGS, tag_language
 from tessella.llm.normalize import _HAS_LATIN, _MIXED, _scripts
+from tessella.session import latest
 
 SAMPLE = 24_000
 #: Texts that are held as arrays at once on the driver.
@@ -226,13 +231,11 @@ def _targets(col) -> np.ndarray:
 
 
 def _gather(batches):
-    """kind 0-3: gram counts (anywhere, at an end; longer, shorter); kind 4 and up: lengths of a measure, by model."""
+    """Gram counts by kind (0, 1 anywhere, longer and shorter; 2, 3 at an end) and bucket."""
     dense = np.zeros((4, ENDS), np.int32)
-    lengths: dict[tuple, int] = {}
     for b in batches:
         col = lambda c: b.column(b.schema.get_field_index(c)).to_pylist()  # noqa: B023, E731
-        texts, models = [x or "" for x in col("text")], col("model")
-        t = Texts(texts, measures=True)
+        t = Texts([x or "" for x in col("text")])
         tg = _targets(col("target"))
         p = np.flatnonzero(t.kind > 0) + 1
         if len(p):
@@ -242,64 +245,78 @@ def _gather(batches):
             some = e > t.at[:-1]
             for j, k in enumerate(_end_buckets(t, e[some], tg[some])):
                 dense[2 + j] += np.bincount(k, minlength=ENDS).astype(np.int32)
-        names = {m: i for i, m in enumerate(dict.fromkeys(models))}
-        who = np.array([names[m] for m in models])
-        back = list(names)
-        for m in range(len(MEASURES)):
-            u, n = np.unique(who * 10**9 + t.lengths[m], return_counts=True)
-            for x, y in zip(u.tolist(), n.tolist()):
-                at = (4 + m, back[x // 10**9], x % 10**9)
-                lengths[at] = lengths.get(at, 0) + y
     kinds, keys = np.nonzero(dense)
     if len(keys):
-        yield pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int32)), pa.nulls(len(keys), pa.string()), pa.array(keys), pa.array(dense[kinds, keys].astype(np.int64))], ["kind", "model", "k", "n"])
-    if lengths:
-        a, b, c = zip(*lengths)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.string()), pa.array(c, pa.int64()), pa.array(list(lengths.values()), pa.int64())], ["kind", "model", "k", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array((kinds * ENDS + keys).astype(np.int32)), pa.array(dense[kinds, keys].astype(np.int64))], ["k", "n"])
 
 
-def counts(answers: DataFrame) -> tuple[np.ndarray, dict[tuple[str | None, int], tuple[int, ...]]]:
-    """Over all answers: gram counts in a fixed number of buckets, and the storage limits by (model, measure)."""
-    got = answers.select("model", "target", "text").mapInArrow(_gather, "kind int, model string, k long, n long").groupBy("kind", "model", "k").agg(F.sum("n").alias("n"))
-    got = got.where((F.col("kind") >= 2) | (F.col("n") >= 3))  # of grams seen once or twice only their ends tell anything
+def counts(answers: DataFrame) -> np.ndarray:
+    """Over all answers: gram counts in a fixed number of buckets."""
+    got = answers.select("target", "text").mapInArrow(_gather, "k int, n long").groupBy("k").agg(F.sum("n").cast("int").alias("n"))
+    # of grams seen once or twice only their ends tell anything; they count as often as they end
+    got = got.where((F.col("k") >= 2 * ENDS) | (F.col("n") >= 3))
     grams = np.zeros((4, ENDS), np.float32)
-    lengths: dict[tuple, dict[int, int]] = {}
     for b in got.toArrow().to_batches():
-        kind, k, n = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("kind", "k", "n"))
-        g = kind < 4
-        grams[kind[g], k[g]] = n[g]
-        at = np.flatnonzero(~g)
-        for i, m in zip(at.tolist(), b.column(b.schema.get_field_index("model")).take(pa.array(at)).to_pylist()):
-            lengths.setdefault((m, int(kind[i]) - 4), {})[int(k[i])] = int(n[i])
-    return grams, limits(lengths)
-
-
-def limits(lengths: dict[tuple, dict[int, int]]) -> dict[tuple[str | None, int], tuple[int, ...]]:
-    """Storage limits: (model, measure) to all its limits, that of the most answers first. A pile at one length that the
-    lengths around it don't share; longer answers may exist, stored elsewhere. Limits in bytes fall short by up to three where
-    a character would have been split. Every length from ``NARROWEST`` on is tested; of piles that share lengths the largest
+        k = b.column(0).to_numpy()
+        grams[k // ENDS, k % ENDS] = b.column(1).to_numpy()
+    grams[:2] = np.maximum(grams[:2], grams[2:])
+    return grams
+
+
+def lengths(text) -> list:
+    """Columns: the lengths of a text under each of MEASURES."""
+    n = F.length(text)
+    without = lambda p: n - F.length(F.regexp_replace(text, p, ""))
+    one = lambda c: n - F.length(F.replace(text, F.lit(c), F.lit("")))
+    far, wide = without("[\\x{10000}-\\x{10FFFF}]"), without("[^\\x00-\\x7F]")
+    pairs = without('["\\\\\n\t\r]')
+    return [
+        n, F.octet_length(text), n + far, n + 4 * one("&") + 3 * one("<") + 3 * one(">") + 5 * one('"') + 4 * one("'"),
+        n + 5 * wide + 6 * far + pairs + 5 * without("[\\x00-\\x1F&&[^\n\t\r]]"), n + one("\n"),
+    ]
+
+
+def length_counts(answers: DataFrame, by: list[str]) -> DataFrame:
+    """by, measure (its number), length, n: how many answers have each length."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    each = F.posexplode(F.array(*lengths(text))).alias("measure", "length")
+    return answers.select(*by, each).groupBy(*by, "measure", "length").agg(F.count("*").alias("n"))
+
+
+def piles(counted: DataFrame, by: list[str]) -> DataFrame:
+    """counted: by, measure, length, n. The lengths at which answers pile up: by, measure, length, n (answers of this length or,
+    where a character takes several units, up to three less), odds (against what the lengths around have), own (whether the
+    last length alone is a pile)."""
+    near = Window.partitionBy(*by, "measure").orderBy("length")
+    width = F.when(F.col("measure").isin(*WIDE), 4).otherwise(1)
+    total = lambda a, b: F.coalesce(F.sum("n").over(near.rangeBetween(a, b)), F.lit(0))
+    pile = F.when(width == 4, total(-3, 0)).otherwise(F.col("n"))
+    around = F.when(width == 4, total(-19, -5) + total(5, 19)).otherwise(total(-16, -2) + total(2, 16))
+    x = counted.select("*", pile.alias("pile"), (around / 30.0).alias("usual"), width.alias("width"))
+    x = x.where((F.col("length") >= NARROWEST) & (F.col("pile") >= PILE) & (F.col("pile") > STEEP * (F.col("usual") * F.col("width") + 1)))
+    odds = F.greatest(F.col("pile") / (F.col("usual") * F.col("width") + 1) - 1, F.lit(1.0))
+    own = (F.col("n") >= PILE) & (F.col("n") > STEEP * (F.col("usual") + 1))
+    return x.select(*by, "measure", "length", F.col("pile").alias("n"), odds.alias("odds"), own.alias("own"))
+
+
+def limits(found: list[tuple]) -> dict[tuple, dict[int, float]]:
+    """found: (group, measure, length, n, odds, own) of piles. Storage limits: (group, measure) to the log odds of a cut by length.
+    Limits in bytes fall short by up to three where a character would have been split. Of piles that share lengths the largest
     counts, and each other one that its last length makes up by itself."""
-    out = {}
-    for (model, m), hist in lengths.items():
-        wide = 4 if m in WIDE else 1
-        piles = []
-        for top in hist:
-            pile = sum(hist.get(top - i, 0) for i in range(wide))
-            if top < NARROWEST or pile < PILE:
-                continue
-            around = [hist.get(top + i, 0) for i in (*range(-wide - 15, -wide), *range(1 + wide, 16 + wide))]
-            usual = sum(around) / len(around)
-            if pile > STEEP * (usual * wide + 1):
-                piles.append((-pile, top, hist[top] >= PILE and hist[top] > STEEP * (usual + 1)))
-        kept: list[int] = []
-        for _, top, own in sorted(piles):
-            if own or all(abs(top - x) >= wide for x in kept):
-                kept.append(top)
-        if kept:
-            out[model, m] = tuple(kept)
+    out: dict[tuple, dict[int, float]] = {}
+    for group, m, top, _, odds, own in sorted(found, key=lambda x: (-x[3], x[2])):
+        kept = out.setdefault((group, m), {})
+        if own or all(abs(top - x) >= (4 if m in WIDE else 1) for x in kept):
+            kept[top] = float(np.log(odds))
     return out
 
 
+def storage_limits(answers: DataFrame, by: list[str]) -> dict[tuple, dict[int, float]]:
+    """The limits of every group; only piles come to the driver."""
+    rows = piles(length_counts(answers, by), by).collect()
+    return limits([(tuple(r[c] for c in by), r.measure, r.length, r.n, r.odds, r.own) for r in rows])
+
+
 def _cg(i: np.ndarray, j: np.ndarray, y: np.ndarray, n: int, ridge: float = 2.0, steps: int = 40) -> np.ndarray:
     """Ridge regression on sparse counts by conjugate gradients."""
     forth = lambda x: np.bincount(i, x[j], len(y))
@@ -324,7 +341,7 @@ def _word_buckets(t: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """All that the second pass needs; of a fixed size."""
+    """All that the second pass needs; of a fixed size but for the limits found. found: by model, and by model and target."""
 
     def __init__(self, grams, found, nb, length, spread, weights):
         self.grams, self.found, self.nb, self.length, self.spread, self.weights = grams, found, nb, length, spread, weights
@@ -469,11 +486,11 @@ def train(rows, grams, found) -> Model:
 
 
 def fit(answers: DataFrame, sentences: DataFrame, books: DataFrame, sample: int = SAMPLE) -> Model:
-    grams, found = counts(answers)
+    grams, found = counts(answers), storage_limits(answers, ["model"]) | storage_limits(answers, ["model", "target"])
     step = max(1, -(-answers.count() // sample))
     pick = lambda df: df.where(F.pmod(F.xxhash64("sentence_id"), F.lit(step)) == 0)
     some = pick(answers).select("sentence_id", "text", "target").join(pick(sentences).select("sentence_id", "book_id", "src").dropDuplicates(["sentence_id"]), "sentence_id")
-    rows = some.join(books.select("book_id", tag_language(F.col("language")).alias("label")), "book_id", "left").limit(2 * sample).collect()
+    rows = some.join(books.select("book_id", tag_language(F.col("language")).alias("label")), "book_id", "left").orderBy(F.xxhash64("sentence_id", "text", "target")).limit(2 * sample).collect()
     return train([(r.text, r.target, r.src, r.book_id, r.label) for r in rows], grams, found)
 
 
@@ -505,13 +522,25 @@ def _plain(x: str | None) -> str:
     return "" if not x else _scripts(x) if not x.isascii() and _MIXED.search(x) and _HAS_LATIN.search(x) else x
 
 
+def _at_limit(found: dict, model: str | None, target: str | None, lengths: np.ndarray) -> tuple[float, int, int] | None:
+    """(log odds, measure, length) of the steepest limit that an answer of these lengths stands at."""
+    best = None
+    for m in range(len(MEASURES)):
+        for group in ((model,), (model, target)):
+            for top, odds in found.get((group, m), {}).items():
+                if top - (3 if m in WIDE else 0) <= lengths[m] <= top and (best is None or odds > best[0]):
+                    best = odds, m, top
+    return best
+
+
 def _judge(model, keep: list[str]):
     def run(batches):
         m = model.value
         for b in batches:
             col = lambda c: b.column(b.schema.get_field_index(c)).to_pylist()  # noqa: B023, E731
-            texts, sources, models = [_plain(x) for x in col("text")], [x or "" for x in col("src")], col("model")
-            target = _targets(col("target"))
+            told, models, targets = col("src"), col("model"), col("target")
+            texts, sources = [_plain(x) for x in col("text")], [x or "" for x in told]
+            target = _targets(targets)
             t, s = Texts(texts, measures=True), Texts(sources)
             tl, sl = t.letters(), s.letters()
             ll = m.languages(t)
@@ -520,14 +549,15 @@ def _judge(model, keep: list[str]):
             tg = np.where(known, target, 0)
             margin = ll.max(1) - ll[np.arange(t.n), tg]
             ending = _open_end(texts, sources)
-            p = m.features(t, s, tg, ending) @ m.weights
-            cut = np.where(ending.any(1), *CUT)
-            cut += HEADING * np.array([len(x) <= 36 and not (_CLOSE.search(x[-12:]) or "฀" <= x.rstrip()[-1:] <= "๿") for x in sources])
-            for i, mo in enumerate(models):
-                for k in range(len(MEASURES)):
-                    if any(at - (3 if k in WIDE else 0) <= t.lengths[k, i] <= at for at in m.found.get((mo, k), ())):
-                        p[i] += 2.5
-                        break
+            ratio = m.features(t, s, tg, ending) @ m.weights
+            asked = np.where(ending.any(1), *CUT)
+            asked += HEADING * np.array([len(x) <= 36 and not (_CLOSE.search(x[-12:]) or "฀" <= x.rstrip()[-1:] <= "๿") for x in sources])
+            # at a limit the pile's odds speak for a cut and nothing more is asked of the ending
+            limit = [_at_limit(m.found, mo, ta, t.lengths[:, i]) for i, (mo, ta) in enumerate(zip(models, targets))]
+            p = ratio - asked
+            for i, x in enumerate(limit):
+                if x and ratio[i] + x[0] > p[i]:
+                    p[i] = ratio[i] + x[0]
             row, _, _, h = t.words()
             cue = np.bincount(row[np.isin(h, m.cues)], minlength=t.n) > 0
             out: list[str | None] = [None] * t.n
@@ -535,13 +565,15 @@ def _judge(model, keep: list[str]):
                 src, txt = sources[i], texts[i]
                 foreign = not known[i] or lang[i] != target[i]
                 if tl[i] == 0 or len(txt) < 48 and STAND_IN.fullmatch(txt):
-                    if sl[i] != 0 and not STAND_IN.fullmatch(src):
+                    if told[i] is None or sl[i] != 0 and not STAND_IN.fullmatch(src):
                         out[i] = "empty"
                 elif tl[i] == sl[i]:
                     if _wording(src):
                         out[i] = "copy"
                 elif cue[i] and DECLINE.search(txt) and not (DECLINE.search(src) and _of_task(src)):
                     out[i] = "refusal"
+                elif told[i] is None:
+                    pass
                 elif foreign and (margin[i] > 3 or not known[i]):
                     a, c = _bare(src), _bare(txt)
                     if not _wording(src):
@@ -552,21 +584,29 @@ def _judge(model, keep: list[str]):
                         ps = m.languages(Texts([src]))[0]
                         if int(ps.argmax()) != int(lang[i]):
                             out[i] = "wrong_language"
-                elif p[i] > cut[i] and known[i]:
+                elif p[i] > 0 and known[i]:
                     out[i] = "truncated"
             rows = [i for i, d in enumerate(out) if d]
             kept = b.take(pa.array(rows, pa.int32()))
             score = 1 / (1 + np.exp(-np.clip(p[rows], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*(kept.column(kept.schema.get_field_index(c)) for c in keep), pa.array([out[i] for i in rows], pa.string()), pa.array(score)], [*keep, "defect", "cut_score"])
+            at = [limit[i] if out[i] == "truncated" else None for i in rows]
+            yield pa.RecordBatch.from_arrays([
+                *(kept.column(kept.schema.get_field_index(c)) for c in keep), pa.array([out[i] for i in rows], pa.string()), pa.array(score),
+                pa.array([("limit" if a else "ending") if out[i] == "truncated" else None for a, i in zip(at, rows)], pa.string()),
+                pa.array([MEASURES[a[1]] if a else None for a in at], pa.string()), pa.array([a[2] if a else None for a in at], pa.int32()),
+            ], [*keep, "defect", "cut_score", "cut_by", "limit_measure", "limit_length"])
 
     return run
 
 
 def defects(answers: DataFrame, sentences: DataFrame, books: DataFrame, keep: tuple[str, ...] = ("translation_id",), model: Model | None = None) -> DataFrame:
-    """The defective answers with the kind of defect; one row an answer. answers: translation_id, sentence_id, model, target, text."""
+    """The defective answers with the kind of defect; one row an answer. answers: translation_id, sentence_id, model, target, text
+    and, where rows may be repeated, loaded_at, as the sentences."""
     model = model or fit(answers, sentences, books)
     ship = answers.sparkSession.sparkContext.broadcast(model)
-    cols = list(dict.fromkeys([*keep, "sentence_id", "model", "target", "text"]))
-    both = answers.select(*cols).join(sentences.select("sentence_id", "src"), "sentence_id")
-    schema = both.select(*keep, F.lit("").alias("defect"), F.lit(0.0).alias("cut_score")).schema
-    return both.mapInArrow(_judge(ship, list(keep)), schema).dropDuplicates(["translation_id"])
+    cols = list(dict.fromkeys([*keep, "translation_id", "sentence_id", "model", "target", "text", *(c for c in ("loaded_at",) if c in answers.columns)]))
+    src = latest(sentences.select("sentence_id", "src", *(c for c in ("loaded_at",) if c in sentences.columns)), "sentence_id").select("sentence_id", "src")
+    # repeated answers have the same sentence, so they are told apart where the join has put them
+    both = latest(answers.select(*cols).join(src, "sentence_id", "left"), "translation_id", within=["sentence_id"])
+    schema = both.select(*keep, F.lit("").alias("defect"), F.lit(0.0).alias("cut_score"), *[F.lit(None).cast(t).alias(c) for c, t in (("cut_by", "string"), ("limit_measure", "string"), ("limit_length", "int"))]).schema
+    return both.mapInArrow(_judge(ship, list(keep)), schema)

@@ -183,19 +183,42 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return _defects(spark, d).where("defect = 'truncated'").select("translation_id")
 
 
+def _said(spark: SparkSession, d: str) -> DataFrame:
+    """What the last attempt of each request says: req_id, provider, finish_reason."""
+    r = table(spark, d, "request_stats").groupBy("req_id").agg(F.max_by(F.struct("provider", "finish_reason"), F.struct("attempt", "logged_at")).alias("r"))
+    return r.select("req_id", _label("r.provider").alias("provider"), F.lower("r.finish_reason").alias("finish_reason"))
+
+
+def _label(c: str):
+    return F.nullif(F.trim(F.col(c)), F.lit(""))
+
+
 @query
 def p2_rates(spark: SparkSession, d: str) -> DataFrame:
-    """The rate of cut answers by model, provider and target, beside what finish_reason tells."""
+    """The rate of cut answers by model, provider and target, at a storage limit and elsewhere, beside what finish_reason tells."""
     answers = table(spark, d, "translations").dropDuplicates(["translation_id"]).select("translation_id", "req_id", "model", "target")
-    said = table(spark, d, "request_stats").groupBy("req_id").agg(F.max_by(F.struct("provider", "finish_reason"), F.struct("attempt", "logged_at")).alias("r"))
-    cut = _defects(spark, d).where("defect = 'truncated'").select("translation_id", F.lit(1).alias("cut"))
-    all_ = answers.join(cut, "translation_id", "left").join(said, "req_id", "left")
-    told = F.lower("r.finish_reason").isin("length", "max_tokens")
-    label = lambda c: F.nullif(F.trim(c), F.lit(""))
-    out = all_.groupBy(label(F.col("model")).alias("model"), label(F.col("r.provider")).alias("provider"), "target").agg(F.count("*").alias("n_answers"), F.count("cut").alias("n_cut"), F.count_if(told).alias("n_told"), F.count_if(told & F.col("cut").isNotNull()).alias("n_cut_and_told"))
+    cut = _defects(spark, d).where("defect = 'truncated'").select("translation_id", "cut_by")
+    all_ = answers.join(cut, "translation_id", "left").join(_said(spark, d), "req_id", "left")
+    told = F.col("finish_reason").isin("length", "max_tokens")
+    out = all_.groupBy(_label("model").alias("model"), "provider", "target").agg(F.count("*").alias("n_answers"), F.count("cut_by").alias("n_cut"), F.count_if(F.col("cut_by") == "limit").alias("n_at_limit"), F.count_if(told).alias("n_told"), F.count_if(told & F.col("cut_by").isNotNull()).alias("n_cut_and_told"))
     return out.withColumn("cut_rate", F.col("n_cut") / F.col("n_answers"))
 
 
+@query
+def p2_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Piles of answers of one length under each encoding, by model, by provider and by target: where a storage limit shows."""
+    from tessella.llm.answers import MEASURES, lengths, piles
+    from tessella.session import latest
+
+    each = F.array(*[F.struct(F.lit(m).alias("measure"), x.alias("length")) for m, x in enumerate(lengths(F.coalesce(F.col("text"), F.lit(""))))])
+    rows = latest(table(spark, d, "translations").select("translation_id", "loaded_at", "req_id", _label("model").alias("model"), "target", each.alias("x")), "translation_id")
+    rows = rows.join(_said(spark, d), "req_id", "left").select("model", "provider", "target", F.explode("x").alias("x")).groupBy("model", "provider", "target", "x.measure", "x.length").agg(F.count("*").alias("n"))
+    groups = F.explode(F.array(*[F.struct(F.lit(c).alias("level"), F.col(c).alias("name")) for c in ("model", "provider", "target")])).alias("by")
+    n = rows.select(groups, "measure", "length", "n").groupBy("by.level", "by.name", "measure", "length").agg(F.sum("n").alias("n"))
+    named = F.element_at(F.array(*map(F.lit, MEASURES)), F.col("measure") + 1)
+    return piles(n, ["level", "name"]).select("level", "name", named.alias("encoding"), "length", F.col("n").alias("n_answers"), F.round("odds", 4).alias("odds"))
+
+
 @query
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return _defects(spark, d).select("translation_id", "defect")
