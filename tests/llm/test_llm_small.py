@@ -42,37 +42,55 @@ def test_pairs_against_brute_force(spark):
 
 
 # --- 2, 3
-def test_lengths_of_alternative_encodings():
-    texts = ["a&\"<'\n", "дé😀", ""]
-    t = answers.Texts(texts, measures=True)
+def test_lengths_of_alternative_encodings(spark):
     import html
     import json
 
+    texts = ["a&\"<'\n", "дé😀", "", "\\ \x01\t\r😀>"]
+    t = answers.Texts(texts, measures=True)
     want = [[len(x), len(x.encode()), len(x.encode("utf-16-le")) // 2, len(html.escape(x)) - x.count("'"), len(json.dumps(x)) - 2, len(x.replace("\n", "\r\n"))] for x in texts]
     assert t.lengths.T.tolist() == want
+    df = spark.createDataFrame([(x,) for x in texts], "text string").select(F.array(*answers.lengths(F.col("text"))).alias("x"))
+    assert [r.x for r in df.collect()] == want
+
 
+def _limits(spark, hist):
+    """hist: {(model, measure): {length: n}}."""
+    rows = [(g, m, k, n) for (g, m), h in hist.items() for k, n in h.items()]
+    found = answers.piles(spark.createDataFrame(rows, "model string, measure int, length int, n long"), ["model"]).collect()
+    return answers.limits([((r.model,), r.measure, r.length, r.n, r.odds, r.own) for r in found])
 
-def test_hidden_limit():
+
+def test_hidden_limit(spark):
     rng = random.Random(0)
     hist: dict[int, int] = {}
     for _ in range(5000):
         n = min(110, rng.randrange(40, 180)) if rng.random() < 0.4 else rng.randrange(40, 180)
         hist[n] = hist.get(n, 0) + 1
-    assert answers.limits({("m", 0): hist})["m", 0][0] == 110
-    assert answers.limits({("m", 0): {k: 30 for k in range(20, 150)}}) == {}
+    got = _limits(spark, {("m", 0): hist, ("n", 0): {k: 30 for k in range(20, 150)}})
+    assert set(got) == {(("m",), 0)} and list(got[("m",), 0]) == [110]
+    usual = sum(hist.get(110 + i, 0) for i in (*range(-16, -1), *range(2, 17))) / 30
+    assert np.isclose(got[("m",), 0][110], np.log(hist[110] / (usual + 1) - 1))
 
 
-def test_all_limits_of_a_model():
+def test_all_limits_of_a_model(spark):
     hist = {n: 200 for n in range(40, 100)} | {n: 3 for n in range(100, 700)} | {3: 500}
     hist[300], hist[301], hist[500] = 46, 5, 72  # none among the 40 most frequent lengths
-    got = answers.limits({("m", 0): hist, (None, 1): hist})
-    assert got["m", 0] == (500, 300)
-    assert {500, 300} <= set(got[None, 1])
     near = {n: 5 for n in range(100, 300)} | {200: 72, 201: 3, 202: 46}
-    assert set(answers.limits({("m", 1): near})["m", 1]) == {200, 202}  # both, though they share lengths
     rng = random.Random(0)
     one = {n: rng.randrange(20, 40) for n in range(1, 120)}
-    assert answers.limits({("m", k): one | {2: 900} for k in range(6)}) == {}  # too short to be a limit
+    got = _limits(spark, {("m", 0): hist, (None, 1): hist, ("k", 1): near} | {("s", k): one | {2: 900} for k in range(6)})
+    assert set(got[("m",), 0]) == {500, 300} and {500, 300} <= set(got[(None,), 1])
+    assert set(got[("k",), 1]) == {200, 202}  # both, though they share lengths
+    assert not any(g == ("s",) for g, _ in got)  # too short to be a limit
+
+
+def test_answers_at_a_limit(spark):
+    """The pile's odds carry an ending that elsewhere would not do; an ending that is sound speaks against them."""
+    found = {(("m",), 0): {40: 3.0}, (("m", "de"), 1): {99: 4.0}}
+    assert answers._at_limit(found, "m", "fr", np.array([40, 44, 40, 40, 90, 40])) == (3.0, 0, 40)
+    assert answers._at_limit(found, "m", "de", np.array([40, 97, 40, 40, 90, 40])) == (4.0, 1, 99)
+    assert answers._at_limit(found, "n", "de", np.array([40, 97, 40, 40, 90, 40])) is None and answers._at_limit(found, "m", "fr", np.array([41, 97, 0, 0, 0, 0])) is None
 
 
 def test_folded_hashes():
@@ -100,12 +118,12 @@ def test_defects_of_a_small_corpus(spark):
         s.append((i, i // 10, f"{a} {b} {c}."))
         t.append((i, i, "m", "de", f"{who[a]} {did[b]} {where[c]}."))
     bad = {0: ("empty", "[no output]"), 1: ("refusal", "Es tut mir leid, diesen Text kann ich nicht übersetzen."), 2: ("copy", f"1: {s[2][2]}"), 3: ("truncated", t[3][4][:17]), 4: ("truncated", t[4][4][:22] + "...")}
-    t = [(i, j, m, g, bad[i][1] if i in bad else x) for i, j, m, g, x in t] + [t[9], (5000, 77777, "m", "de", "x"), (5001, 8, None, None, None)]
+    t = [(i, j, m, g, bad[i][1] if i in bad else x) for i, j, m, g, x in t] + [t[9], (5000, 77777, "m", "de", "x"), (5001, 8, None, None, None), (5002, 88888, "m", "de", "[no output]")]
     A = spark.createDataFrame(t, "translation_id long, sentence_id long, model string, target string, text string")
     S = spark.createDataFrame(s, "sentence_id long, book_id long, src string")
     B = spark.createDataFrame([(i, "en") for i in range(300)], "book_id long, language string")
     got = {r.translation_id: r.defect for r in answers.defects(A, S, B).collect()}
-    assert {k: got.get(k) for k in bad} == {k: v[0] for k, v in bad.items()} and got.get(5001) == "empty"
+    assert {k: got.get(k) for k in bad} == {k: v[0] for k, v in bad.items()} and got.get(5001) == "empty" and got.get(5002) == "empty" and 5000 not in got
     assert len(got) <= len(bad) + 15
     assert answers.defects(A.where("false"), S.where("false"), B.where("false")).count() == 0
 
@@ -158,15 +176,18 @@ def test_any_number_of_runs_and_misreadings(pair_model):
 
 
 # --- 5
+def _sentence_model(base):
+    import pyarrow as pa
+
+    counts = np.zeros(4 * sentences.BUCKETS)
+    for b in sentences._count([pa.RecordBatch.from_arrays([pa.array(base)], ["src"])]):
+        counts[b.column(0).to_numpy()] += b.column(1).to_numpy()
+    return sentences.train(sentences.Model(counts.reshape(4, -1)), list(zip(base, base[1:])))
+
+
 def test_sentence_rules():
-    seen = {k: sentences.Counter() for k in range(4)}
     base = ["The baker hid the key.", "Who lit the lamp?", "“Stop it!” cried the doctor.", "He left at dawn.", "In the evening, she ran.", "Le peintre a vu la mer.", "Он ушёл домой.", "画家在岛上画了一张图。", "谁点亮了灯？"] * 30
-    for t in base:
-        seen[0][sentences.behind(t, 0)] += 1
-        seen[1][sentences.before(t, len(t))] += 1
-        seen[2].update(sentences.tokens(t.rstrip(".!?")))
-        seen[3].update(sentences._WORD.findall(t))
-    m = sentences.train(sentences.shares(seen), list(zip(base, base[1:])))
+    m = _sentence_model(base)
     cut = lambda t, role="body": [t[s:e] for s, e in m.units(t, role)]
     assert cut("The baker hid the key. Who lit the lamp?") == ["The baker hid the key.", "Who lit the lamp?"]
     assert cut("He left at dawn.Who lit the lamp?\n“Stop it!” cried the doctor.") == ["He left at dawn.", "Who lit the lamp?", "“Stop it!” cried the doctor."]
