@@ -17,8 +17,16 @@ SEP = "\u0001"
 ARTIFACT = r"(?i)<(bos|eos|pad|unk|s|/s|im_start|im_end)>|<\|[a-z_]+\|>|\x{FFFD}"
 # --- fixed values: accented letters and what they fold to; three-letter language codes
 ACCENTED, PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüçñý", "aaaaaaeeeeiiiiooooouuuucny"
-ISO3 = {"eng": "en", "rus": "ru", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es", "por": "pt", "ukr": "uk", "jpn": "ja", "zho": "zh", "chi": "zh", "heb": "he", "lit": "lt", "hin": "hi", "tha": "th", "ita": "it"}
-LANG_NAMES = {"en": "English", "ru": "Russian", "de": "German", "fr": "French", "es": "Spanish", "pt": "Portuguese", "uk": "Ukrainian", "ja": "Japanese", "zh": "Chinese", "he": "Hebrew", "lt": "Lithuanian", "hi": "Hindi", "th": "Thai"}
+ISO3 = {"eng": "en", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "rus": "ru", "spa": "es", "ita": "it", "por": "pt", "nld": "nl", "dut": "nl", "pol": "pl", "ukr": "uk", "tur": "tr"}
+# --- fixed values: names of languages in prompts
+LANG_NAMES = {
+    "ru": "Russian", "en": "English", "es": "Spanish", "fr": "French", "de": "German", "it": "Italian", "pt": "Portuguese", "uk": "Ukrainian", "pl": "Polish", "ja": "Japanese", "zh": "Chinese", "ko": "Korean", "tr": "Turkish", "nl": "Dutch", "ar": "Arabic",
+}
+# --- fixed values: titles of front and back matter, folded, whole or with one of the words
+MATTER_EXACT = r"^\s*(indice|index|toc|contents?|table of contents|tabla de contenidos?|contenidos?|notas|notes|endnotes|footnotes)\s*$"
+MATTER_LOOSE = r"\b(portada|cover|cubierta|sinopsis|synopsis|creditos|copyright|colophon|titlepage|title page|half.?title|ncl.?indice)\b"
+# --- fixed values: what makes a note a citation
+URL, YEAR = r"(?i)https?://|www\.|(?<![0-9A-Za-z_])doi(?![0-9A-Za-z_])", r"(?<![0-9A-Za-z_])(1[5-9][0-9]{2}|20[0-9]{2})(?![0-9A-Za-z_])"
 
 
 def _c(c: Column | str) -> Column:
@@ -106,10 +114,11 @@ def fold_latin(c) -> Column:
 
 
 def language_tag(c) -> Column:
-    """Primary subtag in small letters, three letters to two, empty where it is no tag."""
+    """Primary subtag in small letters, three letters to two where known; empty where it is no tag of two or three letters. Null
+    stays null."""
     p = F.element_at(F.split(F.lower(F.trim(_c(c))), "[-_]"), 1)
     three = F.create_map(*[F.lit(x) for kv in ISO3.items() for x in kv])
-    return F.when(p.rlike("^[a-z]{2,3}$"), F.coalesce(F.try_element_at(three, p), p)).otherwise(F.lit(""))
+    return F.when(p.rlike("^[a-z]{2,3}$"), F.coalesce(F.try_element_at(three, p), p)).when(p.isNotNull(), F.lit(""))
 
 
 def language_name(c) -> Column:
@@ -122,15 +131,16 @@ def is_artifact(c) -> Column:
 
 
 def is_citation(c) -> Column:
-    """An address or DOI, or three commas and a year."""
+    """An address or DOI, or three commas and a year from 1500 to 2099."""
     c = _c(c)
     commas = F.length(c) - F.length(F.replace(c, F.lit(","), F.lit("")))
-    return F.coalesce(c.rlike(r"(?i)https?://|www\.|(^|[^a-z0-9])doi[: ]") | ((commas >= 3) & c.rlike(r"(^|[^0-9A-Za-z_])(1[5-9]|20)[0-9]{2}([^0-9A-Za-z_]|$)")), F.lit(False))
+    return F.coalesce(c.rlike(URL) | ((commas >= 3) & c.rlike(YEAR)), F.lit(False))
 
 
 def is_matter(title) -> Column:
-    """Front and back matter by its folded title."""
-    return F.coalesce(fold_latin(title).rlike(r"^(contents|table of contents|copyright|title page|cover|index|colophon|imprint|about the author|acknowledg(e)?ments|dedication|titelseite|inhalt|sommaire|indice)$"), F.lit(False))
+    """Front and back matter by its title or, underscores and hyphens as blanks, its file name."""
+    folded = fold_latin(title)
+    return F.coalesce((folded != "") & (folded.rlike(MATTER_EXACT) | folded.rlike(MATTER_LOOSE)), F.lit(False))
 
 
 def strip_reply(c) -> Column:

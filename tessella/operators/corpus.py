@@ -25,8 +25,23 @@ def sentences_of(paras: DataFrame) -> DataFrame:
 
 
 def occurrences(df: DataFrame, src: str, order: list[str], by: list[str] | None = None) -> DataFrame:
-    """Numbers the occurrences of a text in reading order, from 0."""
-    return df.withColumn("occurrence", F.row_number().over(Window.partitionBy(*(by or []), src).orderBy(*order)) - 1)
+    """Numbers the occurrences of a text in reading order, from 0. A line that recurs everywhere is spread over ranges."""
+    keys = [*(by or []), src]
+    return within(df, keys, order, "occurrence")
+
+
+def within(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Places from 0 within a key, in that order, without one task holding a key: global places less the key's first one."""
+    at = numbered(df, [*keys, *order], "_at_all")
+    first = at.groupBy(*keys).agg(F.min("_at_all").alias("_first"))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    out = at.alias("a").join(first.alias("b"), same)
+    return out.select("a.*", F.col("b._first").alias("_first")).withColumn(name, F.col("_at_all") - F.col("_first")).drop("_at_all", "_first")
+
+
+def batches(df: DataFrame, keys: list[str], order: list[str], size: int) -> DataFrame:
+    """Numbers consecutive batches of ``size`` rows within a key, from 0."""
+    return within(df, keys, order, "_nth").withColumn("batch", F.floor(F.col("_nth") / size)).drop("_nth")
 
 
 def matched(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -43,9 +58,13 @@ def pending(wanted: DataFrame, store: DataFrame, key: str = "key", text: str = "
 
 def filled(wanted: DataFrame, final: DataFrame, raw: DataFrame, key: str = "key") -> DataFrame:
     """The final text, else the raw one with its list number restored, else empty; artefacts are skipped."""
+    return levels(wanted.join(final.select(key, F.col("text").alias("_f")), key, "left").join(raw.select(key, F.col("text").alias("_r")), key, "left"))
+
+
+def levels(df: DataFrame) -> DataFrame:
+    """df: src, _f, _r (final and raw text or null). Adds the text that fills and its level: final, raw or none."""
     ok = lambda c: F.when(~T.is_artifact(c) & (F.trim(F.col(c)) != ""), F.col(c))
-    out = wanted.join(final.select(key, F.col("text").alias("_f")), key, "left").join(raw.select(key, F.col("text").alias("_r")), key, "left")
-    return out.withColumn("text", F.coalesce(ok("_f"), T.restore_list_mark("src", ok("_r")), F.lit(""))).withColumn("level", F.when(ok("_f").isNotNull(), "final").when(ok("_r").isNotNull(), "raw").otherwise("none")).drop("_f", "_r")
+    return df.withColumn("text", F.coalesce(ok("_f"), T.restore_list_mark("src", ok("_r")), F.lit(""))).withColumn("level", F.when(ok("_f").isNotNull(), "final").when(ok("_r").isNotNull(), "raw").otherwise("none")).drop("_f", "_r")
 
 
 def previous_context(df: DataFrame, by: list[str], order: list[str], n: int, src: str, tr: str) -> DataFrame:
@@ -78,17 +97,6 @@ def lexicon(pairs: DataFrame, least: int = 3, top: int = 12, by: tuple[str, ...]
     return n.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
-def support(links: DataFrame, lex: DataFrame, keys: list[str]) -> DataFrame:
-    """links: keys, s, t (folded words of aligned chunks). Counts covered and supported links; the lexicon is joined on the
-    word and its stems, the better answer counts. flag: four covered links and at most 0.34 of them supported."""
-    known = lex.groupBy("s").agg(F.collect_set("t").alias("ts"))  # at most `top` targets a word
-    forms = links.distinct().withColumn("form", F.explode(F.array_union(F.array("s"), T.stem_variants("s"))))
-    hit = forms.join(known.withColumnRenamed("s", "form"), "form", "left")
-    per = hit.groupBy(*keys, "s", "t").agg(F.max(F.col("ts").isNotNull()).alias("covered"), F.max(F.coalesce(F.exists("ts", lambda x: T.prefix_plausible(x, F.col("t"))), F.lit(False))).alias("supported"))
-    out = per.groupBy(*keys).agg(F.count_if("covered").alias("n_covered"), F.count_if(F.col("covered") & F.col("supported")).alias("n_supported"))
-    return out.withColumn("flagged", (F.col("n_covered") >= 4) & (F.col("n_supported") <= 0.34 * F.col("n_covered")))
-
-
 def chunk_words(answers: DataFrame, align: Column, keys: list[str]) -> DataFrame:
     """answers: keys, src, text, words. One row a word that a chunk is asked about: keys, chunk, own, s, t (both folded). Own are
     the chunk's words; the others are the words before its first and behind its last one. Fragments and own words of fewer than
@@ -154,6 +162,16 @@ def stride_sample(df: DataFrame, order: list[str], most: int) -> DataFrame:
 
 
 def clean_sample(df: DataFrame, by: str, share: int = 20) -> DataFrame:
-    """A deterministic sample of ceil(n/share) rows: the least by SHA-256 of the text."""
+    """A deterministic sample of ceil(n/share) rows: the least by SHA-256 of the text, by places in ranges of the hash."""
     n = df.count()
-    return df.orderBy(F.sha2(F.col(by), 256), by).limit(-(-n // share))
+    at = numbered(df.withColumn("_hash", F.sha2(F.col(by), 256)), ["_hash", by], "_pos")
+    return at.where(F.col("_pos") < -(-n // share)).drop("_hash", "_pos")
+
+
+def sentence_ranges(paras: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, sent_idx, b, f: where the sentences of a text lie by the mark-blank-capital rule, the blanks between with the one before."""
+    pieces = F.split(F.regexp_replace(F.col(text), T.SPLIT, f"$1 {T.SEP}$2"), T.SEP)
+    p = paras.select(key, F.transform(pieces, F.length).alias("_n"))
+    ends = F.transform("_n", lambda n, i: F.aggregate(F.slice("_n", 1, i + 1), F.lit(0), lambda a, x: a + x))
+    p = p.select(key, F.posexplode(F.arrays_zip(F.col("_n").alias("n"), ends.alias("f"))).alias("sent_idx", "x"))
+    return p.select(key, "sent_idx", (F.col("x.f") - F.col("x.n")).alias("b"), F.col("x.f").alias("f"))

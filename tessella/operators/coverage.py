@@ -5,17 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.stopwords import STOP
 from tessella.functions.text import RUN, WORD, offsets
 
-# --- fixed values: frequent function words by language (a small list of our own)
-STOP = {
-    "en": "a an and the of to in on at by for with from is was are were be been it its this that these those he she they we you i his her their but or not as who".split(),
-    "ru": "и в во на за под у с со о от до из к по не но а что как это он она они мы вы я его её их кто при".split(),
-    "de": "der die das den dem des ein eine einen einem und in im am an auf unter hinter bei mit von zu ist war nicht aber wer er sie es".split(),
-    "fr": "le la les l un une des du de d et à au aux en dans sur sous par pour est a qui que ne pas mais il elle".split(),
-    "es": "el la los las un una unos unas y de del a al en por para con es que no pero quién él ella".split(),
-}
-
 
 def overlaps(w: Column, c: Column) -> Column:
     return (c["t0"] < w["e"]) & (w["s"] < c["t1"])
@@ -32,14 +24,14 @@ def coverage_q(text: Column, align: Column) -> Column:
     return F.when(F.size(runs) > 0, F.round(F.size(covered(runs, F.coalesce(align, F.array()))) / F.size(runs), 2)).otherwise(F.lit(0.0))
 
 
-def measure(df: DataFrame) -> DataFrame:
+def measure(df: DataFrame, stop: dict[str, list[str]] = STOP) -> DataFrame:
     """df: text, align, words (of the source), target. Adds n_tgt, n_tgt_covered, n_src, n_src_tapped, n_chunks, q_runs,
     n_content and n_content_covered, the words left when the target's stop words go (all where none is left or no list is)."""
     none = F.array().cast("array<struct<t0:int,t1:int,w:array<int>>>")
     align, words = F.coalesce(F.col("align"), none), F.coalesce(F.col("words"), F.array().cast("array<struct<s:int,e:int>>"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    stop = F.create_map(*[x for k, v in STOP.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    df = df.withColumn("_a", align).withColumn("_tw", offsets(text, WORD)).withColumn("_stop", F.coalesce(F.try_element_at(stop, F.col("target")), F.array().cast("array<string>")))
+    lists = F.create_map(*[x for k, v in stop.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    df = df.withColumn("_a", align).withColumn("_tw", offsets(text, WORD)).withColumn("_stop", F.coalesce(F.try_element_at(lists, F.lower(F.trim("target"))), F.array().cast("array<string>")))
     content = F.filter("_tw", lambda w: ~F.array_contains(F.col("_stop"), F.lower(F.substring(text, w["s"] + 1, w["e"] - w["s"]))))
     df = df.withColumn("_cw", content).withColumn("_cw", F.when(F.size("_cw") > 0, F.col("_cw")).otherwise(F.col("_tw")))
     tapped = F.array_distinct(F.filter(F.flatten(F.transform("_a", lambda c: c["w"])), lambda i: (i >= 0) & (i < F.size(words))))

@@ -109,13 +109,14 @@ def fold_and_stem(spark, d):
     return f.select("*", F.array_join(T.stem_variants("folded"), ",").alias("stems"))
 
 
-@query(f"""WITH {S}, a AS (SELECT DISTINCT {FOLD.format("list_extract(regexp_extract_all(src, '" + W + "'), 1)")} AS a, {FOLD.format("list_extract(regexp_extract_all(src, '" + W + "'), -1)")} AS b FROM s WHERE len(regexp_extract_all(src, '{W}')) > 0),
+@query(f"""WITH {S}, w AS (SELECT list_transform(regexp_extract_all(src, '{W}'), x -> {FOLD.format('x')}) AS w FROM s), u AS (SELECT DISTINCT unnest(list_transform(range(1, len(w)), i -> {{'a': w[i], 'b': w[i + 1]}})) AS x FROM w WHERE len(w) > 1), a AS (SELECT x.a AS a, x.b AS b FROM u),
 l AS (SELECT a, b, least(length(a), length(b)) AS m FROM a), k AS (SELECT *, greatest(3, m - CASE WHEN m < 6 THEN m - 3 ELSE 3 END) AS k FROM l)
 SELECT a, b, ((a = b AND a <> '') OR (m >= 4 AND left(a, k) = left(b, k))) AS plausible FROM k""")
 def prefix_plausible_pairs(spark, d):
-    w = T.words("src")
-    a = _s(spark, d).where(F.size(w) > 0).select(T.fold_letters(F.element_at(w, 1)).alias("a"), T.fold_letters(F.element_at(w, -1)).alias("b")).distinct()
-    return a.select("a", "b", T.prefix_plausible("a", "b").alias("plausible"))
+    """All pairs of neighbouring words of the sentences."""
+    w = _s(spark, d).select(F.transform(T.words("src"), T.fold_letters).alias("w")).where(F.size("w") > 1)
+    pairs = F.explode(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+    return w.select(pairs.alias("x")).select("x.a", "x.b").distinct().select("a", "b", T.prefix_plausible("a", "b").alias("plausible"))
 
 
 @query(f"""WITH {S} SELECT sentence_id, array_to_string(list_transform(regexp_extract_all(src, '{W}'), (w, i) -> (i - 1)::VARCHAR || ':' || w), ' ') AS numbered FROM s WHERE src IS NOT NULL""")
@@ -130,8 +131,12 @@ def list_mark_restored(spark, d):
     return both.select("translation_id", T.restore_list_mark("src", "text").alias("text"))
 
 
-@query("""WITH p AS (SELECT book_id, string_split_regex(lower(trim(language)), '[-_]')[1] AS p FROM books)
-SELECT book_id, CASE WHEN p IS NULL THEN '' WHEN regexp_matches(p, '^[a-z]{2,3}$') THEN coalesce(map {%s}[p], p) ELSE '' END AS tag FROM p""" % ", ".join(f"'{k}': '{v}'" for k, v in T.ISO3.items()))
+_TAG = """b AS (SELECT book_id, string_split_regex(lower(trim(language)), '[-_]')[1] AS p FROM books),
+bk AS (SELECT book_id, CASE WHEN p IN ('eng') THEN 'en' WHEN p IN ('deu', 'ger') THEN 'de' WHEN p IN ('fra', 'fre') THEN 'fr' WHEN p = 'rus' THEN 'ru' WHEN p = 'spa' THEN 'es' WHEN p = 'ita' THEN 'it' WHEN p = 'por' THEN 'pt' WHEN p IN ('nld', 'dut') THEN 'nl'
+WHEN p = 'pol' THEN 'pl' WHEN p = 'ukr' THEN 'uk' WHEN p = 'tur' THEN 'tr' WHEN regexp_full_match(p, '[a-z]{2,3}') THEN p ELSE '' END AS tag FROM b)"""
+
+
+@query(f"""WITH {_TAG} SELECT book_id, tag FROM bk""")
 def language_tags(spark, d):
     return table(spark, d, "books").select("book_id", F.coalesce(T.language_tag("language"), F.lit("")).alias("tag"))
 
@@ -141,20 +146,22 @@ def artifacts(spark, d):
     return _s(spark, d).where(T.is_artifact("src")).select("sentence_id")
 
 
-@query(f"""WITH {S} SELECT kind, coalesce(regexp_matches(src, '(?i)https?://|www\\.|(^|[^a-z0-9])doi[: ]') OR (length(src) - length(replace(src, ',', '')) >= 3 AND regexp_matches(src, '(^|[^0-9A-Za-z_])(1[5-9]|20)[0-9]{{2}}([^0-9A-Za-z_]|$)')), false) AS citation, count(*) AS n FROM s GROUP BY ALL""")
+@query(f"""WITH {S} SELECT kind, coalesce(regexp_matches(src, '(?i)https?://|www\\.|\\bdoi\\b') OR (length(src) - length(replace(src, ',', '')) >= 3 AND regexp_matches(src, '\\b(1[5-9][0-9]{{2}}|20[0-9]{{2}})\\b')), false) AS citation, count(*) AS n FROM s GROUP BY ALL""")
 def citations(spark, d):
     return _s(spark, d).groupBy("kind", T.is_citation("src").alias("citation")).agg(F.count("*").alias("n"))
 
 
-@query(f"""SELECT book_id, translate(lower(title), '{T.ACCENTED}', '{T.PLAIN}') AS folded FROM books WHERE title IS NOT NULL AND regexp_full_match(title, '[\\x00-\\x{{17f}}]*')""")
+@query(f"""SELECT book_id, translate(lower(title), '{T.ACCENTED}', '{T.PLAIN}') AS folded FROM books WHERE title IS NOT NULL""")
 def folded_titles(spark, d):
-    return table(spark, d, "books").where(F.col("title").rlike("^[\\x00-\\x{17f}]*$")).select("book_id", T.fold_latin("title").alias("folded"))
+    """All titles, in any script."""
+    return table(spark, d, "books").where("title is not null").select("book_id", T.fold_latin("title").alias("folded"))
 
 
-@query()
-def folded_titles_whole(spark, d):
-    """All titles, in any script; folded_titles is bound to its SQL, characters up to U+017F."""
-    return table(spark, d, "books").where("title is not null").select("book_id", T.fold_latin("title").alias("folded"))
+@query("""WITH f AS (SELECT book_id, translate(lower(title), 'áàâäãåéèêëíìîïóòôöõúùûüñçý', 'aaaaaaeeeeiiiiooooouuuuncy') AS f FROM books)
+SELECT book_id, coalesce(f <> '' AND (regexp_matches(f, '^\\s*(indice|index|toc|contents?|table of contents|tabla de contenidos?|contenidos?|notas|notes|endnotes|footnotes)\\s*$') OR regexp_matches(f, '\\b(portada|cover|cubierta|sinopsis|synopsis|creditos|copyright|colophon|titlepage|title page|half.?title|ncl.?indice)\\b')), false) AS matter FROM f""")
+def matter_titles(spark, d):
+    """Whether a title is that of front or back matter."""
+    return table(spark, d, "books").select("book_id", T.is_matter("title").alias("matter"))
 
 
 @query(f"""WITH {S} SELECT sentence_id, sha256(concat_ws('|', 'v8', 'orbit-large', 'en', 'de', src)) AS final_key, sha256(concat_ws('|', 'v5', 'tr', 'orbit-large', 'en', 'de', src)) AS raw_key FROM s WHERE src IS NOT NULL""")
@@ -162,29 +169,44 @@ def store_keys(spark, d):
     return _s(spark, d).where("src is not null").select("sentence_id", T.key("v8", "orbit-large", "en", "de", F.col("src")).alias("final_key"), T.key("v5", "tr", "orbit-large", "en", "de", F.col("src")).alias("raw_key"))
 
 
-def _store(spark, d, target):
-    """The keyed results of a target: one text a source, the last stored."""
-    both = _t(spark, d).where(F.col("target") == target).join(_s(spark, d).select("sentence_id", "src"), "sentence_id").where("src is not null")
-    return both.groupBy(T.key(F.col("src")).alias("key")).agg(F.max_by("text", F.struct("stored_at", "translation_id")).alias("text"))
+def _stores(spark, d):
+    """The keyed results of all targets: one text a source and target, the last stored."""
+    both = _t(spark, d).where("target is not null").join(_s(spark, d).where("src is not null").select("sentence_id", "src"), "sentence_id")
+    return both.groupBy("target", T.key(F.col("src")).alias("hash")).agg(F.max_by("text", F.struct("stored_at", "translation_id")).alias("text")).select("target", "hash", F.concat_ws("|", "target", "hash").alias("key"), "text")
+
+
+def _wanted(spark, d, stores):
+    """Every source in every target that there is; the targets are a handful."""
+    w = _s(spark, d).where("src is not null").select(T.key(F.col("src")).alias("hash"), "src").dropDuplicates(["hash"])
+    targets = stores.select("target").distinct().agg(F.collect_set("target").alias("targets"))
+    return w.join(F.broadcast(targets), F.lit(True)).select(F.explode("targets").alias("target"), "hash", "src").select("target", "hash", F.concat_ws("|", "target", "hash").alias("key"), "src")
 
 
-_STORE = "st AS (SELECT key, text FROM (SELECT sha256(src) AS key, text, row_number() OVER (PARTITION BY sha256(src) ORDER BY stored_at DESC NULLS LAST, translation_id DESC) AS k FROM t JOIN s USING (sentence_id) WHERE target = 'ru' AND src IS NOT NULL) WHERE k = 1)"
+_STORES = """st AS (SELECT target, key, text FROM (SELECT target, sha256(src) AS key, text, row_number() OVER (PARTITION BY target, sha256(src) ORDER BY stored_at DESC NULLS LAST, translation_id DESC) AS k FROM t JOIN s USING (sentence_id) WHERE target IS NOT NULL AND src IS NOT NULL) WHERE k = 1),
+tg AS (SELECT DISTINCT target FROM st), w AS (SELECT DISTINCT target, sha256(src) AS key, src FROM s, tg WHERE src IS NOT NULL)"""
 
 
-@query(f"""WITH {S}, {TR}, {_STORE} SELECT DISTINCT sha256(src) AS key, src FROM s WHERE src IS NOT NULL AND sha256(src) NOT IN (SELECT key FROM st WHERE trim(coalesce(text, '')) <> '' AND NOT regexp_matches(text, '{ARTIFACT}'))""")
+@query(f"""WITH {S}, {TR}, {_STORES}, ok AS (SELECT target, key FROM st WHERE trim(coalesce(text, '')) <> '' AND NOT regexp_matches(text, '{ARTIFACT}')) SELECT w.target, w.key, src FROM w LEFT JOIN ok ON w.target = ok.target AND w.key = ok.key WHERE ok.key IS NULL""")
 def pending_work(spark, d):
-    wanted = _s(spark, d).where("src is not null").select(T.key(F.col("src")).alias("key"), "src")
-    return C.pending(wanted, _store(spark, d, "ru"))
+    """What is wanted and not stored, for every target."""
+    stores = _stores(spark, d)
+    return C.pending(_wanted(spark, d, stores), stores).select("target", F.col("hash").alias("key"), "src")
 
 
-@query(f"""WITH {S}, {TR}, {_STORE}, ra AS (SELECT key, text FROM (SELECT sha256(src) AS key, text, row_number() OVER (PARTITION BY sha256(src) ORDER BY stored_at DESC NULLS LAST, translation_id DESC) AS k FROM t JOIN s USING (sentence_id) WHERE target = 'de' AND src IS NOT NULL) WHERE k = 1),
-w AS (SELECT DISTINCT sha256(src) AS key, src FROM s WHERE src IS NOT NULL),
-f AS (SELECT w.key, src, CASE WHEN NOT regexp_matches(coalesce(st.text, ''), '{ARTIFACT}') AND trim(st.text) <> '' THEN st.text END AS f, CASE WHEN NOT regexp_matches(coalesce(ra.text, ''), '{ARTIFACT}') AND trim(ra.text) <> '' THEN ra.text END AS r FROM w LEFT JOIN st ON w.key = st.key LEFT JOIN ra ON w.key = ra.key)
-SELECT CASE WHEN f IS NOT NULL THEN 'final' WHEN r IS NOT NULL THEN 'raw' ELSE 'none' END AS level, count(*) AS n, sum(length(coalesce(f, CASE WHEN regexp_extract(src, '^(\\d{{1,3}}[.)] )', 1) <> '' AND r IS NOT NULL AND NOT starts_with(r, regexp_extract(src, '^(\\d{{1,3}})[.)] ', 1)) THEN regexp_extract(src, '^(\\d{{1,3}}[.)] )', 1) || r ELSE r END, '')))::BIGINT AS n_chars FROM f GROUP BY 1""")
+@query(f"""WITH {S}, {TR}, {_STORES}, ot AS (SELECT a.target, b.target AS raw_target FROM tg a, tg b WHERE a.target <> b.target),
+f AS (SELECT w.target, ot.raw_target, src, CASE WHEN NOT regexp_matches(coalesce(st.text, ''), '{ARTIFACT}') AND trim(st.text) <> '' THEN st.text END AS f, CASE WHEN NOT regexp_matches(coalesce(ra.text, ''), '{ARTIFACT}') AND trim(ra.text) <> '' THEN ra.text END AS r
+FROM w JOIN ot ON w.target = ot.target LEFT JOIN st ON st.target = w.target AND st.key = w.key LEFT JOIN st ra ON ra.target = ot.raw_target AND ra.key = w.key)
+SELECT target, raw_target, CASE WHEN f IS NOT NULL THEN 'final' WHEN r IS NOT NULL THEN 'raw' ELSE 'none' END AS level, count(*) AS n, sum(length(coalesce(f, CASE WHEN regexp_extract(src, '^(\\d{{1,3}}[.)] )', 1) <> '' AND r IS NOT NULL AND NOT starts_with(r, regexp_extract(src, '^(\\d{{1,3}})[.)] ', 1)) THEN regexp_extract(src, '^(\\d{{1,3}}[.)] )', 1) || r ELSE r END, '')))::BIGINT AS n_chars FROM f GROUP BY ALL""")
 def filled_levels(spark, d):
-    wanted = _s(spark, d).where("src is not null").select(T.key(F.col("src")).alias("key"), "src").distinct()
-    out = C.filled(wanted, _store(spark, d, "ru"), _store(spark, d, "de"))
-    return out.groupBy("level").agg(F.count("*").alias("n"), F.sum(F.length("text").cast("long")).alias("n_chars"))
+    """Each target as the final text and each other one as the raw text."""
+    stores = _stores(spark, d)
+    wanted = _wanted(spark, d, stores)
+    # one row a source with the texts of all targets, so that the pairs of targets are made inside the row
+    by_hash = stores.groupBy("hash").agg(F.map_from_entries(F.collect_list(F.struct("target", "text"))).alias("texts"))
+    rows = wanted.groupBy("hash").agg(F.first("src").alias("src"), F.collect_set("target").alias("targets")).join(by_hash, "hash", "left")
+    pairs = rows.select("src", "texts", F.explode("targets").alias("target"), "targets").select("src", "texts", "target", F.explode(F.array_except("targets", F.array("target"))).alias("raw_target"))
+    out = C.levels(pairs.select("target", "raw_target", "src", F.try_element_at("texts", F.col("target")).alias("_f"), F.try_element_at("texts", F.col("raw_target")).alias("_r")))
+    return out.groupBy("target", "raw_target", "level").agg(F.count("*").alias("n"), F.sum(F.length("text").cast("long")).alias("n_chars"))
 
 
 _AB = f"""WITH {S}, {TR}, m AS (SELECT sentence_id, min(translation_id) AS a, max(translation_id) AS b FROM t GROUP BY 1 HAVING count(*) > 1)"""
@@ -278,100 +300,60 @@ def chunks_group(spark, d):
 
 
 def _vectors(spark, d):
-    """Word vectors of made-up sentence pairs: labels 2g and 2g+1 stand for a sentence and its translation."""
-    v = table(spark, d, "embeddings").where("label < 6").withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).where("n < 24")
-    left = v.where("label % 2 = 0").select((F.col("label") / 2).cast("int").alias("pair"), F.col("n").alias("i"), F.col("embedding").alias("vec"))
-    right = v.where("label % 2 = 1").select(((F.col("label") - 1) / 2).cast("int").alias("pair"), F.col("n").alias("j"), F.col("embedding").alias("vec"))
-    return A.similarities(left, right, "pair")
+    """All vectors, as words of made-up sentence pairs: 48 at consecutive places, the even ones the sentence, the odd ones its
+    translation. The last pair takes the rest too, so that none is without the other side."""
+    v = C.numbered(table(spark, d, "embeddings").select("vec_id", "embedding"), ["vec_id"])
+    last = max(v.count() // 48 - 1, 0)
+    v = v.withColumn("pair", F.least(F.floor(F.col("pos") / 48), F.lit(last)))
+    v = v.select("pair", (F.col("pos") % 2).alias("side"), F.floor((F.col("pos") - F.col("pair") * 48) / 2).cast("int").alias("n"), F.col("embedding").alias("vec"))
+    return A.similarities(v.where("side = 0").select("pair", F.col("n").alias("i"), "vec"), v.where("side = 1").select("pair", F.col("n").alias("j"), "vec"), "pair")
 
 
-_SIM = """v AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n, embedding FROM embeddings WHERE label < 6),
-sim AS (SELECT a.label // 2 AS pair, a.n - 1 AS i, b.n - 1 AS j, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM v a JOIN v b ON a.label + 1 = b.label WHERE a.label % 2 = 0 AND a.n <= 24 AND b.n <= 24),
+_SIM = """v AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS pos, count(*) OVER () AS total, embedding FROM embeddings), w AS (SELECT least(pos // 48, greatest(total // 48 - 1, 0)) AS pair, pos, embedding FROM v),
+x AS (SELECT pair, pos % 2 AS side, ((pos - pair * 48) // 2)::INT AS n, embedding FROM w),
+sim AS (SELECT a.pair, a.n AS i, b.n AS j, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM x a JOIN x b ON a.pair = b.pair WHERE a.side = 0 AND b.side = 1),
 mb AS (SELECT pair, i, j, sim FROM (SELECT *, row_number() OVER (PARTITION BY pair, i ORDER BY sim DESC, j) AS a, row_number() OVER (PARTITION BY pair, j ORDER BY sim DESC, i) AS b FROM sim) WHERE a = 1 AND b = 1)"""
 
 
-@query(f"""WITH {_SIM} SELECT pair::INT AS pair, i::INT AS i, j::INT AS j, round(sim, 6) AS sim FROM mb""")
+@query(f"""WITH {_SIM} SELECT pair, i, j, round(sim, 6) AS sim FROM mb""")
 def mutual_argmax(spark, d):
     return A.mutual_best(_vectors(spark, d), "pair").select("pair", "i", "j", F.round("sim", 6).alias("sim"))
 
 
 @query(f"""WITH {_SIM}, fr AS (SELECT * FROM sim WHERE (pair, i) NOT IN (SELECT pair, i FROM mb) AND (pair, j) NOT IN (SELECT pair, j FROM mb) AND sim > 0),
 m2 AS (SELECT pair, i, j, sim FROM (SELECT *, row_number() OVER (PARTITION BY pair, i ORDER BY sim DESC, j) AS a, row_number() OVER (PARTITION BY pair, j ORDER BY sim DESC, i) AS b FROM fr) WHERE a = 1 AND b = 1)
-SELECT pair::INT AS pair, i::INT AS i, j::INT AS j, round(sim, 6) AS sim FROM (SELECT * FROM mb UNION ALL SELECT * FROM m2)""")
+SELECT pair, i, j, round(sim, 6) AS sim FROM (SELECT * FROM mb UNION ALL SELECT * FROM m2)""")
 def iterated_argmax(spark, d):
     return A.iterated_best(_vectors(spark, d), "pair").select("pair", "i", "j", F.round("sim", 6).alias("sim"))
 
 
-@query(f"""WITH {_SIM}, be AS (SELECT pair, i, j, sim FROM (SELECT *, row_number() OVER (PARTITION BY pair, i ORDER BY sim DESC, j) AS a FROM sim WHERE (pair, i) NOT IN (SELECT pair, i FROM mb)) WHERE a = 1 AND sim >= 0.1)
-SELECT DISTINCT be.pair::INT AS pair, be.i::INT AS i, be.j::INT AS j FROM be JOIN mb ON be.pair = mb.pair AND be.j = mb.j AND abs(be.i - mb.i) BETWEEN 1 AND 3""")
+@query(f"""WITH {_SIM}, be AS (SELECT pair, i, j, sim FROM (SELECT *, row_number() OVER (PARTITION BY pair, i ORDER BY sim DESC, j) AS a FROM sim WHERE (pair, i) NOT IN (SELECT pair, i FROM mb)) WHERE a = 1 AND sim >= 0.1),
+bt AS (SELECT pair, i, j, sim FROM (SELECT *, row_number() OVER (PARTITION BY pair, j ORDER BY sim DESC, i) AS a FROM sim WHERE (pair, j) NOT IN (SELECT pair, j FROM mb)) WHERE a = 1 AND sim >= 0.1)
+SELECT DISTINCT 'source' AS side, be.pair, be.i, be.j FROM be JOIN mb ON be.pair = mb.pair AND be.j = mb.j AND abs(be.i - mb.i) BETWEEN 1 AND 3 UNION ALL SELECT DISTINCT 'target', bt.pair, bt.i, bt.j FROM bt JOIN mb ON bt.pair = mb.pair AND bt.i = mb.i AND abs(bt.j - mb.j) BETWEEN 1 AND 3""")
 def glued_words(spark, d):
+    """Free words of either side glued to the best one of the other that a neighbour has."""
     s = _vectors(spark, d)
-    return A.glue(s, A.mutual_best(s, "pair"), "pair", least=0.1).select("pair", "i", "j")
-
-
-def _all_vectors(spark, d):
-    """All vectors, as words of made-up sentence pairs: 48 at consecutive places, the even ones the sentence, the odd ones its
-    translation. The last pair takes the rest too, so that none is without the other side."""
-    v = C.numbered(table(spark, d, "embeddings").select("vec_id", "embedding"), ["vec_id"])
-    last = max(v.count() // 48 - 1, 0)
-    v = v.withColumn("pair", F.least(F.floor(F.col("pos") / 48), F.lit(last)))
-    v = v.select("pair", (F.col("pos") % 2).alias("side"), F.floor((F.col("pos") - F.col("pair") * 48) / 2).cast("int").alias("n"), F.col("embedding").alias("vec"))
-    return A.similarities(v.where("side = 0").select("pair", F.col("n").alias("i"), "vec"), v.where("side = 1").select("pair", F.col("n").alias("j"), "vec"), "pair")
-
-
-@query()
-def mutual_argmax_whole(spark, d):
-    """mutual_argmax over the whole table; that one is bound to its SQL's 144 vectors."""
-    return A.mutual_best(_all_vectors(spark, d), "pair").select("pair", "i", "j", F.round("sim", 6).alias("sim"))
-
-
-@query()
-def iterated_argmax_whole(spark, d):
-    return A.iterated_best(_all_vectors(spark, d), "pair").select("pair", "i", "j", F.round("sim", 6).alias("sim"))
-
-
-@query()
-def glued_words_whole(spark, d):
-    s = _all_vectors(spark, d)
-    return A.glue(s, A.mutual_best(s, "pair"), "pair", least=0.1).select("pair", "i", "j")
-
-
-_EN_DE = f"""{S}, {TR}, e AS (SELECT t.translation_id, src, text, words, align FROM t JOIN s USING (sentence_id) WHERE target = 'de' AND src IS NOT NULL AND text IS NOT NULL AND regexp_matches(src, '(^| )(the|The|in|at|a) ')),
-pw AS (SELECT translation_id, sw AS s, tw AS t FROM (SELECT translation_id, unnest(list_distinct(list_transform(regexp_extract_all(src, '{W}'), x -> {FOLD.format('x')}))) AS sw, list_distinct(list_transform(regexp_extract_all(text, '{W}'), x -> {FOLD.format('x')})) AS tws FROM e), unnest(tws) u(tw)),
-lx AS (SELECT s, t, n, rank FROM (SELECT s, t, count(*) AS n, row_number() OVER (PARTITION BY s ORDER BY count(*) DESC, t DESC) AS rank FROM pw GROUP BY s, t HAVING count(*) >= 3) WHERE rank <= 12)"""
-
-
-def _en_de(spark, d):
-    both = _t(spark, d).where("target = 'de' and text is not null").join(_s(spark, d).where(F.col("src").rlike("(^| )(the|The|in|at|a) ")).select("sentence_id", "src", "words"), "sentence_id")
-    fold = lambda c: F.array_distinct(F.transform(T.words(c), T.fold_letters))
-    return both, both.select("translation_id", F.explode(fold("src")).alias("s"), fold("text").alias("ts")).select("translation_id", "s", F.explode("ts").alias("t"))
-
-
-@query(f"""WITH {_EN_DE} SELECT s, t, n, rank::INT AS rank FROM lx""")
-def lexicon_build(spark, d):
-    return C.lexicon(_en_de(spark, d)[1])
-
-
-_LINKS = f"""{_EN_DE}, ch AS (SELECT translation_id, src, text, words, unnest(align) AS c FROM e), ln AS (SELECT DISTINCT translation_id, {FOLD.format('substring(src, words[i + 1].s + 1, words[i + 1].e - words[i + 1].s)')} AS s, {FOLD.format('substring(text, c.t0 + 1, c.t1 - c.t0)')} AS t FROM (SELECT *, unnest(c.w) AS i FROM ch) WHERE i >= 0 AND i < len(words)),
-l1 AS (SELECT * FROM ln WHERE s <> '' AND t <> ''),
-fm AS (SELECT translation_id, s, t, unnest(list_distinct(list_filter([s, CASE WHEN length(s) >= 4 AND s LIKE '%s' THEN left(s, length(s) - 1) END, CASE WHEN length(s) >= 5 AND s LIKE '%es' THEN left(s, length(s) - 2) END], x -> x IS NOT NULL))) AS form FROM l1),
-hi AS (SELECT fm.translation_id, fm.s, fm.t, bool_or(lx.t IS NOT NULL) AS covered, bool_or(coalesce((lx.t = fm.t AND fm.t <> '') OR (least(length(lx.t), length(fm.t)) >= 4 AND left(lx.t, greatest(3, least(length(lx.t), length(fm.t)) - CASE WHEN least(length(lx.t), length(fm.t)) < 6 THEN least(length(lx.t), length(fm.t)) - 3 ELSE 3 END)) = left(fm.t, greatest(3, least(length(lx.t), length(fm.t)) - CASE WHEN least(length(lx.t), length(fm.t)) < 6 THEN least(length(lx.t), length(fm.t)) - 3 ELSE 3 END))), false)) AS supported FROM fm LEFT JOIN lx ON lx.s = fm.form GROUP BY 1, 2, 3),
-su AS (SELECT translation_id, count(*) FILTER (WHERE covered) AS n_covered, count(*) FILTER (WHERE covered AND supported) AS n_supported FROM hi GROUP BY 1)"""
-
-
-def _links(both, align):
-    c = both.select("translation_id", "src", "text", "words", F.explode(align).alias("c")).select("*", F.explode("c.w").alias("i")).where((F.col("i") >= 0) & (F.col("i") < F.size("words")))
-    w = F.try_element_at("words", F.col("i") + 1)
-    return c.select("translation_id", T.fold_letters(F.substring("src", w["s"] + 1, w["e"] - w["s"])).alias("s"), T.fold_letters(F.substring("text", F.col("c.t0") + 1, F.col("c.t1") - F.col("c.t0"))).alias("t")).where("s <> '' and t <> ''")
-
-
-@query(f"""WITH {_LINKS} SELECT translation_id, n_covered, n_supported, n_covered >= 4 AND n_supported <= 0.34 * n_covered AS flagged FROM su""")
-def lexicon_support(spark, d):
-    both, pairs = _en_de(spark, d)
-    return C.support(_links(both, F.col("align")), C.lexicon(pairs), ["translation_id"])
+    first = A.mutual_best(s, "pair")
+    turn = lambda x: x.select("pair", F.col("j").alias("i"), F.col("i").alias("j"), "sim")
+    left = A.glue(s, first, "pair", least=0.1).select(F.lit("source").alias("side"), "pair", "i", "j")
+    return left.unionByName(A.glue(turn(s), turn(first), "pair", least=0.1).select(F.lit("target").alias("side"), "pair", F.col("j").alias("i"), F.col("i").alias("j")))
 
 
 _PAIR = ("source_lang", "target")
+_EACH = f"""{S}, {TR}, {_TAG}, e AS (SELECT t.translation_id, coalesce(bk.tag, '') AS source_lang, coalesce(t.target, '') AS target, src, text, words, align FROM t JOIN s USING (sentence_id) LEFT JOIN bk ON bk.book_id = s.book_id WHERE src IS NOT NULL AND text IS NOT NULL),
+pw AS (SELECT source_lang, target, sw AS s, tw AS t FROM (SELECT source_lang, target, unnest(list_distinct(list_transform(regexp_extract_all(src, '{W}'), x -> {FOLD.format('x')}))) AS sw, list_distinct(list_transform(regexp_extract_all(text, '{W}'), x -> {FOLD.format('x')})) AS tws FROM e), unnest(tws) u(tw)),
+lx AS (SELECT source_lang, target, s, t, n, rank FROM (SELECT source_lang, target, s, t, count(*) AS n, row_number() OVER (PARTITION BY source_lang, target, s ORDER BY count(*) DESC, t DESC) AS rank FROM pw GROUP BY source_lang, target, s, t HAVING count(*) >= 3) WHERE rank <= 12)"""
+_PREFIX = _Sql("((@0 = @1 AND @1 <> '') OR (least(length(@0), length(@1)) >= 4 AND left(@0, greatest(3, least(length(@0), length(@1)) - CASE WHEN least(length(@0), length(@1)) < 6 THEN least(length(@0), length(@1)) - 3 ELSE 3 END)) = left(@1, greatest(3, least(length(@0), length(@1)) - CASE WHEN least(length(@0), length(@1)) < 6 THEN least(length(@0), length(@1)) - 3 ELSE 3 END))))")
+_CHECKED = f"""ch AS (SELECT translation_id, kind, source_lang, target, src, text, words, unnest(align) AS c, generate_subscripts(align, 1) AS chunk FROM al),
+cf AS (SELECT *, {FOLD.format('substring(text, c.t0 + 1, c.t1 - c.t0)')} AS t FROM ch WHERE len(c.w) > 0 AND c.t0 >= 0 AND c.t1 <= length(text) AND c.t0 < c.t1),
+wq AS (SELECT translation_id, kind, source_lang, target, chunk, src, words, t, unnest(c.w) AS i, true AS own FROM cf WHERE length(t) >= 3 UNION ALL SELECT translation_id, kind, source_lang, target, chunk, src, words, t, unnest([c.w[1] - 1, c.w[len(c.w)] + 1]), false FROM cf WHERE length(t) >= 3),
+wr AS (SELECT *, words[i + 1] AS w FROM wq WHERE i >= 0 AND i < len(words)), ws AS (SELECT translation_id, kind, source_lang, target, chunk, t, own, {FOLD.format('substring(src, w.s + 1, w.e - w.s)')} AS s FROM wr WHERE w.s >= 0 AND w.e <= length(src) AND w.s < w.e),
+fm AS (SELECT *, unnest(list_filter([s, CASE WHEN length(s) >= 4 AND s LIKE '%s' THEN left(s, length(s) - 1) END, CASE WHEN length(s) >= 5 AND s LIKE '%es' THEN left(s, length(s) - 2) END], x -> x IS NOT NULL)) AS form FROM ws WHERE CASE WHEN own THEN length(s) >= 3 ELSE s <> '' END),
+hi AS (SELECT fm.translation_id, kind, fm.source_lang, fm.target, chunk, bool_or(own AND lx.t IS NOT NULL) AS covered, bool_or(own AND coalesce({_PREFIX.format('lx.t', 'fm.t')}, false)) AS supported, bool_or(NOT own AND coalesce({_PREFIX.format('lx.t', 'fm.t')}, false)) AS near
+FROM fm LEFT JOIN lx ON lx.source_lang = fm.source_lang AND lx.target = fm.target AND lx.s = fm.form GROUP BY ALL),
+su AS (SELECT translation_id, kind, source_lang, target, count(*) FILTER (WHERE covered) AS n_covered, count(*) FILTER (WHERE covered AND supported) AS n_supported, count(*) FILTER (WHERE covered AND NOT supported AND near) AS n_shift_hits FROM hi GROUP BY ALL)"""
+_CLEAN = f"{_EACH}, al AS (SELECT translation_id, 'clean' AS kind, source_lang, target, src, text, words, align FROM e), {_CHECKED}"
+_REASON = "CASE WHEN n_covered >= 4 AND n_supported <= 0.34::DOUBLE * n_covered THEN 'low-support' WHEN n_shift_hits >= 2 THEN 'shift-pattern' END"
 
 
 def _all_answers(spark, d):
@@ -384,69 +366,68 @@ def _all_answers(spark, d):
     return both, both.select(*_PAIR, F.explode(fold("src")).alias("s"), fold("text").alias("ts")).select(*_PAIR, "s", F.explode("ts").alias("t"))
 
 
-@query()
-def lexicon_build_whole(spark, d):
-    """A lexicon for each source language and target; lexicon_build is bound to its SQL, English to German."""
+@query(f"""WITH {_EACH} SELECT source_lang, target, s, t, n, rank::INT AS rank FROM lx""")
+def lexicon_build(spark, d):
+    """A lexicon for each source language and target."""
     return C.lexicon(_all_answers(spark, d)[1], by=_PAIR)
 
 
-@query()
-def lexicon_checked(spark, d):
-    """Support and shift hits by answer, with the reason of the flag; lexicon_support has the support alone, by distinct links,
-    and is bound to its SQL, English to German."""
+def _checked(spark, d):
     both, pairs = _all_answers(spark, d)
     keys = ["translation_id", *_PAIR]
     return C.checked(C.chunk_words(both, F.col("align"), keys), C.lexicon(pairs, by=_PAIR), keys, _PAIR)
 
 
-@query()
-def drift_sweep(spark, d):
-    """Flags of alignments drifted by one word, wholly or in their second half, and false alarms, by rate and least shift hits."""
-    both, pairs = _all_answers(spark, d)
-    both = both.where((F.size("align") >= 4) & (F.size("words") >= 5))
-    n = F.size("align")
-    drifts = F.array(*[F.struct(F.lit(k).alias("kind"), A.shifted(F.col("align"), F.size("words"), at).alias("align")) for k, at in {"clean": n, "full": F.lit(0), "half": n - F.floor(n / 2).cast("int")}.items()])
-    keys = ["translation_id", "kind", *_PAIR]
-    copies = both.select("translation_id", *_PAIR, "src", "text", "words", F.explode(drifts).alias("x")).select("translation_id", *_PAIR, "src", "text", "words", "x.kind", F.col("x.align").alias("align"))
-    all_ = C.checked(C.chunk_words(copies, F.col("align"), keys), C.lexicon(pairs, by=_PAIR), keys, _PAIR)
-    all_ = all_.withColumn("rate_most", F.explode(F.array(*[F.lit(x) for x in (0.25, 0.3, 0.34, 0.4, 0.45)]))).withColumn("least_shifts", F.explode(F.array(F.lit(2), F.lit(3))))
-    return all_.groupBy(*_PAIR, "kind", "rate_most", "least_shifts").agg(F.count("*").alias("n"), F.count_if(C.low_support(F.col("rate_most")) | (F.col("n_shift_hits") >= F.col("least_shifts"))).alias("n_flagged"))
-
-
-def _stores(spark, d):
-    """The keyed results of all targets: one text a source and target, the last stored."""
-    both = _t(spark, d).where("target is not null").join(_s(spark, d).where("src is not null").select("sentence_id", "src"), "sentence_id")
-    return both.groupBy("target", T.key(F.col("src")).alias("hash")).agg(F.max_by("text", F.struct("stored_at", "translation_id")).alias("text")).select("target", "hash", F.concat_ws("|", "target", "hash").alias("key"), "text")
-
-
-def _wanted(spark, d, stores):
-    """Every source in every target that there is."""
-    w = _s(spark, d).where("src is not null").select(T.key(F.col("src")).alias("hash"), "src").dropDuplicates(["hash"])
-    return w.crossJoin(F.broadcast(stores.select("target").distinct())).select("target", "hash", F.concat_ws("|", "target", "hash").alias("key"), "src")
+@query(f"""WITH {_CLEAN} SELECT translation_id, source_lang, target, n_covered, n_supported, n_shift_hits, {_REASON} AS reason FROM su""")
+def lexicon_checked(spark, d):
+    """Support and shift hits by answer and chunk, with the reason of the flag."""
+    return _checked(spark, d)
 
 
-@query()
-def pending_work_whole(spark, d):
-    """What is wanted and not stored, for every target; pending_work is bound to its SQL, one target."""
-    stores = _stores(spark, d)
-    return C.pending(_wanted(spark, d, stores), stores).select("target", F.col("hash").alias("key"), "src")
+@query(f"""WITH {_CLEAN}, x AS (SELECT source_lang, target, n_covered, n_supported, {_REASON} AS reason FROM su)
+SELECT source_lang, target, count(*) AS n_checked, count(*) FILTER (WHERE reason = 'low-support') AS n_low_support, count(*) FILTER (WHERE reason = 'shift-pattern') AS n_shift_pattern, sum(n_covered)::BIGINT AS n_covered, sum(n_supported)::BIGINT AS n_supported FROM x GROUP BY ALL""")
+def lexicon_totals(spark, d):
+    """How many answers were checked and flagged for each reason, and the dictionary's coverage and support."""
+    x = _checked(spark, d)
+    flag = lambda r: F.count_if(F.coalesce(F.col("reason") == r, F.lit(False)))
+    return x.groupBy(*_PAIR).agg(F.count("*").alias("n_checked"), flag("low-support").alias("n_low_support"), flag("shift-pattern").alias("n_shift_pattern"), F.sum("n_covered").alias("n_covered"), F.sum("n_supported").alias("n_supported"))
 
 
-@query()
-def filled_levels_whole(spark, d):
-    """Each target as the final text and each other one as the raw text; filled_levels is bound to its SQL, one pair of them."""
-    stores = _stores(spark, d)
-    wanted = _wanted(spark, d, stores)
-    others = wanted.select("target").distinct().crossJoin(stores.select(F.col("target").alias("raw_target")).distinct()).where("target <> raw_target")
-    wanted = wanted.join(F.broadcast(others), "target").withColumn("key", F.concat_ws("|", "target", "raw_target", "hash"))
-    spread = lambda one: stores.withColumnRenamed("target", one).join(F.broadcast(others), one).select(F.concat_ws("|", "target", "raw_target", "hash").alias("key"), "text")
-    out = C.filled(wanted, spread("target"), spread("raw_target"))
-    return out.groupBy("target", "raw_target", "level").agg(F.count("*").alias("n"), F.sum(F.length("text").cast("long")).alias("n_chars"))
+_DRIFT = """al AS (SELECT translation_id, kind, source_lang, target, src, text, words, list_transform(align, (c, i) -> CASE WHEN i > f THEN {'t0': c.t0, 't1': c.t1, 'w': list_transform(c.w, x -> ((x + 1) % len(words))::INT)} ELSE c END) AS align
+FROM (SELECT *, unnest([{'kind': 'clean', 'f': len(align)}, {'kind': 'full', 'f': 0}, {'kind': 'half', 'f': len(align) - len(align) // 2}], recursive := true) FROM e WHERE len(align) >= 4 AND len(words) >= 5))"""
 
 
-@query()
-def previous_sentences_whole(spark, d):
-    """The two sentences before with their translations, for every target; previous_sentences is bound to its SQL, one target."""
+@query(f"""WITH {_EACH}, {_DRIFT}, {_CHECKED}, g AS (SELECT * FROM su, (SELECT unnest([0.25::DOUBLE, 0.3::DOUBLE, 0.34::DOUBLE, 0.4::DOUBLE, 0.45::DOUBLE]) AS rate_most), (SELECT unnest([2, 3]) AS least_shifts)),
+v AS (SELECT *, (n_covered >= 4 AND n_supported <= rate_most * n_covered) OR n_shift_hits >= least_shifts AS flagged FROM g),
+n AS (SELECT source_lang, target, count(*) AS n FROM e WHERE len(align) >= 4 AND len(words) >= 5 GROUP BY ALL),
+c AS (SELECT source_lang, target, rate_most, least_shifts, count(*) FILTER (WHERE flagged AND kind = 'clean') AS n_false, count(*) FILTER (WHERE flagged AND kind = 'full') AS n_full, count(*) FILTER (WHERE flagged AND kind = 'half') AS n_half FROM v GROUP BY ALL)
+SELECT source_lang, target, rate_most, least_shifts, n, n_false, n_full, n_half, round(n_full / n, 6) AS recall_full, round(n_half / n, 6) AS recall_half, round(n_false / n, 6) AS false_rate, round(n_full / greatest(1, n_full + n_false), 6) AS precision FROM c JOIN n USING (source_lang, target)""")
+def drift_sweep(spark, d):
+    """Of alignments drifted by one word, wholly or in their second half, how many are found, how many sound ones are flagged, and
+    the precision, by the rate and the least shift hits."""
+    both, pairs = _all_answers(spark, d)
+    both = both.where((F.size("align") >= 4) & (F.size("words") >= 5))
+    size = F.size("align")
+    drifts = F.array(*[F.struct(F.lit(k).alias("kind"), A.shifted(F.col("align"), F.size("words"), at).alias("align")) for k, at in {"clean": size, "full": F.lit(0), "half": size - F.floor(size / 2).cast("int")}.items()])
+    keys = ["translation_id", "kind", *_PAIR]
+    copies = both.select("translation_id", *_PAIR, "src", "text", "words", F.explode(drifts).alias("x")).select("translation_id", *_PAIR, "src", "text", "words", "x.kind", F.col("x.align").alias("align"))
+    all_ = C.checked(C.chunk_words(copies, F.col("align"), keys), C.lexicon(pairs, by=_PAIR), keys, _PAIR)
+    # the grid is laid over counts, not over rows
+    few = all_.groupBy(*_PAIR, "kind", "n_covered", "n_supported", "n_shift_hits").agg(F.count("*").alias("k"))
+    few = few.withColumn("rate_most", F.explode(F.array(*[F.lit(x) for x in (0.25, 0.3, 0.34, 0.4, 0.45)]))).withColumn("least_shifts", F.explode(F.array(F.lit(2), F.lit(3))))
+    flagged = C.low_support(F.col("rate_most")) | (F.col("n_shift_hits") >= F.col("least_shifts"))
+    of = lambda kind: F.sum(F.when(flagged & (F.col("kind") == kind), F.col("k")).otherwise(0))
+    c = few.groupBy(*_PAIR, "rate_most", "least_shifts").agg(of("clean").alias("n_false"), of("full").alias("n_full"), of("half").alias("n_half"))
+    c = c.join(both.groupBy(*_PAIR).agg(F.count("*").alias("n")), [*_PAIR])
+    share = lambda x, of: F.round(F.col(x) / of, 6)
+    return c.select(*_PAIR, "rate_most", "least_shifts", "n", "n_false", "n_full", "n_half", share("n_full", F.col("n")).alias("recall_full"), share("n_half", F.col("n")).alias("recall_half"), share("n_false", F.col("n")).alias("false_rate"), share("n_full", F.greatest(F.lit(1), F.col("n_full") + F.col("n_false"))).alias("precision"))
+
+
+@query(f"""WITH {S}, {TR}, x AS (SELECT sentence_id, target, arg_min(text, translation_id) AS tr FROM t WHERE target IS NOT NULL AND text IS NOT NULL GROUP BY ALL), tg AS (SELECT DISTINCT target FROM x),
+y AS (SELECT s.sentence_id, book_id, ch_idx, para_idx, sent_idx, coalesce(src, '') AS src, tg.target, coalesce(tr, '') AS tr FROM s CROSS JOIN tg LEFT JOIN x ON x.sentence_id = s.sentence_id AND x.target = tg.target)
+SELECT sentence_id, target, len(c) AS n_context, array_to_string(list_transform(c, x -> x.src || '=' || x.tr), '|') AS context FROM (SELECT sentence_id, target, list_filter(list({{'src': src, 'tr': tr}}) OVER (PARTITION BY target, book_id, ch_idx ORDER BY para_idx, sent_idx, sentence_id ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), x -> x.tr <> '') AS c FROM y) WHERE len(c) > 0""")
+def previous_sentences(spark, d):
+    """The two sentences before with their translations, for every target."""
     x = _t(spark, d).where("target is not null and text is not null").groupBy("sentence_id", "target").agg(F.min_by("text", "translation_id").alias("tr"))
     x = x.groupBy("sentence_id").agg(F.map_from_entries(F.collect_list(F.struct("target", "tr"))).alias("trs"))  # a sentence stays one row
     y = _s(spark, d).select("sentence_id", "book_id", "ch_idx", "para_idx", "sent_idx", F.coalesce("src", F.lit("")).alias("src")).join(x, "sentence_id", "left")
@@ -457,15 +438,6 @@ def previous_sentences_whole(spark, d):
     return out.where(F.size("c") > 0).select("sentence_id", "target", F.size("c").alias("n_context"), F.array_join(F.transform("c", lambda c: F.concat(c["src"], F.lit("="), F.try_element_at(c["trs"], F.col("target")))), "|").alias("context"))
 
 
-@query(f"""WITH {S}, {TR}, x AS (SELECT sentence_id, arg_min(text, translation_id) AS tr FROM t WHERE target = 'ru' GROUP BY 1), y AS (SELECT s.sentence_id, book_id, ch_idx, para_idx, sent_idx, coalesce(src, '') AS src, coalesce(tr, '') AS tr FROM s LEFT JOIN x USING (sentence_id))
-SELECT sentence_id, len(c) AS n_context, array_to_string(list_transform(c, x -> x.src || '=' || x.tr), '|') AS context FROM (SELECT sentence_id, list_filter(list({{'src': src, 'tr': tr}}) OVER (PARTITION BY book_id, ch_idx ORDER BY para_idx, sent_idx, sentence_id ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), x -> x.tr <> '') AS c FROM y) WHERE len(c) > 0""")
-def previous_sentences(spark, d):
-    x = _t(spark, d).where("target = 'ru' and text is not null").groupBy("sentence_id").agg(F.min_by("text", "translation_id").alias("tr"))
-    y = _s(spark, d).join(x, "sentence_id", "left").withColumn("src", F.coalesce("src", F.lit("")))
-    out = C.previous_context(y, ["book_id", "ch_idx"], ["para_idx", "sent_idx", "sentence_id"], 2, "src", "tr")
-    return out.where(F.size("context") > 0).select("sentence_id", F.size("context").alias("n_context"), F.array_join(F.transform("context", lambda x: F.concat(x["src"], F.lit("="), x["tr"])), "|").alias("context"))
-
-
 @query("""SELECT para_id, sum(CASE WHEN role = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY book_id, ch_idx ORDER BY para_idx, para_id RANGE UNBOUNDED PRECEDING)::BIGINT AS section FROM paragraphs""")
 def sections(spark, d):
     return C.carried(table(spark, d, "paragraphs"), ["book_id", "ch_idx"], ["para_idx", "para_id"], F.col("role") == "heading").select("para_id", "section")
@@ -477,21 +449,29 @@ def scene_breaks(spark, d):
     return C.without_loose_breaks(table(spark, d, "paragraphs"), ["book_id", "ch_idx"], ["para_idx", "para_id"], F.col("role") == "sceneBreak").select("para_id")
 
 
-@query("""WITH sp AS (SELECT para_id, unnest(spans) AS x FROM paragraphs), se AS (SELECT para_id, (i - 1)::INT AS sent_idx, ((i - 1) * 60)::INT AS b, least(i * 60, length(text))::INT AS f FROM paragraphs, unnest(range(1, 200)) u(i) WHERE (i - 1) * 60 < length(text))
+_RANGES = """pc AS (SELECT para_id, string_split(regexp_replace(text, '([.!?…]["»”’'')\\]]*) (["“«‘'']?\\p{Lu})', '\\1 ' || chr(1) || '\\2', 'g'), chr(1)) AS p FROM paragraphs WHERE length(text) > 0),
+se AS (SELECT para_id, (i - 1)::INT AS sent_idx, coalesce(list_sum(list_transform(p[1:i - 1], x -> length(x))), 0)::INT AS b, list_sum(list_transform(p[1:i], x -> length(x)))::INT AS f FROM (SELECT para_id, p, unnest(range(1, len(p) + 1)) AS i FROM pc))"""
+
+
+def _sentence_ranges(spark, d):
+    return C.sentence_ranges(table(spark, d, "paragraphs").where("length(text) > 0").select("para_id", "text"), "para_id")
+
+
+@query(f"""WITH {_RANGES}, sp AS (SELECT para_id, unnest(spans) AS x FROM paragraphs)
 SELECT para_id, sent_idx, greatest(x.s, b) - b AS s, least(x.e, f) - b AS e, x.k AS k FROM sp JOIN se USING (para_id) WHERE x.s < f AND b < x.e""")
 def span_clip(spark, d):
+    """The paragraphs' spans cut to their sentences."""
     p = table(spark, d, "paragraphs").where("length(text) > 0")
-    sents = p.select("para_id", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 60).cast("int"))).alias("sent_idx"), F.length("text").alias("n")).select("para_id", "sent_idx", (F.col("sent_idx") * 60).alias("b"), F.least((F.col("sent_idx") + 1) * 60, F.col("n")).alias("f"))
-    return C.clipped_spans(p.select("para_id", F.explode("spans").alias("x")).select("para_id", "x.*"), sents, "para_id")
+    return C.clipped_spans(p.select("para_id", F.explode("spans").alias("x")).select("para_id", "x.*"), _sentence_ranges(spark, d), "para_id")
 
 
-@query("""WITH mk AS (SELECT para_id, m.pos AS pos, m.id AS id FROM (SELECT para_id, unnest(marks) AS m FROM paragraphs)), se AS (SELECT para_id, (i - 1)::INT AS sent_idx, ((i - 1) * 60)::INT AS b, least(i * 60, length(text))::INT AS f FROM paragraphs, unnest(range(1, 200)) u(i) WHERE (i - 1) * 60 < length(text)),
+@query(f"""WITH {_RANGES}, mk AS (SELECT para_id, m.pos AS pos, m.id AS id FROM (SELECT para_id, unnest(marks) AS m FROM paragraphs)),
 r AS (SELECT *, row_number() OVER (PARTITION BY para_id, pos, id ORDER BY CASE WHEN f >= pos THEN 0 ELSE 1 END, CASE WHEN f >= pos THEN f ELSE -f END) AS k FROM mk JOIN se USING (para_id))
 SELECT para_id, id, sent_idx, greatest(least(pos, f) - b, 0) AS p FROM r WHERE k = 1""")
 def mark_asof(spark, d):
+    """Each mark to the first sentence that ends at or behind it."""
     p = table(spark, d, "paragraphs").where("length(text) > 0")
-    sents = p.select("para_id", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 60).cast("int"))).alias("sent_idx"), F.length("text").alias("n")).select("para_id", "sent_idx", (F.col("sent_idx") * 60).alias("b"), F.least((F.col("sent_idx") + 1) * 60, F.col("n")).alias("f"))
-    return C.marks_to_sentences(p.select("para_id", F.explode("marks").alias("x")).select("para_id", "x.pos", "x.id"), sents, "para_id")
+    return C.marks_to_sentences(p.select("para_id", F.explode("marks").alias("x")).select("para_id", "x.pos", "x.id"), _sentence_ranges(spark, d), "para_id")
 
 
 @query(f"""WITH {S}, o AS (SELECT sentence_id, row_number() OVER (ORDER BY book_id, ch_idx, para_idx, sent_idx, sentence_id) - 1 AS pos, count(*) OVER () AS n FROM s)
@@ -596,22 +576,24 @@ def retry_rounds(spark, d):
     return store.join(wanted, "key").agg(F.count("*").alias("n_stored"), F.count_if(F.col("text") == F.concat(F.lit("[xx] "), F.col("src"))).alias("n_tagged"))
 
 
-@query(f"""WITH {S}, h AS (SELECT DISTINCT src AS expr FROM s WHERE regexp_full_match(src, 'The [a-z]+')), pr AS (SELECT DISTINCT list_extract(string_split(text, ' in the '), 1) AS expr FROM paragraphs WHERE role = 'heading' AND text LIKE 'The % in the %')
-SELECT expr, count(s.sentence_id) AS n_found, CASE WHEN count(s.sentence_id) = 0 THEN 'src-not-found' ELSE 'matched' END AS verdict FROM pr LEFT JOIN s ON contains(lower(s.src), lower(expr || ' in')) GROUP BY expr""")
+@query(f"""WITH {S}, pr AS (SELECT DISTINCT array_to_string(regexp_extract_all(lower(text), '{W}')[1:3], ' ') AS expr FROM paragraphs WHERE role IN ('heading', 'subtitle') AND len(regexp_extract_all(lower(text), '{W}')) >= 3),
+w AS (SELECT sentence_id, regexp_extract_all(lower(src), '{W}') AS w FROM s), g AS (SELECT DISTINCT sentence_id, unnest(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS expr FROM w WHERE len(w) >= 3)
+SELECT expr, count(sentence_id) AS n_found, CASE WHEN count(sentence_id) = 0 THEN 'src-not-found' ELSE 'matched' END AS verdict FROM pr LEFT JOIN g USING (expr) GROUP BY expr""")
 def probe_verdicts(spark, d):
-    """Expressions of headings looked for in the sentences; the few probes are the broadcast side, behind its size check."""
-    p = table(spark, d, "paragraphs").where("role = 'heading' and text like 'The % in the %'").select(F.element_at(F.split("text", " in the "), 1).alias("expr")).distinct()
-    s = _s(spark, d).select("sentence_id", F.lower("src").alias("low"), F.explode(F.array_distinct(T.words(F.lower("src")))).alias("w"))
-    first = p.select("expr", F.lower(F.concat("expr", F.lit(" in"))).alias("low_expr")).withColumn("w", F.element_at(T.words("low_expr"), 2))
-    hit = first.join(s, "w").where(F.contains("low", "low_expr")).groupBy("expr").agg(F.countDistinct("sentence_id").alias("n_found"))
+    """The first three words of every heading looked for in all sentences, as a sequence of words: an equi-join of word triples,
+    counted before they travel."""
+    three = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.array_join(F.slice(w, i, 3), " "))
+    low = T.words(F.lower("text"))
+    p = table(spark, d, "paragraphs").where(F.col("role").isin("heading", "subtitle")).select(low.alias("w")).where(F.size("w") >= 3).select(F.array_join(F.slice("w", 1, 3), " ").alias("expr")).distinct()
+    s = _s(spark, d).select(T.words(F.lower("src")).alias("w")).where(F.size("w") >= 3).select(F.explode(F.array_distinct(three(F.col("w")))).alias("expr"))
+    hit = s.groupBy("expr").agg(F.count("*").alias("n_found"))
     return p.join(hit, "expr", "left").fillna(0, ["n_found"]).select("expr", "n_found", F.when(F.col("n_found") == 0, "src-not-found").otherwise("matched").alias("verdict"))
 
 
 @query(f"""WITH {S} SELECT sentence_id, ((row_number() OVER (PARTITION BY book_id ORDER BY ch_idx, para_idx, sent_idx, sentence_id) - 1) // 16)::BIGINT AS batch FROM s""")
 def batch_ids(spark, d):
-    """Consecutive batches of 16 within a book."""
-    at = F.row_number().over(Window.partitionBy("book_id").orderBy("ch_idx", "para_idx", "sent_idx", "sentence_id")) - 1
-    return _s(spark, d).select("sentence_id", F.floor(at / 16).alias("batch"))
+    """Consecutive batches of 16 within a book; a large book's places come from ranges, not from one task."""
+    return C.batches(_s(spark, d).select("sentence_id", "book_id", "ch_idx", "para_idx", "sent_idx"), ["book_id"], ["ch_idx", "para_idx", "sent_idx", "sentence_id"], 16).select("sentence_id", "batch")
 
 
 @query("""SELECT book_id, array_to_string(list_sort(list(DISTINCT target)), ',') AS targets FROM translations WHERE target IS NOT NULL GROUP BY 1""")
@@ -656,7 +638,10 @@ def title_headings(spark, d):
     return x.groupBy("book_id", "ch_idx").agg(F.max(F.coalesce(new, F.lit(False))).alias("inserted"))
 
 
-@query(f"""WITH {S}, w AS (SELECT kind, lower(unnest(regexp_extract_all(src, '{W}'))) AS w FROM s) SELECT kind, count(*) AS n_words, count(*) FILTER (WHERE list_contains({_STOPMAP}['en'], w)) AS n_stop FROM w GROUP BY kind""")
+@query(f"""WITH {TR}, w AS (SELECT target, lower(unnest(regexp_extract_all(text, '{W}'))) AS w FROM t) SELECT target, count(*) AS n_words, count(*) FILTER (WHERE list_contains(coalesce({_STOPMAP}[target], []), w)) AS n_stop FROM w GROUP BY target""")
 def stop_words(spark, d):
-    w = _s(spark, d).select("kind", F.explode(T.words("src")).alias("w")).select("kind", F.lower("w").alias("w"))
-    return w.groupBy("kind").agg(F.count("*").alias("n_words"), F.count_if(F.col("w").isin(V.STOP["en"])).alias("n_stop"))
+    """Words and closed-class words of the answers by their own language."""
+    lists = F.create_map(*[x for k, v in V.STOP.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    w = _t(spark, d).select("target", F.explode(T.words("text")).alias("w")).groupBy("target", F.lower("w").alias("w")).agg(F.count("*").alias("n"))
+    known = F.array_contains(F.coalesce(F.try_element_at(lists, F.col("target")), F.array().cast("array<string>")), F.col("w"))
+    return w.groupBy("target").agg(F.sum("n").alias("n_words"), F.sum(F.when(known, F.col("n")).otherwise(0)).alias("n_stop"))

@@ -17,11 +17,18 @@ from xml.etree import ElementTree as ET
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.functions.text import ACCENTED, MATTER_EXACT, MATTER_LOOSE, PLAIN
 from tessella.sources.html import blocks, squeeze
 
 PARAGRAPHS = "path string, title string, author string, language string, ch_idx int, chapter string, para_idx int, role string, text string, spans array<struct<s:int,e:int,k:string>>, marks array<struct<pos:int,id:string,label:string>>, error string"
-# --- fixed values: titles of front and back matter that are no chapters
-MATTER = re.compile(r"(?i)^(contents|table of contents|copyright.*|title ?page|cover|index|colophon|imprint|about the author|also by.*|dedication|acknowledge?ments|inhalt(sverzeichnis)?|sommaire|índice|оглавление|содержание|об авторе)$")
+_FOLD = str.maketrans(ACCENTED, PLAIN)
+_EXACT, _LOOSE = re.compile(MATTER_EXACT), re.compile(MATTER_LOOSE)
+
+
+def is_matter(title: str) -> bool:
+    """As functions.text.is_matter, for one title."""
+    folded = title.lower().translate(_FOLD)
+    return bool(folded) and bool(_EXACT.match(folded) or _LOOSE.search(folded))
 
 
 def _local(tag) -> str:
@@ -68,7 +75,7 @@ def parse_epub(data: bytes, path: str) -> list[tuple]:
             continue
         found = blocks(z.read(doc).decode("utf-8", "replace"))
         head = toc.get(doc) or next((b["text"] for b in found if b["role"] == "heading"), "")
-        if MATTER.match(head) or MATTER.match(posixpath.splitext(posixpath.basename(doc))[0].replace("_", " ").replace("-", " ")):
+        if is_matter(head) or is_matter(posixpath.splitext(posixpath.basename(doc))[0].replace("_", " ").replace("-", " ")):
             continue
         if by_toc and doc not in toc and chapters:
             chapters[-1][1].extend(found)

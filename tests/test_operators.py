@@ -77,11 +77,29 @@ def test_spans_and_marks(spark):
     assert {(r.id, r.sent_idx, r.p) for r in C.marks_to_sentences(marks, sents, "para").collect()} == {("a", 0, 10), ("b", 1, 9), ("c", 1, 9)}
 
 
-def test_support_plural_and_flag(spark):
+def test_support_plural_and_no_evidence(spark):
     lex = spark.createDataFrame([("word", "wort", 5, 1)], "s string, t string, n int, rank int")
-    links = spark.createDataFrame([(1, "words", "wortes"), (1, "none", "x")], "id int, s string, t string")
-    r = C.support(links, lex, ["id"]).first()
-    assert (r.n_covered, r.n_supported, r.flagged) == (1, 1, False)
+    words = spark.createDataFrame([(1, 0, True, "words", "wortes"), (1, 1, True, "none", "xxx")], "id int, chunk int, own boolean, s string, t string")
+    r = C.checked(words, lex, ["id"]).first()
+    assert (r.n_covered, r.n_supported, r.n_shift_hits, r.reason) == (1, 1, 0, None)
+
+
+def test_places_within_hot_keys(spark):
+    rows = [("hot" if i % 3 else f"k{i % 5}", i) for i in range(900)] + [(None, 7), (None, 3)]
+    df = spark.createDataFrame(rows, "k string, i int")
+    got: dict = {}
+    for r in C.within(df, ["k"], ["i"], "nth").collect():
+        got.setdefault(r.k, []).append((r.nth, r.i))
+    for k, x in got.items():
+        assert [i for _, i in sorted(x)] == sorted(i for key, i in rows if key == k) and [n for n, _ in sorted(x)] == list(range(len(x)))
+    assert {r.batch for r in C.batches(df.where("k = 'hot'"), ["k"], ["i"], 100).collect()} == set(range(6))
+    assert C.within(df.where("false"), ["k"], ["i"], "nth").count() == 0
+
+
+def test_sentence_ranges(spark):
+    df = spark.createDataFrame([(1, "He left. She ran! “Who?” Then"), (2, "one"), (3, "")], "id int, text string")
+    got = {(r.id, r.sent_idx): (r.b, r.f) for r in C.sentence_ranges(df, "id").collect()}
+    assert got == {(1, 0): (0, 9), (1, 1): (9, 18), (1, 2): (18, 25), (1, 3): (25, 29), (2, 0): (0, 3), (3, 0): (0, 0)}
 
 
 def test_sign_test_and_small_folds():
@@ -130,13 +148,13 @@ def test_whole_table_of_vectors(spark, tmp_path):
         free = lambda k, n: [x for x in range(n) if x not in {p[k] for p in one}]  # noqa: B023, E731
         left, right = free(0, len(a)), free(1, len(b))
         two = {(i, j) for i, j in best(left, right) if sim[i, j] > 0} if left and right else set()
-        stick = {(i, int(sim[i].argmax())) for i in left if sim[i].max() >= 0.1 and any(j == sim[i].argmax() and 1 <= abs(i - k) <= 3 for k, j in one)}
+        stick = {("source", i, int(sim[i].argmax())) for i in left if sim[i].max() >= 0.1 and any(j == sim[i].argmax() and 1 <= abs(i - k) <= 3 for k, j in one)} | {("target", int(sim[:, j].argmax()), j) for j in right if sim[:, j].max() >= 0.1 and any(i == sim[:, j].argmax() and 1 <= abs(j - k) <= 3 for i, k in one)}
         first |= {(g, *x) for x in one}
         both |= {(g, *x) for x in one | two}
-        glued |= {(g, *x) for x in stick}
+        glued |= {(g, side, *x) for side, *x in stick}
     assert seen == 145 and glued
-    for name, want in (("mutual_argmax_whole", first), ("iterated_argmax_whole", both), ("glued_words_whole", glued)):
-        got = [(r.pair, r.i, r.j) for r in QUERIES[name](spark, str(tmp_path)).collect()]
+    for name, want in (("mutual_argmax", first), ("iterated_argmax", both), ("glued_words", glued)):
+        got = [(r.pair, r.side, r.i, r.j) if name == "glued_words" else (r.pair, r.i, r.j) for r in QUERIES[name](spark, str(tmp_path)).collect()]
         assert set(got) == want and len(got) == len(want), name
 
 
@@ -175,13 +193,13 @@ def test_every_target(spark, tmp_path):
     tr = [(k * 100 + i[0], i[0], g, t, [(*pos(t)[0], [0])], at, at) for k, (g, t) in enumerate(to.items()) for i in sents if g == "uk" or i[1] != 3]
     spark.createDataFrame(tr, f"translation_id long, sentence_id long, target string, text string, align {align}, stored_at timestamp, loaded_at timestamp").write.parquet(f"{tmp_path}/translations.parquet")
     q = lambda n: QUERIES[n](spark, str(tmp_path)).collect()
-    lex = {(r.source_lang, r.target, r.s) for r in q("lexicon_build_whole")}
+    lex = {(r.source_lang, r.target, r.s) for r in q("lexicon_build")}
     assert {x[:2] for x in lex} == {("es", "uk"), ("es", "lt"), ("en", "uk"), ("en", "lt"), ("", "uk")} and ("es", "uk", "green") not in lex
     assert len(q("lexicon_checked")) == len(tr)
-    assert q("pending_work_whole") == []
-    levels = {(r.target, r.raw_target): (r.level, r.n) for r in q("filled_levels_whole")}
+    assert q("pending_work") == []
+    levels = {(r.target, r.raw_target): (r.level, r.n) for r in q("filled_levels")}
     assert levels == {("uk", "lt"): ("final", 2), ("lt", "uk"): ("final", 2)}
-    ctx = {(r.sentence_id, r.target): r.n_context for r in q("previous_sentences_whole")}
+    ctx = {(r.sentence_id, r.target): r.n_context for r in q("previous_sentences")}
     assert ctx == {(b * 10 + i, g): i for b in src for g in to for i in (1, 2) if g == "uk" or b != 3}
 
 
@@ -190,4 +208,4 @@ def test_titles_of_any_script(spark, tmp_path):
 
     titles = {1: ("Élan’s End", "elan’s end"), 2: ("Тёмный Лес", "тёмный лес"), 3: ("雪国", "雪国"), 4: ("बड़ा घर", "बड़ा घर"), 5: ("ביתו", "ביתו"), 6: ("บ้าน — Ü", "บ้าน — u"), 7: ("", ""), 8: (None, None)}
     spark.createDataFrame([(k, t) for k, (t, _) in titles.items()], "book_id long, title string").write.parquet(f"{tmp_path}/books.parquet")
-    assert {r.book_id: r.folded for r in QUERIES["folded_titles_whole"](spark, str(tmp_path)).collect()} == {k: v for k, (_, v) in titles.items() if v is not None}
+    assert {r.book_id: r.folded for r in QUERIES["folded_titles"](spark, str(tmp_path)).collect()} == {k: v for k, (_, v) in titles.items() if v is not None}

@@ -44,6 +44,10 @@ def test_tags_artifacts_citations(spark):
     assert one(spark, T.language_tag("a"), a="pt_BR") == "pt"
     assert one(spark, T.language_tag("a"), a="deu") == "de"
     assert one(spark, T.language_tag("a"), a="English") == ""
+    assert [one(spark, T.language_tag("a"), a=x) for x in ("nld", "dut", "pol", "tur", "en-US", "x", "abcd", "e1", " FR ")] == ["nl", "nl", "pl", "tr", "en", "", "", "", "fr"]
+    assert one(spark, T.language_name("a"), a="ko") == "Korean" and one(spark, T.language_name("a"), a="xx") == "xx"
+    assert all(one(spark, T.is_matter("a"), a=x) for x in ("Índice", " TOC ", "Contents", "Half-Title", "The Cover", "Sinopsis", "notes")) and not any(one(spark, T.is_matter("a"), a=x) for x in ("", "Notes of a traveller", "Covered", "Chapter 1", "Discontents"))
+    assert one(spark, T.is_citation("a"), a="See doi 10.1") and one(spark, T.is_citation("a"), a="(DOI)") and not one(spark, T.is_citation("a"), a="doing so")
     assert one(spark, T.is_artifact("a"), a="x <|im_end|>")
     assert one(spark, T.is_citation("a"), a="Vell, J., Oake, R., Salt, 1874, p. 3")
     assert not one(spark, T.is_citation("a"), a="In 1874, he left.")
