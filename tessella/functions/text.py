@@ -25,6 +25,10 @@ LANG_NAMES = {
 # --- fixed values: titles of front and back matter, folded, whole or with one of the words
 MATTER_EXACT = r"^\s*(indice|index|toc|contents?|table of contents|tabla de contenidos?|contenidos?|notas|notes|endnotes|footnotes)\s*$"
 MATTER_LOOSE = r"\b(portada|cover|cubierta|sinopsis|synopsis|creditos|copyright|colophon|titlepage|title page|half.?title|ncl.?indice)\b"
+# --- fixed values: marks trimmed before a note; statuses that are final; wordings of an exhausted quota
+LEADING = r"^[.,:;)\]* ]+"
+PERMANENT = (400, 401, 402, 403, 404)
+EXHAUSTED = r"(?i)(usage limit|session limit|hit your .{0,20}limit|limit reached)"
 # --- fixed values: what makes a note a citation
 URL, YEAR = r"(?i)https?://|www\.|(?<![0-9A-Za-z_])doi(?![0-9A-Za-z_])", r"(?<![0-9A-Za-z_])(1[5-9][0-9]{2}|20[0-9]{2})(?![0-9A-Za-z_])"
 
@@ -47,6 +51,13 @@ def words(c) -> Column:
     return F.regexp_extract_all(_c(c), F.lit(f"({WORD})"), F.lit(1))
 
 
+def plain_words(text: str) -> list[str]:
+    """As words, for one text outside a plan."""
+    import regex
+
+    return regex.findall(WORD, text)
+
+
 def runs(c) -> Column:
     return F.regexp_extract_all(_c(c), F.lit(f"({RUN})"), F.lit(1))
 
@@ -150,6 +161,61 @@ def strip_reply(c) -> Column:
     return F.regexp_extract(c, r"(?s)(\{.*\})", 1)
 
 
+def clean_place(raw, at: Column) -> Column:
+    """The place in clean(raw) of the raw offset ``at``."""
+    head = F.regexp_replace(F.regexp_replace(F.substring(_c(raw), F.lit(1), at), r"(?U)^\s+", ""), r"(?U)\s+", " ")
+    return F.least(F.length(head), F.length(clean(raw)))
+
+
+def leading_marks(c) -> Column:
+    """How many characters of punctuation and blanks a text begins with; spans move left by as many."""
+    return F.length(F.regexp_extract(_c(c), LEADING, 0))
+
+
+def without_leading_marks(c) -> Column:
+    return F.regexp_replace(_c(c), LEADING, "")
+
+
+def book_stem(c) -> Column:
+    """A file name without the extension of a book."""
+    return F.regexp_replace(_c(c), r"(?i)\.(fb2\.zip|fb2|epub)$", "")
+
+
+def listed(c) -> Column:
+    """A comma list as an array: trimmed, blanks dropped, each once in the order they come."""
+    return F.array_distinct(F.filter(F.transform(F.split(_c(c), ","), F.trim), lambda x: x != ""))
+
+
+def sources_listed(c) -> Column:
+    """A list of sources: a JSON array of strings, else one a line; blank ones go."""
+    lines = F.filter(F.transform(F.split(_c(c), "\\r?\\n"), F.trim), lambda x: x != "")
+    return F.coalesce(F.when(F.ltrim(_c(c)).startswith("["), F.filter(F.from_json(_c(c), "array<string>"), lambda x: F.trim(x) != "")), lines)
+
+
+def is_permanent(status) -> Column:
+    """Statuses that no retry mends."""
+    return _c(status).isin(*PERMANENT)
+
+
+def is_exhausted(err) -> Column:
+    """Wordings of an exhausted quota."""
+    return F.coalesce(_c(err).rlike(EXHAUSTED), F.lit(False))
+
+
+def reset_at(err) -> Column:
+    """The second at which an exhausted quota begins anew, where the message tells it."""
+    return F.nullif(F.regexp_extract(_c(err), r"\|([0-9]{10})(?![0-9A-Za-z_])", 1), F.lit("")).cast("bigint")
+
+
+def found_at(hay, needle) -> Column:
+    """Where a text stands in another, capitals aside; -1 where it does not."""
+    return F.call_function("instr", F.lower(_c(hay)), F.lower(_c(needle))) - 1
+
+
+def percent(a, n) -> Column:
+    return 100 * _c(a) / F.greatest(_c(n), F.lit(1))
+
+
 def key(*parts) -> Column:
     """Content key: SHA-256 of the parts joined by bars."""
     return F.sha2(F.concat_ws("|", *[F.lit(p) if isinstance(p, str) else p for p in parts]), 256)

@@ -487,12 +487,6 @@ def judge_sample(spark, d):
     return C.clean_sample(u, "src")
 
 
-@query(f"""WITH {TR} SELECT target, count(*) AS n, count(*) FILTER (WHERE q < 0.7 OR q IS NULL) AS n_rejected, count(*) FILTER (WHERE q < 0.7 OR q IS NULL OR trim(coalesce(text, '')) = '') AS n_judged FROM t GROUP BY 1""")
-def hybrid_gate(spark, d):
-    low = F.coalesce(F.col("q") < 0.7, F.lit(True))
-    return _t(spark, d).groupBy("target").agg(F.count("*").alias("n"), F.count_if(low).alias("n_rejected"), F.count_if(low | (F.trim(F.coalesce("text", F.lit(""))) == "")).alias("n_judged"))
-
-
 _VOTES = """v AS (SELECT sentence_id AS id, sha256('a' || sentence_id::VARCHAR)[1:1] AS a, sha256('b' || sentence_id::VARCHAR)[1:1] AS b FROM (SELECT DISTINCT sentence_id FROM sentences)),
 w AS (SELECT id, CASE WHEN a < '6' THEN 'A' WHEN a < 'c' THEN 'B' ELSE 'tie' END AS v1, CASE WHEN b < '6' THEN 'A' WHEN b < 'c' THEN 'B' ELSE 'tie' END AS v2 FROM v)"""
 

@@ -17,10 +17,11 @@ from xml.etree import ElementTree as ET
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.functions.text import ACCENTED, MATTER_EXACT, MATTER_LOOSE, PLAIN
-from tessella.sources.html import blocks, squeeze
+from tessella.functions.text import ACCENTED, MATTER_EXACT, MATTER_LOOSE, PLAIN, URL, YEAR
+from tessella.sources.html import blocks, note_body, squeeze, tree
 
-PARAGRAPHS = "path string, title string, author string, language string, ch_idx int, chapter string, para_idx int, role string, text string, spans array<struct<s:int,e:int,k:string>>, marks array<struct<pos:int,id:string,label:string>>, error string"
+PARAGRAPHS = "path string, title string, author string, language string, ch_idx int, chapter string, para_idx int, role string, text string, spans array<struct<s:int,e:int,k:string>>, marks array<struct<pos:int,id:string,label:string>>, cell struct<r:int,c:int,header:boolean>, image string, alt string, error string"
+NOTES = "path string, id string, label string, kind string, para_idx int, text string, spans array<struct<s:int,e:int,k:string>>, error string"
 _FOLD = str.maketrans(ACCENTED, PLAIN)
 _EXACT, _LOOSE = re.compile(MATTER_EXACT), re.compile(MATTER_LOOSE)
 
@@ -47,43 +48,116 @@ def _first(node, name: str) -> str:
     return next((t for x in _all(node, name) if (t := _text(x))), "")
 
 
-def parse_epub(data: bytes, path: str) -> list[tuple]:
-    """Paragraph rows of an EPUB: the spine in order, chapters by the table of contents where two of its files are found,
-    else by each file; matter skipped unless nothing else is left; leading and trailing breaks dropped, runs of them joined."""
+def open_epub(data: bytes, path: str) -> dict:
+    """An EPUB as a whole: title, author, language, chapters of blocks, notes, cover and the images that are shown.
+
+    The spine in order; chapters by the table of contents where two of its files are found, else by each file and by the divisions
+    whose class begins one; matter and files of notes skipped unless nothing else is left; leading and trailing breaks dropped, runs
+    of them joined. Note markers get ids n1, n2, … in the order of their first reference, one a target; markers whose note is not
+    found go. A table of contents that can't be read counts as none."""
     z = zipfile.ZipFile(io.BytesIO(data))
     names = set(z.namelist())
     root = next((x.get("full-path") for x in _all(ET.fromstring(z.read("META-INF/container.xml")), "rootfile")), None)
     if root not in names:
         raise ValueError("no root file")
     opf, base = ET.fromstring(z.read(root)), posixpath.dirname(root)
-    where = lambda href: posixpath.normpath(posixpath.join(base, unquote(href.split("#")[0])))
+    at = lambda folder, href: posixpath.normpath(posixpath.join(folder, unquote(href.split("#")[0])))
     manifest = {x.get("id"): x for x in _all(opf, "item")}
-    title = _first(opf, "title") or re.sub(r"(?i)\.epub$", "", posixpath.basename(path))
-    author, language = _first(opf, "creator") or "Unknown", _first(opf, "language")
-    spine = [where(manifest[x.get("idref")].get("href")) for x in _all(opf, "itemref") if x.get("idref") in manifest]
+    spine = [at(base, manifest[x.get("idref")].get("href")) for x in _all(opf, "itemref") if x.get("idref") in manifest]
     toc: dict[str, str] = {}
-    ncx = next((x for x in manifest.values() if x.get("media-type") == "application/x-dtbncx+xml"), None)
-    if ncx is not None and where(ncx.get("href")) in names:
-        for point in _all(ET.fromstring(z.read(where(ncx.get("href")))), "navPoint"):
-            src = next((x.get("src") for x in _all(point, "content")), None)
+    ncx = next((at(base, x.get("href")) for x in manifest.values() if x.get("media-type") == "application/x-dtbncx+xml" or (x.get("href") or "").lower().endswith(".ncx")), None)
+    if ncx in names:
+        try:
+            points = _all(ET.fromstring(z.read(ncx)), "navPoint")
+        except ET.ParseError:
+            points = []
+        for point in points:
+            src = next((x.get("src") for x in point if _local(x.tag) == "content"), None)
+            label = next((_text(x) for x in point if _local(x.tag) == "navLabel"), "")
             if src:
-                toc.setdefault(posixpath.normpath(posixpath.join(posixpath.dirname(where(ncx.get("href"))), unquote(src.split("#")[0]))), _first(point, "text"))
+                toc.setdefault(at(posixpath.dirname(ncx), src), label)
     by_toc = len(set(toc) & set(spine)) >= 2
+    pages = {doc: tree(z.read(doc).decode("utf-8", "replace")) for doc in dict.fromkeys(spine) if doc in names}
+    targets: dict[tuple[str, str], tuple[str, str]] = {}
+    found = {doc: blocks(None, page) for doc, page in pages.items()}
+
+    def marked(doc: str, marks: list[dict]) -> None:
+        kept = []
+        for m in marks:
+            file, _, frag = m["id"].strip().partition("#")
+            if frag:
+                where = (at(posixpath.dirname(doc), file) if file else doc, frag)
+                m["id"] = targets.setdefault(where, (f"n{len(targets) + 1}", m["label"]))[0]
+                kept.append(m)
+        marks[:] = kept
+
     chapters: list[tuple[str, list[dict]]] = []
+    shown: list[str] = []
     for doc in spine:
-        if doc not in names:
+        if doc not in pages:
             continue
-        found = blocks(z.read(doc).decode("utf-8", "replace"))
-        head = toc.get(doc) or next((b["text"] for b in found if b["role"] == "heading"), "")
-        if is_matter(head) or is_matter(posixpath.splitext(posixpath.basename(doc))[0].replace("_", " ").replace("-", " ")):
+        head = toc.get(doc) or next((b["text"] for b in found[doc] if b["role"] == "heading"), "")
+        if any(doc == file for file, _ in targets) or is_matter(head) or is_matter(posixpath.splitext(posixpath.basename(doc))[0].replace("_", " ").replace("-", " ")):
             continue
-        if by_toc and doc not in toc and chapters:
-            chapters[-1][1].extend(found)
-        else:
-            chapters.append((head, found))
+        if not (by_toc and doc not in toc and chapters):
+            chapters.append((head, []))
+        for b in found[doc]:
+            if b.get("boundary") and not by_toc:
+                chapters.append((b["text"], []))
+                continue
+            for part in [b, *(c for row in b.get("rows") or [] for c in row)]:
+                marked(doc, part["marks"])
+            if b["role"] == "figure":
+                b["image"] = at(posixpath.dirname(doc), b["image"])
+                if b["image"] not in names:
+                    continue
+                shown.append(b["image"])
+            chapters[-1][1].append(b)
+    notes = []
+    for (file, frag), (note, label) in targets.items():
+        page = pages.get(file) or (tree(z.read(file).decode("utf-8", "replace")) if file in names else None)
+        body = note_body(page, frag) if page is not None else []
+        if body:
+            notes.append({"id": note, "label": label, "kind": "citation" if is_citation(" ".join(p["text"] for p in body) + " ") else "note", "paragraphs": body})
+    known = {n["id"] for n in notes}
+    for _, bs in chapters:
+        for b in bs:
+            for part in [b, *(c for row in b.get("rows") or [] for c in row)]:
+                part["marks"] = [m for m in part["marks"] if m["id"] in known]
     chapters = [(h, _breaks(_no_echo(h, b))) for h, b in chapters]
-    full = [c for c in chapters if any(b["role"] not in ("heading", "sceneBreak") for b in c[1])]
-    return _rows(path, title, author, language, full or chapters)
+    full = [c for c in chapters if any(b["text"].strip() and b["role"] != "heading" or b["role"] in ("figure", "table") for b in c[1])]
+    return {
+        "title": _first(opf, "title") or re.sub(r"(?i)\.epub$", "", posixpath.basename(path)), "author": _first(opf, "creator") or "Unknown", "language": _first(opf, "language"),
+        "chapters": full or chapters, "notes": notes, "cover": _cover(z, opf, manifest, base, names), "images": {n: z.read(n) for n in dict.fromkeys(shown)},
+    }
+
+
+def _cover(z: zipfile.ZipFile, opf, manifest: dict, base: str, names: set[str]) -> bytes | None:
+    """The cover: marked so in the manifest, named in the metadata, an image called so, or else the first image."""
+    where = lambda x: posixpath.normpath(posixpath.join(base, unquote(x.get("href") or "")))
+    images = [x for x in manifest.values() if (x.get("media-type") or "").startswith("image/")]
+    meta = next((x.get("content") for x in _all(opf, "meta") if (x.get("name") or "").lower() == "cover"), None)
+    ranked = [x for x in manifest.values() if "cover-image" in (x.get("properties") or "")] + [manifest[k] for k in (meta,) if k in manifest] + [x for x in images if "cover" in (x.get("href") or "").lower()] + images
+    return next((z.read(where(x)) for x in ranked if where(x) in names), None)
+
+
+_URL, _YEAR = re.compile(URL), re.compile(YEAR)
+
+
+def is_citation(text: str) -> bool:
+    """As functions.text.is_citation, for one text."""
+    return bool(_URL.search(text) or text.count(",") >= 3 and _YEAR.search(text))
+
+
+def parse_epub(data: bytes, path: str) -> list[tuple]:
+    """Paragraph rows of an EPUB; of a table one row a cell, of role 'cell'."""
+    b = open_epub(data, path)
+    return _rows(path, b["title"], b["author"], b["language"], b["chapters"])
+
+
+def parse_epub_notes(data: bytes, path: str) -> list[tuple]:
+    """Note rows of an EPUB: path, id, label, kind, para_idx, text, spans."""
+    return [(path, n["id"], n["label"], n["kind"], k, p["text"], p["spans"], None) for n in open_epub(data, path)["notes"] for k, p in enumerate(n["paragraphs"])]
 
 
 def _no_echo(title: str, found: list[dict]) -> list[dict]:
@@ -105,17 +179,21 @@ def _breaks(found: list[dict]) -> list[dict]:
 
 
 def _rows(path, title, author, language, chapters) -> list[tuple]:
-    return [(path, title, author, language, c, head or f"Chapter {c + 1}", i, b["role"], b["text"], b.get("spans", []), b.get("marks", []), None) for c, (head, found) in enumerate(chapters) for i, b in enumerate(found)]
+    out = []
+    for c, (head, found) in enumerate(chapters):
+        for i, b in enumerate(found):
+            row = (path, title, author, language, c, head or f"Chapter {c + 1}", i)
+            for r, cells in enumerate(b.get("rows") or []):
+                out += [(*row, "cell", x["text"], x["spans"], x["marks"], {"r": r, "c": k, "header": x["header"]}, None, None, None) for k, x in enumerate(cells)]
+            if b["role"] != "table":
+                out.append((*row, b["role"], b["text"], b.get("spans", []), b.get("marks", []), None, b.get("image"), b.get("alt"), None))
+    return out
 
 
 def parse_fb2(data: bytes, path: str) -> list[tuple]:
     """Paragraph rows of an FB2, plain or zipped, in its declared character set. Notes bodies are skipped; nested sections come
     inline with their titles as headings."""
-    if data[:2] == b"PK":
-        z = zipfile.ZipFile(io.BytesIO(data))
-        name = next((n for n in z.namelist() if n.lower().endswith(".fb2")), z.namelist()[0])
-        data = z.read(name)
-    root = ET.fromstring(data)
+    root = ET.fromstring(_fb2_bytes(data))
     info = next(iter(_all(root, "title-info")), root)
     title = _first(info, "book-title") or re.sub(r"(?i)\.fb2(\.zip)?$", "", posixpath.basename(path))
     who = next(iter(_all(info, "author")), None)
@@ -160,8 +238,16 @@ def _rich(node, raw: list[str], spans: list) -> None:
         raw.append(x.tail or "")
 
 
+def _fb2_bytes(data: bytes) -> bytes:
+    """The book of a ZIP: its first .fb2, else its first file."""
+    if data[:2] != b"PK":
+        return data
+    z = zipfile.ZipFile(io.BytesIO(data))
+    return z.read(next((n for n in z.namelist() if n.lower().endswith(".fb2")), z.namelist()[0]))
+
+
 def fb2_cover(data: bytes) -> bytes | None:
-    root = ET.fromstring(data)
+    root = ET.fromstring(_fb2_bytes(data))
     page = next(iter(_all(root, "coverpage")), None)
     image = None if page is None else next(iter(_all(page, "image")), None)
     href = "" if image is None else next((v for k, v in image.attrib.items() if k.endswith("href")), "").lstrip("#")
@@ -169,18 +255,18 @@ def fb2_cover(data: bytes) -> bytes | None:
     return None if found is None else base64.b64decode("".join((found.text or "").split()))
 
 
-def _reader(parse):
+def _reader(parse, schema: str = PARAGRAPHS):
     def run(frames):
         import pandas as pd
 
-        names = [c.split(" ")[0] for c in re.split(r", (?![^<]*>)", PARAGRAPHS)]
+        names = [c.split(" ")[0] for c in re.split(r", (?![^<]*>)", schema)]
         for f in frames:
             rows: list[tuple] = []
             for path, content in zip(f["path"], f["content"]):
                 try:
                     rows += parse(bytes(content), path)
                 except Exception as e:  # a broken file is a row, not the end of the job
-                    rows.append((path, None, None, None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:300]))
+                    rows.append((path, *[None] * (len(names) - 2), f"{type(e).__name__}: {e}"[:300]))
             yield pd.DataFrame(rows, columns=names)
 
     return run
@@ -190,32 +276,100 @@ def read_epub(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").load(glob).select("path", "content").mapInPandas(_reader(parse_epub), PARAGRAPHS)
 
 
+def read_epub_notes(spark: SparkSession, glob: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(glob).select("path", "content").mapInPandas(_reader(parse_epub_notes, NOTES), NOTES)
+
+
+def read_covers(spark: SparkSession, glob: str) -> DataFrame:
+    """path, cover, error: the cover image of every EPUB and FB2, null where there is none."""
+    cover = lambda data, path: [(path, (open_epub(data, path)["cover"] if path.lower().endswith(".epub") else fb2_cover(data)), None)]
+    schema = "path string, cover binary, error string"
+    return spark.read.format("binaryFile").load(glob).select("path", "content").mapInPandas(_reader(cover, schema), schema)
+
+
 def read_fb2(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").load(glob).select("path", "content").mapInPandas(_reader(parse_fb2), PARAGRAPHS)
 
 
 def write_archive(book: dict) -> bytes:
-    """book: title, author, sourceLang, targetLangs, chapters [{title, paragraphs [[sentence]], styles}]. A ZIP of chapter
-    files and a manifest, which comes last. Trailing body styles are cut, a chapter of body alone has none."""
+    """book: title, author, sourceLang, targetLangs, chapters [{title, paragraphs [[sentence]], styles, figures, tables}], and where there
+    are any notes [{id, label, kind, paragraphs}], images {name: bytes}, cover, meta. A ZIP of chapter files, notes, images by name,
+    the cover and the manifest, which comes last. Trailing body styles are cut, a chapter of body alone has none; null words and
+    alignments become empty, and every translation with a text gets its coverage q."""
     out = io.BytesIO()
-    dump = lambda x: json.dumps(x, ensure_ascii=False, separators=(",", ":")).encode()
+    dump = lambda x, **k: json.dumps(x, ensure_ascii=False, **({"separators": (",", ":")} | k)).encode()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         refs = []
         for i, c in enumerate(book["chapters"], 1):
             styles = trimmed_styles(c.get("styles") or [], len(c["paragraphs"]))
-            body = {"title": c.get("title") or f"Chapter {i}", "paragraphs": c["paragraphs"]} | ({"paragraphStyles": styles} if styles else {})
+            more = {k: c[k] for k in ("figures", "tables") if c.get(k)}
+            for t in c.get("tables") or []:
+                for row in t.get("rows") or []:
+                    for cell in row:
+                        _whole(cell.get("sentences") or [])
+            body = {"paragraphs": [_whole(p) for p in c["paragraphs"]]} | ({"paragraphStyles": styles} if styles else {}) | more
             z.writestr(f"chapters/ch{i}.json", dump(body))
-            refs.append({"id": f"ch{i}", "title": body["title"], "file": f"chapters/ch{i}.json"})
-        z.writestr("manifest.json", dump({"formatVersion": 1} | {k: book.get(k) for k in ("title", "author", "sourceLang", "targetLangs")} | {"chapters": refs}))
+            refs.append({"id": f"ch{i}", "title": c.get("title") or f"Chapter {i}", "file": f"chapters/ch{i}.json"})
+        manifest = {"formatVersion": 1} | {k: book.get(k) for k in ("title", "author", "sourceLang", "targetLangs")}
+        if book.get("notes"):
+            z.writestr("notes.json", dump([n | {"paragraphs": [_whole(p) for p in n["paragraphs"]]} for n in book["notes"]]))
+            manifest["notes"] = "notes.json"
+        for name in sorted(book.get("images") or {}):
+            z.writestr(name, book["images"][name])
+        if book.get("cover") is not None:
+            z.writestr("cover.jpg", book["cover"])
+            manifest["cover"] = "cover.jpg"
+        if book.get("meta"):
+            manifest["meta"] = book["meta"]
+        z.writestr("manifest.json", dump(manifest | {"chapters": refs}, separators=None, indent=2))
     return out.getvalue()
 
 
+_RUN = re.compile(r"[^\W_]+")
+
+
+def _whole(sentences: list[dict]) -> list[dict]:
+    for s in sentences:
+        if "words" in s:
+            s["words"] = s["words"] or []
+        for tr in (s.get("tr") or {}).values():
+            tr["align"] = tr.get("align") or []
+            runs = [m.span() for m in _RUN.finditer(tr.get("text") or "")]
+            hit = sum(any(c["w"] and c["t"][0] < e and a < c["t"][1] for c in tr["align"]) for a, e in runs)
+            tr["q"] = int(100 * hit / len(runs) + 0.5) / 100 if runs else 0.0
+    return sentences
+
+
 def read_archive(data: bytes) -> dict:
     """The inverse of write_archive."""
     z = zipfile.ZipFile(io.BytesIO(data))
     m = json.loads(z.read("manifest.json"))
-    chapters = [json.loads(z.read(c["file"])) for c in m["chapters"]]
-    return {k: m.get(k) for k in ("title", "author", "sourceLang", "targetLangs")} | {"chapters": [{"title": c["title"], "paragraphs": c["paragraphs"], "styles": c.get("paragraphStyles") or []} for c in chapters]}
+    chapters = []
+    for c in m["chapters"]:
+        body = json.loads(z.read(c["file"]))
+        chapters.append({"title": c["title"], "paragraphs": body["paragraphs"], "styles": body.get("paragraphStyles") or []} | {k: body[k] for k in ("figures", "tables") if k in body})
+    book = {k: m.get(k) for k in ("title", "author", "sourceLang", "targetLangs")} | {"chapters": chapters}
+    if m.get("notes"):
+        book["notes"] = json.loads(z.read(m["notes"]))
+    if m.get("cover"):
+        book["cover"] = z.read(m["cover"])
+    if m.get("meta"):
+        book["meta"] = m["meta"]
+    images = {n: z.read(n) for n in z.namelist() if not (n.startswith("chapters/") or n in ("manifest.json", m.get("notes"), m.get("cover")))}
+    return book | ({"images": images} if images else {})
+
+
+def archive_sentences(book: dict) -> list[dict]:
+    """The flat sentences of an archive: prose with captions and cells, then content notes, then citations; notes by their number."""
+    out = []
+    for c in book["chapters"]:
+        out += [{"kind": "prose"} | s for p in c["paragraphs"] for s in p]
+        out += [{"kind": "prose"} | s for f in c.get("figures") or [] for s in f.get("caption") or []]
+        out += [{"kind": "prose"} | s for t in c.get("tables") or [] for row in t["rows"] for cell in row for s in cell.get("sentences") or []]
+    number = lambda n: int("".join(filter(str.isdigit, n["id"])) or 0)
+    for kind in ("note", "citation"):
+        out += [{"kind": kind} | s for n in sorted(book.get("notes") or [], key=number) if n.get("kind", "note") == kind for p in n["paragraphs"] for s in p]
+    return out
 
 
 def trimmed_styles(styles: list[str], n: int) -> list[str]:

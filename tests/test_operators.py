@@ -105,10 +105,11 @@ def test_sentence_ranges(spark):
 def test_sign_test_and_small_folds():
     assert C.sign_test(27, 31) == pytest.approx(3.4e-05, rel=0.02)
     assert C.sign_test(0, 0) == 1.0
-    runs = []
-    for i in range(25):
-        runs = P.append_run(runs, {"at": i, "x": i // 2})
-    assert len(runs) == 13 and runs[-1] == {"at": 24, "x": 12}
+    meta: dict = {"other": 1}
+    for i in range(50):
+        meta = P.append_run(meta, {"at": i, "x": i // 2})
+    assert meta["createdAt"] == 0 and meta["updatedAt"] == 49 and meta["other"] == 1
+    assert len(meta["runs"]) == 20 and meta["runs"][-1] == {"at": 48, "x": 24} and meta["runs"][0] == {"at": 10, "x": 5}
     assert P.glossary_hash([]) == "" and len(P.glossary_hash([("a", "b")])) == 12
     assert P.echo_words(["a b", 3, "c"]) == ["a", "b", "c"] and P.echo_words(None) == []
     assert P.decode_reply('```json\n{"1": "x"}\n```') == {"1": "x"} and P.decode_reply("<think>x") is None
@@ -209,3 +210,90 @@ def test_titles_of_any_script(spark, tmp_path):
     titles = {1: ("Élan’s End", "elan’s end"), 2: ("Тёмный Лес", "тёмный лес"), 3: ("雪国", "雪国"), 4: ("बड़ा घर", "बड़ा घर"), 5: ("ביתו", "ביתו"), 6: ("บ้าน — Ü", "บ้าน — u"), 7: ("", ""), 8: (None, None)}
     spark.createDataFrame([(k, t) for k, (t, _) in titles.items()], "book_id long, title string").write.parquet(f"{tmp_path}/books.parquet")
     assert {r.book_id: r.folded for r in QUERIES["folded_titles"](spark, str(tmp_path)).collect()} == {k: v for k, (_, v) in titles.items() if v is not None}
+
+
+def test_scores_and_local_coverage(spark):
+    from tessella.operators import quality as Q
+
+    pos = lambda t: [(m.start(), m.end()) for m in __import__("re").finditer(r"\w+", t)]
+    rows = [("en", "de", "der rote Hund", [(4, 8, [1]), (9, 13, [])], "the red dog", pos("the red dog")), ("xx", "yy", None, None, None, None), ("en", "de", "", [], "", [])]
+    df = spark.createDataFrame(rows, f"source_lang string, target string, text string, align {Q.ALIGN}, src string, words {Q.WORDS}")
+    a, b, c = Q.scores(df).collect()
+    assert (round(a.cov_all, 3), a.cov_content, round(a.tap_all, 3), a.tap_content) == (0.667, 1.0, 0.333, 0.5)
+    assert a.uncovered_src == ["dog"] and a.uncovered_tgt == []
+    assert (b.cov_all, b.tap_content, c.cov_content) == (-1.0, -1.0, -1.0) and b.uncovered_src == []
+    got = [r.q for r in df.select(Q.local_coverage(F.coalesce("text", F.lit("")), F.col("align")).alias("q")).collect()]
+    assert got == [0.5, 0.0, 0.0]
+    q = Q.content_q(df.select("target", "text", "align")).collect()
+    assert (round(q[0].q_all, 3), q[0].q_content, q[1].q_all) == (0.333, 0.5, 0.0)
+    left = df.limit(1).select(Q.content_chunks(F.col("text"), F.array(F.struct(F.lit(0).alias("t0"), F.lit(3).alias("t1"), F.array(F.lit(0)).alias("w")), F.struct(F.lit(4).alias("t0"), F.lit(8).alias("t1"), F.array(F.lit(1)).alias("w"))), F.col("target")).alias("x")).first().x
+    assert [(c.t0, c.t1) for c in left] == [(4, 8)]
+
+
+def test_probes(spark):
+    from tessella.operators import quality as Q
+
+    pos = lambda t: [(m.start(), m.end()) for m in __import__("re").finditer(r"\w+", t)]
+    src, text = "he kept the bit in hand", "er hielt sie immer in Zaum fest"
+    t = pos(text)
+    case = lambda expr, w: (expr, "de", text, [(*t[i], x) for i, x in w], src, pos(src))
+    rows = [
+        case("kept the", [(1, [1]), (2, [2])]), case("Kept THE", [(1, [1])]), case("in hand", [(0, [0])]), case("not here", []), case("kept the", [(1, [1]), (6, [2])]),
+        case("in hand", [(3, [4]), (5, [5])]), case("kept the", [(0, [1]), (1, []), (2, []), (3, []), (4, [2])]),
+    ]
+    df = spark.createDataFrame(rows, f"expr string, target string, text string, align {Q.ALIGN}, src string, words {Q.WORDS}")
+    got = [(r.verdict, r.fragments) for r in Q.probes(df).collect()]
+    assert [v for v, _ in got] == ["unit", "partial", "unaligned", "expr-not-found", "partial", "unit", "partial"]  # "in" may stand between
+    assert got[0][1] == ["hielt", "sie"]
+
+
+def test_judging(spark):
+    from tessella.operators import quality as Q
+
+    rows = [("a", 0.9, True), ("a", 0.9, False), ("b", 0.5, False), ("b", 0.9, None)] + [(f"c{i}", 0.8, False) for i in range(41)]
+    scope = {r.src: r.why for r in Q.judge_scope(spark.createDataFrame(rows, "src string, q double, flagged boolean")).collect()}
+    assert scope["a"] == "flagged" and scope["b"] == "low" and sum(w == "sample" for w in scope.values()) == 3 and len(scope) == 5
+    v = spark.createDataFrame([("a", False, " drift "), ("a", False, ""), ("b", True, "x"), ("c", None, None), ("d", False, "z" * 99)], "src string, ok boolean, why string")
+    t = Q.verdict_tally(v).first()
+    assert (t.n_checked, t.n_flagged, t.n_unjudged, t.n_flagged_srcs) == (5, 3, 1, 2)
+    assert {r.why: r.n for r in Q.verdict_reasons(v).collect()} == {"drift": 1, "unspecified": 1, "z" * 60: 1}
+    df = spark.createDataFrame([("red dog", [(0, 3), (4, 7)], "roter Hund", [(0, 5, [0]), (6, 99, [1, 7]), (3, 3, [0]), (5, 6, [])])], f"src string, words {Q.WORDS}, text string, align {Q.ALIGN}")
+    assert df.select(Q.align_pairs(*[F.col(c) for c in ("src", "words", "text", "align")]).alias("p")).first().p == [["roter", "red"], ["Hund", "dog"], [" ", ""]]
+
+
+def test_passes_of_stand_ins(spark):
+    wanted = spark.createDataFrame([("k1", "the red dog", [(0, 3), (4, 7), (8, 11)]), ("k2", "m 3m", [(0, 1), (3, 4)])], "key string, src string, words array<struct<s:int,e:int>>")
+    both = wanted.join(P.run_pass(wanted, P.tagging_provider("de")), "key")
+    got = {r.key: r for r in P.run_align(both, P.echoing_aligner()).collect()}
+    assert [(c.t0, c.t1, c.w) for c in got["k1"].align] == [(5, 8, [0]), (9, 12, [1]), (13, 16, [2])] and got["k1"].q == 0.75
+    assert "k2" not in got  # its second word stands inside another run, so it cannot be located
+    odd = lambda items: {"1": [{"tgt": "dog", "src": ["the", 3, "dog"]}, {"tgt": "?!", "src": "red"}], "x": 3, "9": []}
+    one = P.run_align(both.where("key = 'k1'"), odd).collect()
+    assert [(c.t0, c.t1, c.w) for c in one[0].align] == [(13, 16, [0, 2])]
+
+    def broken(items):
+        raise RuntimeError("down")
+
+    assert P.run_align(both, broken).count() == 0
+    todo = both.select("key", "src", "text", F.array().cast("array<struct<src:string,tr:string>>").alias("context"), F.array().cast("array<array<string>>").alias("pairs"))
+    assert {r.key: r.text for r in P.run_proofread(todo, lambda xs: {x["id"]: x["text"].upper() if len(x["src"]) > 5 else " " for x in xs}).collect()} == {"k1": "[DE] THE RED DOG"}
+    assert {r.key: (r.ok, r.why) for r in P.run_judge(todo, lambda xs: {x["id"]: {"ok": False, "why": "w"} if x["src"][0] == "t" else None for x in xs}).collect()} == {"k1": (False, "w")}
+    assert {r.key: r.text for r in P.frozen(both.select("key", "text"), spark.createDataFrame([("k1", "neu")], "key string, text string")).collect()} == {"k1": "neu", "k2": "[de] m 3m"}
+    redo = lambda x: x.select("key", F.concat("text", F.lit("!")).alias("text"))
+    verify = lambda x: x.select("key", (F.col("text").endswith("!!") & (F.col("key") == "k1")).alias("ok"))
+    assert {r.key: (r.text, r.stripped) for r in P.escalated(todo, redo, verify).collect()} == {"k1": ("[de] the red dog!!", False), "k2": ("[de] m 3m!!", True)}
+
+
+def test_glossary_and_phases(spark):
+    sample = spark.createDataFrame([("wonderful lighthouse",), ("a lighthouse",)], "src string")
+    assert [(r.src, r.tgt) for r in P.glossary(sample, P.long_words_glossary("de")).collect()] == [("lighthouse", "[de] lighthouse"), ("wonderful", "[de] wonderful")]
+    assert P.glossary(sample, lambda s: [{"src": " ", "tgt": "x"}, {"src": "a", "tgt": None}]).count() == 0
+    scope = {"source": "en", "target": "de", "title": "T", "author": "A", "sentences": 2}
+    text = P.glossary_file(scope, [{"src": "a ", "tgt": "b"}, {"src": "c", "tgt": ""}])
+    assert P.read_glossary(text, scope) == [{"src": "a", "tgt": "b"}]
+    for k in scope:
+        with pytest.raises(ValueError):
+            P.read_glossary(text, scope | {k: "other"})
+    rows = [("f", "r", None), (None, None, None), (None, "<eos>", "p"), (None, "r", None), (None, "r", "p"), ("<pad>", "r", "p")]
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    assert [r.p for r in df.select(P.phase(F.col("a"), F.col("b"), F.col("c")).alias("p")).collect()] == ["done", "translate", "translate", "proofread", "align", "align"]

@@ -56,3 +56,19 @@ def test_tags_artifacts_citations(spark):
 def test_reply(spark):
     assert one(spark, T.strip_reply("a"), a='<think>no</think> ```json {"1": "x"} ```') == '{"1": "x"}'
     assert one(spark, T.strip_reply("a"), a="<think>never ends {}") == ""
+
+
+def test_places_lists_and_errors(spark):
+    raw = "\u00a0 a  b\tc "
+    got = [one(spark, T.clean_place("a", F.lit(i)), a=raw) for i in range(len(raw) + 1)]
+    from tessella.sources.html import squeeze
+
+    assert one(spark, T.clean("a"), a=raw) == squeeze(raw)[0] and got == squeeze(raw)[1]
+    assert one(spark, T.without_leading_marks("a"), a="): The* end") == "The* end" and one(spark, T.leading_marks("a"), a="): The end") == 3 and one(spark, T.leading_marks("a"), a="The") == 0
+    assert [one(spark, T.book_stem("a"), a=x) for x in ("a.FB2.zip", "b.fb2", "c.epub", "d.txt", "e.zip")] == ["a", "b", "c", "d.txt", "e.zip"]
+    assert one(spark, T.listed("a"), a=" de, ,ru,de ") == ["de", "ru"]
+    assert one(spark, T.sources_listed("a"), a='["x", " ", "y,z"]') == ["x", "y,z"] and one(spark, T.sources_listed("a"), a="x\r\n\ny ") == ["x", "y"]
+    assert one(spark, T.is_exhausted("a"), a="You hit your weekly limit|1700000000") and one(spark, T.reset_at("a"), a="limit reached|1700000000") == 1700000000 and one(spark, T.reset_at("a"), a="|17000000001") is None
+    assert one(spark, T.is_permanent("a"), a=404) and not one(spark, T.is_permanent("a"), a=429)
+    assert one(spark, T.found_at("a", "b"), a="The LAMP", b="lamp") == 4 and one(spark, T.found_at("a", "b"), a="x", b="lamp") == -1
+    assert T.plain_words("It’s a 3-day café") == ["It’s", "a", "day", "café"]
