@@ -519,11 +519,14 @@ def validation_report(spark, d):
     return m.groupBy(F.coalesce("target", F.lit("")).alias("target")).agg(F.count("*").alias("n_answers"), F.count_if(empty).alias("n_empty"), F.sum(bad.cast("long")).alias("n_offset_errors"), total("n_tgt").alias("n_tgt_words"), total("n_tgt_covered").alias("n_tgt_aligned"), total("n_src").alias("n_src_words"), total("n_src_tapped").alias("n_src_covered"), F.count_if(~on & ~empty).alias("n_unaligned"))
 
 
-@query(f"""WITH {S} SELECT b.book_id, count(s.sentence_id) AS n_sentences, coalesce(sum(len(regexp_extract_all(src, '{W}'))), 0)::BIGINT AS n_words, coalesce(sum(length(src)), 0)::BIGINT AS n_chars, count(DISTINCT ch_idx) AS n_chapters, count(s.sentence_id) FILTER (WHERE kind = 'note') AS n_notes FROM books b LEFT JOIN s ON s.book_id = b.book_id GROUP BY 1""")
+@query(f"""WITH {S}, {_TAG.replace('b AS (', 'b0 AS (').replace('FROM b)', 'FROM b0)')} SELECT b.book_id, coalesce(nullif(trim(b.title), ''), regexp_replace(b.file_name, '(?i)\\.(fb2\\.zip|fb2|epub)$', '')) AS title, coalesce(nullif(trim(b.author), ''), 'Unknown') AS author, nullif(bk.tag, '') AS detected_language, count(s.sentence_id) FILTER (WHERE kind <> 'note') AS n_sentences, coalesce(sum(len(regexp_extract_all(src, '{W}'))), 0)::BIGINT AS n_words,
+coalesce(sum(length(src)), 0)::BIGINT AS n_chars, count(DISTINCT ch_idx) AS n_chapters, count(s.sentence_id) FILTER (WHERE kind = 'note') AS n_note_sentences, coalesce(array_to_string(b.warnings, '|'), '') AS warnings FROM books b LEFT JOIN bk ON bk.book_id = b.book_id LEFT JOIN s ON s.book_id = b.book_id GROUP BY ALL""")
 def book_estimates(spark, d):
-    s = _s(spark, d).groupBy("book_id").agg(F.count("*").alias("n_sentences"), F.sum(F.coalesce(F.size(T.words("src")), F.lit(0)).cast("long")).alias("n_words"), F.sum(F.length("src").cast("long")).alias("n_chars"), F.countDistinct("ch_idx").alias("n_chapters"), F.count_if(F.col("kind") == "note").alias("n_notes"))
-    cols = ["n_sentences", "n_words", "n_chars", "n_chapters", "n_notes"]
-    return table(spark, d, "books").select("book_id").join(s, "book_id", "left").fillna(0, cols).select("book_id", *cols)
+    """What a book holds, before any pass."""
+    s = _s(spark, d).groupBy("book_id").agg(F.count_if(F.col("kind") != "note").alias("n_sentences"), F.sum(F.coalesce(F.size(T.words("src")), F.lit(0)).cast("long")).alias("n_words"), F.sum(F.length("src").cast("long")).alias("n_chars"), F.countDistinct("ch_idx").alias("n_chapters"), F.count_if(F.col("kind") == "note").alias("n_note_sentences"))
+    cols = ["n_sentences", "n_words", "n_chars", "n_chapters", "n_note_sentences"]
+    b = table(spark, d, "books").select("book_id", F.coalesce(F.nullif(F.trim("title"), F.lit("")), T.book_stem("file_name")).alias("title"), F.coalesce(F.nullif(F.trim("author"), F.lit("")), F.lit("Unknown")).alias("author"), F.nullif(T.language_tag("language"), F.lit("")).alias("detected_language"), F.coalesce(F.array_join("warnings", "|"), F.lit("")).alias("warnings"))
+    return b.join(s, "book_id", "left").fillna(0, cols)
 
 
 @query("""SELECT nullif(trim(model), '') AS model, nullif(trim(phase), '') AS phase, count(*) AS n, count(*) FILTER (WHERE status = 200) AS n_ok, coalesce(sum(prompt_tokens), 0)::BIGINT AS n_prompt, coalesce(sum(completion_tokens), 0)::BIGINT AS n_completion, max(attempt) AS most_attempts
@@ -548,16 +551,21 @@ def throttled_progress(spark, d):
     return throttle(e)
 
 
-@query("""SELECT para_id, CASE role WHEN 'heading' THEN 'heading' WHEN 'subtitle' THEN 'subtitle' ELSE 'body' END AS role, """ + CLEAN.format("text") + """ AS text FROM paragraphs WHERE """ + CLEAN.format("text") + """ <> ''""")
+@query("""WITH p AS (SELECT book_id, ch_idx, para_idx, para_id, role, """ + CLEAN.format("coalesce(text, '')") + """ AS text FROM paragraphs), k AS (SELECT * FROM p WHERE text <> '' OR role = 'sceneBreak')
+SELECT book_id, ch_idx, (row_number() OVER (PARTITION BY book_id, ch_idx ORDER BY para_idx, para_id) - 1)::INT AS idx, CASE role WHEN 'heading' THEN 'heading' WHEN 'subtitle' THEN 'subtitle' WHEN 'sceneBreak' THEN 'sceneBreak' ELSE 'body' END AS role, CASE WHEN role = 'sceneBreak' THEN '' ELSE text END AS text FROM k""")
 def html_blocks(spark, d):
-    """The paragraphs as made-up pages, parsed again."""
+    """Whole chapters as made-up pages, with boilerplate, notes and scripts between, parsed again."""
     from tessella.sources.html import close_raw_elements, page_blocks
 
-    p = table(spark, d, "paragraphs").where("text is not null")
+    p = table(spark, d, "paragraphs").withColumn("text", F.coalesce("text", F.lit("")))
     esc = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    tag = F.when(F.col("role") == "heading", "h2").otherwise("p")
-    page = F.concat(F.lit("<html><head><title/></head><body><nav>skip</nav><"), tag, F.when(F.col("role") == "subtitle", ' class="subtitle"').otherwise(""), F.lit(">"), esc, F.lit("</"), tag, F.lit("><script>x</script></body></html>"))
-    return page_blocks(p.select("para_id", close_raw_elements(page).alias("html")), "para_id").where("text <> ''").select("para_id", "role", "text")
+    tagged = F.when(F.col("role") == "heading", F.concat(F.lit("<h2>"), esc, F.lit("</h2><script>x</script>"))).when(F.col("role") == "subtitle", F.concat(F.lit('<p class="subtitle">'), esc, F.lit("</p>"))).when(F.col("role") == "sceneBreak", "<hr/>").otherwise(F.concat(F.lit("<p>"), esc, F.lit('<p class="footnote">no</p>')))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para_idx", "para_id", tagged.alias("t")))), lambda x: x["t"]), "\n")
+    pages = p.groupBy("book_id", "ch_idx").agg(body.alias("b"))  # a chapter is one page
+    html = F.concat(F.lit("<html><head><title/></head><body><nav>skip</nav><div class='pg-boilerplate'><p>skip</p></div><div>"), F.col("b"), F.lit("</div></body></html>"))
+    rows = page_blocks(pages.select(F.concat_ws("/", "book_id", "ch_idx").alias("page"), close_raw_elements(html).alias("html")), "page")
+    at = lambda i: F.element_at(F.split("page", "/"), i)
+    return rows.select(at(1).cast("bigint").alias("book_id"), at(2).cast("int").alias("ch_idx"), "idx", "role", "text")
 
 
 @query(f"""WITH {S} SELECT count(*) AS n_stored, count(*) FILTER (WHERE text = '[xx] ' || src) AS n_tagged FROM (SELECT DISTINCT src, '[xx] ' || src AS text FROM s WHERE trim(src) <> '' AND NOT regexp_matches(src, '{ARTIFACT}'))""")

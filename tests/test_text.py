@@ -72,3 +72,12 @@ def test_places_lists_and_errors(spark):
     assert one(spark, T.is_permanent("a"), a=404) and not one(spark, T.is_permanent("a"), a=429)
     assert one(spark, T.found_at("a", "b"), a="The LAMP", b="lamp") == 4 and one(spark, T.found_at("a", "b"), a="x", b="lamp") == -1
     assert T.plain_words("It’s a 3-day café") == ["It’s", "a", "day", "café"]
+
+
+def test_sentences_by_language(spark):
+    cut = lambda t, lang: one(spark, T.ruled_sentences("a", F.lit(lang)), a=t)
+    assert cut("Dr. Vell left. J. R. Oake ran!  “Who?” Then 3.5 kg.", "en") == ["Dr. Vell left.", "J. R. Oake ran!", "“Who?”", "Then 3.5 kg."]
+    assert cut("3. The end came. (It did.) Yes", "xx") == ["3. The end came.", "(It did.)", "Yes"]
+    assert cut("Он ушёл, т.е. Иван. См. рис. Это всё.", "ru") == ["Он ушёл, т.е. Иван.", "См. рис. Это всё."]
+    assert cut("谁点亮了灯？画家说：“走！”他走了。", "zh") == ["谁点亮了灯？", "画家说：“走！”", "他走了。"]
+    assert cut("הוא הלך. היא רצה.", "he") == ["הוא הלך.", "היא רצה."] and cut("", "en") == [""]
