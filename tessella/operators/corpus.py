@@ -110,14 +110,21 @@ def chunk_words(answers: DataFrame, align: Column, keys: list[str]) -> DataFrame
     return w.select(*keys, "chunk", "x.own", "s", "t").where(F.when(F.col("own"), F.length("s") >= 3).otherwise(F.col("s") != ""))
 
 
-def checked(words: DataFrame, lex: DataFrame, keys: list[str], by: tuple[str, ...] = ()) -> DataFrame:
-    """words: of chunk_words; by: columns of both that tell the lexicon. Counts by chunk: covered, supported, and shift hits,
-    which fit the word before or behind and not their own; ``reason`` is low-support, else shift-pattern, else null."""
+def evidence(words: DataFrame, lex: DataFrame, keys: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """words: of chunk_words; by: columns of both that tell the lexicon. One row a chunk: covered (the lexicon knows one of its words),
+    supported (and has the fragment for it), near (it has the fragment for a word before or behind); and the label of that."""
     known = lex.groupBy(*by, F.col("s").alias("form")).agg(F.collect_set("t").alias("ts"))  # at most `top` targets a word
     forms = words.withColumn("form", F.explode(F.array_union(F.array("s"), T.stem_variants("s"))))
     hit = forms.join(known, [*by, "form"], "left")
     fits = F.coalesce(F.exists("ts", lambda x: T.prefix_plausible(x, F.col("t"))), F.lit(False))
     per = hit.groupBy(*keys, "chunk").agg(F.max(F.col("own") & F.col("ts").isNotNull()).alias("covered"), F.max(F.col("own") & fits).alias("supported"), F.max(~F.col("own") & fits).alias("near"))
+    return per.withColumn("label", F.when(~F.col("covered"), "no-evidence").when(F.col("supported"), "supported").when(F.col("near"), "fits-neighbour").otherwise("unsupported"))
+
+
+def checked(words: DataFrame, lex: DataFrame, keys: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """As evidence, counted by answer: covered, supported, and shift hits, which fit the word before or behind and not their own;
+    ``reason`` is low-support, else shift-pattern, else null."""
+    per = evidence(words, lex, keys, by)
     out = per.groupBy(*keys).agg(F.count_if("covered").alias("n_covered"), F.count_if(F.col("covered") & F.col("supported")).alias("n_supported"), F.count_if(F.col("covered") & ~F.col("supported") & F.col("near")).alias("n_shift_hits"))
     return out.withColumn("reason", F.when(low_support(0.34), "low-support").when(F.col("n_shift_hits") >= 2, "shift-pattern"))
 

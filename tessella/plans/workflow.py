@@ -282,3 +282,41 @@ def unique_context(spark, d):
     x = K._t(spark, d).where("target = 'de' and text is not null").groupBy("sentence_id").agg(F.min_by("text", "translation_id").alias("tr"))
     y = C.previous_context(u.join(x, "sentence_id", "left"), ["book_id"], ["ch_idx", "para_idx", "sent_idx", "sentence_id"], 2, "src", "tr")
     return y.select("sentence_id", F.size("context").alias("n_context"))
+
+
+@query(f"""WITH {K._EACH}, {K._DRIFT}, {K._CHECKED} SELECT kind, target, CASE WHEN NOT covered THEN 'no-evidence' WHEN supported THEN 'supported' WHEN near THEN 'fits-neighbour' ELSE 'unsupported' END AS label, count(*) AS n FROM hi GROUP BY ALL""")
+def evidence_labels(spark, d):
+    """What the lexicon says of every chunk, of the alignments as they are and drifted by one word, wholly and in their second half."""
+    both, pairs = K._all_answers(spark, d)
+    both = both.where((F.size("align") >= 4) & (F.size("words") >= 5))
+    size = F.size("align")
+    drifts = F.array(*[F.struct(F.lit(k).alias("kind"), K.A.shifted(F.col("align"), F.size("words"), at).alias("align")) for k, at in {"clean": size, "full": F.lit(0), "half": size - F.floor(size / 2).cast("int")}.items()])
+    keys = ["translation_id", "kind", *K._PAIR]
+    rows = both.select("translation_id", *K._PAIR, "src", "text", "words", F.explode(drifts).alias("x")).select("translation_id", *K._PAIR, "src", "text", "words", "x.kind", F.col("x.align").alias("align"))
+    per = C.evidence(C.chunk_words(rows, F.col("align"), keys), C.lexicon(pairs, by=K._PAIR), keys, K._PAIR)
+    return per.groupBy("kind", "target", "label").agg(F.count("*").alias("n"))
+
+
+@query()
+def embedding_alignment(spark, d):
+    """Every answer aligned with its source by a stand-in encoder, through the gate, by target."""
+    from tessella.operators.encode import embed_align, hashed_encoder
+
+    a = _answers(spark, d).where("text is not null and src is not null").select("translation_id", "target", "src", F.coalesce("words", F.array().cast(Q.WORDS)).alias("words"), "text")
+    out = embed_align(a, hashed_encoder, ["translation_id"])
+    return out.groupBy("target").agg(F.count("*").alias("n"), F.count_if("accepted").alias("n_accepted"), F.round(F.avg("q_content"), 6).alias("mean_content"), F.sum(F.size("align").cast("long")).alias("n_chunks"))
+
+
+@query(f"""WITH {S}, f AS (SELECT src, min(struct_pack(a := book_id, b := ch_idx, c := para_idx, d := sent_idx, e := sentence_id)) AS at FROM s WHERE src IS NOT NULL GROUP BY src HAVING count(*) > 1) SELECT s.sentence_id, s.src FROM s JOIN f ON f.src = s.src WHERE s.book_id <> f.at.a""")
+def subset_by_source(spark, d):
+    """Sentences of other books whose source is on the list of recurring ones: a subset by a list of sources."""
+    s = K._s(spark, d).where("src is not null").select("sentence_id", "src", "book_id", "ch_idx", "para_idx", "sent_idx")
+    first = s.groupBy("src").agg(F.min(F.struct("book_id", "ch_idx", "para_idx", "sent_idx", "sentence_id")).alias("at"), F.count("*").alias("n")).where("n > 1")
+    return s.join(first.select("src", F.col("at.book_id").alias("first_book")), "src").where("book_id <> first_book").select("sentence_id", "src")
+
+
+@query("""SELECT para_id, array_to_string(list_transform(marks, m -> m.id || '@' || m.pos::VARCHAR || ':' || coalesce(m.label, '')), ' ') AS refs FROM paragraphs WHERE len(marks) > 0""")
+def note_refs(spark, d):
+    """The note references of each paragraph."""
+    m = table(spark, d, "paragraphs").where(F.size("marks") > 0)
+    return m.select("para_id", F.array_join(F.transform("marks", lambda x: F.concat(x["id"], F.lit("@"), x["pos"].cast("string"), F.lit(":"), F.coalesce(x["label"], F.lit("")))), " ").alias("refs"))

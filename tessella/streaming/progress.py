@@ -29,13 +29,24 @@ def _rows(pdf: pd.DataFrame):
 
 
 def throttle(events: DataFrame) -> DataFrame:
-    """Batch form, a fold over each key's events in time order. Keys are phase and target."""
+    """Batch form, a fold over each key's events in time order, batch by batch: of a key's events only the last written line is
+    held. Keys are phase and target; null ones are keys too."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "done"], kind="stable").reset_index(drop=True)
-        return pdf.iloc[keep(_rows(pdf))[0]]
+    def run(frames):
+        key, last = None, None
+        for f in frames:
+            rows, kept = _rows(f), []
+            names = list(zip(f["phase"], f["target"]))
+            for i, name in enumerate(names):
+                if name != key:
+                    key, last = name, None
+                got, last = keep([rows[i]], last)
+                if got:
+                    kept.append(i)
+            yield f.iloc[kept]
 
-    return events.select("phase", "target", "ts", "done", "total", "final").groupBy("phase", "target").applyInPandas(run, SCHEMA)
+    cols = ["phase", "target", "ts", "done", "total", "final"]
+    return events.select(*cols).repartition("phase", "target").sortWithinPartitions("phase", "target", "ts", "done").mapInPandas(run, SCHEMA)
 
 
 def throttle_stream(events: DataFrame) -> DataFrame:

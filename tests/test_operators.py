@@ -297,3 +297,73 @@ def test_glossary_and_phases(spark):
     rows = [("f", "r", None), (None, None, None), (None, "<eos>", "p"), (None, "r", None), (None, "r", "p"), ("<pad>", "r", "p")]
     df = spark.createDataFrame(rows, "a string, b string, c string")
     assert [r.p for r in df.select(P.phase(F.col("a"), F.col("b"), F.col("c")).alias("p")).collect()] == ["done", "translate", "translate", "proofread", "align", "align"]
+
+
+def test_encoder_alignment_against_the_relational_form(spark):
+    import numpy as np
+
+    from tessella.operators import encode as E
+
+    rng = np.random.default_rng(4)
+    enc = E.hashed_encoder()
+    words = ["red", "dog", "house", "garden", "dogs", "reds", "gardens", "the", "a", "an"]
+    for _ in range(20):
+        a, b = [str(x) for x in rng.choice(words, rng.integers(1, 9))], [str(x) for x in rng.choice(words, rng.integers(1, 9))]
+        sim = E.similarity(enc(a), enc(b))
+        best = {(i, j) for i in range(len(a)) for j in range(len(b)) if j == min(range(len(b)), key=lambda k: (-sim[i, k], k)) and i == min(range(len(a)), key=lambda k: (-sim[k, j], k))}
+        assert E.best_pairs(sim, 1) == best
+        free = [(i, j) for i in range(len(a)) for j in range(len(b)) if i not in {x for x, _ in best} and j not in {y for _, y in best}]
+        assert all(p in free and sim[p] > 0 for p in E.best_pairs(sim) - best)
+        for i, j in E.glue_pairs(sim, best) - best:
+            assert sim[i, j] >= 0.3 and any((k, j) in best and 1 <= abs(k - i) <= 3 for k in range(len(a))) or any((i, k) in best and 1 <= abs(k - j) <= 3 for k in range(len(b)))
+    assert E.align_words(enc, ["", "dog", " "], ["dog"]) == [(1, 0)] and E.align_words(enc, [], ["x"]) == []
+    assert E.unit_pairs({(0, 0), (1, 5), (2, 7)}, [(0, 2)]) == {(0, 0), (0, 5), (1, 0), (1, 5)} and E.unit_pairs({(0, k) for k in range(5)}, [(0, 1)]) == set()
+
+
+def test_embedding_pass(spark):
+    from tessella.operators import encode as E
+    from tessella.operators import quality as Q
+
+    rows = [(1, "xx", "red dog", [(0, 3), (4, 7)], "red dog"), (2, "xx", "red", [(0, 3)], "zzz www vvv"), (3, "xx", "", [], ""), (4, "xx", "boom", [(0, 4)], "boom"), (5, "xx", "a", [(0, 1)], None)]
+    df = spark.createDataFrame(rows, f"id long, target string, src string, words {Q.WORDS}, text string")
+
+    def make():
+        enc = E.hashed_encoder()
+
+        def encode(ws):
+            if "boom" in ws:
+                raise RuntimeError("dead")
+            return enc(ws)
+
+        return encode
+
+    got = {r.id: r for r in E.embed_align(df, make, ["id"]).collect()}
+    assert [(c.t0, c.t1, c.w) for c in got[1].align] == [(0, 3, [0]), (4, 7, [1])] and got[1].q == 1.0 and got[1].accepted
+    assert not got[2].accepted and got[3].align == [] and not got[3].accepted and got[4].align is None and not got[4].accepted and not got[5].accepted
+    flagged = E.embed_align(df, make, ["id"], flagged=df.where("id = 1").select("id")).where("id = 1").first()
+    assert not flagged.accepted
+    p = spark.createDataFrame([([(0, 0), (2, 0), (0, 0), (-1, 1), (1, 9)], [(0, 3), (4, 7)])], f"p {E.PAIRS}, t {Q.WORDS}")
+    assert [(c.t0, c.w) for c in p.select(E.chunked(F.col("p"), F.col("t")).alias("x")).first().x] == [(0, [0, 2])]
+
+
+def test_providers():
+    from tessella.operators import providers as X
+
+    waits, calls = [], []
+
+    def ask(items):
+        calls.append(1)
+        if len(calls) < 3:
+            raise X.Failed(429, retry_after=7.0 if len(calls) == 1 else None)
+        return {"1": "ok"}
+
+    assert X.with_retries(ask, sleep=waits.append)([]) == {"1": "ok"} and waits[0] == 7.0 and 2.0 <= waits[1] <= 2.5
+    with pytest.raises(X.Failed):
+        X.with_retries(lambda _: (_ for _ in ()).throw(X.Failed(404)), sleep=waits.append)([])
+    assert [X.backoff(k, jitter=lambda: 0) for k in range(7)] == [1, 2, 4, 8, 16, 30, 30]
+    assert X.ends_run(X.Exhausted()) and X.ends_run(X.Failed(401)) and not X.ends_run(X.Failed(503)) and not X.ends_run(ValueError())
+    assert X.without_secrets({"HOME": "/", "api_key": "x", "MY_TOKEN": "y"}) == {"HOME": "/"}
+    assert "from English to xx" in X.prompt("translate", "en", "xx") and X.prompt("translate", "en", "de", [{"src": "a", "tgt": "b"}]).endswith("- a = b") and "a = b" not in X.prompt("judge", "en", "de", [{"src": "a", "tgt": "b"}])
+    r = X.provenance("t", "p", "q", {"translate": ("m", "v1"), "judge": None}, {"batch": 8, "store": "/secret", "rounds": None})
+    assert r == {"at": "t", "producer": "p", "provider": "q", "passes": {"translate": {"model": "m", "version": "v1"}}, "options": {"batch": 8}}
+    assert X.merged_meta({"a": 1, "runs": 0}, {"runs": []}) == {"a": 1, "runs": []}

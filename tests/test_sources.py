@@ -97,3 +97,16 @@ def test_whole_archive():
     tr = got["chapters"][0]["paragraphs"][0][0]["tr"]
     assert got["chapters"][0]["title"] == "Chapter 1" and tr["de"]["q"] == 0.75 and tr["fr"] == {"text": "", "align": [], "q": 0.0} and got["cover"] == b"C" and got["images"]["images/a"] == b"1" and got["meta"] == {"runs": []}
     assert [(x["kind"], x["src"]) for x in B.archive_sentences(got)] == [("prose", "a b"), ("prose", "cap"), ("prose", "c"), ("note", "two"), ("note", "ten"), ("citation", "cite")]
+
+
+def test_image_headers(spark):
+    import struct
+
+    from tessella.sources import images as I
+
+    png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + struct.pack(">II", 1500, 20)
+    gif = b"GIF89a" + struct.pack("<HH", 30, 40)
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08" + struct.pack(">HH", 50, 60) + b"\0" * 12
+    assert [I.probe(x) for x in (png, gif, jpeg, b"", None, b"\xff\xd8no", b"text")] == [("png", 1500, 20), ("gif", 30, 40), ("jpeg", 60, 50), None, None, None, None]
+    df = spark.createDataFrame([("a", png), ("b", gif), ("c", None)], "path string, content binary")
+    assert [(r.path, r.format, r.width, r.keep) for r in I.probed(df).orderBy("path").collect()] == [("a", "png", 1500, False), ("b", "gif", 30, True), ("c", None, None, False)]
