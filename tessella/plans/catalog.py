@@ -13,7 +13,7 @@ from tessella.functions import text as T
 from tessella.operators import align as A
 from tessella.operators import corpus as C
 from tessella.operators import coverage as V
-from tessella.session import latest, table
+from tessella.session import cut, latest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -230,7 +230,7 @@ def coverage_overlap(spark, d):
 SELECT model, count(*) AS n, round(avg(CASE WHEN cov >= 0 THEN cov END), 6) AS mean_cov, round(list_sort(list(cov) FILTER (WHERE cov >= 0))[(count(*) FILTER (WHERE cov >= 0)) // 2 + 1], 6) AS median_cov, count(*) FILTER (WHERE cov >= 0 AND cov < 0.7) AS n_low_cov, count(*) FILTER (WHERE tap >= 0 AND tap < 0.8) AS n_low_tap FROM c GROUP BY model""")
 def coverage_summary(spark, d):
     c = _measured(spark, d).select("model", V.ratio("n_tgt_covered", "n_tgt").alias("cov"), V.ratio("n_src_tapped", "n_src").alias("tap"))
-    c = c.groupBy("model", "cov", "tap").agg(F.count("*").alias("k"))  # measured once: both uses below share this exchange
+    c = cut(c.groupBy("model", "cov", "tap").agg(F.count("*").alias("k")))  # measured once for both uses below
     some = lambda cond: F.sum(F.when(cond, F.col("k")).otherwise(0))
     ok = F.col("cov") >= 0
     mean = F.sum(F.when(ok, F.col("cov") * F.col("k"))) / F.sum(F.when(ok, F.col("k")))

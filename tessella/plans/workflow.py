@@ -12,7 +12,7 @@ from tessella.operators import passes as P
 from tessella.operators import quality as Q
 from tessella.plans import catalog as K
 from tessella.plans.catalog import ARTIFACT, OFFS, S, TR, W, query
-from tessella.session import table
+from tessella.session import cut, table
 
 _ANSWERS = f"""{S}, {TR}, {K._TAG}, e AS (SELECT t.translation_id, t.sentence_id, coalesce(bk.tag, '') AS source_lang, coalesce(t.target, '') AS target, t.model, coalesce(src, '') AS src, coalesce(text, '') AS text, coalesce(words, []) AS words, coalesce(align, []) AS align FROM t JOIN s USING (sentence_id) LEFT JOIN bk ON bk.book_id = s.book_id)"""
 _MET = "len(list_filter(align, c -> c.t0 < w.e AND w.s < c.t1)) > 0"
@@ -42,7 +42,7 @@ count(*) FILTER (WHERE cov_content >= 0 AND n_src >= 5 AND cov_content < 0.7) AS
 def score_summary(spark, d):
     """Means, upper medians and low shares of content coverage by target, of sources of five words or more."""
     x = Q.scores(_answers(spark, d)).select("target", "cov_content", "tap_content", F.when(F.size("words") >= 5, F.size("words")).alias("n_src"))
-    x = x.groupBy("target", "cov_content", "tap_content", F.col("n_src").isNotNull().alias("long")).agg(F.count("*").alias("k"))
+    x = cut(x.groupBy("target", "cov_content", "tap_content", F.col("n_src").isNotNull().alias("long")).agg(F.count("*").alias("k")))  # scored once for both uses below
     on = F.col("long") & (F.col("cov_content") >= 0)
     some = lambda c: F.sum(F.when(c, F.col("k")).otherwise(0))
     mean = F.sum(F.when(on, F.col("cov_content") * F.col("k"))) / F.nullif(some(on), F.lit(0))
@@ -114,7 +114,7 @@ def alignment_bench(spark, d):
     """Totals of the stored alignments by target: coverage, gate, chunks, and the lexicon's support of all and of content chunks."""
     a = _answers(spark, d)
     q = Q.content_q(a.select("translation_id", "target", "text", "align"))
-    q = q.select("target", "q_all", "q_content", F.size(F.coalesce("align", F.array().cast(Q.ALIGN))).alias("n_chunks"))
+    q = cut(q.select("target", "q_all", "q_content", F.size(F.coalesce("align", F.array().cast(Q.ALIGN))).alias("n_chunks")))  # used three times below
     per = q.groupBy("target").agg(F.count("*").alias("n"), F.round(F.avg("q_all"), 6).alias("mean_q"), F.round(F.avg("q_content"), 6).alias("mean_content"), F.count_if(F.col("q_content") < 0.7).alias("n_gated"), F.round(F.sum("n_chunks") / F.count("*"), 6).alias("chunks_each"))
     for c, name in (("q_all", "median_q"), ("q_content", "median_content")):
         per = per.join(V.ranked_median(q, ["target"], c).select("target", F.round("median", 6).alias(name)), "target", "left")
