@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 
 from tessella.llm.langid import LANGS, tag_language
 from tessella.llm.normalize import _HAS_LATIN, _MIXED, _scripts
-from tessella.session import latest
+from tessella.session import cut, latest
 
 SAMPLE = 24_000
 #: Texts that are held as arrays at once on the driver.
@@ -311,10 +311,15 @@ def limits(found: list[tuple]) -> dict[tuple, dict[int, float]]:
     return out
 
 
-def storage_limits(answers: DataFrame, by: list[str]) -> dict[tuple, dict[int, float]]:
-    """The limits of every group; only piles come to the driver."""
-    rows = piles(length_counts(answers, by), by).collect()
-    return limits([(tuple(r[c] for c in by), r.measure, r.length, r.n, r.odds, r.own) for r in rows])
+def storage_limits(answers: DataFrame, levels: list[list[str]]) -> dict[tuple, dict[int, float]]:
+    """The limits of the groups of every level, the columns of the last holding those of the others. Lengths are counted once; only
+    piles come to the driver."""
+    counted = cut(length_counts(answers, levels[-1]))
+    out: dict[tuple, dict[int, float]] = {}
+    for by in levels:
+        rows = piles(counted.groupBy(*by, "measure", "length").agg(F.sum("n").alias("n")), by).collect()
+        out |= limits([(tuple(r[c] for c in by), r.measure, r.length, r.n, r.odds, r.own) for r in rows])
+    return out
 
 
 def _cg(i: np.ndarray, j: np.ndarray, y: np.ndarray, n: int, ridge: float = 2.0, steps: int = 40) -> np.ndarray:
@@ -486,7 +491,7 @@ def train(rows, grams, found) -> Model:
 
 
 def fit(answers: DataFrame, sentences: DataFrame, books: DataFrame, sample: int = SAMPLE) -> Model:
-    grams, found = counts(answers), storage_limits(answers, ["model"]) | storage_limits(answers, ["model", "target"])
+    grams, found = counts(answers), storage_limits(answers, [["model"], ["model", "target"]])
     step = max(1, -(-answers.count() // sample))
     pick = lambda df: df.where(F.pmod(F.xxhash64("sentence_id"), F.lit(step)) == 0)
     some = pick(answers).select("sentence_id", "text", "target").join(pick(sentences).select("sentence_id", "book_id", "src").dropDuplicates(["sentence_id"]), "sentence_id")
