@@ -444,7 +444,7 @@ def _examiner(model, keep: list[str]):
             rows, fixed, recovered = [], [], []
             for i in range(len(values)):
                 t = values[i]
-                if t and peak[i] >= SEGMENT:
+                if t and peak[i] >= SEGMENT and (not t.isascii() or lost_marks(t)):  # nothing else in ASCII can be damage
                     if t not in seen:  # the same texts recur
                         if len(seen) > 20_000:
                             seen.clear()
