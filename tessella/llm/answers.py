@@ -557,12 +557,13 @@ def _judge(model, keep: list[str]):
             ratio = m.features(t, s, tg, ending) @ m.weights
             asked = np.where(ending.any(1), *CUT)
             asked += HEADING * np.array([len(x) <= 36 and not (_CLOSE.search(x[-12:]) or "฀" <= x.rstrip()[-1:] <= "๿") for x in sources])
-            # at a limit the pile's odds speak for a cut and nothing more is asked of the ending
+            # at a limit the pile's odds speak for a cut, and nothing more is asked of an ending without a closing mark; storage
+            # cuts anywhere and seldom behind one
             limit = [_at_limit(m.found, mo, ta, t.lengths[:, i]) for i, (mo, ta) in enumerate(zip(models, targets))]
             p = ratio - asked
             for i, x in enumerate(limit):
-                if x and ratio[i] + x[0] > p[i]:
-                    p[i] = ratio[i] + x[0]
+                if x:
+                    p[i] = max(p[i], ratio[i] + x[0] - CUT[1] * bool(_CLOSE.search(texts[i][-12:])))
             row, _, _, h = t.words()
             cue = np.bincount(row[np.isin(h, m.cues)], minlength=t.n) > 0
             out: list[str | None] = [None] * t.n
