@@ -92,7 +92,24 @@ def without_loose_breaks(df: DataFrame, by: list[str], order: list[str], is_brea
 def lexicon(pairs: DataFrame, least: int = 3, top: int = 12, by: tuple[str, ...] = ()) -> DataFrame:
     """pairs: s, t (folded words that stand in a sentence and its translation). The most frequent targets of each word; a
     lexicon for each of the columns ``by``."""
-    n = pairs.groupBy(*by, "s", "t").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return _ranked(pairs.groupBy(*by, "s", "t").agg(F.count("*").alias("n")).where(F.col("n") >= least), top, by)
+
+
+def lexicon_of(texts: DataFrame, least: int = 3, top: int = 12, by: tuple[str, ...] = ()) -> DataFrame:
+    """texts: by, ss, ts (distinct folded words of a sentence and its translation). As lexicon over all pairs of their words, which are
+    counted as numbers: words and groups travel as 64-bit hashes, and only the pairs that are frequent enough get their names back."""
+    hashed = lambda c: F.transform(c, lambda x: F.xxhash64(x))
+    group = F.xxhash64(*by) if by else F.lit(0).cast("long")
+    x = texts.select(group.alias("_g"), F.explode(hashed("ss")).alias("_s"), hashed("ts").alias("_t")).select("_g", "_s", F.explode("_t").alias("_t"))
+    n = x.groupBy("_g", "_s", "_t").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    words = texts.select(F.explode(F.array_union("ss", "ts")).alias("w")).distinct().select(F.xxhash64("w").alias("_h"), "w")
+    named = n.join(words.select(F.col("_h").alias("_s"), F.col("w").alias("s")), "_s").join(words.select(F.col("_h").alias("_t"), F.col("w").alias("t")), "_t")
+    if by:
+        named = named.join(texts.select(*by).distinct().withColumn("_g", group), "_g")
+    return _ranked(named.select(*by, "s", "t", "n"), top, by)
+
+
+def _ranked(n: DataFrame, top: int, by: tuple[str, ...]) -> DataFrame:
     w = Window.partitionBy(*by, "s").orderBy(F.desc("n"), F.desc("t"))
     return n.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 

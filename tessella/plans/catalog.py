@@ -175,11 +175,11 @@ def _stores(spark, d):
     return both.groupBy("target", T.key(F.col("src")).alias("hash")).agg(F.max_by("text", F.struct("stored_at", "translation_id")).alias("text")).select("target", "hash", F.concat_ws("|", "target", "hash").alias("key"), "text")
 
 
-def _wanted(spark, d, stores):
+def _wanted(spark, d):
     """Every source in every target that there is; the targets are a handful."""
     w = _s(spark, d).where("src is not null").select(T.key(F.col("src")).alias("hash"), "src").dropDuplicates(["hash"])
-    targets = stores.select("target").distinct().agg(F.collect_set("target").alias("targets"))
-    return w.join(F.broadcast(targets), F.lit(True)).select(F.explode("targets").alias("target"), "hash", "src").select("target", "hash", F.concat_ws("|", "target", "hash").alias("key"), "src")
+    targets = sorted(r.target for r in table(spark, d, "translations").where("target is not null").select("target").distinct().collect())
+    return w.select(F.explode(F.array(*map(F.lit, targets)).cast("array<string>")).alias("target"), "hash", "src").select("target", "hash", F.concat_ws("|", "target", "hash").alias("key"), "src")
 
 
 _STORES = """st AS (SELECT target, key, text FROM (SELECT target, sha256(src) AS key, text, row_number() OVER (PARTITION BY target, sha256(src) ORDER BY stored_at DESC NULLS LAST, translation_id DESC) AS k FROM t JOIN s USING (sentence_id) WHERE target IS NOT NULL AND src IS NOT NULL) WHERE k = 1),
@@ -190,7 +190,7 @@ tg AS (SELECT DISTINCT target FROM st), w AS (SELECT DISTINCT target, sha256(src
 def pending_work(spark, d):
     """What is wanted and not stored, for every target."""
     stores = _stores(spark, d)
-    return C.pending(_wanted(spark, d, stores), stores).select("target", F.col("hash").alias("key"), "src")
+    return C.pending(_wanted(spark, d), stores).select("target", F.col("hash").alias("key"), "src")
 
 
 @query(f"""WITH {S}, {TR}, {_STORES}, ot AS (SELECT a.target, b.target AS raw_target FROM tg a, tg b WHERE a.target <> b.target),
@@ -200,7 +200,7 @@ SELECT target, raw_target, CASE WHEN f IS NOT NULL THEN 'final' WHEN r IS NOT NU
 def filled_levels(spark, d):
     """Each target as the final text and each other one as the raw text."""
     stores = _stores(spark, d)
-    wanted = _wanted(spark, d, stores)
+    wanted = _wanted(spark, d)
     # one row a source with the texts of all targets, so that the pairs of targets are made inside the row
     by_hash = stores.groupBy("hash").agg(F.map_from_entries(F.collect_list(F.struct("target", "text"))).alias("texts"))
     rows = wanted.groupBy("hash").agg(F.first("src").alias("src"), F.collect_set("target").alias("targets")).join(by_hash, "hash", "left")
@@ -279,7 +279,7 @@ def worst_regressions(spark, d):
 @query(f"""WITH {S}, o AS (SELECT sentence_id, book_id % 2 AS side, src, row_number() OVER (PARTITION BY book_id % 2, src ORDER BY book_id, ch_idx, para_idx, sent_idx, sentence_id) - 1 AS k FROM s WHERE src IS NOT NULL)
 SELECT a.sentence_id AS id_a, b.sentence_id AS id_b FROM o a JOIN o b ON a.src = b.src AND a.k = b.k WHERE a.side = 0 AND b.side = 1""")
 def occurrence_match(spark, d):
-    o = C.occurrences(_s(spark, d).where("src is not null").withColumn("side", F.col("book_id") % 2), "src", ["book_id", "ch_idx", "para_idx", "sent_idx", "sentence_id"], ["side"]).select("side", "src", "occurrence", "sentence_id")
+    o = C.occurrences(_s(spark, d).where("src is not null").select("sentence_id", "src", "book_id", "ch_idx", "para_idx", "sent_idx", (F.col("book_id") % 2).alias("side")), "src", ["book_id", "ch_idx", "para_idx", "sent_idx", "sentence_id"], ["side"]).select("side", "src", "occurrence", "sentence_id")
     m = C.matched(o.where("side = 0"), o.where("side = 1"), ["src", "occurrence"])
     return m.select(F.col("sentence_id").alias("id_a"), F.col("sentence_id_b").alias("id_b"))
 
@@ -357,25 +357,25 @@ _REASON = "CASE WHEN n_covered >= 4 AND n_supported <= 0.34::DOUBLE * n_covered
 
 
 def _all_answers(spark, d):
-    """All answers with a text and a source, by the label of the book's language (empty: none) and the target; and all pairs of
-    words that stand in a sentence and its translation."""
+    """All answers with a text and a source, by the label of the book's language (empty: none) and the target; and their
+    distinct folded words."""
     books = table(spark, d, "books").select("book_id", F.coalesce(T.language_tag("language"), F.lit("")).alias("source_lang")).dropDuplicates(["book_id"])
     s = _s(spark, d).where("src is not null").select("sentence_id", "book_id", "src", "words").join(books, "book_id", "left").drop("book_id")
     both = _t(spark, d).where("text is not null").select("translation_id", "sentence_id", F.coalesce("target", F.lit("")).alias("target"), "text", "align").join(s, "sentence_id").fillna("", ["source_lang"])
     fold = lambda c: F.array_distinct(F.transform(T.words(c), T.fold_letters))
-    return both, both.select(*_PAIR, F.explode(fold("src")).alias("s"), fold("text").alias("ts")).select(*_PAIR, "s", F.explode("ts").alias("t"))
+    return both, both.select(*_PAIR, fold("src").alias("ss"), fold("text").alias("ts"))
 
 
 @query(f"""WITH {_EACH} SELECT source_lang, target, s, t, n, rank::INT AS rank FROM lx""")
 def lexicon_build(spark, d):
     """A lexicon for each source language and target."""
-    return C.lexicon(_all_answers(spark, d)[1], by=_PAIR)
+    return C.lexicon_of(_all_answers(spark, d)[1], by=_PAIR)
 
 
 def _checked(spark, d):
-    both, pairs = _all_answers(spark, d)
+    both, words = _all_answers(spark, d)
     keys = ["translation_id", *_PAIR]
-    return C.checked(C.chunk_words(both, F.col("align"), keys), C.lexicon(pairs, by=_PAIR), keys, _PAIR)
+    return C.checked(C.chunk_words(both, F.col("align"), keys), C.lexicon_of(words, by=_PAIR), keys, _PAIR)
 
 
 @query(f"""WITH {_CLEAN} SELECT translation_id, source_lang, target, n_covered, n_supported, n_shift_hits, {_REASON} AS reason FROM su""")
@@ -405,13 +405,13 @@ SELECT source_lang, target, rate_most, least_shifts, n, n_false, n_full, n_half,
 def drift_sweep(spark, d):
     """Of alignments drifted by one word, wholly or in their second half, how many are found, how many sound ones are flagged, and
     the precision, by the rate and the least shift hits."""
-    both, pairs = _all_answers(spark, d)
+    both, words = _all_answers(spark, d)
     both = both.where((F.size("align") >= 4) & (F.size("words") >= 5))
     size = F.size("align")
     drifts = F.array(*[F.struct(F.lit(k).alias("kind"), A.shifted(F.col("align"), F.size("words"), at).alias("align")) for k, at in {"clean": size, "full": F.lit(0), "half": size - F.floor(size / 2).cast("int")}.items()])
     keys = ["translation_id", "kind", *_PAIR]
     copies = both.select("translation_id", *_PAIR, "src", "text", "words", F.explode(drifts).alias("x")).select("translation_id", *_PAIR, "src", "text", "words", "x.kind", F.col("x.align").alias("align"))
-    all_ = C.checked(C.chunk_words(copies, F.col("align"), keys), C.lexicon(pairs, by=_PAIR), keys, _PAIR)
+    all_ = C.checked(C.chunk_words(copies, F.col("align"), keys), C.lexicon_of(words, by=_PAIR), keys, _PAIR)
     # the grid is laid over counts, not over rows
     few = all_.groupBy(*_PAIR, "kind", "n_covered", "n_supported", "n_shift_hits").agg(F.count("*").alias("k"))
     few = few.withColumn("rate_most", F.explode(F.array(*[F.lit(x) for x in (0.25, 0.3, 0.34, 0.4, 0.45)]))).withColumn("least_shifts", F.explode(F.array(F.lit(2), F.lit(3))))
@@ -477,7 +477,7 @@ def mark_asof(spark, d):
 @query(f"""WITH {S}, o AS (SELECT sentence_id, row_number() OVER (ORDER BY book_id, ch_idx, para_idx, sent_idx, sentence_id) - 1 AS pos, count(*) OVER () AS n FROM s)
 SELECT sentence_id FROM o WHERE pos % greatest(1, n // 200) = 0 AND pos < greatest(1, n // 200) * 200""")
 def stride_sample(spark, d):
-    return C.stride_sample(_s(spark, d), ["book_id", "ch_idx", "para_idx", "sent_idx", "sentence_id"], 200).select("sentence_id")
+    return C.stride_sample(_s(spark, d).select("book_id", "ch_idx", "para_idx", "sent_idx", "sentence_id"), ["book_id", "ch_idx", "para_idx", "sent_idx", "sentence_id"], 200).select("sentence_id")
 
 
 @query(f"""WITH {S}, {TR}, u AS (SELECT DISTINCT src FROM t JOIN s USING (sentence_id) WHERE q >= 0.7 AND src IS NOT NULL), n AS (SELECT ceil(count(*) / 20.0)::INT AS n FROM u)

@@ -118,12 +118,12 @@ def alignment_bench(spark, d):
     per = q.groupBy("target").agg(F.count("*").alias("n"), F.round(F.avg("q_all"), 6).alias("mean_q"), F.round(F.avg("q_content"), 6).alias("mean_content"), F.count_if(F.col("q_content") < 0.7).alias("n_gated"), F.round(F.sum("n_chunks") / F.count("*"), 6).alias("chunks_each"))
     for c, name in (("q_all", "median_q"), ("q_content", "median_content")):
         per = per.join(V.ranked_median(q, ["target"], c).select("target", F.round("median", 6).alias(name)), "target", "left")
-    both, pairs = K._all_answers(spark, d)
+    both, words = K._all_answers(spark, d)
     align = F.col("align")
     kinds = F.array(F.struct(F.lit("all").alias("kind"), align.alias("align")), F.struct(F.lit("content").alias("kind"), Q.content_chunks(F.col("text"), align, F.col("target")).alias("align")))
     keys = ["translation_id", "kind", *K._PAIR]
     rows = both.select("translation_id", *K._PAIR, "src", "text", "words", F.explode(kinds).alias("x")).select("translation_id", *K._PAIR, "src", "text", "words", "x.kind", F.col("x.align").alias("align"))
-    lex = C.checked(C.chunk_words(rows, F.col("align"), keys), C.lexicon(pairs, by=K._PAIR), keys, K._PAIR)
+    lex = C.checked(C.chunk_words(rows, F.col("align"), keys), C.lexicon_of(words, by=K._PAIR), keys, K._PAIR)
     of = lambda c, kind: F.sum(F.when(F.col("kind") == kind, F.col(c)))
     sums = lex.groupBy("target").agg(of("n_covered", "all").alias("n_scored"), of("n_supported", "all").alias("n_supported"), of("n_covered", "content").alias("n_scored_content"), of("n_supported", "content").alias("n_supported_content"), F.count_if((F.col("kind") == "all") & F.col("reason").isNotNull()).alias("n_flagged"))
     return per.join(sums, "target", "left").fillna(0, ["n_scored", "n_supported", "n_scored_content", "n_supported_content", "n_flagged"])
@@ -287,13 +287,13 @@ def unique_context(spark, d):
 @query(f"""WITH {K._EACH}, {K._DRIFT}, {K._CHECKED} SELECT kind, target, CASE WHEN NOT covered THEN 'no-evidence' WHEN supported THEN 'supported' WHEN near THEN 'fits-neighbour' ELSE 'unsupported' END AS label, count(*) AS n FROM hi GROUP BY ALL""")
 def evidence_labels(spark, d):
     """What the lexicon says of every chunk, of the alignments as they are and drifted by one word, wholly and in their second half."""
-    both, pairs = K._all_answers(spark, d)
+    both, words = K._all_answers(spark, d)
     both = both.where((F.size("align") >= 4) & (F.size("words") >= 5))
     size = F.size("align")
     drifts = F.array(*[F.struct(F.lit(k).alias("kind"), K.A.shifted(F.col("align"), F.size("words"), at).alias("align")) for k, at in {"clean": size, "full": F.lit(0), "half": size - F.floor(size / 2).cast("int")}.items()])
     keys = ["translation_id", "kind", *K._PAIR]
     rows = both.select("translation_id", *K._PAIR, "src", "text", "words", F.explode(drifts).alias("x")).select("translation_id", *K._PAIR, "src", "text", "words", "x.kind", F.col("x.align").alias("align"))
-    per = C.evidence(C.chunk_words(rows, F.col("align"), keys), C.lexicon(pairs, by=K._PAIR), keys, K._PAIR)
+    per = C.evidence(C.chunk_words(rows, F.col("align"), keys), C.lexicon_of(words, by=K._PAIR), keys, K._PAIR)
     return per.groupBy("kind", "target", "label").agg(F.count("*").alias("n"))
 
 

@@ -84,6 +84,21 @@ def test_support_plural_and_no_evidence(spark):
     assert (r.n_covered, r.n_supported, r.n_shift_hits, r.reason) == (1, 1, 0, None)
 
 
+def test_lexicon_by_hashes_equals_the_one_by_words(spark):
+    import random
+
+    rng = random.Random(2)
+    words = ["a", "b", "cc", "dd", "ее", "é", ""]
+    rows = [(rng.choice(["x", "y", ""]), sorted(set(rng.choices(words, k=4))), sorted(set(rng.choices(words, k=4)))) for _ in range(150)] + [("x", [], ["a"]), ("z", None, ["a"])]
+    df = spark.createDataFrame(rows, "g string, ss array<string>, ts array<string>")
+    pairs = df.select("g", F.explode("ss").alias("s"), "ts").select("g", "s", F.explode("ts").alias("t"))
+    want = {tuple(r) for r in C.lexicon(pairs, top=3, by=("g",)).collect()}
+    got = [tuple(r) for r in C.lexicon_of(df, top=3, by=("g",)).collect()]
+    assert set(got) == want and len(got) == len(want) and want
+    assert C.lexicon_of(df.where("false"), by=("g",)).count() == 0
+    assert {tuple(r) for r in C.lexicon_of(df).collect()} == {tuple(r) for r in C.lexicon(pairs).collect()}
+
+
 def test_places_within_hot_keys(spark):
     rows = [("hot" if i % 3 else f"k{i % 5}", i) for i in range(900)] + [(None, 7), (None, 3)]
     df = spark.createDataFrame(rows, "k string, i int")
