@@ -102,7 +102,7 @@ def test_folded_hashes():
 
 
 def test_wording_and_stand_ins():
-    assert not answers._wording("Torvin Lindqel") and not answers._wording("ΔT = 6.71 °C") and not answers._wording("tb://4/6.tbook")
+    assert not answers._wording("Torvin Lindqel") and not answers._wording("ΔT = 6.71 °C") and not answers._wording("ab://4/6.zip")
     assert answers._wording("The end of it") and answers._wording("WHO LIT THE LAMP") and answers._wording("谁点亮了灯")
     assert answers.STAND_IN.fullmatch("[no output]") and answers.STAND_IN.fullmatch("N/A") and not answers.STAND_IN.fullmatch("No translation exists for this old word")
 
