@@ -80,10 +80,10 @@ def select(values: DataFrame, keys: list[str], quantiles=QUANTILES) -> DataFrame
         state = cut(s.select(
             "g", *keys, "total", "q", F.when(above, r - F.col("n_lt") - F.col("n_eq")).otherwise(r).alias("rank"),
             F.when(above, p).otherwise(F.col("lo")).alias("lo"), F.when(under, p).otherwise(F.col("hi")).alias("hi"), F.when(open_ & ~under & ~above, p).otherwise(v).alias("v"),
-        ))
+        ), estimate=False)
         # ranges of one group are the same or disjoint, so that a value stays at most once
         ranges = state.where(v.isNull()).select(F.col("g").alias("g_"), F.col("lo").alias("lo_"), F.col("hi").alias("hi_")).distinct()
-        cand = cut(cand.join(ranges, (F.col("g") == F.col("g_")) & (v > F.col("lo_")) & (v < F.col("hi_"))).select("g", "v", "n", F.col("lo_").alias("lo")))
+        cand = cut(cand.join(ranges, (F.col("g") == F.col("g_")) & (v > F.col("lo_")) & (v < F.col("hi_"))).select("g", "v", "n", F.col("lo_").alias("lo")), estimate=False)
     return state.select(*keys, "q", F.col("total").alias("n"), "v")
 
 
